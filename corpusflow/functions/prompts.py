@@ -47,20 +47,15 @@ def prompt_messages(system: Column, user: Column, image_urls: Column | None = No
     """JSON text of the system and the user message; image parts follow the user's text."""
     part = "struct<type:string,text:string,image_url:struct<url:string>>"
     no_image = F.lit(None).cast("struct<url:string>")
-
-    def text_part(c):
-        return F.array(F.struct(F.lit("text").alias("type"), c.alias("text"), no_image.alias("image_url")).cast(part))
-
-    user_parts = text_part(user)
+    parts = F.array(F.struct(F.lit("text").alias("type"), user.alias("text"), no_image.alias("image_url")).cast(part))
     if image_urls is not None:
         pictures = F.transform(image_urls, lambda u: F.struct(
             F.lit("image_url").alias("type"), F.lit(None).cast("string").alias("text"),
             F.struct(u.alias("url")).alias("image_url")).cast(part))
-        user_parts = F.concat(user_parts, F.coalesce(pictures, F.array().cast(f"array<{part}>")))
-    return F.to_json(F.array(
-        F.struct(F.lit("system").alias("role"), text_part(system).alias("content")),
-        F.struct(F.lit("user").alias("role"), user_parts.alias("content")),
-    ))
+        parts = F.concat(parts, F.coalesce(pictures, F.array().cast(f"array<{part}>")))
+    messages = [F.to_json(F.struct(F.lit("system").alias("role"), system.alias("content"))),
+                F.to_json(F.struct(F.lit("user").alias("role"), parts.alias("content")))]
+    return F.concat(F.lit("["), messages[0], F.lit(","), messages[1], F.lit("]"))
 
 
 def to_report_json(**fields: Column) -> Column:
