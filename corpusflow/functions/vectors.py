@@ -3,35 +3,48 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
-from functools import lru_cache
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 DIMENSION = 64
+_BLANKS = re.compile(r"[ \t\r\n]+")
 
 
-@lru_cache(maxsize=200_000)
-def _bucket(token: str, dimension: int) -> int:
-    return int(hashlib.md5(token.encode("utf-8")).hexdigest()[:8], 16) % dimension
+class _Buckets(dict):
+    """Bucket of each word seen by this worker; emptied when it grows too large."""
+
+    def __init__(self, dimension: int):
+        super().__init__()
+        self.dimension = dimension
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 1_000_000:
+            self.clear()
+        bucket = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.dimension
+        self[word] = bucket
+        return bucket
 
 
 def hash_embedder(dimension: int = DIMENSION) -> Callable[[Column], Column]:
-    """Feature hashing of a token array into a unit vector, per row, without a shuffle."""
+    """Feature hashing of the words of a text into a unit vector, per row, without a shuffle."""
 
     @F.pandas_udf("array<float>")
-    def embed_tokens(words: pd.Series) -> pd.Series:
-        out = []
-        for row in words:
-            places = np.fromiter((_bucket(t, dimension) for t in row), dtype=np.int64, count=len(row))
-            counts = np.bincount(places, minlength=dimension).astype("float64")
-            norm = math.sqrt(float((counts * counts).sum()))
-            out.append((counts / norm if norm else counts).astype("float32"))
-        return pd.Series(out)
+    def embed_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        buckets = _Buckets(dimension)
+        for texts in batches:
+            out = []
+            for text in texts:
+                words = [w for w in _BLANKS.split(text) if w]
+                counts = np.bincount([buckets[w] for w in words], minlength=dimension) if words else np.zeros(dimension)
+                norm = math.sqrt(float(np.dot(counts, counts)))
+                out.append((counts / norm if norm else counts).astype("float32"))
+            yield pd.Series(out)
 
-    return embed_tokens
+    return lambda text: embed_words(F.lower(F.coalesce(text, F.lit(""))))
 
 
 def model_embedder(make_predict: Callable, batch_size: int = 64) -> Callable[[Column], Column]:
@@ -42,13 +55,9 @@ def model_embedder(make_predict: Callable, batch_size: int = 64) -> Callable[[Co
     return predict_batch_udf(make_predict, return_type=ArrayType(FloatType()), batch_size=batch_size)
 
 
-def embed(df: DataFrame, text_col: str, out: str = "embedding", embedder=None) -> DataFrame:
-    """Add one vector per row. The default embedder hashes words; a model embedder gets the text."""
-    from corpusflow.functions.text import tokens
-
-    if embedder is None:
-        return df.withColumn(out, hash_embedder()(tokens(F.coalesce(F.col(text_col), F.lit("")))))
-    return df.withColumn(out, embedder(F.col(text_col)))
+def embed(df: DataFrame, text_col: str, out: str = "embedding", embedder: Callable[[Column], Column] | None = None) -> DataFrame:
+    """Add one vector per row, by word hashing unless another ``embedder`` is given."""
+    return df.withColumn(out, (embedder or hash_embedder())(F.col(text_col)))
 
 
 def check_dim(df: DataFrame, d: int, vec_col: str = "embedding") -> DataFrame:

@@ -7,8 +7,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 
 def check_unique(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """Values that occur more than once, with their count."""
-    return df.groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1")
+    """Values that occur more than once, with their count.
+
+    A first pass counts 8-byte hashes, so that only rows that may have a copy are grouped by
+    their full values, which can be long texts.
+    """
+    hashed = df.select(*cols, F.xxhash64(*cols).alias("_hash"))
+    suspect = hashed.groupBy("_hash").count().where("count > 1").select("_hash")
+    return hashed.join(suspect, "_hash", "left_semi").groupBy(*cols).agg(F.count("*").alias("n")).where("n > 1")
 
 
 def check_fk(child: DataFrame, parent: DataFrame, on: Sequence[str], forbid: DataFrame | None = None) -> DataFrame:

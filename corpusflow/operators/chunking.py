@@ -13,19 +13,25 @@ SEPARATORS = ("\n\n", "\n", " ", "")
 
 
 def chunk_fixed(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, *,
-                id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+                text_col: str = "text") -> DataFrame:
     """Chunks of fixed length at a fixed stride, with built-in functions only.
 
-    Adds ``ord`` and ``chunk``; all other columns are kept. A text no longer than ``size`` is
-    one chunk, an empty text none, and no chunk lies wholly inside the one before it.
+    Adds ``ord`` and ``chunk`` in place of the text; all other columns are kept. A text no
+    longer than ``size`` is one chunk, an empty text none, and no chunk lies wholly inside the
+    one before it. The text is cut once into pieces of one stride, so the work grows with its
+    length however long it is.
     """
     stride = size - overlap
+    reach = -(-size // stride)
     length = F.length(text_col)
-    steps = F.when(length > 0, F.ceil(F.greatest(length - overlap, F.lit(1)) / stride))
-    starts = F.when(steps > 0, F.sequence(F.lit(0), (steps - 1).cast("int")))
-    return (df.withColumn("ord", F.explode(starts))
-            .withColumn("chunk", F.substr(F.col(text_col), F.col("ord") * stride + 1, F.lit(size)))
-            .drop(text_col))
+    count = F.ceil(F.greatest(length - overlap, F.lit(1)) / stride).cast("int")
+    pieces = F.regexp_extract_all(F.col(text_col), F.lit(f"(?s).{{1,{stride}}}"), F.lit(0))
+    with_pieces = df.where(length > 0).withColumn("_count", count).withColumn("_pieces", pieces)
+    chunks = F.transform(
+        F.sequence(F.lit(1), F.col("_count")),
+        lambda i: F.substring(F.array_join(F.slice("_pieces", i, reach), ""), 1, size))
+    kept = [c for c in df.columns if c != text_col]
+    return with_pieces.select(*kept, F.posexplode(chunks).alias("ord", "chunk"))
 
 
 def _pieces(text: str, separator: str) -> list[str]:
@@ -74,14 +80,14 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
 
 
 def chunk_recursive(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, *,
-                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Chunks along paragraphs, lines and words: ``(id, ord, chunk)``, in place, no shuffle."""
-    id_type = df.schema[id_col].dataType.simpleString()
+                    text_col: str = "text") -> DataFrame:
+    """Chunks along paragraphs, lines and words, in place and without a shuffle.
 
-    def cut(batches):
-        for batch in batches:
-            rows = [(key, i, chunk) for key, text in zip(batch[id_col], batch[text_col])
-                    for i, chunk in enumerate(split_text(text or "", size, overlap))]
-            yield pd.DataFrame(rows, columns=[id_col, "ord", "chunk"])
+    Adds ``ord`` and ``chunk`` in place of the text; all other columns are kept.
+    """
+    @F.pandas_udf("array<string>")
+    def cut(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda text: list(split_text(text or "", size, overlap)))
 
-    return df.select(id_col, text_col).mapInPandas(cut, f"`{id_col}` {id_type}, ord int, chunk string")
+    kept = [c for c in df.columns if c != text_col]
+    return df.select(*kept, cut(F.col(text_col)).alias("_chunks")).select(*kept, F.posexplode("_chunks").alias("ord", "chunk"))

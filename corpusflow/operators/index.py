@@ -102,7 +102,9 @@ def read_index(spark: SparkSession, path: str, namespace: str | None = None) ->
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
-    return _read(spark, f"{path}/records", RECORD_SCHEMA)
+    """When each key was last seen in a run."""
+    return (_read(spark, f"{path}/records", RECORD_SCHEMA).groupBy("namespace", "group_id", "key")
+            .agg(F.max("updated_at").alias("updated_at")))
 
 
 def list_indexes(spark: SparkSession, path: str) -> DataFrame:
@@ -122,22 +124,21 @@ def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
     writer.parquet(f"{path}/chunks")
 
 
-def _clear_namespaces(spark: SparkSession, table: str, schema: T.StructType, namespaces: list[str]) -> None:
-    """Leave an empty file in place of a namespace that has lost all its rows."""
+def _overwrite(rows: DataFrame, table: str, emptied: DataFrame, schema: T.StructType) -> None:
+    """Swap the namespaces that occur in ``rows``; ``emptied`` ones are left with no row."""
+    _spread(rows.select(*schema.fieldNames())).write.mode("overwrite").partitionBy("namespace").option(
+        "partitionOverwriteMode", "dynamic").parquet(table)
     fields = T.StructType([f for f in schema if f.name != "namespace"])
-    for name in namespaces:
-        spark.createDataFrame([], fields).write.mode("overwrite").parquet(f"{table}/namespace={name}")
+    for row in emptied.toLocalIterator():  # names of whole tables that were reset
+        rows.sparkSession.createDataFrame([], fields).write.mode("overwrite").parquet(f"{table}/namespace={row[0]}")
 
 
-def _replace(spark: SparkSession, table: str, rows: DataFrame, schema: T.StructType, namespaces: list[str]) -> None:
-    """Swap whole namespaces of a table that ``rows`` itself is read from: written aside first."""
-    staged = scratch_path(spark, "stage")
-    rows.select(*schema.fieldNames()).write.parquet(staged)
-    staged_rows = spark.read.schema(schema).parquet(staged)
-    left = {r[0] for r in staged_rows.select("namespace").distinct().collect()}  # one row per namespace
-    _spread(staged_rows).write.mode("overwrite").partitionBy("namespace").option(
-        "partitionOverwriteMode", "dynamic").parquet(table)
-    _clear_namespaces(spark, table, schema, [n for n in namespaces if n not in left])
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table in the shared folder: worked out once, and safe to read while the
+    tables it came from are rewritten."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def build_index(spark: SparkSession, path: str, chunks: DataFrame, cleanup: str | None = "full",
@@ -150,42 +151,38 @@ def build_index(spark: SparkSession, path: str, chunks: DataFrame, cleanup: str
     """
     incoming = fingerprint(chunks)
     stored = read_index(spark, path)
-    # the plan is read several times while the table below it changes, so it is written out
-    plan_path = scratch_path(spark, "plan")
-    plan_upsert(incoming, stored, cleanup, namespaces).write.parquet(plan_path)
-    plan = spark.read.parquet(plan_path)
+    plan = _written(plan_upsert(incoming, stored, cleanup, namespaces), "plan")
 
     def keys(action):
         return plan.where(F.col("action") == action).select("namespace", "key")
 
+    counts = plan.groupBy("namespace").agg(
+        F.count_if(F.col("action") == "delete").alias("gone"), F.count_if(F.col("action") != "delete").alias("held"))
+    gone = plan.agg(F.count_if(F.col("action") == "delete"), F.count_if(F.col("action") == "add")).first()
+    emptied = counts.where((F.col("gone") > 0) & (F.col("held") == 0)).select("namespace")
     fresh = distinct_documents(incoming.join(keys("add"), ["namespace", "key"], "left_semi"),
                                ["namespace", "key"], ["chunk_id"])
     fresh = embed(fresh, "page_content", embedder=embedder).select(*INDEX_SCHEMA.fieldNames())
-    shrinking = [r[0] for r in keys("delete").select("namespace").distinct().collect()]  # names only
-    if not shrinking:
-        write_index(fresh, path, "append")
+    if gone[0] == 0:
+        if gone[1]:
+            write_index(fresh, path, "append")
+    else:
+        shrinking = counts.where("gone > 0").select("namespace")
+        fresh = _written(fresh, "fresh")
+        kept = (stored.join(shrinking, "namespace", "left_semi")
+                .join(keys("delete"), ["namespace", "key"], "left_anti").select(*INDEX_SCHEMA.fieldNames()))
+        rewritten = _written(kept.unionByName(fresh.join(shrinking, "namespace", "left_semi").select(*kept.columns)), "rewritten")
+        _overwrite(rewritten, f"{path}/chunks", emptied, INDEX_SCHEMA)
+        write_index(fresh.join(shrinking, "namespace", "left_anti"), path, "append")
+    records = plan.where(F.col("action") != "delete").select(
+        "key", F.col("namespace").alias("group_id"), F.current_timestamp().alias("updated_at"), "namespace")
+    if cleanup == "full":  # every key of a covered namespace was touched
+        _overwrite(records, f"{path}/records", emptied, RECORD_SCHEMA)
     else:
-        in_shrinking = F.col("namespace").isin(shrinking)
-        kept = stored.where(in_shrinking).join(keys("delete"), ["namespace", "key"], "left_anti")
-        staged = scratch_path(spark, "fresh")
-        fresh.write.parquet(staged)
-        fresh = spark.read.schema(INDEX_SCHEMA).parquet(staged)
-        _replace(spark, f"{path}/chunks", kept.unionByName(fresh.where(in_shrinking)), INDEX_SCHEMA, shrinking)
-        write_index(fresh.where(~in_shrinking), path, "append")
-    _refresh_records(spark, path, plan, shrinking)
+        _spread(records).write.mode("append").partitionBy("namespace").parquet(f"{path}/records")
     return upsert_counts(plan)
 
 
-def _refresh_records(spark, path, plan, shrinking) -> None:
-    """Records of all covered namespaces: keys that stay, touched now."""
-    covered = plan.select("namespace").distinct()
-    now = F.current_timestamp()
-    touched = plan.where(F.col("action") != "delete").select("key", F.col("namespace").alias("group_id"), now.alias("updated_at"), "namespace")
-    untouched = (read_records(spark, path).join(covered, "namespace", "left_semi")
-                 .join(plan.select("namespace", "key"), ["namespace", "key"], "left_anti"))
-    _replace(spark, f"{path}/records", touched.unionByName(untouched.select(*touched.columns)), RECORD_SCHEMA, shrinking)
-
-
 def build_ephemeral(chunks: DataFrame, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """An index for one session: embedded and kept in memory, no deduplication, not stored."""
     return embed(chunks, "page_content", embedder=embedder).persist()

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusflow.functions.changes import strip_ansi
 from corpusflow.operators.ordering import (block_rows, group_limit, joined_text, largest_group, number_rows, top_rows,
                                            with_blocks)
+from corpusflow.session import checkpointed
 
 # Lines around a warning, lines kept of a failed job, samples per job.
 CONTEXT_LINES = 5
@@ -69,10 +70,10 @@ def _picked(matches: Column, carry: Column, size: int) -> Column:
     ``matches`` are (offset, context) in order, ``carry`` the first offset not yet covered by a
     window of the block before. A match inside a covered range is passed over.
     """
-    start = F.struct(carry.cast("bigint").alias("next"), F.array().cast("array<struct<at:bigint,context:string>>").alias("picked"))
+    start = F.struct(carry.cast("bigint").alias("next"), F.array().cast("array<struct<line_no:bigint,context:string>>").alias("picked"))
     return F.aggregate(matches, start, lambda acc, m: F.when(
-        m["at"] >= acc["next"],
-        F.struct((m["at"] + CONTEXT_LINES).cast("bigint").alias("next"), F.concat(acc["picked"], F.array(m)).alias("picked")),
+        m["line_no"] >= acc["next"],
+        F.struct((m["line_no"] + CONTEXT_LINES).cast("bigint").alias("next"), F.concat(acc["picked"], F.array(m)).alias("picked")),
     ).otherwise(acc))
 
 
@@ -112,21 +113,22 @@ def _context_blocks(lines: DataFrame, matches: Column, job: str, n: str, line: s
     text = F.array_join(F.collect_list(F.col(line)).over(around), "\n")
     hits = base.withColumn("_context", text).where(F.col("_hit") & F.col("_home"))
     blocks = hits.groupBy(job, "_block").agg(F.array_sort(F.collect_list(F.struct(
-        (F.col(n) - F.col("_block") * size).cast("bigint").alias("at"), F.col("_context").alias("context")))).alias("_found"))
+        (F.col(n) - F.col("_block") * size).cast("bigint").alias("line_no"), F.col("_context").alias("context")))).alias("_found"))
     if several:
-        offsets = F.transform("_found", lambda m: F.struct(m["at"].alias("at"), F.lit(None).cast("string").alias("context")))
+        offsets = F.transform("_found", lambda m: F.struct(m["line_no"].alias("line_no"), F.lit(None).cast("string").alias("context")))
         leaves = F.transform(F.sequence(F.lit(0), F.lit(CONTEXT_LINES - 1)),
                              lambda c: F.greatest(_picked(offsets, c, size)["next"] - size, F.lit(0)))
-        blocks = _carry_over(blocks.withColumn("_leaves", leaves), job)
+        # read twice, and dear to work out again
+        blocks = _carry_over(checkpointed(blocks.withColumn("_leaves", leaves)), job)
     else:
         blocks = blocks.withColumn("_carry", F.lit(0))
     return blocks.select(job, "_block", F.transform(
         _picked(F.col("_found"), F.col("_carry"), size)["picked"],
-        lambda m: F.struct((m["at"] + F.col("_block") * size).alias("at"), m["context"].alias("context"))).alias("windows"))
+        lambda m: F.struct((m["line_no"] + F.col("_block") * size).alias("line_no"), m["context"].alias("context"))).alias("windows"))
 
 
 def log_context(lines: DataFrame, matches: Column, job: str = "job", n: str = "n", line: str = "line") -> DataFrame:
-    """``(job, at, context)``: five lines before each match, the match and four after it.
+    """``(job, line_no, context)``: five lines before each match, the match and four after it.
 
     The search goes on behind a window, so a match within its range opens no window of its
     own; a window may reach back into the one before.

@@ -56,17 +56,23 @@ class _Best:
     def __init__(self, k: int):
         self.k = k
         self.q = self.ids = self.d = None
+        self.edge = None  # distance of the k-th hit of each query so far
 
     def add(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
         step = max(1, _CELL // max(1, len(q)))
+        if self.edge is None:
+            self.edge = np.full(len(q), np.inf)
         for start in range(0, len(ids), step):
             part = slice(start, start + step)
             d = _distances(q, x[part])
             rounded = np.round(d, _DIGITS)
             k = min(self.k, rounded.shape[1])
-            edge = np.partition(rounded, k - 1, axis=1)[:, k - 1]
+            edge = self.edge
+            if np.isinf(edge).any():
+                edge = np.minimum(edge, np.partition(rounded, k - 1, axis=1)[:, k - 1])
             rows, cols = np.nonzero(rounded <= edge[:, None])
-            self._merge(rows, ids[part][cols], d[rows, cols])
+            if len(rows):
+                self._merge(rows, ids[part][cols], d[rows, cols])
 
     def _merge(self, rows, ids, d) -> None:
         if self.q is not None:
@@ -77,6 +83,8 @@ class _Best:
         first = np.searchsorted(rows, rows, side="left")
         keep = np.arange(len(rows)) - first < self.k
         self.q, self.ids, self.d = rows[keep], ids[keep], d[keep]
+        full = np.flatnonzero((np.arange(len(rows)) - first) == self.k - 1)
+        self.edge[rows[full]] = np.round(d[full], _DIGITS)
 
     def batch(self, qids, schema) -> pa.RecordBatch | None:
         if self.q is None:
@@ -109,20 +117,23 @@ def _arrow_schema(qid_type, id_type) -> pa.Schema:
     return pa.schema([("qid", to_arrow_type(qid_type)), ("id", to_arrow_type(id_type)), ("d2", pa.float64())])
 
 
-def _pairs(index: DataFrame, queries: DataFrame, k: int | None, d2_max: float | None) -> DataFrame:
+def _pairs(index: DataFrame, queries: DataFrame, k: int | None, d2_max: float | None,
+           broadcast_queries: int | None = None) -> DataFrame:
     """Candidate pairs ``(qid, id, d2)``: per task the k nearest, or all within the radius."""
-    n_queries = queries.count()
+    if broadcast_queries is None:
+        broadcast_queries = _setting(queries, "broadcastQueries", BROADCAST_QUERIES)
     schema = _arrow_schema(queries.schema["qid"].dataType, index.schema["id"].dataType)
     ddl = (f"qid {queries.schema['qid'].dataType.simpleString()}, "
            f"id {index.schema['id'].dataType.simpleString()}, d2 double")
-    if n_queries <= _setting(queries, "broadcastQueries", BROADCAST_QUERIES):
-        return _scan_with_broadcast(index, queries, k, d2_max, schema, ddl)
-    return _scan_in_blocks(index, queries, n_queries, k, d2_max, schema, ddl)
+    # one row more than the bound tells whether the queries are few, without counting them all
+    few = queries.select("qid", "vec").limit(broadcast_queries + 1).toArrow() if broadcast_queries else None
+    if few is not None and few.num_rows <= broadcast_queries:
+        return _scan_with_broadcast(index, few, k, d2_max, schema, ddl)
+    return _scan_in_blocks(index, queries, queries.count(), k, d2_max, schema, ddl)
 
 
-def _scan_with_broadcast(index, queries, k, d2_max, schema, ddl):
-    """Few queries (counted): every task scans its part of the index against all of them."""
-    table = queries.select("qid", "vec").toArrow()
+def _scan_with_broadcast(index, table, k, d2_max, schema, ddl):
+    """Few queries: every task scans its part of the index against all of them."""
     shared = index.sparkSession.sparkContext.broadcast((_ids(table["qid"]), _matrix(table["vec"])))
 
     def scan(batches):
@@ -174,13 +185,15 @@ def _scan_in_blocks(index, queries, n_queries, k, d2_max, schema, ddl):
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "chunk_id",
-           vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "qvec") -> DataFrame:
+           vec_col: str = "embedding", qid_col: str = "qid", qvec_col: str = "qvec",
+           broadcast_queries: int | None = None) -> DataFrame:
     """Exact top-k: ``(qid, id, d2, rank)`` by squared distance, ties by id.
 
-    Ids must be unique on both sides. Each task hands over at most k candidates per query.
+    Ids must be unique on both sides. Each task hands over at most k candidates per query. Up
+    to ``broadcast_queries`` queries are sent to every task; more are worked on in blocks.
     """
     pairs = _pairs(index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec")),
-                   queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("vec")), k, None)
+                   queries.select(F.col(qid_col).alias("qid"), F.col(qvec_col).alias("vec")), k, None, broadcast_queries)
     ranked = top_rows(pairs, ["qid"], [F.round("d2", _DIGITS), F.col("id")], k)
     return ranked.select(F.col("qid").alias(qid_col), F.col("id").alias(id_col), "d2", "rank")
 

@@ -27,7 +27,7 @@ def scan_files(spark: SparkSession, path: str, exts: Sequence[str] = tuple(TEXT_
     """Each file of the given types is one document; no file at all is an error."""
     files = _binary(spark, path).where(F.lower(file_parts(F.col("path"))[1]).isin(*exts))
     docs = files.select(
-        F.decode("content", F.lit("UTF-8")).alias("page_content"),
+        F.decode("content", "UTF-8").alias("page_content"),
         F.create_map(F.lit("source"), F.col("path")).alias("metadata"),
         F.col("path").alias("source"))
     require_rows(files.select("path"), f"no document found in {path}")
