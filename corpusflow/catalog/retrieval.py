@@ -8,6 +8,7 @@ from corpusflow.functions.prompts import ANSWER_TEMPLATE
 from corpusflow.functions.vectors import embed, relevance
 from corpusflow.operators import context as cx, search as se
 from corpusflow.plans import retrieve as rt
+from corpusflow.session import materialized
 
 c = F.col
 SYSTEM = "Answer from the context and name your sources."
@@ -136,7 +137,7 @@ def _(t: Tables) -> DataFrame:
 # --- text: benchmark passages as questions over all document chunks -------------------------
 
 def _chunk_index(t: Tables) -> DataFrame:
-    return embed(rt.document_chunks(t("documents"), recursive=False), "page_content")
+    return embed(rt.document_chunks(t.spread("documents", "doc_id"), recursive=False), "page_content")
 
 
 def _bench_queries(t: Tables) -> DataFrame:
@@ -189,8 +190,8 @@ total AS (SELECT qid, chunk_id, sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf * 2
 SELECT h.qid, h.chunk_id, round(coalesce(score, 0), 6) AS score FROM hits h LEFT JOIN total USING (qid, chunk_id)""")
 def _(t: Tables) -> DataFrame:
     index, queries = _chunk_index(t), _bench_queries(t)
-    pairs = rt.retrieve_rerank(index, queries, scorer=None).select("qid", "chunk_id", "query", c("page_content").alias("passage"))
-    scores = se.bm25_scores(pairs, rt.document_chunks(t("documents"), recursive=False).select("chunk_id", c("page_content").alias("passage")))
+    pairs = materialized(rt.retrieve_rerank(index, queries, scorer=None).select("qid", "chunk_id", "query"), "pairs")
+    scores = se.bm25_scores(pairs, index.select("chunk_id", c("page_content").alias("passage")))
     return scores.select("qid", "chunk_id", F.round("score", 6).alias("score"))
 
 
@@ -198,7 +199,7 @@ def _(t: Tables) -> DataFrame:
 WITH {_TEXT_HITS} SELECT qid, rank - 1 AS idx, chunk_id, round(score, 6) AS relevance_score FROM pairs""")
 def _(t: Tables) -> DataFrame:
     hits = rt.retrieve_rerank(_chunk_index(t), _bench_queries(t), scorer=None).withColumn("idx", (c("rank") - 1).cast("bigint"))
-    answer = hits.select("qid", "idx", F.round(se.overlap_score(c("query"), c("page_content")), 6).alias("relevance_score"))
+    answer = hits.select("qid", "idx", F.round(se.set_cosine(se.word_set(c("query")), se.word_set(c("page_content"))), 6).alias("relevance_score"))
     return se.attach_scores(hits.select("qid", "idx", "chunk_id"), answer, ["qid", "idx"])
 
 
@@ -211,7 +212,7 @@ compressed AS (SELECT qid, ref, string_agg(passage, chr(10) ORDER BY pos) AS pag
 
 
 def _compressed(t: Tables) -> tuple[DataFrame, DataFrame]:
-    best = rt.retrieve_rerank(_chunk_index(t), _bench_queries(t))
+    best = materialized(rt.retrieve_rerank(_chunk_index(t), _bench_queries(t)), "best")
     kept = cx.compress_context(best)
     return best, kept.withColumn("ref", c("ref").cast("bigint"))
 

@@ -266,12 +266,12 @@ def _(t: Tables) -> DataFrame:
 
 @query("t1_markup_to_text")
 def _(t: Tables) -> DataFrame:
-    return sw.markup_to_text(t("pages"), "html").select("page_id", "text")
+    return sw.markup_to_text(t.spread("pages", "page_id"), "html").select("page_id", "text")
 
 
 @query("t2_chunk_recursive")
 def _(t: Tables) -> DataFrame:
-    return chunk_recursive(t("documents").select("doc_id", "text"))
+    return chunk_recursive(t.spread("documents", "doc_id").select("doc_id", "text"))
 
 
 @query("t3_chunk_fixed", f"WITH {CHUNKS} SELECT doc_id, ord, page_content AS chunk FROM chunks")
@@ -283,7 +283,7 @@ def _(t: Tables) -> DataFrame:
 WITH {vectors_sql('vec', 'documents', 'doc_id', 'text')}
 SELECT doc_id, dim, round(CAST(w AS DOUBLE), 6) AS weight FROM (SELECT id AS doc_id, unnest(range(64)) AS dim, unnest(CAST(v AS DOUBLE[])) AS w FROM vec)""")
 def _(t: Tables) -> DataFrame:
-    vectors = ve.embed(t("documents").select("doc_id", "text"), "text")
+    vectors = ve.embed(t.spread("documents", "doc_id").select("doc_id", "text"), "text")
     return vectors.select("doc_id", F.posexplode("embedding").alias("dim", "weight")).select(
         "doc_id", c("dim").cast("bigint").alias("dim"), F.round(c("weight").cast("double"), 6).alias("weight"))
 

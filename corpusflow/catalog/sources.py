@@ -78,18 +78,18 @@ def _(t: Tables) -> DataFrame:
 
 @query("s6_pages_to_documents")
 def _(t: Tables) -> DataFrame:
-    return sw.pages_to_documents(t("pages")).select("source", "page_content")
+    return sw.pages_to_documents(t.spread("pages", "page_id")).select("source", "page_content")
 
 
 @query("s6_page_elements")
 def _(t: Tables) -> DataFrame:
-    docs = sw.pages_to_documents(t("pages"), mode="elements")
+    docs = sw.pages_to_documents(t.spread("pages", "page_id"), mode="elements")
     return docs.select("source", "ord", "page_content", F.col("metadata")["category"].alias("category"))
 
 
 @query("s7_wiki_documents")
 def _(t: Tables) -> DataFrame:
-    pages = t("pages").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("space"), "html")
+    pages = t.spread("pages", "page_id").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("space"), "html")
     return sw.wiki_documents(pages).select("page_id", "space", "page_content")
 
 
@@ -159,7 +159,7 @@ WITH {CHUNKS}, {vectors_sql('vec', 'chunks', 'chunk_id', 'page_content')}
 SELECT id AS chunk_id, len(l) AS dimension, len(list_filter(l, lambda x: x > 0)) AS used, round(list_max(l), 6) AS top
 FROM (SELECT id, CAST(v AS DOUBLE[]) AS l FROM vec)""")
 def _(t: Tables) -> DataFrame:
-    index = ix.build_ephemeral(document_chunks(t("documents"), recursive=False))
+    index = ix.build_ephemeral(document_chunks(t.spread("documents", "doc_id"), recursive=False))
     return index.select("chunk_id", F.size("embedding").cast("bigint").alias("dimension"),
                         F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("used"),
                         F.round(F.array_max("embedding").cast("double"), 6).alias("top"))

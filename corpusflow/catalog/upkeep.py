@@ -15,7 +15,7 @@ c = F.col
 
 def _yesterday_today(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Two runs over the documents: first without the Spanish ones, then without the German."""
-    docs = t("documents")
+    docs = t.spread("documents", "doc_id")
 
     def chunks(df):
         return document_chunks(df, recursive=False)

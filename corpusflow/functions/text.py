@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
-# The characters stripped from both ends of a string.
-SPACE = r"[\s\x0B\x1C-\x1F\x{85}\p{Z}]"
+# The white space stripped from both ends of a string.
+SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+         "\u2028\u2029\u202f\u205f\u3000")
 # Greeting per hour range [from, to).
 DAY_PARTS = [(5, 12, "Good morning"), (12, 17, "Good afternoon"), (17, 21, "Good evening")]
 DAY_PART_OTHER = "Hello"
@@ -16,7 +17,7 @@ REF_BOTH = r"(?s)\A<#ref(\d+)#>(.*)<#ref\1#>\z"
 
 def strip(c: Column) -> Column:
     """Remove white space, Unicode included, from both ends."""
-    return F.regexp_replace(c, rf"\A{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(c, F.lit(SPACE))
 
 
 def source_hash(source_type: Column, name: Column) -> Column:
@@ -69,12 +70,11 @@ def extract_ref(c: Column, compat: bool = True) -> tuple[Column, Column]:
         text = F.when(pair, strip(F.regexp_extract(body, REF_BOTH, 2))).otherwise(body)
         ref = F.when(pair, F.regexp_extract(body, REF_BOTH, 1).try_cast("bigint"))
     else:
-        starts, ends = body.rlike(REF_START), body.rlike(REF_END)
-        text = (F.when(starts, strip(F.regexp_replace(body, REF_START, "")))
-                .when(ends, strip(F.regexp_replace(body, REF_END, "")))
+        head, tail = F.regexp_extract(body, REF_START, 0), F.regexp_extract(body, REF_END, 0)
+        text = (F.when(head != "", strip(F.substr(body, F.length(head) + 1)))
+                .when(tail != "", strip(F.left(body, F.length(body) - F.length(tail))))
                 .otherwise(body))
-        ref = (F.when(starts, F.regexp_extract(body, REF_START, 1).try_cast("bigint"))
-               .when(ends, F.regexp_extract(body, REF_END, 1).try_cast("bigint")))
+        ref = F.regexp_extract(F.when(head != "", head).otherwise(tail), r"\d+", 0).try_cast("bigint")
     return F.when(~blank, text), F.when(~blank, F.coalesce(ref, F.lit(-1).cast("bigint")))
 
 

@@ -1,14 +1,13 @@
 """Contexts, citations, history windows and compression of retrieved passages."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusflow.functions.text import citation_source, snippet, tokens
-from corpusflow.operators.ordering import (block_rows, group_limit, joined_text, largest_group, number_rows, part_rows,
-                                           with_blocks)
-from corpusflow.operators.search import overlap_score
+from corpusflow.operators.ordering import group_limit, joined_text, largest_group, number_rows, part_rows, with_blocks
+from corpusflow.operators.search import OVERLAP, Scorer
 
 # Exchanges kept in a chat history and the speaker names in it.
 HISTORY_EXCHANGES = 5
@@ -91,7 +90,7 @@ def chat_history(conv: DataFrame, k: int = HISTORY_EXCHANGES, *, conv_col: str =
             .where("_home").drop("_n", "_block", "_home"))
 
 
-def compress_context(hits: DataFrame, budget: int = TARGET_TOKENS, scorer: Callable[[Column, Column], Column] = overlap_score, *,
+def compress_context(hits: DataFrame, budget: int = TARGET_TOKENS, scorer: Scorer = OVERLAP, *,
                      qid: str = "qid", query: str = "query", text: str = "page_content", rank: str = "rank") -> DataFrame:
     """Keep the passages (lines) of the hits that matter most to the query, within ``budget`` words.
 
@@ -100,11 +99,11 @@ def compress_context(hits: DataFrame, budget: int = TARGET_TOKENS, scorer: Calla
     hits of a query are a top-k list, so the windows run over its few documents.
     """
     passages = hits.select(
-        qid, query, (F.col(rank) - 1).alias("ref"),
+        qid, scorer.prepare(F.col(query)).alias("_query"), (F.col(rank) - 1).alias("ref"),
         F.posexplode(F.split(F.col(text), "\n")).alias("pos", "passage"))
     passages = passages.where(F.size(tokens(F.col("passage"))) > 0).select(
         qid, "ref", "pos", "passage", F.size(tokens(F.col("passage"))).alias("words"),
-        F.round(scorer(F.col(query), F.col("passage")), 9).alias("score"))
+        F.round(scorer.score(F.col("_query"), scorer.prepare(F.col("passage"))), 9).alias("score"))
     best = Window.partitionBy(qid).orderBy(F.col("score").desc(), "ref", "pos").rowsBetween(Window.unboundedPreceding, 0)
     kept = passages.withColumn("total", F.sum("words").over(best)).where(F.col("total") <= budget)
     return (kept.groupBy(qid, "ref")

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.functions.urls import (base_path, clean_url, keep_link, normalize_url, quote_seed, resolve_url, under_base)
-from corpusflow.session import checkpointed
+from corpusflow.session import materialized
 from corpusflow.sources.web import page_links
 
 # How deep a crawl follows links.
@@ -22,7 +22,7 @@ def expand_groups(groups: DataFrame, subgroups: DataFrame, projects: DataFrame)
     while True:
         below = (level.withColumnRenamed("group", "parent").join(subgroups.select("parent", "group"), "parent")
                  .select("root", "group"))
-        level = checkpointed(below)
+        level = materialized(below, "level")
         if level.isEmpty():
             break
         members = members.unionByName(level)
@@ -40,18 +40,18 @@ def crawl_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH
 
     Only links below the seed's base path count. A page at ``max_depth`` is still expanded, so
     pages up to ``max_depth + 1`` are visited. One join per level against the edges; every
-    level is checkpointed, and the visited set is only ever extended.
+    level is written out, so a small one is broadcast to the edges, which then stay in place.
     """
     start = seeds.select(F.col(seed_col).alias("seed"), quote_seed(normalize_url(F.col(seed_col))).alias("url")).distinct()
     start = start.withColumn("base", base_path(F.col("url")))
-    edges = checkpointed(edges.select(F.col("src").alias("url"), "dst").distinct())
-    frontier = checkpointed(start.withColumn("depth", F.lit(0)))
+    edges = materialized(edges.select(F.col("src").alias("url"), "dst").distinct(), "edges")
+    frontier = materialized(start.withColumn("depth", F.lit(0)), "level")
     visited = frontier
     for depth in range(max_depth + 1):
         found = (frontier.join(edges, "url").where(under_base(F.col("dst"), F.col("base")))
                  .select("seed", F.col("dst").alias("url"), "base").distinct())
         fresh = found.join(visited.select("seed", "url"), ["seed", "url"], "left_anti")
-        frontier = checkpointed(fresh.withColumn("depth", F.lit(depth + 1)).select("seed", "url", "base", "depth"))
+        frontier = materialized(fresh.withColumn("depth", F.lit(depth + 1)).select("seed", "url", "base", "depth"), "level")
         if frontier.isEmpty():
             break
         visited = visited.unionByName(frontier)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from corpusflow.functions.text import content_key
 from corpusflow.functions.vectors import embed
 from corpusflow.operators.ordering import first_rows
-from corpusflow.session import scratch_path
+from corpusflow.session import materialized
 
 # Namespace choices that name no single index.
 NO_SOURCE = "none"
@@ -133,14 +133,6 @@ def _overwrite(rows: DataFrame, table: str, emptied: DataFrame, schema: T.Struct
         rows.sparkSession.createDataFrame([], fields).write.mode("overwrite").parquet(f"{table}/namespace={row[0]}")
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: worked out once, and safe to read while the
-    tables it came from are rewritten."""
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def build_index(spark: SparkSession, path: str, chunks: DataFrame, cleanup: str | None = "full",
                 namespaces: DataFrame | None = None, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """Bring the index at ``path`` up to date with ``chunks`` and return the counts.
@@ -151,7 +143,7 @@ def build_index(spark: SparkSession, path: str, chunks: DataFrame, cleanup: str
     """
     incoming = fingerprint(chunks)
     stored = read_index(spark, path)
-    plan = _written(plan_upsert(incoming, stored, cleanup, namespaces), "plan")
+    plan = materialized(plan_upsert(incoming, stored, cleanup, namespaces), "plan")
 
     def keys(action):
         return plan.where(F.col("action") == action).select("namespace", "key")
@@ -168,10 +160,10 @@ def build_index(spark: SparkSession, path: str, chunks: DataFrame, cleanup: str
             write_index(fresh, path, "append")
     else:
         shrinking = counts.where("gone > 0").select("namespace")
-        fresh = _written(fresh, "fresh")
+        fresh = materialized(fresh, "fresh")
         kept = (stored.join(shrinking, "namespace", "left_semi")
                 .join(keys("delete"), ["namespace", "key"], "left_anti").select(*INDEX_SCHEMA.fieldNames()))
-        rewritten = _written(kept.unionByName(fresh.join(shrinking, "namespace", "left_semi").select(*kept.columns)), "rewritten")
+        rewritten = materialized(kept.unionByName(fresh.join(shrinking, "namespace", "left_semi").select(*kept.columns)), "rewritten")
         _overwrite(rewritten, f"{path}/chunks", emptied, INDEX_SCHEMA)
         write_index(fresh.join(shrinking, "namespace", "left_anti"), path, "append")
     records = plan.where(F.col("action") != "delete").select(

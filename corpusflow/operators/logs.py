@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusflow.functions.changes import strip_ansi
 from corpusflow.operators.ordering import (block_rows, group_limit, joined_text, largest_group, number_rows, top_rows,
                                            with_blocks)
-from corpusflow.session import checkpointed
+from corpusflow.session import materialized
 
 # Lines around a warning, lines kept of a failed job, samples per job.
 CONTEXT_LINES = 5
@@ -119,7 +119,7 @@ def _context_blocks(lines: DataFrame, matches: Column, job: str, n: str, line: s
         leaves = F.transform(F.sequence(F.lit(0), F.lit(CONTEXT_LINES - 1)),
                              lambda c: F.greatest(_picked(offsets, c, size)["next"] - size, F.lit(0)))
         # read twice, and dear to work out again
-        blocks = _carry_over(checkpointed(blocks.withColumn("_leaves", leaves)), job)
+        blocks = _carry_over(materialized(blocks.withColumn("_leaves", leaves), "blocks"), job)
     else:
         blocks = blocks.withColumn("_carry", F.lit(0))
     return blocks.select(job, "_block", F.transform(

@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from corpusflow.session import checkpointed
+from corpusflow.session import materialized
 
 # Rows of one group that one task may order by itself.
 GROUP_ROWS = 1_000_000
@@ -66,12 +66,11 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
 def _number_ranged(df, keys, order, name):
     cols = [F.col(k) for k in keys] + order_columns(order)
     # monotonically_increasing_id is (partition << 33) + place in the sorted partition; the
-    # checkpoint fixes both before they are read twice.
-    placed = checkpointed(
+    # written table fixes both before they are read twice.
+    placed = materialized(
         df.repartitionByRange(*cols).sortWithinPartitions(*cols)
         .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_p", F.shiftright("_id", 33))
-    )
+        .withColumn("_p", F.shiftright("_id", 33)), "placed")
     # one row per group and partition, however large the group is
     counts = placed.groupBy(*keys, "_p").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
     before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)

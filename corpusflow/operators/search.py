@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -125,11 +126,10 @@ def _pairs(index: DataFrame, queries: DataFrame, k: int | None, d2_max: float |
     schema = _arrow_schema(queries.schema["qid"].dataType, index.schema["id"].dataType)
     ddl = (f"qid {queries.schema['qid'].dataType.simpleString()}, "
            f"id {index.schema['id'].dataType.simpleString()}, d2 double")
-    # one row more than the bound tells whether the queries are few, without counting them all
-    few = queries.select("qid", "vec").limit(broadcast_queries + 1).toArrow() if broadcast_queries else None
-    if few is not None and few.num_rows <= broadcast_queries:
-        return _scan_with_broadcast(index, few, k, d2_max, schema, ddl)
-    return _scan_in_blocks(index, queries, queries.count(), k, d2_max, schema, ddl)
+    n_queries = queries.count()  # reads no vectors
+    if n_queries <= broadcast_queries:
+        return _scan_with_broadcast(index, queries.select("qid", "vec").toArrow(), k, d2_max, schema, ddl)
+    return _scan_in_blocks(index, queries, n_queries, k, d2_max, schema, ddl)
 
 
 def _scan_with_broadcast(index, table, k, d2_max, schema, ddl):
@@ -158,17 +158,20 @@ def _scan_with_broadcast(index, table, k, d2_max, schema, ddl):
 def _scan_in_blocks(index, queries, n_queries, k, d2_max, schema, ddl):
     """Many queries: both sides are cut into blocks of bounded size by their unique ids and
     every pair of blocks is one task's work. Nothing passes through the driver."""
-    n_vectors = index.count()
+    cores = index.sparkSession.sparkContext.defaultParallelism
     q_blocks = math.ceil(n_queries / _setting(queries, "blockQueries", BLOCK_QUERIES))
-    x_blocks = max(1, math.ceil(n_vectors / _setting(queries, "blockVectors", BLOCK_VECTORS)))
+    x_blocks = max(math.ceil(index.count() / _setting(queries, "blockVectors", BLOCK_VECTORS)),
+                   math.ceil(cores / max(1, q_blocks)), 1)
+    cells = min(max(1, q_blocks) * x_blocks, 16 * cores)
 
     def block(col: str, count: int) -> Column:
         return F.pmod(F.xxhash64(col), F.lit(count)).cast("int")
 
-    left = (queries.select("qid", "vec", block("qid", q_blocks).alias("qb"))
-            .withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1)))))
+    # the partition count is given, as little data means much work here
+    left = (queries.select("qid", "vec", block("qid", max(1, q_blocks)).alias("qb"))
+            .withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1)))).repartition(cells, "qb", "xb"))
     right = (index.select("id", "vec", block("id", x_blocks).alias("xb"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(q_blocks - 1)))))
+             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(1, q_blocks) - 1)))).repartition(cells, "qb", "xb"))
 
     def cell(q_table: pa.Table, x_table: pa.Table) -> pa.Table:
         if q_table.num_rows == 0 or x_table.num_rows == 0:
@@ -245,28 +248,47 @@ def merge_indexes(target: DataFrame, source: DataFrame, id_col: str = "doc_id",
     return vectors, first_rows(vectors, [id_col], [pos])
 
 
-def overlap_score(query: Column, passage: Column) -> Column:
-    """Cosine of the word sets of query and passage."""
-    q, p = F.array_distinct(tokens(query)), F.array_distinct(tokens(passage))
+class Scorer(NamedTuple):
+    """How a reranker rates a pair: ``prepare`` is worked out once per text, ``score`` per pair."""
+
+    score: Callable[[Column, Column], Column]
+    prepare: Callable[[Column], Column] = lambda text: text
+
+
+def word_set(text: Column) -> Column:
+    return F.array_distinct(tokens(text))
+
+
+def set_cosine(q: Column, p: Column) -> Column:
     size = F.size(q).cast("double") * F.size(p).cast("double")
     return F.when(size > 0, F.size(F.array_intersect(q, p)) / F.sqrt(size)).otherwise(0.0)
 
 
+# cosine of the word sets of query and passage
+OVERLAP = Scorer(set_cosine, word_set)
+
+
+def model_scorer(score: Callable[[pd.Series, pd.Series], pd.Series]) -> Scorer:
+    """A reranking model as a batch function of queries and passages."""
+    return Scorer(F.pandas_udf(score, "double"))
+
+
 def bm25_scores(pairs: DataFrame, passages: DataFrame, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """``(qid, chunk_id, score)`` for ``pairs(qid, chunk_id, query, passage)``.
+    """``(qid, chunk_id, score)`` for ``pairs(qid, chunk_id, query)``.
 
-    Document frequencies and the mean length come from all of ``passages(chunk_id, passage)``.
-    Query words are matched to passage words per pair; a pair without a common word scores 0.
+    Document frequencies and the mean length come from all of ``passages(chunk_id, passage)``;
+    only words of the queries are counted, and only passages of the pairs word by word. A pair
+    without a common word scores 0.
     """
-    words = passages.select("chunk_id", F.explode(F.array_distinct(tokens(F.col("passage")))).alias("word"))
-    df = words.groupBy("word").agg(F.count("*").alias("df"))
+    asked = pairs.select("qid", "chunk_id", F.explode(word_set(F.col("query"))).alias("word"))
+    lexicon = asked.select("word").distinct()
     stats = passages.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("passage")))).alias("avg_len"))
-    terms = pairs.select(
-        "qid", "chunk_id", F.size(tokens(F.col("passage"))).alias("len"), tokens(F.col("passage")).alias("p"),
-        F.explode(F.array_distinct(tokens(F.col("query")))).alias("word"))
-    terms = terms.select("qid", "chunk_id", "len", "word",
-                         F.size(F.filter("p", lambda t: t == F.col("word"))).alias("tf")).where("tf > 0")
-    scored = terms.join(df, "word").join(F.broadcast(stats)).select(
+    df = (passages.select(F.explode(word_set(F.col("passage"))).alias("word")).join(lexicon, "word", "left_semi")
+          .groupBy("word").agg(F.count("*").alias("df")))
+    rated = passages.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", tokens(F.col("passage")).alias("words"))
+    tf = (rated.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("word"))
+          .groupBy("chunk_id", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
+    scored = asked.join(tf, ["chunk_id", "word"]).join(df, "word").join(F.broadcast(stats)).select(  # stats is one row
         "qid", "chunk_id",
         (F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1)
          / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("term_score"))
@@ -280,18 +302,17 @@ def attach_scores(hits: DataFrame, scores: DataFrame, keys: list[str]) -> DataFr
     return hits.join(scores, keys)
 
 
-def rerank(hits: DataFrame, scorer: Callable[[Column, Column], Column] = overlap_score, top_n: int = TOP_N,
-           *, qid: str = "qid", query: str = "query", passage: str = "passage", rank: str = "rank") -> DataFrame:
+def rerank(hits: DataFrame, scorer: Scorer = OVERLAP, top_n: int = TOP_N, *, qid: str = "qid", query: str = "query",
+           passage: str = "passage", rank: str = "rank", prepared: tuple[str, str] | None = None) -> DataFrame:
     """Order the hits of a query by ``scorer`` instead of distance and keep ``top_n``.
 
-    Equal scores keep their former order. ``scorer`` is any expression of query and passage,
-    e.g. a batch model built with ``predict_batch_udf``.
+    Equal scores keep their former order. ``prepared`` names the columns that hold prepared
+    queries and passages where a caller has worked them out before joining.
     """
-    scored = hits.withColumn("relevance_score", scorer(F.col(query), F.col(passage)))
+    if prepared is None:
+        rating = scorer.score(scorer.prepare(F.col(query)), scorer.prepare(F.col(passage)))
+    else:
+        rating = scorer.score(F.col(prepared[0]), F.col(prepared[1]))
+    scored = hits.withColumn("relevance_score", rating).drop(*(prepared or ()))
     ranked = top_rows(scored, [qid], [F.round("relevance_score", _DIGITS).desc(), F.col(rank)], top_n, "_place")
     return ranked.drop(rank).withColumnRenamed("_place", rank)
-
-
-def pandas_scorer(score: Callable[[pd.Series, pd.Series], pd.Series]) -> Callable[[Column, Column], Column]:
-    """Wrap a batch function of (queries, passages) for ``rerank``."""
-    return F.pandas_udf(score, "double")

@@ -1,15 +1,14 @@
 """Whole jobs: from questions to ranked passages and cited answer contexts."""
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.functions.prompts import ANSWER_TEMPLATE, prompt_messages, render
 from corpusflow.functions.text import citation_source, snippet
 from corpusflow.functions.vectors import embed
 from corpusflow.operators.chunking import chunk_fixed, chunk_recursive
-from corpusflow.operators.search import TOP_K, TOP_N, explode_queries, overlap_score, rerank, search, unique_first
+from corpusflow.operators.search import OVERLAP, TOP_K, TOP_N, Scorer, explode_queries, rerank, search, unique_first
+from corpusflow.session import materialized
 
 
 def document_chunks(docs: DataFrame, recursive: bool = True, *, id_col: str = "doc_id", text_col: str = "text",
@@ -28,24 +27,27 @@ def embedded_queries(questions: DataFrame, qid: str, text: str, embedder=None) -
     return embed(questions.select(F.col(qid).alias("qid"), F.col(text).alias("query")), "query", "qvec", embedder)
 
 
-def with_passages(hits: DataFrame, index: DataFrame, queries: DataFrame) -> DataFrame:
-    """Hits with the text of query and passage, joined back by their unique ids."""
-    passages = index.select("chunk_id", "page_content", "metadata")
-    return hits.join(passages, "chunk_id").join(queries.select("qid", "query"), "qid")
-
-
 def retrieve_rerank(index: DataFrame, queries: DataFrame, top_k: int = TOP_K, top_n: int = TOP_N,
-                    scorer: Callable[[Column, Column], Column] | None = overlap_score) -> DataFrame:
-    """Nearest ``top_k`` passages per query, reranked to ``top_n``; ``scorer=None`` skips the second step."""
-    hits = with_passages(search(index, queries, top_k), index, queries)
+                    scorer: Scorer | None = OVERLAP) -> DataFrame:
+    """Nearest ``top_k`` passages per query, reranked to ``top_n``; ``scorer=None`` skips the second step.
+
+    The hits, a few numbers per query, are written out: the costly search runs once, and their
+    known size decides whether the index is filtered in place or shuffled to meet them. Texts
+    are prepared for the scorer once per passage, however many queries found it.
+    """
+    hits = materialized(search(index, queries, top_k), "hits")
+    passages = (index.select("chunk_id", "page_content", "metadata")
+                .join(hits.select("chunk_id").distinct(), "chunk_id", "left_semi"))
+    questions = queries.select("qid", "query")
     if scorer is None:
-        return hits
-    return rerank(hits, scorer, top_n, passage="page_content")
+        return hits.join(passages, "chunk_id").join(questions, "qid")
+    passages = passages.withColumn("_passage", scorer.prepare(F.col("page_content")))
+    questions = questions.withColumn("_query", scorer.prepare(F.col("query")))
+    return rerank(hits.join(passages, "chunk_id").join(questions, "qid"), scorer, top_n, prepared=("_query", "_passage"))
 
 
 def multi_search(index: DataFrame, questions: DataFrame, top_k: int = TOP_K, top_n: int = TOP_N,
-                 scorer: Callable[[Column, Column], Column] | None = overlap_score, embedder=None,
-                 *, question_id: str = "question_id", queries_col: str = "search_queries") -> DataFrame:
+                 scorer: Scorer | None = OVERLAP, embedder=None, *, question_id: str = "question_id", queries_col: str = "search_queries") -> DataFrame:
     """Each question's one to three queries are answered on their own, then fused.
 
     A passage found by several queries keeps its first place (query, then rank).

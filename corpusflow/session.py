@@ -4,7 +4,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "corpusflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,7 +46,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def checkpointed(df):
-    """Materialise ``df`` in the shared folder and cut its lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint()
+def materialized(df: DataFrame, name: str = "table") -> DataFrame:
+    """``df`` as a table in the shared folder: worked out once, its lineage cut.
+
+    Unlike a checkpoint, the size of a written table is known when later joins are planned,
+    so Spark broadcasts it where it is small and shuffles where it is not.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
+    """A Parquet table for costly work per row.
+
+    A table of fewer input splits than the cluster has cores is spread by ``key``; a larger
+    one, which keeps every core busy as it is, is read in place.
+    """
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
