@@ -8,7 +8,7 @@ SKIP_PREFIXES = ["mailto:", "javascript:", "#"]
 SKIP_SUFFIXES = [".png", ".svg", ".jpg", ".jpeg", ".gif"]
 
 _SCHEME = r"\A([A-Za-z][A-Za-z0-9+.\-]*):"
-_PARTS = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?"
+_PARTS = r"(?s)\A(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]+)?"
 
 
 def _part(c: Column, i: int) -> Column:
@@ -56,7 +56,7 @@ def resolve_url(base: Column, href: Column) -> Column:
     scheme, host, path, query = (_part(base, i) for i in (1, 2, 3, 4))
     root = F.concat(scheme, F.lit("://"), host)
     h_path, h_query = _part(href, 3), _part(href, 4)
-    h_rest = F.regexp_extract(href, r"(?s)(#.*)\z", 1)
+    h_rest = F.regexp_extract(href, r"(?s)(#.+)\z", 1)
     folder = F.regexp_replace(path, r"(?s)[^/]*\z", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
     merged = F.regexp_replace(F.concat(folder, h_path), r"/{2,}", "/")
