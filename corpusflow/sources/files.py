@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from corpusflow.functions.text import file_parts
 from corpusflow.operators.ordering import top_rows
 from corpusflow.sources.documents import loader, require_rows
+from corpusflow.sources.tree import read_tree
 
 # File types, size in MB and number of files accepted in one upload.
 UPLOAD_TYPES = [".txt", ".pdf", ".json", ".yaml", ".yml", ".xls", ".xlsx", ".docx", ".doc"]
@@ -19,19 +20,13 @@ UPLOAD_MAX_FILES = 5
 TEXT_TYPES = [".txt", ".json", ".yaml", ".yml"]
 
 
-def _binary(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-
-
 def scan_files(spark: SparkSession, path: str, exts: Sequence[str] = tuple(TEXT_TYPES)) -> DataFrame:
     """Each file of the given types is one document; no file at all is an error."""
-    files = _binary(spark, path).where(F.lower(file_parts(F.col("path"))[1]).isin(*exts))
-    docs = files.select(
-        F.decode("content", "UTF-8").alias("page_content"),
-        F.create_map(F.lit("source"), F.col("path")).alias("metadata"),
-        F.col("path").alias("source"))
-    require_rows(files.select("path"), f"no document found in {path}")
-    return docs
+    files = read_tree(spark, path, exts)
+    source = F.concat(F.lit(path.rstrip("/") + "/"), "path")
+    docs = files.select(F.decode("content", "UTF-8").alias("page_content"),
+                        F.create_map(F.lit("source"), source).alias("metadata"), source.alias("source"))
+    return require_rows(docs, f"no document found in {path}")
 
 
 def filter_uploads(df: DataFrame, exts: Sequence[str] = tuple(UPLOAD_TYPES), max_mb: int = UPLOAD_MAX_MB,
@@ -72,10 +67,7 @@ def drop_ignored(files: DataFrame, rules: Sequence[str], path_col: str = "path")
 
 def scan_repo(spark: SparkSession, root: str, url: str, branch: str, rules: Sequence[str] = ()) -> DataFrame:
     """Every UTF-8 file below ``root`` that no ignore rule names, with its repository metadata."""
-    inside = re.sub(r"^\w+:/*", "/", root).rstrip("/") + "/"
-    files = _binary(spark, root).select(
-        F.element_at(F.split("path", re.escape(inside), 2), -1).alias("path"), "content")
-    files = drop_ignored(files.where(~F.col("path").rlike(r"^\.git/")), rules)
+    files = drop_ignored(read_tree(spark, root, skip=[".git/"]), rules)
     files = files.where(F.is_valid_utf8(F.col("content").cast("string")))
     name, ext = file_parts(F.col("path"))
     return files.select(

@@ -1,3 +1,5 @@
+import contextlib
+import io
 import os
 import sys
 
@@ -18,6 +20,14 @@ def spark():
     session.stop()
 
 
+def plan_text(df) -> str:
+    """The formatted physical plan."""
+    out = io.StringIO()
+    with contextlib.redirect_stdout(out):
+        df.explain("formatted")
+    return out.getvalue()
+
+
 @pytest.fixture
 def tight(spark):
     """Limits so small that every group counts as hot and is worked on in pieces."""
