@@ -25,6 +25,7 @@ BLOCK_VECTORS = 65_536
 _CELL = 4_000_000
 # Distances closer than this many digits are ties, ordered by id.
 _DIGITS = 9
+_TIE = 10.0 ** -_DIGITS
 
 
 def _setting(df: DataFrame, name: str, default: int) -> int:
@@ -47,8 +48,11 @@ def _ids(column) -> np.ndarray:
 
 
 def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    d2 = (q * q).sum(1)[:, None] + (x * x).sum(1)[None, :] - 2.0 * (q @ x.T)
-    return np.maximum(d2, 0.0)
+    d2 = q @ x.T
+    d2 *= -2.0
+    d2 += (q * q).sum(1)[:, None]
+    d2 += (x * x).sum(1)[None, :]
+    return np.maximum(d2, 0.0, out=d2)
 
 
 class _Best:
@@ -66,12 +70,12 @@ class _Best:
         for start in range(0, len(ids), step):
             part = slice(start, start + step)
             d = _distances(q, x[part])
-            rounded = np.round(d, _DIGITS)
-            k = min(self.k, rounded.shape[1])
+            k = min(self.k, d.shape[1])
             edge = self.edge
             if np.isinf(edge).any():
-                edge = np.minimum(edge, np.partition(rounded, k - 1, axis=1)[:, k - 1])
-            rows, cols = np.nonzero(rounded <= edge[:, None])
+                edge = np.minimum(edge, np.partition(d, k - 1, axis=1)[:, k - 1])
+            # a little wide, as ties are settled on rounded distances
+            rows, cols = np.nonzero(d <= edge[:, None] + _TIE)
             if len(rows):
                 self._merge(rows, ids[part][cols], d[rows, cols])
 
@@ -106,7 +110,7 @@ class _Within:
         for start in range(0, len(ids), step):
             part = slice(start, start + step)
             d = _distances(q, x[part])
-            rows, cols = np.nonzero(np.round(d, _DIGITS) <= self.d2_max)
+            rows, cols = np.nonzero(d <= self.d2_max)
             yield pa.RecordBatch.from_arrays(
                 [pa.array(qids[rows], schema.field(0).type), pa.array(ids[part][cols], schema.field(1).type),
                  pa.array(d[rows, cols], pa.float64())], schema=schema)
@@ -236,10 +240,8 @@ def explode_queries(questions: DataFrame, col: str = "search_queries") -> DataFr
 
 def merge_positions(target: DataFrame, source: DataFrame, pos: str = "pos") -> DataFrame:
     """Append ``source`` behind ``target``: its positions move up by the largest one + 1."""
-    offset = target.agg((F.coalesce(F.max(pos), F.lit(-1)) + 1).alias("_offset"))
-    # one row, so the join is a scalar
-    moved = source.join(F.broadcast(offset)).withColumn(pos, F.col(pos) + F.col("_offset")).drop("_offset")
-    return target.unionByName(moved)
+    offset = target.agg(F.coalesce(F.max(pos), F.lit(-1)) + 1).scalar()
+    return target.unionByName(source.withColumn(pos, F.col(pos) + offset))
 
 
 def merge_indexes(target: DataFrame, source: DataFrame, id_col: str = "doc_id", pos: str = "pos"):
@@ -282,16 +284,17 @@ def bm25_scores(pairs: DataFrame, passages: DataFrame, k1: float = 1.2, b: float
     """
     asked = pairs.select("qid", "chunk_id", F.explode(word_set(F.col("query"))).alias("word"))
     lexicon = asked.select("word").distinct()
-    stats = passages.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("passage")))).alias("avg_len"))
+    n = passages.agg(F.count("*")).scalar()
+    avg_len = passages.agg(F.avg(F.size(tokens(F.col("passage"))))).scalar()
     df = (passages.select(F.explode(word_set(F.col("passage"))).alias("word")).join(lexicon, "word", "left_semi")
           .groupBy("word").agg(F.count("*").alias("df")))
     rated = passages.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", tokens(F.col("passage")).alias("words"))
     tf = (rated.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("word"))
           .groupBy("chunk_id", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len")))
-    scored = asked.join(tf, ["chunk_id", "word"]).join(df, "word").join(F.broadcast(stats)).select(  # stats is one row
+    scored = asked.join(tf, ["chunk_id", "word"]).join(df, "word").select(
         "qid", "chunk_id",
-        (F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1)
-         / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("avg_len")))).alias("term_score"))
+        (F.log1p((n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (k1 + 1)
+         / (F.col("tf") + k1 * (1 - b + b * F.col("len") / avg_len))).alias("term_score"))
     total = scored.groupBy("qid", "chunk_id").agg(F.sum("term_score").alias("score"))
     return (pairs.select("qid", "chunk_id").join(total, ["qid", "chunk_id"], "left")
             .withColumn("score", F.coalesce("score", F.lit(0.0))))
