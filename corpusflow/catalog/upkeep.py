@@ -22,6 +22,11 @@ def _yesterday_today(t: Tables) -> tuple[DataFrame, DataFrame]:
     return chunks(docs.where("lang <> 'es'")), chunks(docs.where("lang <> 'de'"))
 
 
+def _covered(t: Tables) -> DataFrame:
+    """The namespaces of a run, known from the documents before they are cut up."""
+    return t("documents").select(c("source").alias("namespace")).distinct()
+
+
 # content and metadata (the source) are what identifies a chunk
 _RUNS = f"""{CHUNKS}, tagged AS (SELECT c.*, d.lang FROM chunks c JOIN documents d USING (doc_id)),
 old AS (SELECT DISTINCT namespace, page_content FROM tagged WHERE lang <> 'es'),
@@ -43,13 +48,13 @@ def _with_text(plan: DataFrame, *chunks: DataFrame) -> DataFrame:
 @query("j2_plan_upsert", f"WITH {_RUNS} SELECT namespace, page_content, action FROM plan")
 def _(t: Tables) -> DataFrame:
     old, new = (ix.fingerprint(x) for x in _yesterday_today(t))
-    return _with_text(ix.plan_upsert(new, old), old, new)
+    return _with_text(ix.plan_upsert(new, old, namespaces=_covered(t)), old, new)
 
 
 @query("j3_plan_deletes", f"WITH {_RUNS} SELECT namespace, page_content FROM plan WHERE action = 'delete'")
 def _(t: Tables) -> DataFrame:
     old, new = (ix.fingerprint(x) for x in _yesterday_today(t))
-    return _with_text(ix.plan_deletes(old, new), old)
+    return _with_text(ix.plan_deletes(old, new, namespaces=_covered(t)), old)
 
 
 @query("a10_upsert_counts", f"""
@@ -57,7 +62,7 @@ WITH {_RUNS} SELECT namespace, count_if(action = 'add') AS added, 0 AS updated,
 FROM plan GROUP BY namespace""")
 def _(t: Tables) -> DataFrame:
     old, new = (ix.fingerprint(x) for x in _yesterday_today(t))
-    return ix.upsert_counts(ix.plan_upsert(new, old))
+    return ix.upsert_counts(ix.plan_upsert(new, old, namespaces=_covered(t)))
 
 
 @query("a13_distinct_documents", "SELECT min(doc_id) AS doc_id, lang FROM documents GROUP BY text, lang")
@@ -75,7 +80,7 @@ def _(t: Tables) -> DataFrame:
     """First build, a changed corpus, the same corpus again; run 4 is what the index then holds."""
     path = scratch_path(t.spark, "index")
     old, new = _yesterday_today(t)
-    runs = [ix.build_index(t.spark, path, chunks).withColumn("run", F.lit(i)) for i, chunks in ((1, old), (2, new), (3, new))]
+    runs = [ix.build_index(t.spark, path, chunks, namespaces=_covered(t)).withColumn("run", F.lit(i)) for i, chunks in ((1, old), (2, new), (3, new))]
     zero = F.lit(0).cast("bigint")
     held = ix.read_index(t.spark, path).where("size(embedding) = 64").groupBy("namespace").agg(F.count("*").alias("added"))
     runs.append(held.select("namespace", "added", zero.alias("updated"), zero.alias("skipped"), zero.alias("deleted"), F.lit(4).alias("run")))

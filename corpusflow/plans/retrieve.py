@@ -53,11 +53,12 @@ def multi_search(index: DataFrame, questions: DataFrame, top_k: int = TOP_K, top
     A passage found by several queries keeps its first place (query, then rank).
     """
     single = explode_queries(questions.select(question_id, queries_col), queries_col)
-    single = single.withColumn("qid", F.concat(F.col(question_id).cast("string"), F.lit(":"), F.col("query_pos").cast("string")))
+    single = single.withColumn("qid", F.concat(F.col("query_pos").cast("string"), F.lit(":"), F.col(question_id).cast("string")))
     queries = embedded_queries(single, "qid", "query", embedder)
     hits = retrieve_rerank(index, queries, top_k, top_n, scorer)
-    place = F.split("qid", ":")
-    hits = hits.withColumn(question_id, place[0]).withColumn("query_pos", place[1].cast("int"))
+    place = F.split("qid", ":", 2)
+    hits = (hits.withColumn("query_pos", place[0].cast("int"))
+            .withColumn(question_id, place[1].cast(questions.schema[question_id].dataType)))
     return unique_first(hits, question_id, "chunk_id", ["query_pos", "rank"])
 
 

@@ -6,8 +6,12 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusflow.functions.text import source_hash
+
 # Source types an index can be built from.
 SOURCE_TYPES = ["text", "confluence", "web", "gitlab"]
+# The lists of identifiers each configured type has.
+IDENTIFIER_TYPES = {"confluence": ["spaces"], "gitlab": ["groups", "projects"], "web": ["links"]}
 
 
 def text_source(df: DataFrame, text_col: str, meta_cols: Sequence[str], namespace: Column) -> DataFrame:
@@ -46,6 +50,21 @@ def scan_issues(df: DataFrame, project: str, status: str, assignee: str, *, proj
     return found.orderBy(F.col(created_col).asc())
 
 
+def configured_sources(config: DataFrame) -> DataFrame:
+    """``(hash, source_type, identifier_type, identifier, ord)`` of configuration rows.
+
+    A row has a ``source_type`` and the arrays ``spaces``, ``groups``, ``projects`` and
+    ``links``, of which those of its type count.
+    """
+    kinds = F.array(*[
+        F.struct(F.lit(source_type).alias("of"), F.lit(kind).alias("identifier_type"), F.col(kind).alias("identifiers"))
+        for source_type, names in IDENTIFIER_TYPES.items() for kind in names])
+    lists = config.select("source_type", F.explode(kinds).alias("k")).where("source_type = k.of")
+    rows = lists.select("source_type", "k.identifier_type", F.posexplode("k.identifiers").alias("ord", "identifier"))
+    return rows.select(source_hash(F.col("source_type"), F.col("identifier")).alias("hash"), "source_type", "identifier_type",
+                       "identifier", "ord")
+
+
 _LOADERS: dict[str, Callable[..., DataFrame]] = {}
 
 

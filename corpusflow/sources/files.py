@@ -24,7 +24,8 @@ def scan_files(spark: SparkSession, path: str, exts: Sequence[str] = tuple(TEXT_
     """Each file of the given types is one document; no file at all is an error."""
     files = read_tree(spark, path, exts)
     source = F.concat(F.lit(path.rstrip("/") + "/"), "path")
-    docs = files.select(F.decode("content", "UTF-8").alias("page_content"),
+    # bytes that are not UTF-8 are replaced, so that one bad file does not lose the others
+    docs = files.select(F.make_valid_utf8(F.col("content").cast("string")).alias("page_content"),
                         F.create_map(F.lit("source"), source).alias("metadata"), source.alias("source"))
     return require_rows(docs, f"no document found in {path}")
 

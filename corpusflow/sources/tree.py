@@ -5,6 +5,7 @@ full of (``.env``, ``__init__.py``). Here they are listed like any other file.
 """
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator, Sequence
 
@@ -23,7 +24,7 @@ _ARROW = pa.schema([("path", pa.string()), ("length", pa.int64()), ("content", p
 
 
 class FileTree(DataSource):
-    """``spark.read.format("file_tree").option("extensions", ".txt,.json").load(folder)``"""
+    """``spark.read.format("file_tree").option("extensions", '[".txt", ".json"]').load(folder)``"""
 
     @classmethod
     def name(cls) -> str:
@@ -33,7 +34,7 @@ class FileTree(DataSource):
         return _SCHEMA
 
     def reader(self, schema) -> DataSourceReader:
-        return _TreeReader(self.options["path"], self.options.get("extensions"), self.options.get("skip"))
+        return _TreeReader(self.options)
 
 
 class _Files(InputPartition):
@@ -42,10 +43,12 @@ class _Files(InputPartition):
 
 
 class _TreeReader(DataSourceReader):
-    def __init__(self, folder: str, extensions: str | None, skip: str | None):
-        self.folder = folder
-        self.extensions = tuple(extensions.split(",")) if extensions else None
-        self.skip = tuple(skip.split(",")) if skip else ()
+    def __init__(self, options):
+        self.folder = options["path"]
+        self.extensions = tuple(json.loads(options.get("extensions", "[]")))
+        self.skip = tuple(json.loads(options.get("skip", "[]")))
+        self.only = frozenset(json.loads(options.get("only", "[]")))
+        self.content = options.get("content", "true") == "true"
 
     def _open(self) -> tuple[fs.FileSystem, str]:
         return fs.FileSystem.from_uri(self.folder)
@@ -53,7 +56,7 @@ class _TreeReader(DataSourceReader):
     def _wanted(self, relative: str) -> bool:
         if self.extensions and os.path.splitext(relative)[1].lower() not in self.extensions:
             return False
-        return not relative.startswith(self.skip) if self.skip else True
+        return not relative.startswith(self.skip) and (not self.only or relative in self.only)
 
     def partitions(self) -> Sequence[InputPartition]:
         system, root = self._open()
@@ -75,9 +78,12 @@ class _TreeReader(DataSourceReader):
         root = root.rstrip("/")
         rows, size = [], 0
         for relative, length in partition.names:
-            with system.open_input_stream(f"{root}/{relative}") as stream:
-                rows.append((relative, length, stream.read()))
-            size += length
+            if self.content:
+                with system.open_input_stream(f"{root}/{relative}") as stream:
+                    rows.append((relative, length, stream.read()))
+                size += length
+            else:
+                rows.append((relative, length, None))
             if size >= BATCH_BYTES:
                 yield _batch(rows)
                 rows, size = [], 0
@@ -89,12 +95,14 @@ def _batch(rows) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows), _ARROW)], schema=_ARROW)
 
 
-def read_tree(spark: SparkSession, folder: str, extensions: Sequence[str] = (), skip: Sequence[str] = ()) -> DataFrame:
-    """``(path, length, content)`` of all files; ``path`` is relative to ``folder``."""
+def read_tree(spark: SparkSession, folder: str, extensions: Sequence[str] = (), skip: Sequence[str] = (),
+              only: Sequence[str] = (), content: bool = True) -> DataFrame:
+    """``(path, length, content)`` of all files, or those of some extensions, outside some
+    folders (``skip``) or of given names (``only``); ``path`` is relative to ``folder``.
+
+    With ``content=False`` the files are listed and not opened.
+    """
     spark.dataSource.register(FileTree)
-    reader = spark.read.format("file_tree")
-    if extensions:
-        reader = reader.option("extensions", ",".join(extensions))
-    if skip:
-        reader = reader.option("skip", ",".join(skip))
-    return reader.load(folder)
+    return spark.read.format("file_tree").options(
+        extensions=json.dumps(list(extensions)), skip=json.dumps(list(skip)), only=json.dumps(list(only)),
+        content=str(content).lower()).load(folder)

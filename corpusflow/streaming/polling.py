@@ -105,6 +105,8 @@ def drain_updates(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
     query = (flat.writeStream.option("checkpointLocation", state).outputMode("update")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
+    if query.lastProgress is None and not query.recentProgress:
+        return spark.createDataFrame([], flat.schema)
     written = spark.read.parquet(f"{out}/*")
     latest = Window.partitionBy("window_start", *keys).orderBy(F.col("_batch").desc())
     return written.withColumn("_r", F.row_number().over(latest)).where("_r = 1").select(*flat.columns)

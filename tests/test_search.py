@@ -121,3 +121,15 @@ def test_embedders(spark):
         return predict
     got = embed(df.where("id = 1"), "t", embedder=model_embedder(load)).first().embedding
     assert got == [5.0, 1.0]
+
+
+def test_multi_search_over_text(spark):
+    from corpusflow.plans.retrieve import context_of_hits, document_chunks, multi_search
+    docs = spark.createDataFrame([(1, "red apples and pears", "a"), (2, "blue whales", "b"), (3, "apples", "c")], "doc_id long, text string, source string")
+    index = embed(document_chunks(docs), "page_content")
+    questions = spark.createDataFrame([("x:1", ["apples", "blue whales", "apples"]), ("y", ["whales"])], "question_id string, search_queries array<string>")
+    hits = multi_search(index, questions, top_k=2, top_n=1)
+    got = [(r.question_id, r["rank"], r.chunk_id) for r in hits.orderBy("question_id", "rank").collect()]
+    assert got == [("x:1", 1, "3#0"), ("x:1", 2, "2#0"), ("y", 1, "2#0")]
+    contexts = {r.question_id: r.context for r in context_of_hits(hits, "question_id").collect()}
+    assert contexts["x:1"] == "<doc id='0'>apples</doc>\n<doc id='1'>blue whales</doc>"

@@ -1,4 +1,5 @@
 """Sources: text, files, repositories, pages."""
+import hashlib
 import os
 
 import pytest
@@ -109,3 +110,26 @@ def test_require_rows_and_counts(spark):
     with pytest.raises(ValueError, match="none"):
         sd.require_rows(df.where("false"), "none")
     assert {r.source: r.documents for r in sd.ingest_counts(sd.union_sources([df, df])).collect()} == {"a": 4, "b": 2}
+
+
+def test_configured_sources(spark):
+    config = spark.createDataFrame([("confluence", ["space1", "space2"], None, None, None), ("gitlab", None, ["group1"], ["project1"], None),
+                                    ("web", None, None, None, ["http://example.com"])],
+                                   "source_type string, spaces array<string>, groups array<string>, projects array<string>, links array<string>")
+    rows = sd.configured_sources(config).collect()
+    assert sorted((r.source_type, r.identifier_type, r.identifier, r.ord) for r in rows) == [
+        ("confluence", "spaces", "space1", 0), ("confluence", "spaces", "space2", 1), ("gitlab", "groups", "group1", 0),
+        ("gitlab", "projects", "project1", 0), ("web", "links", "http://example.com", 0)]
+    assert {r.hash for r in rows if r.identifier == "space1"} == {"confluence-" + hashlib.md5(b"space1").hexdigest() + ".source"}
+
+
+def test_upload_index(spark, tmp_path):
+    from corpusflow.plans.uploads import upload_index
+    for i in range(7):
+        (tmp_path / f"f{i}.txt").write_text(f"text {i}")
+    (tmp_path / "a.exe").write_bytes(b"\xff")
+    rows = upload_index(spark, str(tmp_path)).collect()
+    assert sorted((r.namespace, r.page_content) for r in rows) == [(f"f{i}.txt", f"text {i}") for i in range(5)]
+    assert all(len(r.embedding) == 64 for r in rows)
+    with pytest.raises(ValueError, match="no file accepted"):
+        upload_index(spark, str(tmp_path), max_files=0)
