@@ -60,7 +60,7 @@ _SUMMARY = f"""{_LINES}, {_WINDOWS}, {_TAILS},
 warned AS (SELECT job, count(*) AS k, string_agg(context, '|' ORDER BY line_no) FILTER (WHERE r <= 5) AS sample
   FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY line_no) AS r FROM windows) GROUP BY job),
 summary AS (SELECT j.job, j.pipeline, j.status, CASE WHEN status = 'failed' THEN 0 ELSE coalesce(k, 0) END AS warnings_count,
-  CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS errors_count, CASE WHEN status <> 'failed' THEN sample END AS warnings_sample,
+  CAST(CASE WHEN status = 'failed' THEN 1 ELSE 0 END AS BIGINT) AS errors_count, CASE WHEN status <> 'failed' THEN sample END AS warnings_sample,
   CASE WHEN status = 'failed' THEN tail END AS errors_sample FROM jobs j LEFT JOIN warned USING (job) LEFT JOIN tails USING (job))"""
 
 
@@ -75,7 +75,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a5_pipeline_summary", f"""
-WITH RECURSIVE {_SUMMARY} SELECT pipeline, 0 AS part, count(*) AS total_jobs, CAST(sum(warnings_count) AS BIGINT) AS total_warnings, CAST(sum(errors_count) AS BIGINT) AS total_errors,
+WITH RECURSIVE {_SUMMARY} SELECT pipeline, 0::BIGINT AS part, count(*) AS total_jobs, CAST(sum(warnings_count) AS BIGINT) AS total_warnings, CAST(sum(errors_count) AS BIGINT) AS total_errors,
  '[' || string_agg('{{"job":' || job || ',"status":"' || status || '","warnings_count":' || warnings_count || ',"errors_count":' || errors_count || '}}', ',' ORDER BY job) || ']' AS jobs_details
 FROM summary GROUP BY pipeline""")
 def _(t: Tables) -> DataFrame:
@@ -138,7 +138,7 @@ pieces AS (SELECT mr, 0 AS s, NULL AS ord, {_MR_HEAD} AS x FROM mrs
   || '  - Generated File: ' || CASE WHEN n_chars > 2000 THEN 'Yes' ELSE 'No' END || chr(10) || '  - Diff:' || chr(10) || diff || chr(10) FROM changes
  UNION ALL SELECT mr, 2, NULL, 'Statistics:' || chr(10) || 'Total Files Changed: ' || total_files_changed || chr(10) || 'Total Lines Added: ' || total_lines_added
   || chr(10) || 'Total Lines Removed: ' || total_lines_removed FROM stats)
-SELECT mr, 0 AS part, string_agg(x, chr(10) ORDER BY s, ord) AS report FROM pieces GROUP BY mr""")
+SELECT mr, 0::BIGINT AS part, string_agg(x, chr(10) ORDER BY s, ord) AS report FROM pieces GROUP BY mr""")
 def _(t: Tables) -> DataFrame:
     seen = t("documents").join(t("labels"), "doc_id", "left").groupBy(c("source").alias("mr")).agg(
         F.array_sort(F.collect_set("lang")).alias("labels"), F.count_if(c("toxic") == 1).alias("toxic"))
@@ -198,13 +198,13 @@ def _(t: Tables) -> DataFrame:
     return iss.with_parent(_issues(t)).select("key", "parent_text")
 
 
-@query("j9_with_comments", f"WITH {_ISSUES} SELECT key, 0 AS part, coalesce(comments, 'None') AS comments FROM issues LEFT JOIN talk USING (key)")
+@query("j9_with_comments", f"WITH {_ISSUES} SELECT key, 0::BIGINT AS part, coalesce(comments, 'None') AS comments FROM issues LEFT JOIN talk USING (key)")
 def _(t: Tables) -> DataFrame:
     return iss.with_comments(_issues(t), _comments(t)).select("key", "part", "comments")
 
 
 @query("a9_issue_report", f"""
-WITH {_ISSUES} SELECT key, 0 AS part, chr(10) || '**Title**: About ' || key || chr(10) || '**Key**: ' || key || chr(10) || '**Status**: To Do' || chr(10)
+WITH {_ISSUES} SELECT key, 0::BIGINT AS part, chr(10) || '**Title**: About ' || key || chr(10) || '**Key**: ' || key || chr(10) || '**Status**: To Do' || chr(10)
  || '**Description**: ' || coalesce(description, 'None') || chr(10) || '**Reporter**: Ann' || chr(10) || '**Assignee**: None' || chr(10) || '**Comments**: ' || chr(10)
  || coalesce(comments, 'None') || chr(10) || '**Parent Issue Summary**: ' || chr(10) || parent_text || chr(10) AS report
 FROM parented LEFT JOIN talk USING (key)""")
@@ -241,10 +241,10 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("v5_check_predicates", """
-SELECT 'retail_positive' AS rule, count_if(NOT coalesce(p_retailprice > 0, false)) AS violations FROM part
-UNION ALL SELECT 'size_over_five', count_if(NOT coalesce(p_size > 5, false)) FROM part
-UNION ALL SELECT 'type_required', count_if(p_type IS NULL OR p_type = '') FROM part
-UNION ALL SELECT 'red_has_type', count_if((CASE WHEN p_name LIKE 'red%' THEN p_name END IS NULL) <> (p_type IS NULL)) FROM part""")
+SELECT 'retail_positive' AS rule, count_if(NOT coalesce(p_retailprice > 0, false))::BIGINT AS violations FROM part
+UNION ALL SELECT 'size_over_five', count_if(NOT coalesce(p_size > 5, false))::BIGINT FROM part
+UNION ALL SELECT 'type_required', count_if(p_type IS NULL OR p_type = '')::BIGINT FROM part
+UNION ALL SELECT 'red_has_type', count_if((CASE WHEN p_name LIKE 'red%' THEN p_name END IS NULL) <> (p_type IS NULL))::BIGINT FROM part""")
 def _(t: Tables) -> DataFrame:
     part = t("part").withColumn("red", F.when(c("p_name").startswith("red"), c("p_name")))
     return ck.check_predicates(part, {

@@ -287,7 +287,7 @@ def _(t: Tables) -> DataFrame:
 @query("a3_summarise_sources", """
 WITH s AS (SELECT DISTINCT lang, source FROM documents),
 b AS (SELECT lang, string_agg(source, ', ' ORDER BY source) AS names FROM s GROUP BY lang)
-SELECT 0 AS part, string_agg(CASE lang WHEN 'de' THEN '- Confluence spaces: ' WHEN 'en' THEN '- GitLab Groups: ' WHEN 'es' THEN '- GitLab repositories: '
+SELECT 0::BIGINT AS part, string_agg(CASE lang WHEN 'de' THEN '- Confluence spaces: ' WHEN 'en' THEN '- GitLab Groups: ' WHEN 'es' THEN '- GitLab repositories: '
   ELSE '- Relevant documentation and resources available at: ' END || names, chr(10) || '  ' ORDER BY lang) AS summary FROM b""")
 def _(t: Tables) -> DataFrame:
     kinds = F.create_map(*[F.lit(x) for pair in (("de", "confluence spaces"), ("en", "gitlab groups"), ("es", "gitlab projects"), ("fr", "web links")) for x in pair])

@@ -140,7 +140,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("k2_read_index", f"""
-WITH {CHUNKS} SELECT namespace, count(*) AS chunks, sum(length(page_content)) AS chars FROM chunks GROUP BY namespace
+WITH {CHUNKS} SELECT namespace, count(*) AS chunks, CAST(sum(length(page_content)) AS BIGINT) AS chars FROM chunks GROUP BY namespace
 UNION ALL SELECT 'missing', 0, 0""")
 def _(t: Tables) -> DataFrame:
     path = _stored_index(t)

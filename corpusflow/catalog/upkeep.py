@@ -58,7 +58,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a10_upsert_counts", f"""
-WITH {_RUNS} SELECT namespace, count_if(action = 'add') AS added, 0 AS updated, count_if(action = 'skip') AS skipped, count_if(action = 'delete') AS deleted
+WITH {_RUNS} SELECT namespace, count_if(action = 'add')::BIGINT AS added, 0::BIGINT AS updated, count_if(action = 'skip')::BIGINT AS skipped, count_if(action = 'delete')::BIGINT AS deleted
 FROM plan GROUP BY namespace""")
 def _(t: Tables) -> DataFrame:
     old, new = (ix.fingerprint(x) for x in _yesterday_today(t))
@@ -72,8 +72,8 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("i1_build_index", f"""
-WITH {_RUNS} SELECT 1 AS run, namespace, count(*) AS added, 0 AS updated, 0 AS skipped, 0 AS deleted FROM old GROUP BY namespace
-UNION ALL SELECT 2, namespace, count_if(action = 'add'), 0, count_if(action = 'skip'), count_if(action = 'delete') FROM plan GROUP BY namespace
+WITH {_RUNS} SELECT 1 AS run, namespace, count(*) AS added, 0::BIGINT AS updated, 0::BIGINT AS skipped, 0::BIGINT AS deleted FROM old GROUP BY namespace
+UNION ALL SELECT 2, namespace, count_if(action = 'add')::BIGINT, 0, count_if(action = 'skip')::BIGINT, count_if(action = 'delete')::BIGINT FROM plan GROUP BY namespace
 UNION ALL SELECT 3, namespace, 0, 0, count(*), 0 FROM new GROUP BY namespace
 UNION ALL SELECT 4, namespace, count(*), 0, 0, 0 FROM new GROUP BY namespace""")
 def _(t: Tables) -> DataFrame:
@@ -184,7 +184,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("st5_stream_job_counts", """
-SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, user_id AS job, count_if(event_type = 'error') AS warnings, count(*) AS lines
+SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H') AS hour, user_id AS job, count_if(event_type = 'error')::BIGINT AS warnings, count(*) AS lines
 FROM events GROUP BY ALL""")
 def _(t: Tables) -> DataFrame:
     lines = po.read_table_stream(t.spark, t.folder, "events.parquet").select("ts", c("user_id").alias("job"), "event_type")
