@@ -112,7 +112,7 @@ def _(t: Tables) -> DataFrame:
 def _two_indexes(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Vectors of the lower labels, and all vectors, each with positions in id order."""
     def placed(df):
-        return cx.with_ordinal(df.select(c("vec_id").alias("doc_id"), "label"), [], ["doc_id"], "pos")
+        return cx.with_ordinal(df.select(c("vec_id").alias("doc_id"), "embedding"), [], ["doc_id"], "pos")
     return placed(t("embeddings").where("label < 5")), placed(t("embeddings"))
 
 
@@ -134,6 +134,24 @@ def _(t: Tables) -> DataFrame:
             .unionByName(documents.select(F.lit("document").alias("kind"), "doc_id", "pos")))
 
 
+_MERGED_VEC = f"""{_VEC}, {_MERGED}, mv AS (SELECT pos AS id, v, doc_id FROM merged JOIN vec ON vec.id = doc_id), {hits_sql('mhits', 'vec', 'mv', 20)},
+found AS (SELECT m.qid, mv.doc_id, min(m.rank) AS place FROM mhits m JOIN mv ON mv.id = m.chunk_id GROUP BY m.qid, mv.doc_id)"""
+
+
+@query("u2_search_merged", f"WITH {_MERGED_VEC} SELECT qid, doc_id, row_number() OVER (PARTITION BY qid ORDER BY place) AS rank FROM found")
+def _(t: Tables) -> DataFrame:
+    vectors, _ = se.merge_indexes(*_two_indexes(t))
+    hits = se.search_merged(materialized(vectors, "merged"), _queries(t))
+    return hits.select("qid", "doc_id", c("rank").cast("bigint").alias("rank"))
+
+
+@query("u2_search_deduped", f"WITH {_HITS} SELECT qid, chunk_id AS doc_id, rank FROM hits")
+def _(t: Tables) -> DataFrame:
+    vectors, _ = se.merge_indexes(*_two_indexes(t))
+    hits = se.search_merged(materialized(vectors, "merged"), _queries(t), dedupe_first=True)
+    return hits.select("qid", "doc_id", c("rank").cast("bigint").alias("rank"))
+
+
 # --- text: benchmark passages as questions over all document chunks -------------------------
 
 def _chunk_index(t: Tables) -> DataFrame:

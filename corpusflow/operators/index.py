@@ -3,13 +3,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from corpusflow.functions.text import content_key
 from corpusflow.functions.vectors import embed
 from corpusflow.operators.ordering import first_rows
-from corpusflow.session import materialized
+from corpusflow.session import materialized, read_or_empty
 
 # Namespace choices that name no single index.
 NO_SOURCE = "none"
@@ -86,24 +85,15 @@ def upsert_counts(plan: DataFrame) -> DataFrame:
 
 # --- storage -----------------------------------------------------------------------------
 
-def _read(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    try:
-        return spark.read.schema(schema).parquet(path)
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], schema)
-
-
 def read_index(spark: SparkSession, path: str, namespace: str | None = None) -> DataFrame:
     """The index, or one namespace of it (partition pruning); empty when there is none yet."""
-    index = _read(spark, f"{path}/chunks", INDEX_SCHEMA)
+    index = read_or_empty(spark, f"{path}/chunks", INDEX_SCHEMA)
     return index if namespace is None else index.where(F.col("namespace") == namespace)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """When each key was last seen in a run."""
-    return (_read(spark, f"{path}/records", RECORD_SCHEMA).groupBy("namespace", "group_id", "key")
+    return (read_or_empty(spark, f"{path}/records", RECORD_SCHEMA).groupBy("namespace", "group_id", "key")
             .agg(F.max("updated_at").alias("updated_at")))
 
 

@@ -250,6 +250,16 @@ def merge_indexes(target: DataFrame, source: DataFrame, id_col: str = "doc_id",
     return vectors, first_rows(vectors, [id_col], [pos])
 
 
+def search_merged(vectors: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "doc_id", pos: str = "pos",
+                  dedupe_first: bool = False, **cols) -> DataFrame:
+    """Search a merged index, whose copies of a document each hold a place among the k nearest
+    and are collapsed after that, or before with ``dedupe_first``."""
+    rows = first_rows(vectors, [id_col], [pos]) if dedupe_first else vectors
+    hits = search(rows, queries, k, id_col=pos, **cols)
+    qid = cols.get("qid_col", "qid")
+    return unique_first(hits.join(rows.select(pos, id_col), pos), qid, id_col, ["rank"])
+
+
 class Scorer(NamedTuple):
     """How a reranker rates a pair: ``prepare`` is worked out once per text, ``score`` per pair."""
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 
 def get_session(app: str = "corpusflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -60,6 +62,16 @@ def materialized(df: DataFrame, name: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_or_empty(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """A Parquet table, or no rows where none has been written yet."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
+
+
 def read_spread(spark: SparkSession, path: str, key: str) -> DataFrame:
     """A Parquet table for costly work per row.
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.types import IntegerType, StructField, StructType
 
 from corpusflow.operators.index import build_index, sources_to_refresh
-from corpusflow.session import scratch_path
+from corpusflow.session import read_or_empty, scratch_path
 
 
 def read_table_stream(spark: SparkSession, folder: str, file_name: str, files_per_batch: int = 1_000) -> DataFrame:
@@ -57,14 +58,8 @@ def publish_version(spark: SparkSession, path: str) -> int:
 
 
 def current_version(spark: SparkSession, path: str) -> int:
-    from pyspark.errors import AnalysisException
-
-    try:
-        return spark.read.schema("version int, at timestamp").parquet(f"{path}/versions").agg(F.max("version")).first()[0] or 0
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0
+    versions = read_or_empty(spark, f"{path}/versions", "version int, at timestamp")
+    return versions.agg(F.max("version")).first()[0] or 0
 
 
 def changed_since(spark: SparkSession, path: str, version: int) -> tuple[bool, int]:
@@ -105,8 +100,7 @@ def drain_updates(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
     query = (flat.writeStream.option("checkpointLocation", state).outputMode("update")
              .trigger(availableNow=True).foreachBatch(write).start())
     query.awaitTermination()
-    if query.lastProgress is None and not query.recentProgress:
-        return spark.createDataFrame([], flat.schema)
-    written = spark.read.parquet(f"{out}/*")
+    schema = StructType([*flat.schema.fields, StructField("_batch", IntegerType())])
+    written = read_or_empty(spark, f"{out}/*", schema)
     latest = Window.partitionBy("window_start", *keys).orderBy(F.col("_batch").desc())
     return written.withColumn("_r", F.row_number().over(latest)).where("_r = 1").select(*flat.columns)

@@ -75,3 +75,12 @@ def test_refresh_job(spark):
     assert labels == {"h2": "web: links=u2"} and due == [{"h2", "h3"}]
     po.refresh_job(configured, local, ingest, force=True)
     assert due[1] == {"h1", "h2", "h3"}
+
+
+def test_empty_streams(spark, tmp_path):
+    nothing = str(tmp_path / "none")
+    spark.createDataFrame([], "id long, at timestamp, flag boolean").write.parquet(nothing)
+    stream = spark.readStream.schema("id long, at timestamp, flag boolean").parquet(nothing)
+    counts = po.stream_job_counts(stream, ["flag"], {"n": F.lit(True)}, time_col="at", delay="1 hour", window="1 hour")
+    assert po.drain_updates(counts, ["flag"], "counts").collect() == []
+    assert po.drain_to_table(po.track_new(stream, ["id"]), "seen").collect() == []
