@@ -81,3 +81,29 @@ def overlap_sql(a: str, b: str) -> str:
     """Cosine of two lists of distinct words."""
     return (f"CASE WHEN len({a}) * len({b}) > 0 THEN len(list_intersect({a}, {b})) / sqrt(CAST(len({a}) * len({b}) AS DOUBLE)) "
             "ELSE 0.0 END")
+
+
+def elements_sql(marks: bool) -> str:
+    """CTEs ending in ``elements(page_id, url, ord, category, text)`` for the kinds of tags stored pages have.
+
+    ``marks`` writes headings, list items and links in plain-text notation.
+    """
+    link = r"regexp_replace(x, '(?is)<a\s+href=\"([^\"]*)\"[^>]*>(.*?)</a>', '[\2](\1)', 'g')" if marks else "x"
+    text = ("CASE category WHEN 'Title' THEN '# ' WHEN 'ListItem' THEN '  * ' ELSE '' END || t" if marks else "t")
+    return rf"""visible AS (SELECT page_id, url, regexp_replace(html, '(?is)<head.*?</head>|<script.*?</script>|<style.*?</style>|<!--.*?-->|<!doctype[^>]*>', '', 'g') AS x FROM pages),
+marked AS (SELECT page_id, url, regexp_replace(regexp_replace({link}, '(?i)<h1>', chr(1) || 'H', 'g'), '(?i)<li>', chr(1) || 'L', 'g') AS x FROM visible),
+cut AS (SELECT page_id, url, regexp_replace(regexp_replace(regexp_replace(x, '(?i)</?(p|div|article|nav|footer|ul|li|h1|body)(\s[^>]*)?>', chr(1) || 'N', 'g'),
+  '(?i)<br>', ' ', 'g'), '<[^>]*>', '', 'g') AS x FROM marked),
+plain AS (SELECT page_id, url, replace(replace(replace(regexp_replace(x, '&amp;?', '&', 'g'), '&copy;', '©'), '&middot;', '·'), '&quot;', '"') AS x FROM cut),
+pieces AS (SELECT page_id, url, unnest(range(0, len(string_split(x, chr(1))))) AS pos, unnest(string_split(x, chr(1))) AS piece FROM plain),
+trimmed AS (SELECT page_id, url, pos, CASE piece[1] WHEN 'H' THEN 'Title' WHEN 'L' THEN 'ListItem' ELSE 'NarrativeText' END AS category,
+  trim(regexp_replace(CASE WHEN pos = 0 THEN piece ELSE piece[2:] END, '[ \t\r\n\f]+', ' ', 'g')) AS t FROM pieces),
+elements AS (SELECT page_id, url, row_number() OVER (PARTITION BY page_id ORDER BY pos) - 1 AS ord, category, {text} AS text FROM trimmed WHERE t <> '')"""
+
+
+def page_text_sql() -> str:
+    """CTEs ending in ``texts(page_id, url, text)``: pages as plain text with marks."""
+    return rf"""{elements_sql(True)},
+joined AS (SELECT *, CASE WHEN ord = 0 THEN '' WHEN category = 'ListItem' AND lag(category) OVER (PARTITION BY page_id ORDER BY ord) = 'ListItem' THEN chr(10)
+  ELSE chr(10) || chr(10) END AS gap FROM elements),
+texts AS (SELECT page_id, url, replace(string_agg(gap || text, '' ORDER BY ord), '\', '') AS text FROM joined GROUP BY page_id, url)"""

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.catalog.base import CHUNKS, Tables, query, strip_sql, vectors_sql
+from corpusflow.catalog.base import CHUNKS, Tables, page_text_sql, query, strip_sql, vectors_sql
 from corpusflow.functions import changes as ch, prompts as pr, text as tx, urls as ur, vectors as ve
 from corpusflow.operators.chunking import chunk_fixed, chunk_recursive
 from corpusflow.sources import web as sw
@@ -264,7 +264,7 @@ def _(t: Tables) -> DataFrame:
 
 # --- text transforms ---------------------------------------------------------------------
 
-@query("t1_markup_to_text")
+@query("t1_markup_to_text", f"WITH {page_text_sql()} SELECT page_id, text FROM texts")
 def _(t: Tables) -> DataFrame:
     return sw.markup_to_text(t.spread("pages", "page_id"), "html").select("page_id", "text")
 

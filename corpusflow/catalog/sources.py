@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.catalog.base import CHUNKS, Tables, query, vectors_sql
+from corpusflow.catalog.base import CHUNKS, Tables, elements_sql, page_text_sql, query, vectors_sql
 from corpusflow.functions import text as tx
 from corpusflow.operators import index as ix
 from corpusflow.plans.retrieve import document_chunks
@@ -76,18 +76,18 @@ def _(t: Tables) -> DataFrame:
     return sf.drop_ignored(files, _IGNORE)
 
 
-@query("s6_pages_to_documents")
+@query("s6_pages_to_documents", f"WITH {elements_sql(False)} SELECT url AS source, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS page_content FROM elements GROUP BY page_id, url")
 def _(t: Tables) -> DataFrame:
     return sw.pages_to_documents(t.spread("pages", "page_id")).select("source", "page_content")
 
 
-@query("s6_page_elements")
+@query("s6_page_elements", f"WITH {elements_sql(False)} SELECT url AS source, ord, text AS page_content, category FROM elements")
 def _(t: Tables) -> DataFrame:
     docs = sw.pages_to_documents(t.spread("pages", "page_id"), mode="elements")
-    return docs.select("source", "ord", "page_content", F.col("metadata")["category"].alias("category"))
+    return docs.select("source", F.col("ord").cast("bigint").alias("ord"), "page_content", F.col("metadata")["category"].alias("category"))
 
 
-@query("s7_wiki_documents")
+@query("s7_wiki_documents", f"WITH {page_text_sql()} SELECT page_id, regexp_extract(url, '//([^/]+)', 1) AS space, text AS page_content FROM texts")
 def _(t: Tables) -> DataFrame:
     pages = t.spread("pages", "page_id").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("space"), "html")
     return sw.wiki_documents(pages).select("page_id", "space", "page_content")
