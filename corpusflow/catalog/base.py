@@ -54,6 +54,32 @@ CHUNKS = """chunks AS (
         FROM documents WHERE length(text) > 0))"""
 
 
+# The splitting rules over prefix sums. A run is a stretch of pieces that are packed together: neighbouring short lines, or the
+# words of a long line (of a text without line ends); the stored texts have no blank lines. From its first piece a chunk takes as
+# many as fit; the next one starts at the first piece from where the rest fits into the overlap and leaves room for the piece to come.
+CHUNKS_RECURSIVE = f"""line_pieces AS (SELECT doc_id, pos, CASE WHEN pos > 0 THEN chr(10) ELSE '' END || s AS piece, contains(text, chr(10)) AS has_lines
+  FROM (SELECT doc_id, text, unnest(range(0, len(string_split(text, chr(10))))) AS pos, unnest(string_split(text, chr(10))) AS s FROM documents)),
+placed AS (SELECT *, length(piece) >= 1500 OR NOT has_lines AS long,
+  sum(CASE WHEN length(piece) >= 1500 OR NOT has_lines THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY pos) AS k FROM line_pieces WHERE piece <> ''),
+run_pieces AS (SELECT doc_id, k, 1 AS side, pos, piece FROM placed WHERE NOT long
+  UNION ALL SELECT doc_id, k, 0, wpos, word FROM (SELECT doc_id, k, unnest(range(0, len(ws))) AS wpos, unnest(list_transform(ws, lambda w, i: CASE WHEN i > 1 THEN sep || w ELSE w END)) AS word
+    FROM (SELECT doc_id, k, sep, string_split(piece, sep) AS ws FROM (SELECT *, CASE WHEN contains(piece, ' ') THEN ' ' ELSE '' END AS sep FROM placed WHERE long))) WHERE word <> ''),
+sums AS (SELECT *, sum(length(piece)) OVER (PARTITION BY doc_id, k, side ORDER BY pos) AS p FROM run_pieces),
+runs AS (SELECT doc_id, k, side, string_agg(piece, '' ORDER BY pos) AS txt, list(CAST(p AS BIGINT) ORDER BY pos) AS p FROM sums GROUP BY doc_id, k, side),
+packed(doc_id, k, side, step, base, last) AS (
+  SELECT doc_id, k, side, 0, CAST(0 AS BIGINT), len(list_filter(p, lambda x: x <= 1500)) FROM runs
+  UNION ALL SELECT doc_id, k, side, step + 1, base, len(list_filter(p, lambda x: x <= base + 1500)) FROM (
+    SELECT r.doc_id, r.k, r.side, c.step, r.p, CASE WHEN room >= r.p[c.last] THEN 0 ELSE list_min(list_filter(r.p, lambda x: x >= r.p[c.last] - room)) END AS base
+    FROM (SELECT w.*, least(300, 1500 - (q.p[w.last + 1] - q.p[w.last])) AS room FROM packed w JOIN runs q USING (doc_id, k, side) WHERE w.last < len(q.p)) c
+    JOIN runs r USING (doc_id, k, side))),
+rec_texts AS (SELECT c.doc_id, c.k, c.side, c.step, {strip_sql("substr(r.txt, c.base + 1, r.p[c.last] - c.base)")} AS chunk FROM packed c JOIN runs r USING (doc_id, k, side)),
+rec_chunks AS (SELECT d.source AS namespace, concat(doc_id, '#', ord) AS chunk_id, doc_id, ord, chunk AS page_content FROM (
+  SELECT doc_id, chunk, row_number() OVER (PARTITION BY doc_id ORDER BY k, side, step) - 1 AS ord FROM rec_texts WHERE chunk <> '') JOIN documents d USING (doc_id))"""
+
+
+SPLIT_CHUNKS = f"{CHUNKS_RECURSIVE}, chunks AS (SELECT * FROM rec_chunks)"
+
+
 def vectors_sql(name: str, relation: str, key: str, text: str) -> str:
     """CTEs ending in ``name(id, v)``: word hashing into 64 buckets, unit length, as floats."""
     return f"""{name}_src AS (SELECT {key} AS id, {text} AS t FROM {relation}),

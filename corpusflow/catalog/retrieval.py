@@ -3,11 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.catalog.base import CHUNKS, Tables, d2_sql, hits_sql, overlap_sql, query, tokens_sql, vectors_sql
+from corpusflow.catalog.base import SPLIT_CHUNKS, Tables, d2_sql, hits_sql, overlap_sql, query, tokens_sql, vectors_sql
 from corpusflow.functions.prompts import ANSWER_TEMPLATE
 from corpusflow.functions.vectors import embed, relevance
 from corpusflow.operators import context as cx, search as se
 from corpusflow.plans import retrieve as rt
+from corpusflow.plans.flagship import cited_answers
 from corpusflow.session import materialized
 
 c = F.col
@@ -155,14 +156,14 @@ def _(t: Tables) -> DataFrame:
 # --- text: benchmark passages as questions over all document chunks -------------------------
 
 def _chunk_index(t: Tables) -> DataFrame:
-    return embed(rt.document_chunks(t.spread("documents", "doc_id"), recursive=False), "page_content")
+    return embed(rt.document_chunks(t.spread("documents", "doc_id")), "page_content")
 
 
 def _bench_queries(t: Tables) -> DataFrame:
     return rt.embedded_queries(t("benchmark"), "item_id", "text")
 
 
-_TEXT_HITS = f"""{CHUNKS}, {vectors_sql('cv', 'chunks', 'chunk_id', 'page_content')},
+_TEXT_HITS = f"""{SPLIT_CHUNKS}, {vectors_sql('cv', 'chunks', 'chunk_id', 'page_content')},
 {vectors_sql('qv', 'benchmark', 'item_id', 'text')}, {hits_sql('hits', 'qv', 'cv', 20)},
 q AS (SELECT item_id AS qid, text AS query, list_distinct({tokens_sql('text')}) AS qw FROM benchmark),
 p AS (SELECT chunk_id, doc_id, namespace, page_content, list_distinct({tokens_sql('page_content')}) AS pw FROM chunks),
@@ -171,13 +172,13 @@ pairs AS (SELECT h.qid, h.chunk_id, h.rank, q.query, p.doc_id, p.namespace, p.pa
 best AS (SELECT * EXCLUDE (rank, r), r AS rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, rank) AS r FROM pairs) WHERE r <= 5)"""
 
 
-@query("q5_retrieve_rerank", f"WITH {_TEXT_HITS} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM best")
+@query("q5_retrieve_rerank", f"WITH RECURSIVE {_TEXT_HITS} SELECT qid, chunk_id, rank, round(score, 6) AS score FROM best")
 def _(t: Tables) -> DataFrame:
     best = rt.retrieve_rerank(_chunk_index(t), _bench_queries(t))
     return best.select("qid", "chunk_id", c("rank").cast("bigint").alias("rank"), F.round("relevance_score", 6).alias("score"))
 
 
-@query("q5_retrieve_only", f"WITH {_TEXT_HITS} SELECT qid, chunk_id, rank, round(d2, 6) AS d2 FROM hits")
+@query("q5_retrieve_only", f"WITH RECURSIVE {_TEXT_HITS} SELECT qid, chunk_id, rank, round(d2, 6) AS d2 FROM hits")
 def _(t: Tables) -> DataFrame:
     return _rounded(rt.retrieve_rerank(_chunk_index(t), _bench_queries(t), scorer=None).select("qid", "chunk_id", "rank", "d2"))
 
@@ -198,7 +199,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("r1_rerank_bm25", f"""
-WITH {_TEXT_HITS}, words AS (SELECT chunk_id, unnest(pw) AS w FROM p), df AS (SELECT w, count(*) AS df FROM words GROUP BY w),
+WITH RECURSIVE {_TEXT_HITS}, words AS (SELECT chunk_id, unnest(pw) AS w FROM p), df AS (SELECT w, count(*) AS df FROM words GROUP BY w),
 len AS (SELECT chunk_id, len({tokens_sql('page_content')}) AS l, {tokens_sql('page_content')} AS ws FROM chunks),
 stats AS (SELECT count(*) AS n, avg(l) AS m FROM len),
 terms AS (SELECT qid, chunk_id, l, w, len(list_filter(ws, lambda x: x = w)) AS tf
@@ -214,7 +215,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("j6_attach_scores", f"""
-WITH {_TEXT_HITS} SELECT qid, rank - 1 AS idx, chunk_id, round(score, 6) AS relevance_score FROM pairs""")
+WITH RECURSIVE {_TEXT_HITS} SELECT qid, rank - 1 AS idx, chunk_id, round(score, 6) AS relevance_score FROM pairs""")
 def _(t: Tables) -> DataFrame:
     hits = rt.retrieve_rerank(_chunk_index(t), _bench_queries(t), scorer=None).withColumn("idx", (c("rank") - 1).cast("bigint"))
     answer = hits.select("qid", "idx", F.round(se.set_cosine(se.word_set(c("query")), se.word_set(c("page_content"))), 6).alias("relevance_score"))
@@ -235,13 +236,13 @@ def _compressed(t: Tables) -> tuple[DataFrame, DataFrame]:
     return best, kept.withColumn("ref", c("ref").cast("bigint"))
 
 
-@query("t6_compress_context", f"WITH {_COMPRESSED} SELECT qid, ref, page_content, words FROM compressed")
+@query("t6_compress_context", f"WITH RECURSIVE {_COMPRESSED} SELECT qid, ref, page_content, words FROM compressed")
 def _(t: Tables) -> DataFrame:
     return _compressed(t)[1]
 
 
 @query("j7_restore_metadata", f"""
-WITH {_COMPRESSED} SELECT c.qid, c.ref, b.namespace AS source, b.chunk_id FROM compressed c LEFT JOIN best b ON b.qid = c.qid AND b.rank = c.ref + 1
+WITH RECURSIVE {_COMPRESSED} SELECT c.qid, c.ref, b.namespace AS source, b.chunk_id FROM compressed c LEFT JOIN best b ON b.qid = c.qid AND b.rank = c.ref + 1
 UNION ALL SELECT item_id, -1, NULL, NULL FROM benchmark""")
 def _(t: Tables) -> DataFrame:
     best, kept = _compressed(t)
@@ -251,9 +252,9 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("q4_multi_search", f"""
-WITH questions AS (SELECT conv_id || '-' || turn AS question_id, [text, role || ' ' || text, text || ' ' || text] AS qs FROM conversations),
+WITH RECURSIVE questions AS (SELECT conv_id || '-' || turn AS question_id, [text, role || ' ' || text, text || ' ' || text] AS qs FROM conversations),
 sq AS (SELECT question_id || ':' || pos AS qid, question_id, pos AS query_pos, query FROM (SELECT question_id, unnest(range(0, len(qs))) AS pos, unnest(qs) AS query FROM questions)),
-{CHUNKS}, {vectors_sql('cv', 'chunks', 'chunk_id', 'page_content')}, {vectors_sql('qv', 'sq', 'qid', 'query')}, {hits_sql('hits', 'qv', 'cv', 20)},
+{SPLIT_CHUNKS}, {vectors_sql('cv', 'chunks', 'chunk_id', 'page_content')}, {vectors_sql('qv', 'sq', 'qid', 'query')}, {hits_sql('hits', 'qv', 'cv', 20)},
 q AS (SELECT qid, question_id, query_pos, list_distinct({tokens_sql('query')}) AS qw FROM sq),
 p AS (SELECT chunk_id, list_distinct({tokens_sql('page_content')}) AS pw FROM chunks),
 best AS (SELECT * FROM (SELECT qid, question_id, query_pos, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY round({overlap_sql('qw', 'pw')}, 9) DESC, rank) AS rank
@@ -367,15 +368,15 @@ def _messages(t: Tables) -> DataFrame:
 
 
 @query("q6_answer_context", f"""
-WITH {_HISTORY}, asked AS (SELECT conv_id || '-' || turn AS qid, text AS question, history FROM conversations JOIN hist USING (conv_id, turn)),
-{CHUNKS}, {vectors_sql('cv', 'chunks', 'chunk_id', 'page_content')}, {vectors_sql('qv', 'asked', 'qid', 'question')}, {hits_sql('hits', 'qv', 'cv', 20)},
+WITH RECURSIVE {_HISTORY}, asked AS (SELECT conv_id || '-' || turn AS qid, text AS question, history FROM conversations JOIN hist USING (conv_id, turn)),
+{SPLIT_CHUNKS}, {vectors_sql('cv', 'chunks', 'chunk_id', 'page_content')}, {vectors_sql('qv', 'asked', 'qid', 'question')}, {hits_sql('hits', 'qv', 'cv', 20)},
 q AS (SELECT qid, list_distinct({tokens_sql('question')}) AS qw FROM asked),
 p AS (SELECT chunk_id, namespace, page_content, list_distinct({tokens_sql('page_content')}) AS pw FROM chunks),
 best AS (SELECT * FROM (SELECT qid, namespace, page_content, row_number() OVER (PARTITION BY qid ORDER BY round({overlap_sql('qw', 'pw')}, 9) DESC, rank) - 1 AS id
    FROM hits JOIN q USING (qid) JOIN p USING (chunk_id)) WHERE id < 5),
-packed AS (SELECT qid, string_agg('<doc id=''' || id || '''>' || page_content || '</doc>', chr(10) ORDER BY id) AS context,
+cited_rows AS (SELECT qid, string_agg('<doc id=''' || id || '''>' || page_content || '</doc>', chr(10) ORDER BY id) AS context,
    string_agg(id || ':' || namespace, ',' ORDER BY id) AS cited FROM best GROUP BY qid),
-full_rows AS (SELECT qid, question, history, coalesce(context, '') AS context, coalesce(cited, '') AS cited FROM asked LEFT JOIN packed USING (qid))
+full_rows AS (SELECT qid, question, history, coalesce(context, '') AS context, coalesce(cited, '') AS cited FROM asked LEFT JOIN cited_rows USING (qid))
 SELECT qid, context, cited, '[{{"role":"system","content":"{SYSTEM}"}},{{"role":"user","content":[{{"type":"text","text":' || CAST(to_json({_TEMPLATE_SQL}) AS VARCHAR) || '}}]}}]' AS prompt
 FROM full_rows""")
 def _(t: Tables) -> DataFrame:
@@ -387,6 +388,15 @@ def _(t: Tables) -> DataFrame:
     return full.select("qid", "context", cited.alias("cited"), "prompt")
 
 
+@query("q5_cited_answers", f"""
+WITH RECURSIVE {_TEXT_HITS} SELECT qid, string_agg('<doc id=''' || (rank - 1) || '''>' || page_content || '</doc>', chr(10) ORDER BY rank) AS context,
+  string_agg((rank - 1) || ':' || namespace || ':' || string_split(page_content, '.')[1] || ' ...', chr(10) ORDER BY rank) AS cited FROM best GROUP BY qid""")
+def _(t: Tables) -> DataFrame:
+    """The flagship job: documents and questions to cited contexts."""
+    cited = F.transform("sources", lambda s: F.concat_ws(":", s["id"].cast("string"), s["source"], s["content"]))
+    return cited_answers(t.spark, t.folder).select("qid", "context", F.array_join(cited, "\n").alias("cited"))
+
+
 @query("q7_no_source_routing", f"""
 WITH {_HISTORY}, asked AS (SELECT conv_id || '-' || turn AS qid, role, text AS question, history FROM conversations JOIN hist USING (conv_id, turn)),
 full_rows AS (SELECT qid, question, history, CASE WHEN role = 'assistant' THEN '<doc id=''0''>' || role || '</doc>' ELSE '' END AS context FROM asked)

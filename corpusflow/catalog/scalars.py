@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.catalog.base import CHUNKS, Tables, page_text_sql, query, strip_sql, vectors_sql
+from corpusflow.catalog.base import CHUNKS, CHUNKS_RECURSIVE, Tables, page_text_sql, query, strip_sql, vectors_sql
 from corpusflow.functions import changes as ch, prompts as pr, text as tx, urls as ur, vectors as ve
 from corpusflow.operators.chunking import chunk_fixed, chunk_recursive
 from corpusflow.sources import web as sw
@@ -269,9 +269,9 @@ def _(t: Tables) -> DataFrame:
     return sw.markup_to_text(t.spread("pages", "page_id"), "html").select("page_id", "text")
 
 
-@query("t2_chunk_recursive")
+@query("t2_chunk_recursive", f"WITH RECURSIVE {CHUNKS_RECURSIVE} SELECT doc_id, ord, page_content AS chunk FROM rec_chunks")
 def _(t: Tables) -> DataFrame:
-    return chunk_recursive(t.spread("documents", "doc_id").select("doc_id", "text"))
+    return chunk_recursive(t.spread("documents", "doc_id").select("doc_id", "text")).withColumn("ord", c("ord").cast("bigint"))
 
 
 @query("t3_chunk_fixed", f"WITH {CHUNKS} SELECT doc_id, ord, page_content AS chunk FROM chunks")
@@ -324,8 +324,8 @@ def _(t: Tables) -> DataFrame:
     return links.where(ur.under_base(c("link"), site)).select("page_id", "link")
 
 
-@query("t2_chunk_text_sql")
+@query("t2_chunk_text_sql", f"WITH RECURSIVE {CHUNKS_RECURSIVE} SELECT doc_id, ord, page_content AS chunk FROM rec_chunks")
 def _(t: Tables) -> DataFrame:
     from corpusflow.functions.sql import register
     register(t.spark)
-    return t.spark.sql("SELECT d.doc_id, x.ord, x.chunk FROM {docs} d, LATERAL chunk_text(d.text, 1500, 300) x", docs=t("documents"))
+    return t.spark.sql("SELECT d.doc_id, CAST(x.ord AS BIGINT) AS ord, x.chunk FROM {docs} d, LATERAL chunk_text(d.text, 1500, 300) x", docs=t("documents"))

@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.catalog.base import CHUNKS, Tables, query
+from corpusflow.catalog.base import SPLIT_CHUNKS, Tables, query
 from corpusflow.functions.text import memory_namespace, source_hash
 from corpusflow.operators import index as ix
 from corpusflow.plans.retrieve import document_chunks
@@ -16,10 +16,7 @@ c = F.col
 def _yesterday_today(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Two runs over the documents: first without the Spanish ones, then without the German."""
     docs = t.spread("documents", "doc_id")
-
-    def chunks(df):
-        return document_chunks(df, recursive=False)
-    return chunks(docs.where("lang <> 'es'")), chunks(docs.where("lang <> 'de'"))
+    return document_chunks(docs.where("lang <> 'es'")), document_chunks(docs.where("lang <> 'de'"))
 
 
 def _covered(t: Tables) -> DataFrame:
@@ -28,7 +25,7 @@ def _covered(t: Tables) -> DataFrame:
 
 
 # content and metadata (the source) are what identifies a chunk
-_RUNS = f"""{CHUNKS}, tagged AS (SELECT c.*, d.lang FROM chunks c JOIN documents d USING (doc_id)),
+_RUNS = f"""{SPLIT_CHUNKS}, tagged AS (SELECT c.*, d.lang FROM chunks c JOIN documents d USING (doc_id)),
 old AS (SELECT DISTINCT namespace, page_content FROM tagged WHERE lang <> 'es'),
 new AS (SELECT DISTINCT namespace, page_content FROM tagged WHERE lang <> 'de'),
 plan AS (SELECT namespace, page_content, CASE WHEN o.page_content IS NULL THEN 'add' WHEN n.page_content IS NULL THEN 'delete' ELSE 'skip' END AS action
@@ -45,20 +42,20 @@ def _with_text(plan: DataFrame, *chunks: DataFrame) -> DataFrame:
     return plan.join(known, ["namespace", "key"]).drop("key")
 
 
-@query("j2_plan_upsert", f"WITH {_RUNS} SELECT namespace, page_content, action FROM plan")
+@query("j2_plan_upsert", f"WITH RECURSIVE {_RUNS} SELECT namespace, page_content, action FROM plan")
 def _(t: Tables) -> DataFrame:
     old, new = (ix.fingerprint(x) for x in _yesterday_today(t))
     return _with_text(ix.plan_upsert(new, old, namespaces=_covered(t)), old, new)
 
 
-@query("j3_plan_deletes", f"WITH {_RUNS} SELECT namespace, page_content FROM plan WHERE action = 'delete'")
+@query("j3_plan_deletes", f"WITH RECURSIVE {_RUNS} SELECT namespace, page_content FROM plan WHERE action = 'delete'")
 def _(t: Tables) -> DataFrame:
     old, new = (ix.fingerprint(x) for x in _yesterday_today(t))
     return _with_text(ix.plan_deletes(old, new, namespaces=_covered(t)), old)
 
 
 @query("a10_upsert_counts", f"""
-WITH {_RUNS} SELECT namespace, count_if(action = 'add')::BIGINT AS added, 0::BIGINT AS updated, count_if(action = 'skip')::BIGINT AS skipped, count_if(action = 'delete')::BIGINT AS deleted
+WITH RECURSIVE {_RUNS} SELECT namespace, count_if(action = 'add')::BIGINT AS added, 0::BIGINT AS updated, count_if(action = 'skip')::BIGINT AS skipped, count_if(action = 'delete')::BIGINT AS deleted
 FROM plan GROUP BY namespace""")
 def _(t: Tables) -> DataFrame:
     old, new = (ix.fingerprint(x) for x in _yesterday_today(t))
@@ -72,7 +69,7 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("i1_build_index", f"""
-WITH {_RUNS} SELECT 1 AS run, namespace, count(*) AS added, 0::BIGINT AS updated, 0::BIGINT AS skipped, 0::BIGINT AS deleted FROM old GROUP BY namespace
+WITH RECURSIVE {_RUNS} SELECT 1 AS run, namespace, count(*) AS added, 0::BIGINT AS updated, 0::BIGINT AS skipped, 0::BIGINT AS deleted FROM old GROUP BY namespace
 UNION ALL SELECT 2, namespace, count_if(action = 'add')::BIGINT, 0, count_if(action = 'skip')::BIGINT, count_if(action = 'delete')::BIGINT FROM plan GROUP BY namespace
 UNION ALL SELECT 3, namespace, 0, 0, count(*), 0 FROM new GROUP BY namespace
 UNION ALL SELECT 4, namespace, count(*), 0, 0, 0 FROM new GROUP BY namespace""")
@@ -164,17 +161,17 @@ def _(t: Tables) -> DataFrame:
 def _streamed_index(t: Tables) -> str:
     path = scratch_path(t.spark, "stream-index")
     docs = po.read_table_stream(t.spark, t.folder, "documents.parquet")
-    po.stream_index(docs, path, lambda batch: document_chunks(batch, recursive=False), scratch_path(t.spark, "stream-state")).awaitTermination()
+    po.stream_index(docs, path, document_chunks, scratch_path(t.spark, "stream-state")).awaitTermination()
     return path
 
 
-@query("st3_stream_index", f"WITH {CHUNKS} SELECT namespace, count(DISTINCT page_content) AS chunks FROM chunks GROUP BY namespace")
+@query("st3_stream_index", f"WITH RECURSIVE {SPLIT_CHUNKS} SELECT namespace, count(DISTINCT page_content) AS chunks FROM chunks GROUP BY namespace")
 def _(t: Tables) -> DataFrame:
     return ix.read_index(t.spark, _streamed_index(t)).groupBy("namespace").agg(F.count("*").alias("chunks"))
 
 
 @query("st4_changed_since", f"""
-WITH {CHUNKS} SELECT true AS changed_at_first, false AS changed_again, count(*) AS chunks FROM (SELECT DISTINCT namespace, page_content FROM chunks)""")
+WITH RECURSIVE {SPLIT_CHUNKS} SELECT true AS changed_at_first, false AS changed_again, count(*) AS chunks FROM (SELECT DISTINCT namespace, page_content FROM chunks)""")
 def _(t: Tables) -> DataFrame:
     path = _streamed_index(t)
     changed, version = po.changed_since(t.spark, path, 0)
