@@ -217,7 +217,8 @@ def _(t: Tables) -> DataFrame:
 @query("j6_attach_scores", f"""
 WITH RECURSIVE {_TEXT_HITS} SELECT qid, rank - 1 AS idx, chunk_id, round(score, 6) AS relevance_score FROM pairs""")
 def _(t: Tables) -> DataFrame:
-    hits = rt.retrieve_rerank(_chunk_index(t), _bench_queries(t), scorer=None).withColumn("idx", (c("rank") - 1).cast("bigint"))
+    hits = materialized(rt.retrieve_rerank(_chunk_index(t), _bench_queries(t), scorer=None), "hits")
+    hits = hits.withColumn("idx", (c("rank") - 1).cast("bigint"))
     answer = hits.select("qid", "idx", F.round(se.set_cosine(se.word_set(c("query")), se.word_set(c("page_content"))), 6).alias("relevance_score"))
     return se.attach_scores(hits.select("qid", "idx", "chunk_id"), answer, ["qid", "idx"])
 

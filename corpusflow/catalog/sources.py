@@ -30,7 +30,8 @@ def _(t: Tables) -> DataFrame:
     t("documents").select("doc_id", "text").write.option("maxRecordsPerFile", 1_000).json(path)
     files = sf.scan_files(t.spark, path)
     lines = files.select(F.explode(F.split(F.regexp_replace("page_content", r"\n\z", ""), "\n")).alias("line"))
-    return lines.select(F.from_json("line", "doc_id long, text string").alias("d")).select("d.doc_id", "d.text")
+    # a writer may leave an empty file behind, which is an empty document
+    return lines.where("line <> ''").select(F.from_json("line", "doc_id long, text string").alias("d")).select("d.doc_id", "d.text")
 
 
 _UPLOADS = "source || '/' || doc_id || CASE lang WHEN 'en' THEN '.txt' WHEN 'fr' THEN '.PDF' WHEN 'es' THEN '.md' ELSE '.json' END"

@@ -7,8 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions.changes import strip_ansi
-from corpusflow.operators.ordering import (block_rows, group_limit, joined_text, largest_group, number_rows, top_rows,
-                                           with_blocks)
+from corpusflow.operators.ordering import block_rows, group_limit, joined_text, largest_group, top_rows, with_blocks
 from corpusflow.session import materialized
 
 # Lines around a warning, lines kept of a failed job, samples per job.
@@ -103,10 +102,13 @@ def _carry_over(blocks: DataFrame, job: str) -> DataFrame:
     return blocks.join(carried, [job, "_block"])
 
 
-def _context_blocks(lines: DataFrame, matches: Column, job: str, n: str, line: str) -> DataFrame:
-    """``(job, _block, windows)``: the windows around matches, greedily picked, per block."""
+def _context_blocks(lines: DataFrame, matches: Column, job: str, n: str, line: str, longest: int) -> DataFrame:
+    """``(job, _block, windows)``: the windows around matches, greedily picked, per block.
+
+    No job has more than ``longest`` lines.
+    """
     size = block_rows(lines)
-    several = largest_group(lines, [job]) > size
+    several = longest > size
     base = with_blocks(lines.select(job, n, line, matches.alias("_hit")), n, CONTEXT_LINES, CONTEXT_LINES - 1) if several \
         else lines.select(job, n, line, matches.alias("_hit"), F.lit(0).cast("bigint").alias("_block"), F.lit(True).alias("_home"))
     around = Window.partitionBy(job, "_block").orderBy(n).rowsBetween(-CONTEXT_LINES, CONTEXT_LINES - 1)
@@ -133,7 +135,8 @@ def log_context(lines: DataFrame, matches: Column, job: str = "job", n: str = "n
     The search goes on behind a window, so a match within its range opens no window of its
     own; a window may reach back into the one before.
     """
-    return _context_blocks(lines, matches, job, n, line).select(job, F.explode("windows").alias("w")).select(job, "w.*")
+    blocks = _context_blocks(lines, matches, job, n, line, largest_group(lines, [job]))
+    return blocks.select(job, F.explode("windows").alias("w")).select(job, "w.*")
 
 
 def warning_line(line: Column) -> Column:
@@ -149,7 +152,7 @@ def job_summary(jobs: DataFrame, lines: DataFrame, matches: Column, job: str = "
     state = jobs.select(job, status)
     flagged = lines.join(state, job)
     failed = F.col(status) == FAILED
-    blocks = _context_blocks(flagged.where(~failed), matches, job, n, line).select(
+    blocks = _context_blocks(flagged.where(~failed), matches, job, n, line, largest_group(lines, [job])).select(
         job, F.col("_block").alias("_place"), F.size("windows").cast("bigint").alias("_count"),
         F.slice("windows.context", 1, SAMPLES).alias("_sample"))
     for width in (_MERGE, None):  # many blocks of one job are merged in two steps

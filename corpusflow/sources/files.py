@@ -22,12 +22,12 @@ TEXT_TYPES = [".txt", ".json", ".yaml", ".yml"]
 
 def scan_files(spark: SparkSession, path: str, exts: Sequence[str] = tuple(TEXT_TYPES)) -> DataFrame:
     """Each file of the given types is one document; no file at all is an error."""
+    require_rows(read_tree(spark, path, exts, content=False), f"no document found in {path}")
     files = read_tree(spark, path, exts)
     source = F.concat(F.lit(path.rstrip("/") + "/"), "path")
     # bytes that are not UTF-8 are replaced, so that one bad file does not lose the others
-    docs = files.select(F.make_valid_utf8(F.col("content").cast("string")).alias("page_content"),
+    return files.select(F.make_valid_utf8(F.col("content").cast("string")).alias("page_content"),
                         F.create_map(F.lit("source"), source).alias("metadata"), source.alias("source"))
-    return require_rows(docs, f"no document found in {path}")
 
 
 def filter_uploads(df: DataFrame, exts: Sequence[str] = tuple(UPLOAD_TYPES), max_mb: int = UPLOAD_MAX_MB,

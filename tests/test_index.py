@@ -123,3 +123,14 @@ def test_metadata_is_part_of_identity(spark):
                                "page_content string, metadata map<string,string>")
     keys = [r.key for r in ix.fingerprint(df).collect()]
     assert keys[0] == keys[1] != keys[2]
+
+
+def test_a_cluster_must_name_its_shared_folder():
+    from types import SimpleNamespace
+
+    from corpusflow.session import shared_dir
+    used = []
+    context = SimpleNamespace(master="spark://host:1", getCheckpointDir=lambda: used[-1] if used else None, setCheckpointDir=used.append)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf={}))
+    assert shared_dir(SimpleNamespace(sparkContext=context, conf={"spark.checkpoint.dir": "hdfs://x/scratch"})) == "hdfs://x/scratch"
