@@ -5,7 +5,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corpusflow.session import read_spread
+from corpusflow.session import read_spread, ship_package
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -15,6 +15,7 @@ def query(name: str, sql: str | None = None):
     """Register ``fn(table) -> DataFrame``; ``table(name)`` reads one of the given tables."""
     def register(fn):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            ship_package(spark)
             return fn(Tables(spark, sf_dir))
         QUERIES[name] = run
         if sql is not None:

@@ -9,6 +9,8 @@ from corpusflow.sources.web import page_links
 
 # How deep a crawl follows links.
 MAX_DEPTH = 10
+# A group tree deeper than this is taken for a cycle.
+MAX_GROUP_DEPTH = 100
 
 
 def expand_groups(groups: DataFrame, subgroups: DataFrame, projects: DataFrame) -> DataFrame:
@@ -19,13 +21,15 @@ def expand_groups(groups: DataFrame, subgroups: DataFrame, projects: DataFrame)
     """
     level = groups.select(F.col("group").alias("root"), "group")
     members = level
-    while True:
+    for _ in range(MAX_GROUP_DEPTH):
         below = (level.withColumnRenamed("group", "parent").join(subgroups.select("parent", "group"), "parent")
                  .select("root", "group"))
         level = materialized(below, "level")
         if level.isEmpty():
             break
         members = members.unionByName(level)
+    else:
+        raise ValueError("the group tree has a cycle")
     return members.join(projects.select("group", "project"), "group").select("root", "project")
 
 

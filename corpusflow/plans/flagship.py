@@ -4,12 +4,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from corpusflow.functions.vectors import embed
-from corpusflow.session import read_spread
+from corpusflow.session import read_spread, ship_package
 from corpusflow.plans.retrieve import context_of_hits, document_chunks, embedded_queries, retrieve_rerank
 
 
 def cited_answers(spark: SparkSession, folder: str, recursive: bool = True) -> DataFrame:
     """``(qid, context, sources)`` for every passage of ``benchmark`` over all of ``documents``."""
+    ship_package(spark)
     docs = read_spread(spark, f"{folder}/documents.parquet", "doc_id")
     questions = spark.read.parquet(f"{folder}/benchmark.parquet")
     index = embed(document_chunks(docs, recursive), "page_content")
