@@ -69,18 +69,18 @@ def _number_ranged(df, keys, order, name):
     # written table fixes both before they are read twice.
     placed = materialized(
         df.repartitionByRange(*cols).sortWithinPartitions(*cols)
-        .withColumn("_id", F.monotonically_increasing_id())
-        .withColumn("_p", F.shiftright("_id", 33)), "placed")
+        .withColumn("__row", F.monotonically_increasing_id())
+        .withColumn("__part", F.shiftright("__row", 33)), "placed")
     # one row per group and partition, however large the group is
-    counts = placed.groupBy(*keys, "_p").agg(F.min("_id").alias("_first"), F.count("*").alias("_rows"))
-    before = Window.partitionBy(*keys).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
-    counts = counts.select(*keys, "_p", "_first", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"))
+    counts = placed.groupBy(*keys, "__part").agg(F.min("__row").alias("__first"), F.count("*").alias("__rows"))
+    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*keys, "__part", "__first", F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__before"))
     if keys:
         null_safe = [placed[k].eqNullSafe(counts[k]) for k in keys]
-        joined = placed.join(counts, [*null_safe, placed["_p"] == counts["_p"]]).drop(*[counts[k] for k in keys], counts["_p"])
+        joined = placed.join(counts, [*null_safe, placed["__part"] == counts["__part"]]).drop(*[counts[k] for k in keys], counts["__part"])
     else:
-        joined = placed.join(counts, "_p")
-    return joined.withColumn(name, F.col("_id") - F.col("_first") + F.col("_before")).drop("_id", "_p", "_first", "_before")
+        joined = placed.join(counts, "__part")
+    return joined.withColumn(name, F.col("__row") - F.col("__first") + F.col("__before")).drop("__row", "__part", "__first", "__before")
 
 
 def with_blocks(df: DataFrame, n: str, before: int = 0, after: int = 0) -> DataFrame:

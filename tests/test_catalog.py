@@ -26,21 +26,59 @@ def _plain(x):
     return round(x, 6) + 0.0 if isinstance(x, float) and not math.isnan(x) else x
 
 
-@pytest.mark.parametrize("name", sorted(entry_points.queries()))
-def test_query(spark, oracle, name):
+def _check(spark, oracle, name):
     df = entry_points.queries()[name](spark, FOLDER)
     columns = sorted(df.columns)
     rows = sorted((tuple(_plain(r[k]) for k in columns) for r in df.collect()), key=_key)
-    sql = entry_points.oracle_sql().get(name)
-    if sql is None:
-        assert rows
-        return
-    result = oracle.execute(sql)
+    result = oracle.execute(entry_points.oracle_sql()[name])
     names = [d[0] for d in result.description]
     assert sorted(names) == columns
     want = sorted((tuple(_plain(r[names.index(k)]) for k in columns) for r in result.fetchall()), key=_key)
     assert rows == want
 
 
+@pytest.mark.parametrize("name", sorted(entry_points.queries()))
+def test_query(spark, oracle, name):
+    _check(spark, oracle, name)
+
+
+@pytest.mark.parametrize("name", ["w1_chat_history", "w4_log_section", "w5_log_tail", "w6_log_context", "w7_merge_positions", "w8_with_ordinal",
+                                  "a2_citations", "a4_job_summary", "u2_merge_indexes"])
+def test_query_with_every_group_hot(spark, oracle, tight, name):
+    _check(spark, oracle, name)
+
+
+@pytest.mark.parametrize("name", ["q1_search", "q5_retrieve_rerank", "j5_within_radius"])
+def test_query_with_many_blocks(spark, oracle, name):
+    settings = {"spark.corpusflow.broadcastQueries": "10", "spark.corpusflow.blockQueries": "64", "spark.corpusflow.blockVectors": "100"}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        _check(spark, oracle, name)
+    finally:
+        for key in settings:
+            spark.conf.unset(key)
+
+
+# query -> (keys, text, what stands between parts)
+IN_PARTS = {
+    "a1_format_context": (["source"], "context", "\n"), "a7_mr_report": (["mr"], "report", "\n"), "a9_issue_report": (["key"], "report", "\n"),
+    "a12_render_trace": (["user_id"], "trace", ""), "a12_tool_list": ([], "tools", "\n"), "j9_with_comments": (["key"], "comments", "\n"),
+}
+
+
+@pytest.mark.parametrize("name", sorted(IN_PARTS))
+def test_parts_put_together_are_the_whole_text(spark, oracle, tight, name):
+    keys, text, between = IN_PARTS[name]
+    got = {}
+    for r in entry_points.queries()[name](spark, FOLDER).orderBy(*keys, "part").collect():
+        got.setdefault(tuple(r[k] for k in keys), []).append(r[text])
+    result = oracle.execute(entry_points.oracle_sql()[name])
+    names = [d[0] for d in result.description]
+    want = {tuple(r[names.index(k)] for k in keys): r[names.index(text)] for r in result.fetchall()}
+    assert {k: between.join(v) for k, v in got.items()} == want
+    assert any(len(v) > 1 for v in got.values())
+
+
 def test_names():
-    assert set(entry_points.oracle_sql()) <= set(entry_points.queries())
+    assert set(entry_points.oracle_sql()) == set(entry_points.queries())
