@@ -25,8 +25,22 @@ _tokenizers: dict[str, object] = {}
 def _classes() -> np.ndarray:
     """The class of every code point: letter, number, white space or (0) anything else."""
     if not _tables:
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        def pieces(text: str) -> int:
+            return len(pre.pre_tokenize_str(text))
+
         kinds = {"L": LETTER, "N": NUMBER}
         table = np.array([kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
+        other = np.zeros(0x110000, np.uint8)
+        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for match in regex.finditer(pattern, every):
+                other[ord(match[0][0]):ord(match[0][-1]) + 1] = kind
+        other[0xD800:0xE000] = 0
+        pre = ByteLevel(add_prefix_space=False)
+        for c in np.flatnonzero(table != other).tolist():  # two versions of Unicode differ: the tokenizer decides
+            table[c] = LETTER if pieces("a" + chr(c)) == 1 else NUMBER if pieces("1" + chr(c)) == 1 else 0
         table[[ord(c) for c in _BLANKS]] = SPACE
         _tables.append(table)
     return _tables[0]
