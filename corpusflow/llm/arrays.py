@@ -105,6 +105,11 @@ def span_hashes(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.
     return mix((prefix[ends] - prefix[starts]) * back[starts] + (ends - starts).astype(np.uint64) * _C[3])
 
 
+def window_hashes(prefix: np.ndarray, width: int) -> np.ndarray:
+    """Hashes of every window of ``width`` bytes."""
+    return mix((prefix[width:] - prefix[:-width]) * _power(_UNBASE, len(prefix) - width))
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a text or binary column; null counts as empty."""
     if column.null_count:

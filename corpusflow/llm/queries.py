@@ -3,8 +3,9 @@ from __future__ import annotations
 
 import public_tokenizers
 
+import corpus_pipeline
 from corpusflow.catalog.base import query
-from corpusflow.llm import bpe, decontaminate, language, main_text, quality, secret_scan, token_count, url_filter
+from corpusflow.llm import bpe, decontaminate, jaccard_join, language, main_text, quality, secret_scan, suffix_dedup, token_count, url_filter
 
 
 @query("op1_secret_scans")
@@ -72,3 +73,40 @@ def op8_bpe_round_trip(table):
         return bpe.round_trip(table("documents"), f.read())
 
 
+
+
+@query("op9_jaccard_join", """
+WITH RECURSIVE words AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+shingles AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 3], ' ') AS s FROM (
+  SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 1) + 1)) AS i FROM words WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM shingles GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS common FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL),
+links AS (SELECT x, y FROM pairs JOIN sizes p ON p.doc_id = x JOIN sizes q ON q.doc_id = y WHERE 100 * common >= 85 * (p.n + q.n - common)),
+ends AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(doc_id, other) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, b.y FROM reach r JOIN ends b ON b.x = r.other)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, least AS component_id
+FROM documents d LEFT JOIN sizes USING (doc_id) JOIN (SELECT doc_id, min(other) AS least FROM reach GROUP BY doc_id) USING (doc_id)""")
+def op9_jaccard_join(table):
+    return jaccard_join.jaccard_components(table("documents"))
+
+
+@query("op10_suffix_dedup", """
+WITH bytes AS (SELECT doc_id, encode(coalesce(text, '')) AS b, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+strings AS (SELECT doc_id, i, md5(hex(b[i:i + 199])) AS s FROM (SELECT doc_id, b, unnest(range(1, n - 198)) AS i FROM bytes WHERE n >= 200)),
+twice AS (SELECT s FROM strings GROUP BY s HAVING count(*) > 1),
+starts AS (SELECT doc_id, i FROM strings SEMI JOIN twice USING (s)),
+marked AS (SELECT doc_id, i, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM starts),
+runs AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS k FROM marked) GROUP BY doc_id, k),
+gaps AS (SELECT doc_id, sum(z - a) AS n_removed, count(*) AS n_spans,
+  list_prepend(1, list(z ORDER BY a)) AS froms, list(a ORDER BY a) AS tos FROM runs GROUP BY doc_id)
+SELECT b.doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  CASE WHEN froms IS NULL THEN sha256(b.b) ELSE sha256(unhex(array_to_string(list_transform(list_zip(froms, list_append(tos, n + 1)), lambda x: hex(b.b[x[1]:x[2] - 1])), ''))) END AS kept_sha256
+FROM bytes b LEFT JOIN gaps USING (doc_id)""")
+def op10_suffix_dedup(table):
+    return suffix_dedup.remove_repeats(table("documents"))
+
+
+@query("pipeline", corpus_pipeline.ORACLE_SQL)
+def pipeline(table):
+    return corpus_pipeline.run(table.spark, table.folder)
