@@ -132,7 +132,8 @@ def _tokenizer(vocabulary: str):
 def word_encoder(vocabulary: str):
     """Ids of distinct words; ``vocabulary`` is the content of a vocabulary file."""
     def encode(words: list[bytes]) -> tuple:
-        found = [_tokenizer(vocabulary).encode(w.decode(), add_special_tokens=False).ids for w in words]
+        tokenizer = _tokenizer(vocabulary)  # looked up once: its key is the whole file
+        found = [tokenizer.encode(w.decode(), add_special_tokens=False).ids for w in words]
         return np.array(list(map(len, found)), np.uint32), np.array([i for ids in found for i in ids], np.int32)
 
     return encode
