@@ -2,17 +2,15 @@
 
 Documents are sets of word shingles under the Jaccard distance. Almost all pairs of a corpus are at
 distance 1, where a pivot tells nothing, so documents are first parted into *clusters* that no link
-crosses: the shingles fall into m classes by hash; two linked sets differ in fewer than m of them, so they
-agree on a whole class, and sets that agree on a class are put into one cluster. Inside a cluster
-distances are informative. There pivots are chosen, every set goes to the region of its nearest pivot and
+crosses: the shingles fall into m classes by hash; two linked sets differ in at most d of them, so they
+agree on m - d whole classes. A set that shares fewer classes with any others has no link and is left
+out; the rest that agree on a class are put into one cluster. Inside a cluster distances are informative. There pivots are chosen, every set goes to the region of its nearest pivot and
 into those windows where d(x, pivot) <= d(x, nearest) + 2r, which by the triangle inequality brings
 every linked pair together in a region; regions are joined in the same way again. A cluster too large for
 one task is split into regions as a Spark job, one that fits is worked through in its task.
 """
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -25,7 +23,7 @@ from corpusflow.session import materialized
 
 WIDTH, PERCENT = 4, 85
 #: Bytes of shingles one task joins at a time.
-REGION_BYTES = 24_000_000
+REGION_BYTES = 8_000_000
 PIVOTS = 8
 #: Sets that are compared pair by pair.
 LEAF = 12
@@ -56,49 +54,53 @@ def shingle_sets(column: pa.Array, width: int = WIDTH) -> tuple[np.ndarray, np.n
     return np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=texts.n))]), values
 
 
-def bands(percent: int, limit: int = 1 << 40) -> list[tuple[int, int, int, int]]:
-    """Size bands (least size, largest size, classes, empty classes allowed) that linked sets of both share.
+def bands(percent: int, limit: int) -> list[tuple[int, int, int, int]]:
+    """Size bands (least size, largest size, classes, classes that may differ) that linked sets of both share.
 
-    Sets of sizes s <= l link only if they differ in at most (s + l)(1 - t) / (1 + t) shingles, so with one
-    class more than that they agree on one. Classes that are empty in both tell nothing; as many more
-    are added as may be empty before a set has to use them too.
+    Sets of sizes s <= l link only if they differ in at most (s + l)(1 - t) / (1 + t) shingles, so in no more
+    classes. A quarter more classes make for agreements that chance does not bring; two more
+    let a few be empty.
     """
     out, least = [], 1
     while least <= limit:
-        largest = max(least, least * 3 // 2 if least > 6 else math.floor(least * 100 / percent))
+        largest = max(least, least * 3 // 2 if least > 6 else least * 100 // percent)
         differ = 2 * largest * (100 - percent) // (100 + percent)
-        spare = 2 + differ // 32
-        out.append((least, largest, differ + 1 + spare, spare))
+        out.append((least, largest, differ + differ // 4 + 3, differ))
         least = largest + 1
     return out
 
 
-def signatures(offsets: np.ndarray, values: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the classes of each set, for its own size band and those of larger sets it may link with."""
+def signatures(offsets: np.ndarray, values: np.ndarray, percent: int = PERCENT) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Hashes of the classes of each set, for its own size band and those of larger sets it may link with.
+
+    Per band: its number, the sets, how many shared signatures a linked set has at least, where each set's
+    signatures begin, and the signatures. Empty classes tell nothing and are left out, unless a set
+    has so many that the agreements might all be empty.
+    """
     sizes = np.diff(offsets)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     spread = mix(values ^ np.uint64(0x5851F42D4C957F2D))
     low, high = (spread & np.uint64(0xFFFFFFFF)).astype(np.float64), (spread >> np.uint64(32)).astype(np.float64)
-    out_doc, out_sig = [], []
-    for band, (least, largest, classes, spare) in enumerate(bands(percent, int(sizes.max(initial=0)) * 100 // percent + 1)):
+    out = []
+    for band, (least, largest, classes, differ) in enumerate(bands(percent, int(sizes.max(initial=0)) * 100 // percent + 1)):
         inside = (sizes <= largest) & (sizes * 100 >= least * percent) & (sizes > 0)
-        docs = np.flatnonzero(inside)
-        if not len(docs) or not (2 * largest * (100 - percent) // (100 + percent)):
+        sets = np.flatnonzero(inside)
+        if not len(sets) or not differ:
             continue  # so small that only equal sets link
         row = np.cumsum(inside) - 1
         take = inside[owner]
         cell = row[owner[take]] * classes + (((values[take] >> np.uint64(32)) * np.uint64(classes)) >> np.uint64(32)).astype(np.int64)
-        width = len(docs) * classes
+        width = len(sets) * classes
         # sums modulo 2**64 from two halves, each exact in a double
         total = (np.bincount(cell, high[take], width).astype(np.uint64) << np.uint64(32)) + np.bincount(cell, low[take], width).astype(np.uint64)
         full = np.bincount(cell, minlength=width).reshape(-1, classes) > 0
-        use = full | ((~full).sum(1) > spare)[:, None]
+        filled = full.sum(1)
+        use = full | (filled <= differ)[:, None]
         who, which = np.nonzero(use)
-        out_doc.append(docs[who])
-        out_sig.append(combine(np.full(len(who), band), which, total.reshape(-1, classes)[use]))
-    if not out_doc:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(out_doc), np.concatenate(out_sig)
+        # of a set's full classes all but ``differ`` agree; one that uses empty ones shares one at least
+        out.append((band, sets, np.maximum(filled - differ, 1), np.concatenate([[0], np.cumsum(use.sum(1))]),
+                    combine(np.full(len(who), band), which, total.reshape(-1, classes)[use])))
+    return out
 
 
 def _set_ids(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
@@ -109,43 +111,73 @@ def _set_ids(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(sizes > 0, np.where(ids == 0, 1, ids), 0).astype(np.uint64).view(np.int64)
 
 
+_SETS = "doc_id {0}, n_shingles long, set_id long, first boolean, band int, need int, sigs array<long>"
+
+
 def _read_sets(width: int, percent: int):
+    """A row per document (``first``) and one per size band of it, with its signatures."""
     def rows(batches):
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for a, b in slices(column):
                 offsets, values = shingle_sets(column.slice(a, b - a), width)
-                doc, sig = signatures(offsets, values, percent)
-                order = np.argsort(doc, kind="stable")
-                places = np.concatenate([[0], np.cumsum(np.bincount(doc, minlength=b - a))])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(a, b - a), pa.array(np.diff(offsets)), pa.array(_set_ids(offsets, values)),
-                     pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(sig[order].view(np.int64)))],
-                    ["doc_id", "n_shingles", "set_id", "sigs"])
+                own, sizes, names = ids.slice(a, b - a), np.diff(offsets), _set_ids(offsets, values)
+                n = b - a
+                none = pa.nulls(n, pa.int32())
+                yield pa.RecordBatch.from_arrays([own, pa.array(sizes), pa.array(names), pa.array(np.ones(n, bool)), none, none, pa.nulls(n, pa.list_(pa.int64()))],
+                                                 ["doc_id", "n_shingles", "set_id", "first", "band", "need", "sigs"])
+                for band, sets, need, places, sigs in signatures(offsets, values, percent):
+                    n = len(sets)
+                    yield pa.RecordBatch.from_arrays(
+                        [own.take(pa.array(sets)), pa.array(sizes[sets]), pa.array(names[sets]), pa.array(np.zeros(n, bool)), pa.array(np.full(n, band, np.int32)),
+                         pa.array(need.astype(np.int32)), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(sigs.view(np.int64)))],
+                        ["doc_id", "n_shingles", "set_id", "first", "band", "need", "sigs"])
 
     return rows
 
 
-def _neighbours(batches):
-    """Pairs (set, first set with the same signature) of a partition that holds signatures side by side.
+def _shared(batches):
+    """Signatures that several sets have, from a partition that holds equal ones side by side.
 
-    The first and last signature may go on in another partition: ``border`` tells their first sets.
+    What the partition's edges cut counts as shared. A set is named once per signature.
     """
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    table = pa.Table.from_batches(batches)
     sig, sets = (np.asarray(table.column(i).combine_chunks()) for i in range(2))
     order = np.lexsort((sets, sig))
     sig, sets = sig[order], sets[order]
     new = np.ones(len(sig), bool)
-    new[1:] = sig[1:] != sig[:-1]
-    head = sets[np.flatnonzero(new)[np.cumsum(new) - 1]]
-    pair = np.unique(np.column_stack([sets, head])[sets != head], axis=0) if (sets != head).any() else np.zeros((0, 2), np.int64)
-    ends = sorted({0, int(np.flatnonzero(new)[-1])})
-    a = np.concatenate([pair[:, 0], head[ends]])
-    b = np.concatenate([pair[:, 1], sig[ends]])
-    border = np.concatenate([np.zeros(len(pair), bool), np.ones(len(ends), bool)])
-    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(border)], ["a", "b", "border"])
+    new[1:] = (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1])
+    order, sig = order[new], sig[new]
+    first = np.ones(len(sig), bool)
+    first[1:] = sig[1:] != sig[:-1]
+    group = np.cumsum(first) - 1
+    keep = (np.bincount(group)[group] > 1) | (sig == sig[0]) | (sig == sig[-1])
+    yield from table.select(["sig", "set_id", "tag"]).take(pa.array(order[keep])).to_batches()
+
+
+def _clusters(sets: DataFrame) -> DataFrame:
+    """(node, root) of the sets that may have a link; linked ones have the same root."""
+    spark = sets.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # ranges of (signature, set, tag) also split a signature that very many sets share, and a set of very many copies
+    salt = F.shiftleft(F.pmod(F.xxhash64("doc_id"), F.lit(64)), 56)
+    rows = sets.where("not first and doc_id is not null").select(
+        F.explode("sigs").alias("sig"), "set_id", (salt + F.shiftleft(F.col("band").cast("long"), 40) + F.col("need")).alias("tag"))
+    shared = rows.repartitionByRange(parts, "sig", "set_id", "tag").mapInArrow(_shared, "sig long, set_id long, tag long")
+    shared = materialized(shared.select("sig", "set_id", F.shiftright("tag", 40).bitwiseAND(F.lit(0xFFFF)).alias("band"),
+                                        F.col("tag").bitwiseAND(F.lit((1 << 40) - 1)).alias("need")), "shared")
+    for _ in range(2):
+        # sets that share enough with others; then, without the rest, again
+        enough = shared.groupBy("set_id", "band").agg(F.count("*").alias("_n"), F.max("need").alias("_need")).where("_n >= _need").select("set_id", "band")
+        shared = shared.join(enough, ["set_id", "band"], "left_semi")
+        several = shared.groupBy("sig").agg(F.min("set_id").alias("head"), F.max("set_id").alias("_last")).where("head <> _last").select("sig", "head")
+        shared = materialized(shared.join(several, "sig").select("sig", "set_id", "band", "need", "head"), "shared")
+        heads = shared.where("set_id <> head").select(F.col("set_id").alias("a"), F.col("head").alias("b"))
+        shared = shared.drop("head")
+    return components(heads)
 
 
 class Region:
@@ -272,35 +304,33 @@ def _join_groups(percent: int, group: str):
 
 
 def _to_regions(percent: int):
-    """Links with pivots, and the regions and windows of each set, from rows (region, set_id, codes, pivots)."""
+    """Links with pivots, and the regions and windows of each set, from a part of a region's sets and its pivots."""
     radius = 1 - percent / 100
 
-    def rows(batches):
-        for batch in batches:
-            out: dict[str, list] = {k: [] for k in ("kind", "region", "set_id", "other", "linked", "codes")}
-            names, ids, codes, pivots = (batch.column(i).to_pylist() for i in range(4))
-            for name, own, raw, others in zip(names, ids, codes, pivots, strict=True):
-                mine = np.frombuffer(raw, np.uint64)
-                distance, linked = [], []
-                for p in others:
-                    theirs = np.frombuffer(p["codes"], np.uint64)
-                    common = len(np.intersect1d(mine, theirs, assume_unique=True))
-                    union = len(mine) + len(theirs) - common
-                    distance.append(1 - common / union)
-                    linked.append(100 * common >= percent * union)
-                    if linked[-1] and p["set_id"] != own:
-                        for column, value in zip(out, (0, name, own, p["set_id"], True, None), strict=True):
-                            out[column].append(value)
-                if own in [p["set_id"] for p in others]:
-                    continue  # settled
-                for k, d in enumerate(distance):
-                    if d <= min(distance) + 2 * radius + 1e-9:
-                        for column, value in zip(out, (1, f"{name}/{k}", own, others[k]["set_id"], linked[k], raw), strict=True):
-                            out[column].append(value)
-            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True)], list(out))
+    def work(members: pa.Table, chosen: pa.Table) -> pa.Table:
+        out: dict[str, list] = {k: [] for k in ("kind", "region", "set_id", "other", "linked", "codes")}
+        pivots = [(i, np.frombuffer(c, np.uint64)) for i, c in sorted(zip(*(chosen.column(k).to_pylist() for k in ("set_id", "codes")), strict=True))]
+        names = {i for i, _ in pivots}
+        for name, own, codes in zip(*(members.column(k) for k in ("region", "set_id", "codes")), strict=True):
+            name, own, raw = name.as_py(), own.as_py(), codes.as_py()
+            mine = np.frombuffer(raw, np.uint64)
+            distance, linked = [], []
+            for other, theirs in pivots:
+                common = len(np.intersect1d(mine, theirs, assume_unique=True))
+                union = len(mine) + len(theirs) - common
+                distance.append(1 - common / union)
+                linked.append(100 * common >= percent * union)
+                if linked[-1] and other != own:
+                    for column, value in zip(out, (0, name, own, other, True, None), strict=True):
+                        out[column].append(value)
+            for k, d in enumerate(distance) if own not in names else ():  # pivots are settled
+                if d <= min(distance) + 2 * radius + 1e-9:
+                    for column, value in zip(out, (1, f"{name}/{k}", own, pivots[k][0], linked[k], raw), strict=True):
+                        out[column].append(value)
+        kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
+        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
 
-    return rows
+    return work
 
 
 def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -> DataFrame:
@@ -311,9 +341,13 @@ def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -
     while not members.isEmpty():
         rounds += 1
         order = W.partitionBy("region").orderBy(F.xxhash64("set_id", F.lit(rounds)), "set_id")
-        chosen = (members.select("region", "set_id", "codes").withColumn("_nr", F.row_number().over(order)).where(F.col("_nr") <= pivots)
-                  .groupBy("region").agg(F.sort_array(F.collect_list(F.struct("set_id", "codes"))).alias("pivots")))
-        told = materialized(members.join(chosen, "region").select("region", "set_id", "codes", "pivots").mapInArrow(
+        chosen = materialized(members.select("region", "set_id", "codes").withColumn("_nr", F.row_number().over(order)).where(F.col("_nr") <= pivots), "pivots")
+        # a region's sets are dealt to parts that fit a task, each of which gets the pivots
+        parts = materialized(members.groupBy("region").agg(F.ceil(4 * F.sum(F.length("codes")) / limit).alias("_parts")), "parts")
+        left = members.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("_parts")))
+        right = chosen.join(parts, "region").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
+        told = materialized(left.select("region", "part", "set_id", "codes").groupBy("region", "part").cogroup(
+            right.select("region", "part", "set_id", "codes").groupBy("region", "part")).applyInArrow(
             _to_regions(percent), "kind int, region string, set_id long, other long, linked boolean, codes binary"), "regions")
         links.append(told.where("kind = 0").select(F.col("set_id").alias("a"), F.col("other").alias("b")))
         parts = told.where("kind = 1").select("region", "set_id", "linked", "codes")
@@ -357,16 +391,10 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = materialized(docs.select("doc_id", "text").mapInArrow(
-        _read_sets(width, percent), f"doc_id {kind}, n_shingles long, set_id long, sigs array<long>"), "sets")
+    sets = materialized(docs.select("doc_id", "text").mapInArrow(_read_sets(width, percent), _SETS.format(kind)), "sets")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ranges of (signature, set, salt) also split a signature that very many sets share, and a set of very many copies
-    near = materialized(sets.where("doc_id is not null").select(F.explode("sigs").alias("sig"), "set_id", F.pmod(F.xxhash64("doc_id"), F.lit(64)).alias("salt"))
-                        .repartitionByRange(parts, "sig", "set_id", "salt").mapInArrow(_neighbours, "a long, b long, border boolean"), "near")
-    border = near.where("border").select(F.col("a").alias("head"), F.col("b").alias("sig"))
-    stitched = border.join(border.groupBy("sig").agg(F.min("head").alias("least")), "sig").where("head <> least").select(
-        F.col("head").alias("a"), F.col("least").alias("b"))
-    clusters = components(near.where("not border").select("a", "b").unionByName(stitched))  # node, root
+    clusters = _clusters(sets)
+    sets = sets.where("first").select("doc_id", "n_shingles", "set_id")
 
     # one text per set of a cluster
     asked = (sets.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
