@@ -11,6 +11,8 @@ one task is split into regions as a Spark job, one that fits is worked through i
 """
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -379,6 +381,18 @@ def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -
     return out
 
 
+@contextmanager
+def _runtime_filter(spark):
+    """Lets Spark filter the large side of a join by the keys of the small one, however small the tables are."""
+    name = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "0")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCENT, region_bytes: int = REGION_BYTES, pivots: int = PIVOTS) -> DataFrame:
     """Per row of ``docs``: doc_id, size of its shingle set and its component, named by the smallest doc_id.
 
@@ -413,13 +427,16 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
                 out = pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), ids.slice(a, b - a), pa.array(raw, pa.binary())], ["root", "set_id", "codes"])
                 yield out.filter(pa.array(same))
 
-    members = (docs.select("doc_id", "text").join(asked, "doc_id").select("set_id", "text", "root")
+    # Spark's runtime filter (a Bloom filter of 8 MB at most) leaves out most texts before the shuffle; the
+    # condition, which always holds, lets it apply
+    members = (docs.select("doc_id", "text").join(asked.where("n > 0"), "doc_id").select("set_id", "text", "root")
                .mapInArrow(codes, "root long, set_id long, codes binary").withColumn("linked", F.lit(False)))
     large = weights.where(F.col("bytes") > region_bytes).select("root")
     if large.isEmpty():
         small, links = members, None
     else:
-        members = materialized(members, "members")
+        with _runtime_filter(spark):
+            members = materialized(members, "members")
         small = members.join(large, "root", "left_anti")
         links = _links_of_large(members.join(large, "root", "left_semi").select(F.col("root").cast("string").alias("region"), "set_id", "linked", "codes"),
                                 percent, region_bytes, pivots)
@@ -429,7 +446,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     named = joined.select(F.col("a").alias("node"), F.col("b").alias("root"))  # within a task roots are final
     if links is not None:
         named = named.unionByName(components(links))
-    named = materialized(named, "components")
+    with _runtime_filter(spark):
+        named = materialized(named, "components")
     found = (sets.select("doc_id", "n_shingles", "set_id").join(named, F.col("set_id") == F.col("node"), "left")
              .withColumn("_class", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id"))))
     least = found.where("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
