@@ -107,9 +107,10 @@ def _repeated(batches):
     ``whole``: the segment occurs again as it is. ``send``: its text is asked for, one of each kind, as the
     anchor has several. What the partition's edges cut is sent as well; the shards see all of it.
     """
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    table = pa.Table.from_batches(batches)
     cols = {name: np.asarray(table.column(name).combine_chunks()) for name in table.column_names}
     order = np.lexsort((cols["k2"], cols["k1"], cols["seg"], cols["gram"]))
     cols = {k: v[order] for k, v in cols.items()}
@@ -244,9 +245,10 @@ def _merge(batches):
 
     Strings that the partition's edges cut are kept as well, to be settled by ``_edges``.
     """
-    table = pa.Table.from_batches(list(batches))
-    if not table.num_rows:
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
         return
+    table = pa.Table.from_batches(batches)
     d1, d2 = (np.asarray(table.column(c).combine_chunks()) for c in ("d1", "d2"))
     key = combine(d1.view(np.uint64), d2.view(np.uint64))
     ranked = np.sort(key)
