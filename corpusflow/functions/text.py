@@ -120,5 +120,6 @@ def tokens(c: Column) -> Column:
 
 
 def content_key(text: Column, meta: Column) -> Column:
-    """Identity of a document: its text and its metadata, whatever the order of the map."""
-    return F.sha2(F.concat(text, F.lit("\x01"), F.to_json(F.array_sort(F.map_entries(meta)))), 256)
+    """Identity of a document: its text and its metadata, whatever the order of the map; null counts as empty."""
+    entries = F.coalesce(F.to_json(F.array_sort(F.map_entries(meta))), F.lit("[]"))
+    return F.sha2(F.concat(F.coalesce(text, F.lit("")), F.lit("\x01"), entries), 256)

@@ -24,12 +24,17 @@ INDEX_SCHEMA = T.StructType([
     T.StructField("embedding", T.ArrayType(T.FloatType())),
     T.StructField("namespace", T.StringType()),
 ])
-RECORD_SCHEMA = T.StructType([
+# Stored tables are only ever appended to; ``run`` says when. A key that is gone has a row in ``gone``
+# of a later run than its chunk.
+_CHUNKS = T.StructType([*INDEX_SCHEMA.fields[:-1], T.StructField("run", T.LongType()), INDEX_SCHEMA["namespace"]])
+_RECORDS = T.StructType([
     T.StructField("key", T.StringType()),
     T.StructField("group_id", T.StringType()),
     T.StructField("updated_at", T.TimestampType()),
+    T.StructField("run", T.LongType()),
     T.StructField("namespace", T.StringType()),
 ])
+_GONE = T.StructType([T.StructField("key", T.StringType()), T.StructField("run", T.LongType()), T.StructField("namespace", T.StringType())])
 
 
 # --- identity and change plan ------------------------------------------------------------
@@ -44,25 +49,31 @@ def distinct_documents(df: DataFrame, keys: list[str], order: list[str]) -> Data
     return first_rows(df, keys, order)
 
 
+def _named(df: DataFrame) -> DataFrame:
+    """Rows must name their namespace: a folder cannot be called null or nothing."""
+    missing = F.raise_error(F.lit("a chunk has no namespace")).cast("string")
+    return df.withColumn("namespace", F.when(F.length("namespace") > 0, F.col("namespace")).otherwise(missing))
+
+
 def plan_upsert(incoming: DataFrame, records: DataFrame, cleanup: str | None = "full",
                 namespaces: DataFrame | None = None) -> DataFrame:
     """``(namespace, key, action)`` with ``add``, ``skip`` or, in full clean-up, ``delete``.
 
     ``namespaces`` names what this run covers when ``incoming`` may be empty; recorded keys of
-    other namespaces are left alone. Both sides are reduced to distinct keys first, so equal
-    documents meet as one row.
+    other namespaces are left alone. Recorded keys are filtered where they lie by the incoming
+    ones, whose size is known, so a small run does not shuffle a large index.
     """
-    new = incoming.select("namespace", "key").distinct().withColumn("_new", F.lit(True))
-    old = records.select("namespace", "key").distinct().withColumn("_old", F.lit(True))
-    if cleanup == "full":
-        covered = incoming.select("namespace").distinct() if namespaces is None else namespaces.select("namespace").distinct()
-        joined = new.join(old.join(covered, "namespace", "left_semi"), ["namespace", "key"], "full_outer")
-    elif cleanup is None:
-        joined = new.join(old, ["namespace", "key"], "left")
-    else:
+    if cleanup not in ("full", None):
         raise ValueError(f"unknown cleanup: {cleanup}")
-    action = F.when(F.col("_new").isNull(), "delete").when(F.col("_old").isNull(), "add").otherwise("skip")
-    return joined.select("namespace", "key", action.alias("action"))
+    new = materialized(_named(incoming.select("namespace", "key").distinct()), "incoming")
+    known = materialized(records.select("namespace", "key").join(new, ["namespace", "key"], "left_semi").distinct(), "known")
+    action = F.when(F.col("_known").isNull(), "add").otherwise("skip")
+    plan = (new.join(known.withColumn("_known", F.lit(True)), ["namespace", "key"], "left")
+            .select("namespace", "key", action.alias("action")))
+    if cleanup is None:
+        return plan
+    gone = plan_deletes(records, new, cleanup, namespaces)
+    return plan.unionByName(gone.withColumn("action", F.lit("delete")))
 
 
 def plan_deletes(records: DataFrame, incoming: DataFrame, cleanup: str | None = "full",
@@ -70,10 +81,9 @@ def plan_deletes(records: DataFrame, incoming: DataFrame, cleanup: str | None =
     """Recorded keys of the covered namespaces that this run did not see."""
     if cleanup is None:
         return records.select("namespace", "key").where(F.lit(False))
-    covered = incoming.select("namespace").distinct() if namespaces is None else namespaces.select("namespace").distinct()
-    return (records.select("namespace", "key").distinct()
-            .join(covered, "namespace", "left_semi")
-            .join(incoming.select("namespace", "key").distinct(), ["namespace", "key"], "left_anti"))
+    covered = (incoming if namespaces is None else namespaces).select("namespace").distinct()
+    return (records.select("namespace", "key").join(covered, "namespace", "left_semi")
+            .join(incoming.select("namespace", "key").distinct(), ["namespace", "key"], "left_anti").distinct())
 
 
 def upsert_counts(plan: DataFrame) -> DataFrame:
@@ -85,89 +95,91 @@ def upsert_counts(plan: DataFrame) -> DataFrame:
 
 # --- storage -----------------------------------------------------------------------------
 
+def _live(rows: DataFrame, spark: SparkSession, path: str) -> DataFrame:
+    """Rows without those whose key went in a later run."""
+    gone = read_or_empty(spark, f"{path}/gone", _GONE).groupBy("namespace", "key").agg(F.max("run").alias("_gone"))
+    return rows.join(gone, (rows["namespace"] == gone["namespace"]) & (rows["key"] == gone["key"]) & (rows["run"] < gone["_gone"]), "left_anti")
+
+
 def read_index(spark: SparkSession, path: str, namespace: str | None = None) -> DataFrame:
     """The index, or one namespace of it (partition pruning); empty when there is none yet."""
-    index = read_or_empty(spark, f"{path}/chunks", INDEX_SCHEMA)
+    index = _live(read_or_empty(spark, f"{path}/chunks", _CHUNKS), spark, path).select(*INDEX_SCHEMA.fieldNames())
     return index if namespace is None else index.where(F.col("namespace") == namespace)
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """When each key was last seen in a run."""
-    return (read_or_empty(spark, f"{path}/records", RECORD_SCHEMA).groupBy("namespace", "group_id", "key")
-            .agg(F.max("updated_at").alias("updated_at")))
+    records = (read_or_empty(spark, f"{path}/records", _RECORDS).groupBy("namespace", "group_id", "key")
+               .agg(F.max("updated_at").alias("updated_at"), F.max("run").alias("run")))
+    return _live(records, spark, path).drop("run")
 
 
 def list_indexes(spark: SparkSession, path: str) -> DataFrame:
-    """Namespaces that hold rows; only the partition column is read."""
+    """Namespaces that hold rows; texts and vectors are not read."""
     return read_index(spark, path).select("namespace").distinct()
 
 
-def _spread(df: DataFrame) -> DataFrame:
+def _append(rows: DataFrame, table: str, schema: T.StructType) -> None:
     """Few files per namespace, and several for one that outgrows a partition (AQE)."""
-    return df.hint("rebalance", "namespace")
+    rows.select(*schema.fieldNames()).hint("rebalance", "namespace").write.mode("append").partitionBy("namespace").parquet(table)
 
 
-def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rewrite the namespaces that occur in ``chunks`` and leave all others, or append."""
-    rows = _spread(chunks.select(*INDEX_SCHEMA.fieldNames()))
-    writer = rows.write.mode(mode).partitionBy("namespace").option("partitionOverwriteMode", "dynamic")
-    writer.parquet(f"{path}/chunks")
+def _next_run(spark: SparkSession, path: str) -> int:
+    """A number above those of all earlier runs of the index."""
+    last = [read_or_empty(spark, f"{path}/{table}", schema).agg(F.max("run")).scalar()
+            for table, schema in (("chunks", _CHUNKS), ("gone", _GONE), ("records", _RECORDS))]
+    return spark.range(1).select(F.coalesce(F.greatest(*last), F.lit(0)) + 1).first()[0]
 
 
-def _overwrite(rows: DataFrame, table: str, emptied: DataFrame, schema: T.StructType) -> None:
-    """Swap the namespaces that occur in ``rows``; ``emptied`` ones are left with no row."""
-    _spread(rows.select(*schema.fieldNames())).write.mode("overwrite").partitionBy("namespace").option(
-        "partitionOverwriteMode", "dynamic").parquet(table)
-    fields = T.StructType([f for f in schema if f.name != "namespace"])
-    for row in emptied.toLocalIterator():  # names of whole tables that were reset
-        rows.sparkSession.createDataFrame([], fields).write.mode("overwrite").parquet(f"{table}/namespace={row[0]}")
+def write_index(chunks: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Replace the rows of the namespaces that occur in ``chunks`` and leave all others, or append."""
+    spark = chunks.sparkSession
+    run = _next_run(spark, path)
+    chunks = _named(chunks)
+    if mode == "overwrite":
+        gone = read_index(spark, path).select("namespace", "key").join(chunks.select("namespace").distinct(), "namespace", "left_semi")
+        _append(gone.distinct().withColumn("run", F.lit(run)), f"{path}/gone", _GONE)
+    _append(chunks.withColumn("run", F.lit(run)), f"{path}/chunks", _CHUNKS)
 
 
 def build_index(spark: SparkSession, path: str, chunks: DataFrame, cleanup: str | None = "full",
                 namespaces: DataFrame | None = None, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
     """Bring the index at ``path`` up to date with ``chunks`` and return the counts.
 
-    ``chunks``: namespace, chunk_id, doc_id, ord, page_content, metadata. Only new keys are
-    embedded. Namespaces that only grow are appended to; only those that lose keys are
-    rewritten. Running the same input again adds nothing.
+    ``chunks``: namespace, chunk_id, doc_id, ord, page_content, metadata; a missing namespace is an
+    error, missing text or metadata counts as empty. Chunks are worked out once, only new keys are
+    embedded, and what goes is noted, not rewritten, so a run writes as much as it changes. Running
+    the same input again adds nothing, nor does a run that died part-way harm the next.
     """
-    incoming = fingerprint(chunks)
-    stored = read_index(spark, path)
-    plan = materialized(plan_upsert(incoming, stored, cleanup, namespaces), "plan")
-
-    def keys(action):
-        return plan.where(F.col("action") == action).select("namespace", "key")
-
-    counts = plan.groupBy("namespace").agg(
-        F.count_if(F.col("action") == "delete").alias("gone"), F.count_if(F.col("action") != "delete").alias("held"))
-    gone = plan.agg(F.count_if(F.col("action") == "delete"), F.count_if(F.col("action") == "add")).first()
-    emptied = counts.where((F.col("gone") > 0) & (F.col("held") == 0)).select("namespace")
-    fresh = distinct_documents(incoming.join(keys("add"), ["namespace", "key"], "left_semi"),
-                               ["namespace", "key"], ["chunk_id"])
-    fresh = embed(fresh, "page_content", embedder=embedder).select(*INDEX_SCHEMA.fieldNames())
-    if gone[0] == 0:
-        if gone[1]:
-            write_index(fresh, path, "append")
-    else:
-        shrinking = counts.where("gone > 0").select("namespace")
-        fresh = materialized(fresh, "fresh")
-        kept = (stored.join(shrinking, "namespace", "left_semi")
-                .join(keys("delete"), ["namespace", "key"], "left_anti").select(*INDEX_SCHEMA.fieldNames()))
-        rewritten = materialized(kept.unionByName(fresh.join(shrinking, "namespace", "left_semi").select(*kept.columns)), "rewritten")
-        _overwrite(rewritten, f"{path}/chunks", emptied, INDEX_SCHEMA)
-        write_index(fresh.join(shrinking, "namespace", "left_anti"), path, "append")
-    records = plan.where(F.col("action") != "delete").select(
-        "key", F.col("namespace").alias("group_id"), F.current_timestamp().alias("updated_at"), "namespace")
-    if cleanup == "full":  # every key of a covered namespace was touched
-        _overwrite(records, f"{path}/records", emptied, RECORD_SCHEMA)
-    else:
-        _spread(records).write.mode("append").partitionBy("namespace").parquet(f"{path}/records")
+    incoming = materialized(_named(fingerprint(chunks)), "chunks")
+    plan = materialized(plan_upsert(incoming, read_index(spark, path), cleanup, namespaces), "plan")
+    run = _next_run(spark, path)
+    some = {r[0]: r[1] for r in plan.groupBy("action").count().collect()}  # three rows at most
+    stamped = plan.withColumn("run", F.lit(run))
+    if some.get("delete"):
+        _append(stamped.where("action = 'delete'"), f"{path}/gone", _GONE)
+    if some.get("add"):
+        # copies are settled on their ids; texts are only fetched for the one that stays
+        first = first_rows(incoming.select("namespace", "key", "chunk_id").join(
+            plan.where("action = 'add'").select("namespace", "key"), ["namespace", "key"], "left_semi"), ["namespace", "key"], ["chunk_id"])
+        fresh = incoming.join(first, ["namespace", "key", "chunk_id"], "left_semi").dropDuplicates(["namespace", "key"])
+        _append(embed(fresh, "page_content", embedder=embedder).withColumn("run", F.lit(run)), f"{path}/chunks", _CHUNKS)
+    if some.get("add") or some.get("skip"):
+        _append(stamped.where("action <> 'delete'").select("key", F.col("namespace").alias("group_id"), F.current_timestamp().alias("updated_at"),
+                                                           "run", "namespace"), f"{path}/records", _RECORDS)
     return upsert_counts(plan)
 
 
+def compact_index(spark: SparkSession, path: str, target: str) -> None:
+    """Write what the index at ``path`` holds to the new path ``target``, without its history."""
+    _append(read_index(spark, path).withColumn("run", F.lit(1)), f"{target}/chunks", _CHUNKS)
+    records = read_records(spark, path).withColumn("run", F.lit(1))
+    _append(records, f"{target}/records", _RECORDS)
+
+
 def build_ephemeral(chunks: DataFrame, embedder: Callable[[Column], Column] | None = None) -> DataFrame:
-    """An index for one session: embedded and kept in memory, no deduplication, not stored."""
-    return embed(chunks, "page_content", embedder=embedder).persist()
+    """An index for one session: embedded once into a scratch table, no deduplication, no record."""
+    return materialized(embed(chunks, "page_content", embedder=embedder), "ephemeral")
 
 
 def memory_save(spark: SparkSession, path: str, chunks: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -58,13 +59,14 @@ def ship_package(spark: SparkSession) -> None:
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach: ``spark.checkpoint.dir`` of the session.
 
-    Only a local-mode session may fall back to a temporary folder; on a cluster a missing
-    setting is an error, because executors could not read what others wrote.
+    Only a session whose tasks run in the driver's own process (``local``, ``local[...]``) may fall back
+    to a temporary folder; anywhere else a missing setting is an error, because executors could not
+    read what others wrote.
     """
     sc = spark.sparkContext
     path = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder shared by all executors")
         path = tempfile.mkdtemp(prefix="corpusflow-")
     if sc.getCheckpointDir() is None:
@@ -73,8 +75,14 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new, unused path below the shared folder."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new, unused path below the shared folder, in the folder of this application."""
+    return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+
+
+def free_scratch(spark: SparkSession) -> None:
+    """Remove the scratch tables of this application; results that have not been read are gone with them."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def materialized(df: DataFrame, name: str = "table") -> DataFrame:

@@ -31,7 +31,7 @@ def plan_text(df) -> str:
 @pytest.fixture
 def tight(spark):
     """Limits so small that every group counts as hot and is worked on in pieces."""
-    settings = {"spark.corpusflow.groupRows": "5", "spark.corpusflow.blockRows": "16", "spark.corpusflow.partRows": "7"}
+    settings = {"spark.corpusflow.groupRows": "5", "spark.corpusflow.blockRows": "16"}
     for key, value in settings.items():
         spark.conf.set(key, value)
     yield settings

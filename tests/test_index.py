@@ -73,6 +73,45 @@ def test_memory_reset(spark):
     assert held(spark, path) == [("a", "x"), ("a", "y"), ("b", "x")]
 
 
+URLS = ["https://a.example/x?y=1&z=%20", "c:\\d", "weird = name/with:all%2Fof it"]
+
+
+def test_namespaces_that_are_addresses_are_emptied(spark):
+    path = scratch_path(spark, "ix")
+    rows = [(u, str(i), f"t{i}") for i, u in enumerate(URLS)]
+    ix.build_index(spark, path, chunks(spark, rows + [("b", "9", "stays")]))
+    assert {n for n, _ in held(spark, path)} == {*URLS, "b"}
+    names = spark.createDataFrame([(u,) for u in URLS], "namespace string")
+    assert counts(ix.memory_reset(spark, path, names)) == {u: (0, 0, 0, 1) for u in URLS}
+    assert held(spark, path) == [("b", "stays")] and [r.namespace for r in ix.list_indexes(spark, path).collect()] == ["b"]
+    assert counts(ix.build_index(spark, path, chunks(spark, rows[:1]))) == {URLS[0]: (1, 0, 0, 0)}
+    other = scratch_path(spark, "ix")
+    ix.compact_index(spark, path, other)
+    assert held(spark, other) == held(spark, path) == sorted([(URLS[0], "t0"), ("b", "stays")])
+    assert counts(ix.build_index(spark, other, chunks(spark, rows[:1]))) == {URLS[0]: (0, 0, 1, 0)}
+
+
+def test_counts_are_the_rows_stored(spark):
+    path = scratch_path(spark, "ix")
+    rows = chunks(spark, [("a", "1", "x"), ("a", "2", None), ("a", "3", "x"), ("a", "4", "")])
+    plain = rows.withColumn("metadata", F.when(c("doc_id") != "3", c("metadata")))
+    got = counts(ix.build_index(spark, path, plain))
+    assert got == {"a": (3, 0, 0, 0)} and ix.read_index(spark, path).count() == 3
+    assert counts(ix.build_index(spark, path, plain)) == {"a": (0, 0, 3, 0)}
+    for missing in (None, ""):
+        with pytest.raises(Exception, match="no namespace"):
+            ix.build_index(spark, path, chunks(spark, [(missing, "1", "x")]))
+
+
+def test_a_small_run_does_not_shuffle_the_stored_keys(spark):
+    path = scratch_path(spark, "ix")
+    ix.build_index(spark, path, chunks(spark, [("a", str(i), f"t{i}") for i in range(50)]))
+    stored = ix.read_index(spark, path)
+    new = spark.read.parquet(path + "/chunks").select("namespace", "key").limit(1)
+    plan = plan_text(stored.select("namespace", "key").join(new, ["namespace", "key"], "left_semi"))
+    assert "BroadcastHashJoin LeftSemi" in plan
+
+
 def test_only_new_keys_are_embedded(spark, tmp_path):
     seen = str(tmp_path / "seen")
 
