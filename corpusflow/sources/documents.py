@@ -1,7 +1,7 @@
 """Documents: rows of ``page_content`` and a ``metadata`` map whose ``source`` says where from."""
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -45,9 +45,9 @@ def ingest_counts(df: DataFrame, source_col: str = "source") -> DataFrame:
 
 def scan_issues(df: DataFrame, project: str, status: str, assignee: str, *, project_col: str = "project",
                 status_col: str = "status", assignee_col: str = "assignee", created_col: str = "created") -> DataFrame:
-    """Open issues of one assignee in one project, the oldest first."""
+    """Open issues of one assignee in one project, the oldest first (a stream comes as it arrives)."""
     found = df.where((F.col(project_col) == project) & (F.col(status_col) == status) & (F.col(assignee_col) == assignee))
-    return found.orderBy(F.col(created_col).asc())
+    return found if df.isStreaming else found.orderBy(F.col(created_col).asc())
 
 
 def configured_sources(config: DataFrame) -> DataFrame:
@@ -63,25 +63,3 @@ def configured_sources(config: DataFrame) -> DataFrame:
     rows = lists.select("source_type", "k.identifier_type", F.posexplode("k.identifiers").alias("ord", "identifier"))
     return rows.select(source_hash(F.col("source_type"), F.col("identifier")).alias("hash"), "source_type", "identifier_type",
                        "identifier", "ord")
-
-
-_LOADERS: dict[str, Callable[..., DataFrame]] = {}
-
-
-def loader(source_type: str):
-    """Register the function that turns a configured source of this type into documents."""
-    def register(fn):
-        _LOADERS[source_type] = fn
-        return fn
-    return register
-
-
-def load_source(source_type: str, *args, **kwargs) -> DataFrame:
-    if source_type not in _LOADERS:
-        raise ValueError(f"Unknown source type: {source_type}")
-    return _LOADERS[source_type](*args, **kwargs)
-
-
-@loader("text")
-def _load_text(df, text_col, meta_cols, namespace):
-    return text_source(df, text_col, meta_cols, F.lit(namespace))

@@ -8,8 +8,6 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
-from corpusflow.sources.documents import loader
-
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
 _BLOCKS = {"p", "div", "article", "section", "main", "header", "footer", "nav", "aside", "ul", "ol", "li", "table", "tr",
            "blockquote", "pre", "figure", "form", "dl", "dt", "dd", "body", "title", "hr", *_HEADINGS}
@@ -184,6 +182,3 @@ def page_links(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """One row per anchor: the page's other columns and ``href``."""
     return pages.withColumn("href", F.explode(links_of(F.col(html_col)))).drop(html_col)
 
-
-loader("web")(pages_to_documents)
-loader("confluence")(wiki_documents)

@@ -3,8 +3,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
-from pyspark.sql.types import IntegerType, StructField, StructType
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from corpusflow.operators.index import build_index, sources_to_refresh
 from corpusflow.session import read_or_empty, scratch_path
@@ -18,16 +18,17 @@ def read_table_stream(spark: SparkSession, folder: str, file_name: str, files_pe
             .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
 
 
-def track_new(stream: DataFrame, id_cols: list[str], *, time_col: str | None = None, delay: str | None = None) -> DataFrame:
-    """Each id once, however often it is polled.
+def track_new(stream: DataFrame, id_cols: list[str], *, delay: str | None = None) -> DataFrame:
+    """Each id once, however often it is polled and in whatever order its rows are dated.
 
-    Exact without ``delay`` (all ids stay in state); with it state is bounded and copies that
-    come later than ``delay`` after the first may pass again.
+    Exact without ``delay`` (all ids stay in state). With it an id is forgotten ``delay`` after it first
+    *arrived*, so state is bounded and no row is ever too late to be seen; a copy that arrives after
+    that passes again.
     """
     if delay is None:
         return stream.dropDuplicates(id_cols)
-    timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
-    return timed.dropDuplicatesWithinWatermark(id_cols)
+    arrived = stream.withColumn("_arrived", F.current_timestamp()).withWatermark("_arrived", delay)
+    return arrived.dropDuplicatesWithinWatermark(id_cols).drop("_arrived")
 
 
 def drain_to_table(stream: DataFrame, name: str) -> DataFrame:
@@ -51,15 +52,16 @@ def stream_index(stream: DataFrame, path: str, to_chunks: Callable[[DataFrame],
 
 
 def publish_version(spark: SparkSession, path: str) -> int:
-    """Append the next index version; readers compare it with the one they hold."""
-    version = current_version(spark, path) + 1
-    spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/versions")
-    return version
+    """Note one more version of the index; readers compare their count with the one they hold.
+
+    A version is how many notes there are, so two writers never publish the same one.
+    """
+    spark.range(1).select(F.uuid().alias("note"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/versions")
+    return current_version(spark, path)
 
 
 def current_version(spark: SparkSession, path: str) -> int:
-    versions = read_or_empty(spark, f"{path}/versions", "version int, at timestamp")
-    return versions.agg(F.max("version")).first()[0] or 0
+    return read_or_empty(spark, f"{path}/versions", "note string, at timestamp").count()
 
 
 def changed_since(spark: SparkSession, path: str, version: int) -> tuple[bool, int]:
@@ -81,26 +83,23 @@ def refresh_job(configured: DataFrame, local: DataFrame, ingest: Callable[[DataF
     return fresh.select("hash", label.alias("label"))
 
 
-def stream_job_counts(stream: DataFrame, keys: list[str], counts: dict[str, Column], *, time_col: str, delay: str,
-                      window: str) -> DataFrame:
-    """Counts per time window and job over arriving lines, with bounded state."""
-    timed = stream.withColumn(time_col, F.col(time_col).cast("timestamp")).withWatermark(time_col, delay)
-    return timed.groupBy(F.window(time_col, window), *keys).agg(*[F.count_if(c).alias(n) for n, c in counts.items()])
-
+def stream_job_counts(stream: DataFrame, keys: list[str], counts: dict[str, Column], *, time_col: str, window: str,
+                      name: str = "counts") -> DataFrame:
+    """Counts per time window and job over all lines that have arrived, late ones included.
 
-def drain_updates(counts: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Run a stream of running counts; the last update of each key, open windows included."""
-    spark = counts.sparkSession
+    Each batch adds its own counts to a table, written anew if the batch is repeated; reading adds
+    them up. No state is kept, so nothing depends on the order or number of files in a batch.
+    """
+    spark = stream.sparkSession
     out, state = scratch_path(spark, name), scratch_path(spark, f"{name}-state")
-    flat = counts.select(F.col("window.start").alias("window_start"), *[c for c in counts.columns if c != "window"])
+    summed = [F.count_if(c).alias(n) for n, c in counts.items()]
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.withColumn("_batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/_batch_id={batch_id}")
+    def add(batch: DataFrame, batch_id: int) -> None:
+        part = batch.groupBy(F.window(F.col(time_col).cast("timestamp"), window).alias("_w"), *keys).agg(*summed)
+        part.select(F.col("_w.start").alias("window_start"), *keys, *counts).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    query = (flat.writeStream.option("checkpointLocation", state).outputMode("update")
-             .trigger(availableNow=True).foreachBatch(write).start())
-    query.awaitTermination()
-    schema = StructType([*flat.schema.fields, StructField("_batch", IntegerType())])
-    written = read_or_empty(spark, f"{out}/*", schema)
-    latest = Window.partitionBy("window_start", *keys).orderBy(F.col("_batch").desc())
-    return written.withColumn("_r", F.row_number().over(latest)).where("_r = 1").select(*flat.columns)
+    stream.writeStream.option("checkpointLocation", state).trigger(availableNow=True).foreachBatch(add).start().awaitTermination()
+    types = {f.name: f.dataType for f in stream.schema}
+    schema = StructType([StructField("window_start", TimestampType()), *[StructField(k, types[k]) for k in keys],
+                         *[StructField(n, LongType()) for n in counts]])
+    return read_or_empty(spark, out, schema).groupBy("window_start", *keys).agg(*[F.sum(n).alias(n) for n in counts])

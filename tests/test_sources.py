@@ -13,12 +13,10 @@ c = F.col
 
 def test_text_source(spark):
     df = spark.createDataFrame([("mock_data", "value", "old")], "data string, key string, source string")
-    row = sd.load_source("text", df, "data", ["key", "source"], "mock_hash").first()
+    row = sd.text_source(df, "data", ["key", "source"], F.lit("mock_hash")).first()
     assert row.page_content == "mock_data" and row.metadata == {"key": "value", "source": "mock_hash"} and row.source == "mock_hash"
     stamped = spark.range(1).select(sd.stamp_source(F.create_map(F.lit("source"), F.lit("a"), F.lit("k"), F.lit("v")), F.lit("b")).alias("m")).first().m
     assert stamped == {"k": "v", "source": "b"}
-    with pytest.raises(ValueError, match="Unknown source type"):
-        sd.load_source("ftp")
 
 
 def test_scan_files(spark, tmp_path):

@@ -29,14 +29,29 @@ def test_track_new_is_exact(spark, folder):
 
 
 def test_track_new_bounded(spark, folder):
-    stream = po.track_new(_stream(spark, folder), ["id"], time_col="at", delay="5 hours")
+    stream = po.track_new(_stream(spark, folder), ["id"], delay="5 hours")
     assert sorted(r.id for r in po.drain_to_table(stream, "seen").collect()) == [1, 2, 3, 4, 5]
 
 
-def test_job_counts_keep_open_windows(spark, folder):
-    counts = po.stream_job_counts(_stream(spark, folder), ["flag"], {"n": F.lit(True)}, time_col="at", delay="1 hour", window="1 hour")
-    got = {(r.window_start.hour, r.flag): r.n for r in po.drain_updates(counts, ["flag"], "counts").collect()}
-    assert got == {(0, False): 2, (0, True): 1, (1, False): 1, (1, True): 1, (2, False): 3}
+@pytest.fixture(params=[1, 1000])
+def backward(spark, tmp_path, request):
+    """Five files of five rows each, every file dated earlier than the one before."""
+    for i in range(5):
+        df = spark.createDataFrame([(5 * i + k, f"2024-01-0{5 - i} 0{k}:00:00") for k in range(5)], "id long, at string")
+        df.withColumn("at", c("at").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / f"poll{i}.parquet"))
+    return lambda: po.read_table_stream(spark, str(tmp_path) + "/*", "*.parquet", files_per_batch=request.param)
+
+
+def test_no_first_row_is_lost_in_any_order(spark, backward):
+    twice = po.track_new(backward().unionByName(backward()), ["id"], delay="1 hour")
+    assert sorted(r.id for r in po.drain_to_table(twice, "seen").collect()) == list(range(25))
+    counts = po.stream_job_counts(backward(), ["id"], {"n": F.lit(True)}, time_col="at", window="1 day").collect()
+    assert {(r.window_start.day, r.id): r.n for r in counts} == {(5 - i // 5, i): 1 for i in range(25)}
+
+
+def test_job_counts_add_up_over_batches(spark, folder):
+    rows = po.stream_job_counts(_stream(spark, folder), ["flag"], {"n": F.lit(True)}, time_col="at", window="1 hour").collect()
+    assert {(r.window_start.hour, r.flag): r.n for r in rows} == {(0, False): 2, (0, True): 1, (1, False): 1, (1, True): 1, (2, False): 3}
 
 
 def test_stream_index_and_change_signal(spark, tmp_path):
@@ -81,6 +96,5 @@ def test_empty_streams(spark, tmp_path):
     nothing = str(tmp_path / "none")
     spark.createDataFrame([], "id long, at timestamp, flag boolean").write.parquet(nothing)
     stream = spark.readStream.schema("id long, at timestamp, flag boolean").parquet(nothing)
-    counts = po.stream_job_counts(stream, ["flag"], {"n": F.lit(True)}, time_col="at", delay="1 hour", window="1 hour")
-    assert po.drain_updates(counts, ["flag"], "counts").collect() == []
+    assert po.stream_job_counts(stream, ["flag"], {"n": F.lit(True)}, time_col="at", window="1 hour").collect() == []
     assert po.drain_to_table(po.track_new(stream, ["id"]), "seen").collect() == []
