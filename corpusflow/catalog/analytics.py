@@ -3,9 +3,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.catalog.base import Tables, query
+from corpusflow.catalog.base import SPLIT_CHUNKS, Tables, elements_sql, query
 from corpusflow.operators import changes as ch, checks as ck, graph as gr, issues as iss, logs as lg
+from corpusflow.operators.index import build_index, read_index
 from corpusflow.operators.ordering import number_rows
+from corpusflow.plans.retrieve import document_chunks
+from corpusflow.session import materialized, scratch_path
 
 c = F.col
 
@@ -13,16 +16,16 @@ c = F.col
 # --- logs: one user's events are one job's lines ---------------------------------------------
 
 def _lines(t: Tables) -> DataFrame:
+    """Numbered once into a table that everything about the logs is worked out from."""
     events = t("events").select(c("user_id").alias("job"), "ts", "event_id", "event_type")
     line = F.concat("event_type", F.lit(" "), c("event_id").cast("string"))
-    return number_rows(events, ["job"], ["ts", "event_id"], "n").select("job", "n", line.alias("line"))
+    return materialized(number_rows(events, ["job"], ["ts", "event_id"], "n").select("job", "n", line.alias("line"), "ts"), "lines")
 
 
-def _jobs(t: Tables) -> DataFrame:
+def _jobs(lines: DataFrame) -> DataFrame:
     """A job failed when its first line is an error; its day is its pipeline."""
-    first = t("events").groupBy(c("user_id").alias("job")).agg(F.min_by(F.struct("event_type", "ts"), F.struct("ts", "event_id")).alias("f"))
-    return first.select("job", F.when(c("f.event_type") == "error", "failed").otherwise("success").alias("status"),
-                        F.date_format("f.ts", "yyyy-MM-dd").alias("pipeline"))
+    status = F.when(c("line").startswith("error "), "failed").otherwise("success")
+    return lines.where("n = 0").select("job", status.alias("status"), F.date_format("ts", "yyyy-MM-dd").alias("pipeline"))
 
 
 _LINES = """lines AS (SELECT user_id AS job, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n,
@@ -42,13 +45,14 @@ state AS (SELECT *, last_value(mark IGNORE NULLS) OVER (PARTITION BY job ORDER B
 SELECT job, n, line FROM state WHERE s = 'start' AND mark IS NULL""")
 def _(t: Tables) -> DataFrame:
     mark = F.when(c("line").startswith("signup "), "start").when(c("line").startswith("purchase "), "end")
-    return lg.log_section(_lines(t), mark)
+    return lg.log_section(_lines(t).drop("ts"), mark)
 
 
 @query("w5_log_tail", f"WITH {_LINES}, {_TAILS} SELECT job, tail FROM tails JOIN jobs USING (job) WHERE status = 'failed'")
 def _(t: Tables) -> DataFrame:
-    failed = _jobs(t).where("status = 'failed'").select("job")
-    return lg.log_tail(_lines(t).join(failed, "job", "left_semi"))
+    lines = _lines(t)
+    failed = _jobs(lines).where("status = 'failed'").select("job")
+    return lg.log_tail(lines.join(failed, "job", "left_semi"))
 
 
 @query("w6_log_context", f"WITH RECURSIVE {_LINES}, {_WINDOWS} SELECT job, line_no, context FROM windows")
@@ -56,6 +60,38 @@ def _(t: Tables) -> DataFrame:
     return lg.log_context(_lines(t), c("line").startswith("error "))
 
 
+_LOG_SQL = """raw AS (SELECT doc_id AS job, unnest(range(1, len(string_split(text, chr(10))) + 1)) AS n,
+  unnest(string_split(text, chr(10))) AS line FROM documents),
+lines AS (SELECT job, n, replace(line, 'on', 'WARN') AS line FROM raw)"""
+
+
+def _log_lines(t: Tables) -> DataFrame:
+    """Whole logs as text: every document is a log whose script section is its text, in colour, with warnings in it."""
+    esc = "\x1b[0K"
+    log = F.concat(F.lit(f"{esc}section_start:12:step_script\n"), F.replace("text", F.lit("on"), F.lit("\x1b[33mWARN\x1b[0m")),
+                   F.lit(f"\nsection_end:15:step_script{esc}\nUploading WARN on\n"))
+    lines = lg.job_lines(t("documents").select(c("doc_id").alias("job"), log.alias("log")))
+    return lg.log_section(lines, lg.section_marks(c("line")))
+
+
+@query("w4_log_text", f"WITH {_LOG_SQL} SELECT job, n, line FROM lines")
+def _(t: Tables) -> DataFrame:
+    """From the text of a log to the lines of its script section."""
+    return _log_lines(t)
+
+
+@query("w6_log_text_warnings", f"""
+WITH RECURSIVE {_LOG_SQL}, picks(job, line_no) AS (
+  SELECT job, min(n) FROM lines WHERE contains(line, 'WARN') GROUP BY job
+  UNION ALL SELECT p.job, (SELECT min(l.n) FROM lines l WHERE l.job = p.job AND contains(l.line, 'WARN') AND l.n >= p.line_no + 5) AS nxt
+  FROM picks p WHERE EXISTS (SELECT 1 FROM lines l WHERE l.job = p.job AND contains(l.line, 'WARN') AND l.n >= p.line_no + 5))
+SELECT p.job, p.line_no, string_agg(l.line, chr(10) ORDER BY l.n) AS context FROM picks p JOIN lines l ON l.job = p.job AND l.n BETWEEN p.line_no - 5 AND p.line_no + 4
+GROUP BY p.job, p.line_no""")
+def _(t: Tables) -> DataFrame:
+    """From the text of a log to its warnings in context."""
+    return lg.log_context(materialized(_log_lines(t), "log"), lg.warning_line(c("line")))
+
+
 _SUMMARY = f"""{_LINES}, {_WINDOWS}, {_TAILS},
 warned AS (SELECT job, count(*) AS k, string_agg(context, '|' ORDER BY line_no) FILTER (WHERE r <= 5) AS sample
   FROM (SELECT *, row_number() OVER (PARTITION BY job ORDER BY line_no) AS r FROM windows) GROUP BY job),
@@ -65,7 +101,8 @@ summary AS (SELECT j.job, j.pipeline, j.status, CASE WHEN status = 'failed' THEN
 
 
 def _summary(t: Tables) -> DataFrame:
-    return lg.job_summary(_jobs(t), _lines(t), c("line").startswith("error "))
+    lines = _lines(t)
+    return materialized(lg.job_summary(_jobs(lines), lines.drop("ts"), c("line").startswith("error ")), "summary")
 
 
 @query("a4_job_summary", f"WITH RECURSIVE {_SUMMARY} SELECT job, status, warnings_count, errors_count, warnings_sample, errors_sample FROM summary")
@@ -75,11 +112,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a5_pipeline_summary", f"""
-WITH RECURSIVE {_SUMMARY} SELECT pipeline, 0::BIGINT AS part, count(*) AS total_jobs, CAST(sum(warnings_count) AS BIGINT) AS total_warnings, CAST(sum(errors_count) AS BIGINT) AS total_errors,
- '[' || string_agg('{{"job":' || job || ',"status":"' || status || '","warnings_count":' || warnings_count || ',"errors_count":' || errors_count || '}}', ',' ORDER BY job) || ']' AS jobs_details
-FROM summary GROUP BY pipeline""")
+WITH RECURSIVE {_SUMMARY} SELECT pipeline, 0 AS section, NULL::BIGINT AS ord,
+  '{{"total_jobs":' || count(*) || ',"total_warnings":' || sum(warnings_count) || ',"total_errors":' || sum(errors_count) || '}}' AS text FROM summary GROUP BY pipeline
+UNION ALL SELECT pipeline, 1, job, '{{"job":' || job || ',"status":"' || status || '","warnings_count":' || warnings_count || ',"errors_count":' || errors_count
+  || coalesce(',"warnings_sample":["' || replace(replace(warnings_sample, chr(10), '\\n'), '|', '","') || '"]', '')
+  || coalesce(',"errors_sample":["' || replace(errors_sample, chr(10), '\\n') || '"]', '') || '}}' FROM summary""")
 def _(t: Tables) -> DataFrame:
-    return lg.pipeline_report(_summary(t), ["pipeline"], cols=["status", "warnings_count", "errors_count"])
+    return lg.pipeline_report(_summary(t), ["pipeline"], cols=["status", "warnings_count", "errors_count", "warnings_sample", "errors_sample"])
 
 
 # --- review requests ---------------------------------------------------------------------------
@@ -138,7 +177,7 @@ pieces AS (SELECT mr, 0 AS s, NULL AS ord, {_MR_HEAD} AS x FROM mrs
   || '  - Generated File: ' || CASE WHEN n_chars > 2000 THEN 'Yes' ELSE 'No' END || chr(10) || '  - Diff:' || chr(10) || diff || chr(10) FROM changes
  UNION ALL SELECT mr, 2, NULL, 'Statistics:' || chr(10) || 'Total Files Changed: ' || total_files_changed || chr(10) || 'Total Lines Added: ' || total_lines_added
   || chr(10) || 'Total Lines Removed: ' || total_lines_removed FROM stats)
-SELECT mr, 0::BIGINT AS part, string_agg(x, chr(10) ORDER BY s, ord) AS report FROM pieces GROUP BY mr""")
+SELECT mr, s AS section, ord, x AS text FROM pieces""")
 def _(t: Tables) -> DataFrame:
     seen = t("documents").join(t("labels"), "doc_id", "left").groupBy(c("source").alias("mr")).agg(
         F.array_sort(F.collect_set("lang")).alias("labels"), F.count_if(c("toxic") == 1).alias("toxic"))
@@ -190,7 +229,7 @@ _ISSUES = """issues AS (SELECT r_name AS key, NULL AS parent, 'Epic' AS issuetyp
   UNION ALL SELECT n_name, r_name, 'Story', r_name FROM nation JOIN region ON n_regionkey = r_regionkey
   UNION ALL SELECT s_name, n_name, 'Task', NULL FROM supplier JOIN nation ON s_nationkey = n_nationkey),
 parented AS (SELECT i.*, coalesce(p.key || ': About ' || p.key, 'No parent issue') AS parent_text FROM issues i LEFT JOIN issues p ON p.key = i.parent AND p.issuetype <> 'Epic'),
-talk AS (SELECT n_name AS key, string_agg(c_name || ': ' || c_mktsegment, chr(10) ORDER BY c_custkey) AS comments FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name)"""
+talk AS (SELECT n_name AS key, c_custkey AS ord, c_name || ': ' || c_mktsegment AS comment FROM customer JOIN nation ON c_nationkey = n_nationkey)"""
 
 
 @query("j8_with_parent", f"WITH {_ISSUES} SELECT key, parent_text FROM parented")
@@ -198,16 +237,16 @@ def _(t: Tables) -> DataFrame:
     return iss.with_parent(_issues(t)).select("key", "parent_text")
 
 
-@query("j9_with_comments", f"WITH {_ISSUES} SELECT key, 0::BIGINT AS part, coalesce(comments, 'None') AS comments FROM issues LEFT JOIN talk USING (key)")
+@query("j9_with_comments", f"WITH {_ISSUES} SELECT key, ord, coalesce(comment, 'None') AS comment FROM issues LEFT JOIN talk USING (key)")
 def _(t: Tables) -> DataFrame:
-    return iss.with_comments(_issues(t), _comments(t)).select("key", "part", "comments")
+    return iss.with_comments(_issues(t), _comments(t)).select("key", "ord", "comment")
 
 
 @query("a9_issue_report", f"""
-WITH {_ISSUES} SELECT key, 0::BIGINT AS part, chr(10) || '**Title**: About ' || key || chr(10) || '**Key**: ' || key || chr(10) || '**Status**: To Do' || chr(10)
- || '**Description**: ' || coalesce(description, 'None') || chr(10) || '**Reporter**: Ann' || chr(10) || '**Assignee**: None' || chr(10) || '**Comments**: ' || chr(10)
- || coalesce(comments, 'None') || chr(10) || '**Parent Issue Summary**: ' || chr(10) || parent_text || chr(10) AS report
-FROM parented LEFT JOIN talk USING (key)""")
+WITH {_ISSUES} SELECT key, 0 AS section, NULL::BIGINT AS ord, chr(10) || '**Title**: About ' || key || chr(10) || '**Key**: ' || key || chr(10) || '**Status**: To Do' || chr(10)
+ || '**Description**: ' || coalesce(description, 'None') || chr(10) || '**Reporter**: Ann' || chr(10) || '**Assignee**: None' || chr(10) || '**Comments**: ' AS text FROM issues
+UNION ALL SELECT key, 1, ord, coalesce(comment, 'None') FROM issues LEFT JOIN talk USING (key)
+UNION ALL SELECT key, 2, NULL, '**Parent Issue Summary**: ' || chr(10) || parent_text || chr(10) FROM parented""")
 def _(t: Tables) -> DataFrame:
     return iss.issue_report(_issues(t), _comments(t))
 
@@ -321,3 +360,30 @@ def _(t: Tables) -> DataFrame:
     pages = t("pages").select(F.regexp_extract("url", "^([^/]*//[^/?#]*)", 1).alias("site"), clean_url(c("url")).alias("url"), "html")
     edges = pages.select(c("site").alias("src"), c("url").alias("dst")).unionAll(gr.link_edges(pages))
     return gr.crawl_closure(edges, pages.select(c("site").alias("seed")).distinct())
+
+
+_CRAWLED = r"""links AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>', '', 'g'), '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages),
+sites AS (SELECT DISTINCT regexp_extract(url, '^([^/]*//[^/?#]*)', 1) AS site FROM pages),
+edges AS (SELECT regexp_extract(url, '^([^/]*//[^/?#]*)', 1) AS src, regexp_replace(url, '#.*', '') AS dst FROM pages
+  UNION SELECT regexp_replace(url, '#.*', ''), regexp_replace(regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || href, '#.*', '') FROM links
+  WHERE NOT regexp_matches(href, '^(mailto:|javascript:|#)') AND NOT regexp_matches(href, '\.(png|svg|jpg|jpeg|gif)$')),
+walk(seed, url, depth) AS (SELECT site, site, 0 FROM sites
+  UNION SELECT w.seed, e.dst, w.depth + 1 FROM walk w JOIN edges e ON e.src = w.url WHERE w.depth <= 10 AND starts_with(e.dst, w.seed))"""
+
+
+@query("g2_crawl_index", f"""
+WITH RECURSIVE {_CRAWLED}, {elements_sql(False)},
+page_docs AS (SELECT regexp_replace(any_value(url), '#.*', '') AS url, string_agg(text, chr(10) ORDER BY ord) AS text FROM elements
+  WHERE page_id IN (SELECT min_by(page_id, html) FROM pages GROUP BY regexp_replace(url, '#.*', '')) GROUP BY page_id),
+documents AS (SELECT w.seed || '|' || d.url AS doc_id, d.text, w.seed AS source FROM (SELECT DISTINCT seed, url FROM walk) w JOIN page_docs d ON d.url = w.url),
+{SPLIT_CHUNKS} SELECT namespace AS seed, count(DISTINCT page_content) AS chunks FROM chunks GROUP BY namespace""")
+def _(t: Tables) -> DataFrame:
+    """From a crawl to documents to an index, one namespace per site; what the index holds of each."""
+    from corpusflow.functions.urls import clean_url
+    pages = t("pages").select(F.regexp_extract("url", "^([^/]*//[^/?#]*)", 1).alias("site"), clean_url(c("url")).alias("url"), "html")
+    edges = pages.select(c("site").alias("src"), c("url").alias("dst")).unionAll(gr.link_edges(pages))
+    docs = gr.crawl_documents(pages, edges, pages.select(c("site").alias("seed")).distinct())
+    path = scratch_path(t.spark, "crawled")
+    text = F.replace("page_content", F.lit("\n\n"), F.lit("\n"))
+    build_index(t.spark, path, document_chunks(docs.select(F.concat_ws("|", "seed", "url").alias("doc_id"), text.alias("text"), c("seed").alias("source"))))
+    return read_index(t.spark, path).groupBy(c("namespace").alias("seed")).agg(F.count("*").alias("chunks"))

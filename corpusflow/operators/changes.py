@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.functions.changes import change_type, diff_counts
 from corpusflow.functions.prompts import json_field, render
-from corpusflow.operators.ordering import joined_text
 
 # Layout of a review report.
 HEADER = """Merge Request Details:
@@ -58,7 +57,7 @@ def _shown(c):
 
 
 def mr_report(mrs: DataFrame, changes: DataFrame, mr: str = "mr", order: str = "ord") -> DataFrame:
-    """``(mr, part, report)``: the request, all its changes and their totals as text.
+    """``(mr, section, ord, text)``: the request (section 0), each of its changes and their totals (2) as text.
 
     ``mrs``: the columns named in the header, with ``labels`` array<string>, ``approved_by``
     array and ``assignees`` array<struct<name, username>>. ``changes``: mr, ord, new_path,
@@ -78,10 +77,9 @@ def mr_report(mrs: DataFrame, changes: DataFrame, mr: str = "mr", order: str = "
     totals = mrs.select(mr).join(mr_stats(changes, mr), mr, "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("total_files_changed", "total_lines_added", "total_lines_removed")}
     none = F.lit(None).cast(changes.schema[order].dataType)
-    pieces = (mrs.select(mr, F.lit(0).alias("_section"), none.alias("_ord"), header.alias("_text"))
-              .unionByName(changes.select(mr, F.lit(1).alias("_section"), F.col(order).alias("_ord"), entry.alias("_text")))
-              .unionByName(totals.select(mr, F.lit(2).alias("_section"), none.alias("_ord"), render(STATISTICS, **zero).alias("_text"))))
-    return joined_text(pieces, [mr], ["_section", "_ord"], "_text", "\n", "report")
+    return (mrs.select(mr, F.lit(0).alias("section"), none.alias("ord"), header.alias("text"))
+            .unionByName(changes.select(mr, F.lit(1).alias("section"), F.col(order).alias("ord"), entry.alias("text")))
+            .unionByName(totals.select(mr, F.lit(2).alias("section"), none.alias("ord"), render(STATISTICS, **zero).alias("text"))))
 
 
 def mr_comments(notes: DataFrame, mr: str = "mr", payload: str = "note") -> DataFrame:

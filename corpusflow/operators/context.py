@@ -6,8 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window, functions as F
 
 from corpusflow.functions.text import citation_source, snippet, tokens
-from corpusflow.operators.ordering import group_limit, joined_text, largest_group, number_rows, part_rows, with_blocks
-from corpusflow.operators.search import OVERLAP, Scorer
+from corpusflow.operators.ordering import group_limit, largest_group, number_rows, with_blocks
+from corpusflow.operators.search import OVERLAP, TOP_K, Scorer
 
 # Exchanges kept in a chat history and the speaker names in it.
 HISTORY_EXCHANGES = 5
@@ -29,16 +29,13 @@ def with_ordinal(df: DataFrame, keys: Sequence[str], order: Sequence[str], name:
 
 
 def format_context(docs: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "page_content") -> DataFrame:
-    """``(keys, part, context)``: documents in rank order, each in a numbered tag."""
-    numbered = number_rows(docs.select(*keys, *order, text), keys, order, "_id")
-    tagged = F.concat(F.lit("<doc id='"), F.col("_id").cast("string"), F.lit("'>"), F.col(text), F.lit("</doc>"))
-    return _join_numbered(numbered.withColumn("_text", tagged), keys, "_id", "_text", "context")
+    """``(keys, id, doc)``: documents in rank order, each in a numbered tag.
 
-
-def _join_numbered(df, keys, n, text, out):
-    size = part_rows(df)
-    return (df.groupBy(*keys, F.floor(F.col(n) / size).alias("part"))
-            .agg(F.expr(f"listagg(`{text}`, '\\n') within group (order by `{n}`)").alias(out)))
+    A row per document, however many a list has; ``context_of_hits`` joins the few of a top-n list.
+    """
+    numbered = number_rows(docs.select(*keys, *order, text), keys, order, "id")
+    tagged = F.concat(F.lit("<doc id='"), F.col("id").cast("string"), F.lit("'>"), F.col(text), F.lit("</doc>"))
+    return numbered.select(*keys, "id", tagged.alias("doc"))
 
 
 def citations(docs: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "page_content",
@@ -49,26 +46,33 @@ def citations(docs: DataFrame, keys: Sequence[str], order: Sequence[str], text:
                            snippet(F.col(text), F.col(meta)["title"]).alias("content"))
 
 
-def citation_arrays(cited: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Citations packed as ``array<struct<id, source, content>>``, long lists in parts."""
-    size = part_rows(cited)
-    return (cited.groupBy(*keys, F.floor(F.col("id") / size).alias("part"))
+def citation_arrays(cited: DataFrame, keys: Sequence[str], top_n: int = TOP_K) -> DataFrame:
+    """The first ``top_n`` citations of each list packed as ``array<struct<id, source, content>>``."""
+    return (cited.where(F.col("id") < top_n).groupBy(*keys)
             .agg(F.array_sort(F.collect_list(F.struct("id", "source", "content"))).alias("sources")))
 
 
 def summarise_sources(sources: DataFrame, *, type_col: str = "source_type", kind_col: str = "identifier_type",
                       identifier_col: str = "identifier", order: str = "ord", keys: Sequence[str] = ()) -> DataFrame:
-    """``(keys, part, summary)``: a bullet per kind of source with its identifiers in order."""
+    """``(keys, section, ord, text)``: per kind of source a heading (``ord`` -1) and its identifiers in order."""
     place = heading = None
     for i, (source_type, kind, text) in enumerate(SOURCE_HEADINGS):
         match = (F.col(type_col) == source_type) & (F.col(kind_col) == kind)
         place = F.when(match, i) if place is None else place.when(match, i)
         heading = F.when(match, text) if heading is None else heading.when(match, text)
-    known = sources.withColumn("_place", place).withColumn("_heading", heading).where(F.col("_place").isNotNull())
-    bullets = joined_text(known, [*keys, "_place", "_heading"], [order, identifier_col], identifier_col, ", ", "_names")
-    bullets = bullets.withColumn("_bullet", F.when(F.col("part") == 0, F.concat("_heading", "_names"))
-                                 .otherwise(F.concat(F.lit("  "), F.col("_names")))).withColumnRenamed("part", "_piece")
-    return joined_text(bullets, list(keys), ["_place", "_piece"], "_bullet", "\n  ", "summary")
+    known = sources.withColumn("section", place).withColumn("_heading", heading).where(F.col("section").isNotNull())
+    names = number_rows(known.select(*keys, "section", order, identifier_col), [*keys, "section"], [order, identifier_col], "_n")
+    heads = known.select(*keys, "section", F.lit(-1).cast("bigint").alias("ord"), F.col("_heading").alias("text")).distinct()
+    return heads.unionByName(names.select(*keys, "section", F.col("_n").alias("ord"), F.col(identifier_col).alias("text")))
+
+
+def summary_text(summary: DataFrame, keys: Sequence[str] = (), top_n: int = TOP_K) -> DataFrame:
+    """``(keys, summary)``: the bullets of ``summarise_sources`` as text, ``top_n`` identifiers each."""
+    bullets = (summary.where(F.col("ord") < top_n).groupBy(*keys, "section").agg(
+        F.max_by("text", -F.col("ord")).alias("_heading"),
+        F.expr("listagg(text, ', ') within group (order by ord) filter (where ord >= 0)").alias("_names"))
+        .withColumn("_bullet", F.concat("_heading", "_names")))
+    return bullets.groupBy(*keys).agg(F.expr("listagg(_bullet, '\\n  ') within group (order by section)").alias("summary"))
 
 
 def chat_history(conv: DataFrame, k: int = HISTORY_EXCHANGES, *, conv_col: str = "conv_id", turn_col: str = "turn",
@@ -117,17 +121,19 @@ def restore_metadata(passages: DataFrame, documents: DataFrame, *, qid: str = "q
 
 def render_trace(steps: DataFrame, keys: Sequence[str], order: Sequence[str], *, tool: str = "tool",
                  tool_input: str = "tool_input", observation: str = "observation") -> DataFrame:
-    """``(keys, part, trace)``: the tool calls of a run in order."""
+    """``(keys, ord, text)``: the tool calls of a run, one row each, numbered in order."""
     def tag(name, c):
         return F.concat(F.lit(f"<{name}>"), F.col(c).cast("string"), F.lit(f"</{name}>"))
     entry = F.concat(tag("tool", tool), tag("tool_input", tool_input), tag("observation", observation))
-    return joined_text(steps.withColumn("_entry", entry), keys, order, "_entry", "", "trace")
+    rows = steps.select(*keys, *[o for o in order if o not in keys], entry.alias("_entry"))
+    return number_rows(rows, keys, order, "_n").select(*keys, F.col("_n").alias("ord"), F.col("_entry").alias("text"))
 
 
 def tool_list(tools: DataFrame, order: Sequence[str] = ("name",)) -> DataFrame:
-    """``(part, tools)``: ``name: description`` lines."""
+    """``(ord, text)``: a line ``name: description`` per tool, numbered in order."""
     line = F.concat(F.col("name"), F.lit(": "), F.col("description"))
-    return joined_text(tools.withColumn("_line", line), [], list(order), "_line", "\n", "tools")
+    rows = tools.select(*order, line.alias("_line"))
+    return number_rows(rows, [], list(order), "_n").select(F.col("_n").alias("ord"), F.col("_line").alias("text"))
 
 
 def last_result(tasks: DataFrame, keys: Sequence[str], order: str, cols: Sequence[str]) -> DataFrame:

@@ -5,32 +5,31 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.functions.urls import (base_path, clean_url, keep_link, normalize_url, quote_seed, resolve_url, under_base)
 from corpusflow.session import materialized
-from corpusflow.sources.web import page_links
+from corpusflow.sources.web import page_links, pages_to_documents
 
 # How deep a crawl follows links.
 MAX_DEPTH = 10
-# A group tree deeper than this is taken for a cycle.
-MAX_GROUP_DEPTH = 100
 
 
 def expand_groups(groups: DataFrame, subgroups: DataFrame, projects: DataFrame) -> DataFrame:
     """``(root, project)``: projects of each group and of all groups below it.
 
     ``groups(group)``, ``subgroups(parent, group)``, ``projects(group, project)``. The tree is
-    followed one level per round; projects join once at the end.
+    followed one level per round, however deep; a pair that was reached before is not followed
+    again, and a group below itself is an error. Projects join once at the end.
     """
-    level = groups.select(F.col("group").alias("root"), "group")
+    level = groups.select(F.col("group").alias("root"), "group").distinct()
     members = level
-    for _ in range(MAX_GROUP_DEPTH):
+    while True:
         below = (level.withColumnRenamed("group", "parent").join(subgroups.select("parent", "group"), "parent")
-                 .select("root", "group"))
-        level = materialized(below, "level")
+                 .select("root", "group").distinct())
+        below = materialized(below, "level")
+        if not below.where("root = group").isEmpty():
+            raise ValueError("the group tree has a cycle")
+        level = materialized(below.join(members, ["root", "group"], "left_anti"), "level")
         if level.isEmpty():
-            break
+            return members.join(projects.select("group", "project"), "group").select("root", "project")
         members = members.unionByName(level)
-    else:
-        raise ValueError("the group tree has a cycle")
-    return members.join(projects.select("group", "project"), "group").select("root", "project")
 
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -60,3 +59,15 @@ def crawl_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH
             break
         visited = visited.unionByName(frontier)
     return visited.select("seed", "url", "depth")
+
+
+def crawl_documents(pages: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, *, url_col: str = "url",
+                    html_col: str = "html") -> DataFrame:
+    """``(seed, url, page_content, metadata)``: the stored pages a crawl visits, as documents of their seed.
+
+    Of several pages stored for one address the one whose markup sorts first counts.
+    """
+    visited = crawl_closure(edges, seeds, max_depth).select("seed", "url")
+    stored = pages.groupBy(clean_url(F.col(url_col)).alias("url")).agg(F.min(html_col).alias("html"))
+    texts = pages_to_documents(stored).select(F.col("source").alias("url"), "page_content", "metadata")
+    return visited.join(texts, "url").select("seed", "url", "page_content", "metadata")

@@ -5,7 +5,6 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.functions.prompts import render
 from corpusflow.functions.text import field_or_none, strip
-from corpusflow.operators.ordering import joined_text
 
 # Layout of an issue report, a comment and a linked issue.
 ISSUE_HEAD = """
@@ -39,28 +38,18 @@ def comment_lines(comments: DataFrame, author: str = "author", body: str = "body
 
 
 def with_comments(issues: DataFrame, comments: DataFrame, key: str = "key", order: str = "ord") -> DataFrame:
-    """Issues with their comments as one text per part; ``None`` without a comment."""
-    lines = joined_text(comments.withColumn("_line", comment_lines(comments)), [key], [order], "_line", "\n", "comments")
-    return (issues.join(lines, key, "left").withColumn("comments", F.coalesce("comments", F.lit(NO_COMMENTS)))
-            .withColumn("part", F.coalesce("part", F.lit(0).cast("bigint"))))
+    """Issues with a row per comment, ``(..., ord, comment)``; one row ``None`` without a comment."""
+    lines = comments.select(key, F.col(order).alias("ord"), comment_lines(comments).alias("comment"))
+    return issues.join(lines, key, "left").withColumn("comment", F.coalesce("comment", F.lit(NO_COMMENTS)))
 
 
 def issue_report(issues: DataFrame, comments: DataFrame, key: str = "key", order: str = "ord") -> DataFrame:
-    """``(key, part, report)``: fields, comments in order and the parent of every issue."""
+    """``(key, section, ord, text)``: fields (section 0), each comment in order and the parent (2) of every issue."""
     full = with_parent(issues, key)
     head = render(ISSUE_HEAD, title=field_or_none(F.col("summary")), key=F.col(key), status=F.col("status"),
                   description=field_or_none(F.col("description")), reporter=F.col("reporter"),
                   assignee=field_or_none(F.col("assignee")))
     none = F.lit(None).cast(comments.schema[order].dataType)
-    uncommented = full.join(comments.select(key).distinct(), key, "left_anti")
-    pieces = [
-        full.select(key, F.lit(0).alias("_section"), none.alias("_ord"), head.alias("_text")),
-        comments.join(issues.select(key), key, "left_semi").select(
-            key, F.lit(1).alias("_section"), F.col(order).alias("_ord"), comment_lines(comments).alias("_text")),
-        uncommented.select(key, F.lit(1).alias("_section"), none.alias("_ord"), F.lit(NO_COMMENTS).alias("_text")),
-        full.select(key, F.lit(2).alias("_section"), none.alias("_ord"), render(ISSUE_FOOT, parent=F.col("parent_text")).alias("_text")),
-    ]
-    rows = pieces[0]
-    for piece in pieces[1:]:
-        rows = rows.unionByName(piece)
-    return joined_text(rows, [key], ["_section", "_ord"], "_text", "\n", "report")
+    return (full.select(key, F.lit(0).alias("section"), none.alias("ord"), head.alias("text"))
+            .unionByName(with_comments(issues.select(key), comments, key, order).select(key, F.lit(1).alias("section"), "ord", F.col("comment").alias("text")))
+            .unionByName(full.select(key, F.lit(2).alias("section"), none.alias("ord"), render(ISSUE_FOOT, parent=F.col("parent_text")).alias("text"))))

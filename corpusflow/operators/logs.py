@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions.changes import strip_ansi
-from corpusflow.operators.ordering import block_rows, group_limit, joined_text, largest_group, top_rows, with_blocks
+from corpusflow.operators.ordering import block_rows, group_limit, largest_group, top_rows, with_blocks
 from corpusflow.session import materialized
 
 # Lines around a warning, lines kept of a failed job, samples per job.
@@ -176,8 +176,12 @@ def pipeline_summary(jobs: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def pipeline_report(jobs: DataFrame, keys: Sequence[str], job: str = "job", cols: Sequence[str] = ()) -> DataFrame:
-    """Pipeline totals with the details of all jobs as JSON, ``(keys, part, totals, jobs_details)``."""
-    detail = F.to_json(F.struct(job, *cols))
-    details = joined_text(jobs.withColumn("_detail", detail), keys, [job], "_detail", ",", "jobs_details")
-    return (details.join(pipeline_summary(jobs, keys), list(keys))
-            .withColumn("jobs_details", F.concat(F.lit("["), "jobs_details", F.lit("]"))))
+    """``(keys, section, ord, text)`` as JSON: the totals of a pipeline (section 0), then each of its jobs.
+
+    The details of a job are ``cols``, samples included where they are named.
+    """
+    totals = pipeline_summary(jobs, keys)
+    zero = F.lit(None).cast(jobs.schema[job].dataType)
+    head = totals.select(*keys, F.lit(0).alias("section"), zero.alias("ord"),
+                         F.to_json(F.struct("total_jobs", "total_warnings", "total_errors")).alias("text"))
+    return head.unionByName(jobs.select(*keys, F.lit(1).alias("section"), F.col(job).alias("ord"), F.to_json(F.struct(job, *cols)).alias("text")))

@@ -17,8 +17,6 @@ from corpusflow.session import materialized
 GROUP_ROWS = 1_000_000
 # Rows per block when a long group is worked on piece by piece.
 BLOCK_ROWS = 8_192
-# Rows whose text is joined into one string; longer groups give several numbered parts.
-PART_ROWS = 10_000
 
 
 def _limit(df: DataFrame, name: str, default: int) -> int:
@@ -33,14 +31,8 @@ def block_rows(df: DataFrame) -> int:
     return _limit(df, "blockRows", BLOCK_ROWS)
 
 
-def part_rows(df: DataFrame) -> int:
-    return _limit(df, "partRows", PART_ROWS)
-
-
 def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
     """Size of the largest group; one pre-aggregated pass over the key columns."""
-    if not keys:
-        return df.count()
     top = df.groupBy(*keys).count().agg(F.max("count")).first()[0]
     return top or 0
 
@@ -53,8 +45,11 @@ def number_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column
                 largest: int | None = None) -> DataFrame:
     """Add the 0-based position of each row in its group. ``order`` must leave no ties.
 
-    ``largest`` is the size of the largest group where the caller has counted it already.
+    ``largest`` is the size of the largest group where the caller has counted it already. Without
+    ``keys`` the whole table is one group, which is always numbered range by range.
     """
+    if not keys:
+        return _number_ranged(df, keys, order, name)
     if largest is None:
         largest = largest_group(df, keys)
     if largest <= group_limit(df):
@@ -116,25 +111,3 @@ def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column],
 def first_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column]) -> DataFrame:
     """The first row per group."""
     return top_rows(df, keys, order, 1, "_rank").drop("_rank")
-
-
-def joined_text(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], text: str,
-                sep: str, out: str = "text", part: str = "part") -> DataFrame:
-    """Texts of a group joined in order, as ``(keys, part, out)``.
-
-    All of an ordinary group is part 0. A group of more rows than one string should hold gives
-    parts 0, 1, 2 ...; put together with ``sep`` between them they are the whole text.
-    """
-    size = part_rows(df)
-    numbered = number_rows(df.select(*keys, *[c for c in _order_names(order) if c not in keys and c != text], text),
-                           keys, order, "_n")
-    quoted = sep.replace("\\", "\\\\").replace("'", "\\'").replace("\n", "\\n")
-    return (numbered.groupBy(*keys, F.floor(F.col("_n") / size).alias(part))
-            .agg(F.expr(f"listagg(`{text}`, '{quoted}') within group (order by _n)").alias(out)))
-
-
-def _order_names(order) -> list[str]:
-    names = [o for o in order if isinstance(o, str)]
-    if len(names) != len(order):
-        raise TypeError("give the order as column names")
-    return names

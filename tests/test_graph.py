@@ -1,4 +1,5 @@
 """Group trees and crawls."""
+import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import graph as gr
@@ -14,6 +15,19 @@ def test_expand_groups(spark):
     assert got == [("mid", "p2"), ("mid", "p2"), ("top", "p1"), ("top", "p2"), ("top", "p2"), ("top", "p3")]
 
 
+def test_deep_group_trees_and_cycles(spark):
+    n = 30
+    sub = spark.createDataFrame([(str(i), str(i + 1)) for i in range(n)], "parent string, group string")
+    projects = spark.createDataFrame([(str(n), "deep")], "group string, project string")
+    top = spark.createDataFrame([("0",)], "group string")
+    assert [tuple(r) for r in gr.expand_groups(top, sub, projects).collect()] == [("0", "deep")]
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "parent string, group string")
+    with pytest.raises(ValueError, match="cycle"):
+        gr.expand_groups(spark.createDataFrame([("a",)], "group string"), ring, projects)
+    tail = spark.createDataFrame([("0", "a"), ("a", "b"), ("b", "a")], "parent string, group string")
+    assert gr.expand_groups(top, tail, spark.createDataFrame([("b", "p")], "group string, project string")).count() == 1
+
+
 def _walk(edges, seed, base, max_depth):
     seen, level, depth = {seed: 0}, [seed], 0
     while level and depth <= max_depth:

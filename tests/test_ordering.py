@@ -1,11 +1,13 @@
 """Work inside groups: pieces of a hot group must give what one window gives."""
+import bisect
+import json
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.operators import context as cx, logs as lg
-from corpusflow.operators.ordering import first_rows, joined_text, number_rows, top_rows, with_blocks
+from corpusflow.operators.ordering import first_rows, number_rows, top_rows, with_blocks
 
 c = F.col
 
@@ -29,20 +31,6 @@ def test_number_rows_split(groups, tight):
     assert all(r.n == sizes[r.k] - 1 - r.o for r in down)
 
 
-def test_joined_text_parts(groups, tight):
-    sizes, df = groups
-    for key, n in sizes.items():
-        parts = joined_text(df.where(c("k").eqNullSafe(F.lit(key))), ["k"], ["o"], "t", "|\n").orderBy("part").collect()
-        assert len(parts) == -(-n // 7)
-        assert "|\n".join(r.text for r in parts) == "|\n".join(f"t{i}" for i in range(n))
-
-
-def test_joined_text_is_one_part_by_default(groups):
-    sizes, df = groups
-    rows = {r.k: (r.part, r.text) for r in joined_text(df, ["k"], ["o"], "t", ", ").collect()}
-    assert rows == {k: (0, ", ".join(f"t{i}" for i in range(n))) for k, n in sizes.items()}
-
-
 def test_blocks_have_their_neighbours(groups, tight):
     _, df = groups
     blocked = with_blocks(number_rows(df.where("k = 'hot'"), ["k"], ["o"]), "n", 3, 2).collect()
@@ -95,16 +83,13 @@ STATUS = {j: "failed" if j in (2, 6) else "success" for j in LOGS}
 
 
 def _windows(lines):
-    """Matches one after the other, as a reader of the log would take them."""
-    out, i = [], 0
-    while i < len(lines):
-        if "WARN" in lines[i]:
-            end = min(i + 5, len(lines))
-            out.append((i, "\n".join(lines[max(i - 5, 0):end])))
-            i = end
-        else:
-            i += 1
-    return out
+    """The first match opens a window, and so does the first one at least five lines after the last that did."""
+    matches = [n for n, x in enumerate(lines) if "WARN" in x]
+    opened = []
+    while matches:
+        opened.append(matches[0])
+        matches = matches[bisect.bisect_left(matches, matches[0] + 5):]
+    return [(n, "\n".join(lines[max(n - 5, 0):n + 5])) for n in opened]
 
 
 def _lines(spark):
@@ -187,7 +172,10 @@ def test_log_tail(spark):
 
 
 def test_pipeline_report(spark):
-    jobs = spark.createDataFrame([(1, "p", 2, 0), (2, "p", 0, 1), (3, "q", 0, 0)], "job long, pipeline string, warnings_count long, errors_count long")
-    got = {r.pipeline: (r.total_jobs, r.total_warnings, r.total_errors, r.jobs_details)
-           for r in lg.pipeline_report(jobs, ["pipeline"], cols=["warnings_count"]).collect()}
-    assert got == {"p": (2, 2, 1, '[{"job":1,"warnings_count":2},{"job":2,"warnings_count":0}]'), "q": (1, 0, 0, '[{"job":3,"warnings_count":0}]')}
+    jobs = spark.createDataFrame([(1, "p", 2, 0, ["w", "v"]), (2, "p", 0, 1, None), (3, "q", 0, 0, None)],
+                                 "job long, pipeline string, warnings_count long, errors_count long, warnings_sample array<string>")
+    got = {(r.pipeline, r.section, r.ord): json.loads(r.text)
+           for r in lg.pipeline_report(jobs, ["pipeline"], cols=["warnings_count", "warnings_sample"]).collect()}
+    assert got == {("p", 0, None): {"total_jobs": 2, "total_warnings": 2, "total_errors": 1}, ("q", 0, None): {"total_jobs": 1, "total_warnings": 0, "total_errors": 0},
+                   ("p", 1, 1): {"job": 1, "warnings_count": 2, "warnings_sample": ["w", "v"]}, ("p", 1, 2): {"job": 2, "warnings_count": 0},
+                   ("q", 1, 3): {"job": 3, "warnings_count": 0}}

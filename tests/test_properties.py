@@ -63,11 +63,27 @@ def test_strip_ansi(spark):
         assert r.x == re.sub(r"\x1B\[[0-?]*[ -/]*[@-~]", "", r.s)
 
 
-def test_context_in_parts(spark, tight):
+def test_contexts_of_long_lists_have_the_shape_of_short_ones(spark, tight):
     docs = spark.range(40).select(F.lit("q").alias("qid"), c("id").alias("rank"), F.concat(F.lit("text "), "id").alias("page_content"),
                                   F.create_map(F.lit("source"), F.lit("s")).alias("metadata"))
-    parts = [r.context for r in cx.format_context(docs, ["qid"], ["rank"]).orderBy("part").collect()]
-    assert len(parts) == 6 and "\n".join(parts) == "\n".join(f"<doc id='{i}'>text {i}</doc>" for i in range(40))
+    rows = cx.format_context(docs, ["qid"], ["rank"])
+    assert sorted((r.id, r.doc) for r in rows.collect()) == [(i, f"<doc id='{i}'>text {i}</doc>") for i in range(40)]
     cited = cx.citations(docs, ["qid"], ["rank"])
     assert sorted(r.id for r in cited.collect()) == list(range(40))
-    assert sorted(s.id for r in cx.citation_arrays(cited, ["qid"]).collect() for s in r.sources) == list(range(40))
+    assert [[s.id for s in r.sources] for r in cx.citation_arrays(cited, ["qid"], 7).collect()] == [list(range(7))]
+
+
+def test_links_resolve_as_the_standard_says(spark):
+    """Links as pages have them: absolute, of the same host, of the same site, relative or a query."""
+    import random
+    from urllib.parse import urljoin
+
+    from corpusflow.functions import urls as ur
+    rng = random.Random(11)
+    paths = ["/".join(rng.choices(["a", "b.html", "..", ".", "c d"], k=rng.randrange(1, 5))) for _ in range(300)]
+    links = [rng.choice(["", "/", "//h.example/", "https://o.example/", "?x=1&y=", "./", "../"]) + p + rng.choice(["", "/", "?q=1"]) for p in paths]
+    bases = ["https://s.example/x/y/z.html", "http://s.example", "https://s.example/", "https://s.example/x?b=2"]
+    rows = [(b, x) for b in bases for x in links]
+    df = spark.createDataFrame(rows, "base string, link string")
+    for r in df.select("base", "link", ur.resolve_url(c("base"), c("link")).alias("x")).collect():
+        assert r.x == urljoin(r.base, r.link), (r.base, r.link)

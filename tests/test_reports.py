@@ -13,13 +13,14 @@ def test_context_and_citations(spark):
         (1, 0, "Page content 1", {"url": "https://example.git", "branch": "main", "source": "file1.py"}),
         (1, 1, "Page content 2", {"source": "source2.py"}), (2, 0, "Other", {"source": "s", "title": "Title"})],
         f"qid long, rank int, page_content string, metadata {META}")
-    got = {r.qid: (r.part, r.context) for r in cx.format_context(docs, ["qid"], ["rank"]).collect()}
-    assert got == {1: (0, "<doc id='0'>Page content 1</doc>\n<doc id='1'>Page content 2</doc>"), 2: (0, "<doc id='0'>Other</doc>")}
+    got = {(r.qid, r.id): r.doc for r in cx.format_context(docs, ["qid"], ["rank"]).collect()}
+    assert got == {(1, 0): "<doc id='0'>Page content 1</doc>", (1, 1): "<doc id='1'>Page content 2</doc>", (2, 0): "<doc id='0'>Other</doc>"}
     cited = cx.citations(docs, ["qid"], ["rank"])
     assert sorted(tuple(r) for r in cited.collect()) == [
         (1, 0, "https://example/-/blob/main/file1.py", "Page content 1 ..."), (1, 1, "source2.py", "Page content 2 ..."), (2, 0, "s", "Title")]
     arrays = {r.qid: [s.id for s in r.sources] for r in cx.citation_arrays(cited, ["qid"]).collect()}
     assert arrays == {1: [0, 1], 2: [0]}
+    assert {r.qid: len(r.sources) for r in cx.citation_arrays(cited, ["qid"], top_n=1).collect()} == {1: 1, 2: 1}
 
 
 def test_summarise_sources(spark):
@@ -28,8 +29,11 @@ def test_summarise_sources(spark):
     df = spark.createDataFrame(rows, "source_type string, identifier_type string, identifier string, ord int")
     want = ["- Confluence spaces: space1, space2", "- GitLab Groups: group1", "- GitLab repositories: project1",
             "- Relevant documentation and resources available at: http://example.com"]
-    assert cx.summarise_sources(df).first().summary == "\n  ".join(want)
-    assert cx.summarise_sources(df.where("source_type <> 'gitlab'")).first().summary == "\n  ".join([want[0], want[3]])
+    rows = cx.summarise_sources(df)
+    assert sorted(tuple(r) for r in rows.where("section = 0").collect()) == [(0, -1, "- Confluence spaces: "), (0, 0, "space1"), (0, 1, "space2")]
+    assert cx.summary_text(rows).first().summary == "\n  ".join(want)
+    assert cx.summary_text(cx.summarise_sources(df.where("source_type <> 'gitlab'"))).first().summary == "\n  ".join([want[0], want[3]])
+    assert cx.summary_text(rows, top_n=1).first().summary.startswith("- Confluence spaces: space1\n")
 
 
 def test_compress_context(spark):
@@ -46,10 +50,10 @@ def test_compress_context(spark):
 
 def test_trace_and_tools(spark):
     steps = spark.createDataFrame([(1, 1, "b", "2", "y"), (1, 0, "a", "1", "x")], "run long, step int, tool string, tool_input string, observation string")
-    assert cx.render_trace(steps, ["run"], ["step"]).first().trace == (
-        "<tool>a</tool><tool_input>1</tool_input><observation>x</observation><tool>b</tool><tool_input>2</tool_input><observation>y</observation>")
+    assert sorted(tuple(r) for r in cx.render_trace(steps, ["run"], ["step"]).collect()) == [
+        (1, 0, "<tool>a</tool><tool_input>1</tool_input><observation>x</observation>"), (1, 1, "<tool>b</tool><tool_input>2</tool_input><observation>y</observation>")]
     tools = spark.createDataFrame([("z", "last"), ("m", "math")], "name string, description string")
-    assert cx.tool_list(tools).first().tools == "m: math\nz: last"
+    assert sorted(tuple(r) for r in cx.tool_list(tools).collect()) == [(0, "m: math"), (1, "z: last")]
     assert cx.last_result(steps, ["run"], "step", ["tool", "observation"]).collect()[0][1:] == ("b", "y")
 
 
@@ -72,13 +76,16 @@ def test_issue_report(spark):
                                      "key string, ord long, author string, body string")
     parents = {r.key: r.parent_text for r in iss.with_parent(issues).collect()}
     assert parents == {"E-1": "No parent issue", "S-1": "No parent issue", "T-1": "S-1: Story one", "T-2": "No parent issue"}
-    texts = {r.key: r.comments for r in iss.with_comments(issues, comments).collect()}
-    assert texts == {"E-1": "None", "S-1": "Ann: first\nBo: later", "T-1": "None", "T-2": "None"}
-    reports = {r.key: r.report for r in iss.issue_report(issues, comments).collect()}
+    texts = {(r.key, r.ord): r.comment for r in iss.with_comments(issues, comments).collect()}
+    assert texts == {("E-1", None): "None", ("S-1", 1): "Ann: first", ("S-1", 2): "Bo: later", ("T-1", None): "None", ("T-2", None): "None"}
+    reports = {}
+    for r in iss.issue_report(issues, comments).orderBy("section", "ord").collect():
+        reports.setdefault(r.key, []).append(r.text)
     assert set(reports) == {"E-1", "S-1", "T-1", "T-2"}
-    assert reports["S-1"] == ("\n**Title**: Story one\n**Key**: S-1\n**Status**: Open\n**Description**: Desc\n**Reporter**: Ann\n**Assignee**: Bo\n"
-                              "**Comments**: \nAnn: first\nBo: later\n**Parent Issue Summary**: \nNo parent issue\n")
-    assert reports["T-1"].endswith("**Comments**: \nNone\n**Parent Issue Summary**: \nS-1: Story one\n")
+    assert "\n".join(reports["S-1"]) == (
+        "\n**Title**: Story one\n**Key**: S-1\n**Status**: Open\n**Description**: Desc\n**Reporter**: Ann\n**Assignee**: Bo\n"
+        "**Comments**: \nAnn: first\nBo: later\n**Parent Issue Summary**: \nNo parent issue\n")
+    assert reports["T-1"][1:] == ["None", "**Parent Issue Summary**: \nS-1: Story one\n"]
 
 
 def _review(spark):
@@ -97,7 +104,11 @@ def _review(spark):
 
 def test_mr_report(spark):
     mrs, changes = _review(spark)
-    reports = {r.mr: r.report for r in ch.mr_report(mrs, changes).collect()}
+    rows = {}
+    for r in ch.mr_report(mrs, changes).orderBy("section", "ord").collect():
+        rows.setdefault(r.mr, []).append(r.text)
+    assert len(rows["m1"]) == 32
+    reports = {mr: "\n".join(texts) for mr, texts in rows.items()}
     lines = reports["m1"].split("\n")
     assert lines[:5] == ["Merge Request Details:", "Title: T", "Author: Ann (ann)", "State: opened", "Created At: d1"]
     assert lines[8:21] == ["Labels: x, y", "Pipeline Status: None", "Approvals Required: 2", "Approvals Received: 1", "Web URL: u", "Merge Status: ok",
@@ -108,14 +119,6 @@ def test_mr_report(spark):
     assert reports["m2"].endswith("Assignees:\nNone\n\nChanges:\nStatistics:\nTotal Files Changed: 0\nTotal Lines Added: 0\nTotal Lines Removed: 0")
 
 
-def test_mr_report_in_parts_is_the_same_text(spark, tight):
-    mrs, changes = _review(spark)
-    parts = [r.report for r in ch.mr_report(mrs, changes).where("mr = 'm1'").orderBy("part").collect()]
-    spark.conf.unset("spark.corpusflow.partRows")
-    whole = [r.report for r in ch.mr_report(mrs, changes).where("mr = 'm1'").collect()]
-    assert len(parts) == 5 and len(whole) == 1 and "\n".join(parts) == whole[0]
-
-
 def test_checks(spark):
     agents = spark.createDataFrame([("Chef",), ("Waiter",), ("Chef",)], "role string")
     tasks = spark.createDataFrame([(1, "Chef"), (2, "Game Engineer"), (3, "Boss")], "id int, role string")
