@@ -3,7 +3,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.catalog.base import SPLIT_CHUNKS, Tables, d2_sql, hits_sql, overlap_sql, query, tokens_sql, vectors_sql
+from corpusflow.catalog.base import SPLIT_CHUNKS, Tables, d2_sql, hits_sql, overlap_sql, query, strip_sql, tokens_sql, vectors_sql
+from corpusflow.functions import text as tx
 from corpusflow.functions.prompts import ANSWER_TEMPLATE
 from corpusflow.functions.vectors import embed, relevance
 from corpusflow.operators import context as cx, search as se
@@ -62,22 +63,17 @@ def _(t: Tables) -> DataFrame:
     return _rounded(se.threshold(se.search(_index(t), _queries(t), 3), 0.12)).select("qid", "chunk_id", "rank")
 
 
-@query("q3_memory_search", f"""
-WITH {_VEC}, {hits_sql('hits', 'vec', 'vec', 3)}
-SELECT qid, chunk_id AS context, label AS metadata FROM hits JOIN embeddings ON vec_id = chunk_id WHERE 1 - d2 / sqrt(2) >= 0.35""")
-def _(t: Tables) -> DataFrame:
-    found = se.memory_search(_index(t), _queries(t))
-    return found.join(_index(t).select("chunk_id", "label"), "chunk_id").select(
-        "qid", c("chunk_id").alias("context"), c("label").alias("metadata"))
-
-
-@query("w2_top_k", """
-SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(CAST(embedding[1] AS DOUBLE), 9) DESC, vec_id) AS rank
-FROM embeddings) WHERE rank <= 20""")
+@query("w2_top_k", f"""
+WITH {_VEC}, far AS (SELECT label, vec_id, {d2_sql("v.v", "(SELECT v FROM vec ORDER BY id LIMIT 1)")} AS d2 FROM embeddings JOIN vec v ON v.id = vec_id)
+SELECT label, vec_id, rank FROM (SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY round(d2, 9), vec_id) AS rank FROM far) WHERE rank <= 20""")
 def _(t: Tables) -> DataFrame:
+    """Of every label, the vectors nearest to the first vector of all."""
     from corpusflow.operators.ordering import top_rows
-    first = F.round(c("embedding")[0].cast("double"), 9)
-    return top_rows(t("embeddings"), ["label"], [first.desc(), c("vec_id")], 20).select("label", "vec_id", c("rank").cast("bigint").alias("rank"))
+    first = t("embeddings").select(F.min_by("embedding", "vec_id")).first()[0]
+    aim = F.array(*[F.lit(float(x)) for x in first])
+    d2 = F.aggregate(F.zip_with(c("embedding"), aim, lambda x, y: (x.cast("double") - y) * (x.cast("double") - y)), F.lit(0.0), lambda a, x: a + x)
+    return top_rows(t("embeddings").withColumn("d2", F.round(d2, 9)), ["label"], ["d2", "vec_id"], 20).select(
+        "label", "vec_id", c("rank").cast("bigint").alias("rank"))
 
 
 def _questions_of_three(t: Tables) -> DataFrame:
@@ -113,7 +109,8 @@ def _(t: Tables) -> DataFrame:
 def _two_indexes(t: Tables) -> tuple[DataFrame, DataFrame]:
     """Vectors of the lower labels, and all vectors, each with positions in id order."""
     def placed(df):
-        return cx.with_ordinal(df.select(c("vec_id").alias("doc_id"), "embedding"), [], ["doc_id"], "pos")
+        ids = cx.with_ordinal(df.select(c("vec_id").alias("doc_id")), [], ["doc_id"], "pos")
+        return df.select(c("vec_id").alias("doc_id"), "embedding").join(ids, "doc_id")
     return placed(t("embeddings").where("label < 5")), placed(t("embeddings"))
 
 
@@ -156,7 +153,8 @@ def _(t: Tables) -> DataFrame:
 # --- text: benchmark passages as questions over all document chunks -------------------------
 
 def _chunk_index(t: Tables) -> DataFrame:
-    return embed(rt.document_chunks(t.spread("documents", "doc_id")), "page_content")
+    """Chunks and vectors, worked out once per query into a table."""
+    return materialized(embed(rt.document_chunks(t.spread("documents", "doc_id")), "page_content"), "chunk-index")
 
 
 def _bench_queries(t: Tables) -> DataFrame:
@@ -252,6 +250,21 @@ def _(t: Tables) -> DataFrame:
     return cx.restore_metadata(kept.select("qid", "ref").unionByName(untagged), documents)
 
 
+@query("t6_tagged_compression", f"""
+WITH RECURSIVE {_COMPRESSED} SELECT c.qid, c.ref, {strip_sql('c.page_content')} AS page_content, b.namespace AS source
+FROM compressed c JOIN best b ON b.qid = c.qid AND b.rank = c.ref + 1""")
+def _(t: Tables) -> DataFrame:
+    """As one job: compress, tag each passage with its place, join them, cut them apart, read the tags, give the metadata back."""
+    best, kept = _compressed(t)
+    # a list has at most top_n passages
+    joined = kept.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(
+        "ref", tx.wrap_refs(c("page_content"), c("ref")).alias("text")))), lambda x: x["text"]), "").alias("context"))
+    text, ref = tx.extract_ref(c("passage"), compat=False)
+    passages = joined.select("qid", F.explode(F.split("context", "\n\n")).alias("passage")).select("qid", text.alias("page_content"), ref.alias("ref"))
+    documents = best.select("qid", (c("rank") - 1).cast("bigint").alias("ref"), c("metadata")["source"].alias("source"))
+    return cx.restore_metadata(passages.where(c("page_content").isNotNull()), documents).select("qid", "ref", "page_content", "source")
+
+
 @query("q4_multi_search", f"""
 WITH RECURSIVE questions AS (SELECT conv_id || '-' || turn AS question_id, [text, role || ' ' || text, text || ' ' || text] AS qs FROM conversations),
 sq AS (SELECT question_id || ':' || pos AS qid, question_id, pos AS query_pos, query FROM (SELECT question_id, unnest(range(0, len(qs))) AS pos, unnest(qs) AS query FROM questions)),
@@ -277,8 +290,7 @@ _NUMBERED = "numbered AS (SELECT *, row_number() OVER (PARTITION BY source ORDER
 
 
 @query("a1_format_context", f"""
-WITH {_NUMBERED} SELECT source, id // 10000 AS part, string_agg('<doc id=''' || id || '''>' || text || '</doc>', chr(10) ORDER BY id) AS context
-FROM numbered GROUP BY source, part""")
+WITH {_NUMBERED} SELECT source, id, '<doc id=''' || id || '''>' || text || '</doc>' AS doc FROM numbered""")
 def _(t: Tables) -> DataFrame:
     return cx.format_context(t("documents"), ["source"], ["doc_id"], "text")
 
@@ -296,21 +308,26 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a2_citation_arrays", """
-SELECT lang, id // 10000 AS part, count(*) AS sources, string_agg(id || ':' || source, ',' ORDER BY id) AS listed
-FROM (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS id FROM documents) GROUP BY lang, part""")
+SELECT lang, count(*) AS sources, string_agg(id || ':' || source, ',' ORDER BY id) AS listed
+FROM (SELECT lang, source, row_number() OVER (PARTITION BY lang ORDER BY doc_id) - 1 AS id FROM documents) WHERE id < 20 GROUP BY lang""")
 def _(t: Tables) -> DataFrame:
+    """The lists as arrays, as long as a search gives them."""
     packed = cx.citation_arrays(_cited(t), ["lang"])
     listed = F.transform("sources", lambda s: F.concat(s["id"].cast("string"), F.lit(":"), s["source"]))
-    return packed.select("lang", "part", F.size("sources").cast("bigint").alias("sources"), F.array_join(listed, ",").alias("listed"))
+    return packed.select("lang", F.size("sources").cast("bigint").alias("sources"), F.array_join(listed, ",").alias("listed"))
+
+
+_KINDS = {"de": 0, "en": 1, "es": 2, "fr": 3}
+_PLACE = f"CASE lang {' '.join(f"WHEN '{lang}' THEN {i}" for lang, i in _KINDS.items())} END"
 
 
-@query("a3_summarise_sources", """
-WITH s AS (SELECT DISTINCT lang, source FROM documents),
-b AS (SELECT lang, string_agg(source, ', ' ORDER BY source) AS names FROM s GROUP BY lang)
-SELECT 0::BIGINT AS part, string_agg(CASE lang WHEN 'de' THEN '- Confluence spaces: ' WHEN 'en' THEN '- GitLab Groups: ' WHEN 'es' THEN '- GitLab repositories: '
-  ELSE '- Relevant documentation and resources available at: ' END || names, chr(10) || '  ' ORDER BY lang) AS summary FROM b""")
+@query("a3_summarise_sources", f"""
+WITH s AS (SELECT DISTINCT lang, source FROM documents)
+SELECT {_PLACE} AS section, -1 AS ord, CASE lang {' '.join(f"WHEN '{lang}' THEN '{cx.SOURCE_HEADINGS[i][2]}'" for lang, i in _KINDS.items())} END AS text
+FROM (SELECT DISTINCT lang FROM s)
+UNION ALL SELECT {_PLACE}, row_number() OVER (PARTITION BY lang ORDER BY source) - 1, source FROM s""")
 def _(t: Tables) -> DataFrame:
-    kinds = F.create_map(*[F.lit(x) for pair in (("de", "confluence spaces"), ("en", "gitlab groups"), ("es", "gitlab projects"), ("fr", "web links")) for x in pair])
+    kinds = F.create_map(*[F.lit(x) for lang, i in _KINDS.items() for x in (lang, " ".join(cx.SOURCE_HEADINGS[i][:2]))])
     kind = F.split(kinds[c("lang")], " ")
     configured = t("documents").select(kind[0].alias("source_type"), kind[1].alias("identifier_type"),
                                        c("source").alias("identifier"), c("source").alias("ord")).distinct()
@@ -338,15 +355,13 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("a12_render_trace", """
-SELECT user_id, n // 10000 AS part, string_agg('<tool>' || event_type || '</tool><tool_input>' || props || '</tool_input><observation>' || event_id || '</observation>', '' ORDER BY n) AS trace
-FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS n FROM events) GROUP BY user_id, part""")
+SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS ord,
+  '<tool>' || event_type || '</tool><tool_input>' || props || '</tool_input><observation>' || event_id || '</observation>' AS text FROM events""")
 def _(t: Tables) -> DataFrame:
     return cx.render_trace(t("events"), ["user_id"], ["ts", "event_id"], tool="event_type", tool_input="props", observation="event_id")
 
 
-@query("a12_tool_list", """
-SELECT n // 10000 AS part, string_agg(p_name || ' ' || p_partkey || ': ' || p_brand, chr(10) ORDER BY n) AS tools
-FROM (SELECT *, row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part) GROUP BY part""")
+@query("a12_tool_list", "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS ord, p_name || ' ' || p_partkey || ': ' || p_brand AS text FROM part")
 def _(t: Tables) -> DataFrame:
     tools = t("part").select("p_partkey", F.concat("p_name", F.lit(" "), c("p_partkey").cast("string")).alias("name"), c("p_brand").alias("description"))
     return cx.tool_list(tools, ["p_partkey"])

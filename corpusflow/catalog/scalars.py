@@ -255,11 +255,14 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("p28_json_field", """
-SELECT event_id, json_extract_string(props, '$.k') AS k, NULL::VARCHAR AS deep, 'false' AS flag FROM events""")
+SELECT event_id, json_extract_string(props, '$.k') AS k, CASE WHEN user_id % 3 > 0 THEN event_type END AS deep, 'false' AS flag FROM events""")
 def _(t: Tables) -> DataFrame:
-    props = c("props")
-    return t("events").select("event_id", pr.json_field(props, "k").alias("k"), pr.json_field(props, "author.username").alias("deep"),
-                              pr.json_field(props, "new_file", F.lit("false")).alias("flag"))
+    """The payload stands beside an author, who is missing in every third event."""
+    author = F.when(c("user_id") % 3 > 0, F.struct(c("event_type").alias("username")))
+    payload = F.to_json(F.struct(c("props").alias("raw"), author.alias("author")))
+    return t("events").withColumn("payload", payload).select(
+        "event_id", pr.json_field(c("props"), "k").alias("k"), pr.json_field(c("payload"), "author.username").alias("deep"),
+                              pr.json_field(c("payload"), "new_file", F.lit("false")).alias("flag"))
 
 
 # --- text transforms ---------------------------------------------------------------------
@@ -328,4 +331,5 @@ def _(t: Tables) -> DataFrame:
 def _(t: Tables) -> DataFrame:
     from corpusflow.functions.sql import register
     register(t.spark)
-    return t.spark.sql("SELECT d.doc_id, CAST(x.ord AS BIGINT) AS ord, x.chunk FROM {docs} d, LATERAL chunk_text(d.text, 1500, 300) x", docs=t("documents"))
+    return t.spark.sql("SELECT doc_id, CAST(ord AS BIGINT) AS ord, chunk FROM {docs} LATERAL VIEW posexplode(chunk_text(text, 1500, 300)) c AS ord, chunk",
+                       docs=t("documents"))

@@ -3,8 +3,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.catalog.base import CHUNKS, Tables, elements_sql, page_text_sql, query, vectors_sql
+from corpusflow.catalog.base import SPLIT_CHUNKS, Tables, elements_sql, page_text_sql, query, vectors_sql
 from corpusflow.functions import text as tx
+from corpusflow.functions.vectors import embed
 from corpusflow.operators import index as ix
 from corpusflow.plans.retrieve import document_chunks
 from corpusflow.session import scratch_path
@@ -128,39 +129,42 @@ def _(t: Tables) -> DataFrame:
 # --- stored index ------------------------------------------------------------------------
 
 def _stored_index(t: Tables) -> str:
+    """All documents, cut and embedded, as a stored index."""
     path = scratch_path(t.spark, "index")
-    chunks = ix.fingerprint(document_chunks(t("documents"), recursive=False))
-    ix.write_index(chunks.withColumn("embedding", F.lit(None).cast("array<float>")), path)
+    ix.write_index(embed(ix.fingerprint(document_chunks(t.spread("documents", "doc_id"))), "page_content"), path)
     return path
 
 
-@query("k1_write_index", f"WITH {CHUNKS} SELECT namespace, chunk_id, ord, page_content FROM chunks")
+@query("k1_write_index", f"""
+WITH RECURSIVE {SPLIT_CHUNKS}, {vectors_sql('vec', 'chunks', 'chunk_id', 'page_content')}
+SELECT namespace, chunk_id, ord, page_content, len(list_filter(CAST(v AS DOUBLE[]), lambda x: x > 0)) AS used FROM chunks JOIN vec ON id = chunk_id""")
 def _(t: Tables) -> DataFrame:
     return ix.read_index(t.spark, _stored_index(t)).select(
-        "namespace", "chunk_id", F.col("ord").cast("bigint").alias("ord"), "page_content")
+        "namespace", "chunk_id", F.col("ord").cast("bigint").alias("ord"), "page_content",
+        F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("used"))
 
 
 @query("k2_read_index", f"""
-WITH {CHUNKS} SELECT namespace, count(*) AS chunks, CAST(sum(length(page_content)) AS BIGINT) AS chars FROM chunks GROUP BY namespace
-UNION ALL SELECT 'missing', 0, 0""")
+WITH RECURSIVE {SPLIT_CHUNKS} SELECT namespace, count(*) AS chunks, CAST(sum(length(page_content)) AS BIGINT) AS chars, 64 AS dimension FROM chunks GROUP BY namespace
+UNION ALL SELECT 'missing', 0, 0, NULL""")
 def _(t: Tables) -> DataFrame:
     path = _stored_index(t)
-    totals = (F.count("*").alias("chunks"), F.coalesce(F.sum(F.length("page_content")), F.lit(0)).alias("chars"))
-    absent = ix.read_index(t.spark, path, "missing").agg(*totals).select(F.lit("missing").alias("namespace"), "chunks", "chars")
+    totals = (F.count("*").alias("chunks"), F.coalesce(F.sum(F.length("page_content")), F.lit(0)).alias("chars"), F.max(F.size("embedding")).alias("dimension"))
+    absent = ix.read_index(t.spark, path, "missing").agg(*totals).select(F.lit("missing").alias("namespace"), "chunks", "chars", "dimension")
     return ix.read_index(t.spark, path).groupBy("namespace").agg(*totals).unionByName(absent)
 
 
-@query("k3_list_indexes", "SELECT DISTINCT source AS namespace FROM documents")
+@query("k3_list_indexes", f"WITH RECURSIVE {SPLIT_CHUNKS} SELECT DISTINCT namespace FROM chunks")
 def _(t: Tables) -> DataFrame:
     return ix.list_indexes(t.spark, _stored_index(t))
 
 
 @query("k4_build_ephemeral", f"""
-WITH {CHUNKS}, {vectors_sql('vec', 'chunks', 'chunk_id', 'page_content')}
+WITH RECURSIVE {SPLIT_CHUNKS}, {vectors_sql('vec', 'chunks', 'chunk_id', 'page_content')}
 SELECT id AS chunk_id, len(l) AS dimension, len(list_filter(l, lambda x: x > 0)) AS used, round(list_max(l), 6) AS top
 FROM (SELECT id, CAST(v AS DOUBLE[]) AS l FROM vec)""")
 def _(t: Tables) -> DataFrame:
-    index = ix.build_ephemeral(document_chunks(t.spread("documents", "doc_id"), recursive=False))
+    index = ix.build_ephemeral(document_chunks(t.spread("documents", "doc_id")))
     return index.select("chunk_id", F.size("embedding").cast("bigint").alias("dimension"),
                         F.size(F.filter("embedding", lambda x: x > 0)).cast("bigint").alias("used"),
                         F.round(F.array_max("embedding").cast("double"), 6).alias("top"))
@@ -213,11 +217,11 @@ def _(t: Tables) -> DataFrame:
 
 
 @query("f3_select_source", f"""
-WITH {CHUNKS} SELECT choice, count(chunk_id) AS chunks FROM
+WITH RECURSIVE {SPLIT_CHUNKS} SELECT choice, count(chunk_id) AS chunks FROM
  (SELECT 'all' AS choice, chunk_id FROM chunks UNION ALL SELECT 'src3', chunk_id FROM chunks WHERE namespace = 'src3')
 GROUP BY choice UNION ALL SELECT 'none', 0""")
 def _(t: Tables) -> DataFrame:
-    index = document_chunks(t("documents"), recursive=False)
+    index = ix.read_index(t.spark, _stored_index(t))
     parts = [ix.select_source(index, choice).agg(F.count("*").alias("chunks")).select(F.lit(choice).alias("choice"), "chunks")
              for choice in ("all", "none", "src3")]
     return sd.union_sources(parts)

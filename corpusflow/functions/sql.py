@@ -1,18 +1,19 @@
 """Functions for use in SQL text."""
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import SparkSession, functions as F
 
-from corpusflow.operators.chunking import CHUNK_OVERLAP, CHUNK_SIZE, split_text
+from corpusflow.operators.chunking import split_text
 
 
-class ChunkText:
-    """``LATERAL chunk_text(text, size, overlap)``: rows of ``ord`` and ``chunk``."""
-
-    def eval(self, text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP):
-        yield from enumerate(split_text(text or "", size, overlap))
+def register(spark: SparkSession) -> None:
+    """Make ``chunk_text(text, size, overlap)``, an array of chunks cut batch by batch, known to a session's SQL.
 
+    ``LATERAL VIEW posexplode(chunk_text(t, 1500, 300)) c AS ord, chunk`` gives rows.
+    """
+    @F.pandas_udf("array<string>")
+    def chunk_text(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series:
+        return pd.Series([list(split_text(t or "", s, o)) for t, s, o in zip(texts, sizes, overlaps, strict=True)])
 
-def register(spark: SparkSession) -> None:
-    """Make ``chunk_text`` known to a session's SQL."""
-    spark.udtf.register("chunk_text", F.udtf(ChunkText, returnType="ord int, chunk string"))
+    spark.udf.register("chunk_text", chunk_text)

@@ -2,46 +2,34 @@
 from __future__ import annotations
 
 import hashlib
-import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F
 
 DIMENSION = 64
 
 
-class _Buckets(dict):
-    """Bucket of each word seen by this worker; emptied when it grows too large."""
-
-    def __init__(self, dimension: int):
-        super().__init__()
-        self.dimension = dimension
-
-    def __missing__(self, word: str) -> int:
-        if len(self) > 1_000_000:
-            self.clear()
-        bucket = int(hashlib.md5(word.encode("utf-8")).hexdigest()[:8], 16) % self.dimension
-        self[word] = bucket
-        return bucket
-
-
 def hash_embedder(dimension: int = DIMENSION) -> Callable[[Column], Column]:
-    """Feature hashing of the words of a text into a unit vector, per row, without a shuffle."""
-
-    @F.pandas_udf("array<float>")
-    def embed_words(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        buckets = _Buckets(dimension)
-        for texts in batches:
-            out = []
-            for text in texts:
-                words = [w for w in text.split(" ") if w]
-                places = np.fromiter(map(buckets.__getitem__, words), dtype=np.intp, count=len(words))
-                counts = np.bincount(places, minlength=dimension)
-                norm = math.sqrt(float(np.dot(counts, counts)))
-                out.append((counts / norm if norm else counts).astype("float32"))
-            yield pd.Series(out)
+    """Feature hashing of the words of a text into a unit vector, per row, without a shuffle.
+
+    A batch is counted as a whole: each of its distinct words is hashed once.
+    """
+
+    @F.arrow_udf("array<float>")
+    def embed_words(texts: pa.Array) -> pa.Array:
+        words = pc.split_pattern(texts, " ")
+        coded = pc.dictionary_encode(words.flatten())
+        bucket = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % dimension if w else -1 for w in coded.dictionary.to_pylist()], np.int64)
+        place = bucket[np.asarray(coded.indices)]
+        row = np.asarray(pc.list_parent_indices(words))
+        full = place >= 0
+        counts = np.bincount(row[full] * dimension + place[full], minlength=len(texts) * dimension).reshape(-1, dimension)
+        norm = np.sqrt((counts * counts).sum(1, keepdims=True))
+        vectors = (counts / np.where(norm > 0, norm, 1)).astype(np.float32)
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * dimension, vectors.reshape(-1))
 
     return lambda text: embed_words(F.translate(F.lower(F.coalesce(text, F.lit(""))), "\t\r\n", "   "))
 

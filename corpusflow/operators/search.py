@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from corpusflow.functions.text import tokens
 from corpusflow.functions.vectors import relevance
 from corpusflow.operators.ordering import first_rows, top_rows
+from corpusflow.session import materialized
 
 TOP_K = 20
 TOP_N = 5
@@ -21,6 +22,8 @@ BROADCAST_QUERIES = 4_096
 # Rows of one block of queries or vectors in the blocked search.
 BLOCK_QUERIES = 4_096
 BLOCK_VECTORS = 65_536
+# Vectors that serve as centres of cells in the blocked search.
+CENTRES = 64
 # Distances held at once by one task.
 _CELL = 4_000_000
 # Distances closer than this many digits are ties, ordered by id.
@@ -159,23 +162,71 @@ def _scan_with_broadcast(index, table, k, d2_max, schema, ddl):
     return index.select("id", "vec").mapInArrow(scan, ddl)
 
 
-def _scan_in_blocks(index, queries, n_queries, k, d2_max, schema, ddl):
-    """Many queries: both sides are cut into blocks of bounded size by their unique ids and
-    every pair of blocks is one task's work. Nothing passes through the driver."""
-    cores = index.sparkSession.sparkContext.defaultParallelism
-    q_blocks = math.ceil(n_queries / _setting(queries, "blockQueries", BLOCK_QUERIES))
-    x_blocks = max(math.ceil(index.count() / _setting(queries, "blockVectors", BLOCK_VECTORS)),
-                   math.ceil(cores / max(1, q_blocks)), 1)
-    cells = min(max(1, q_blocks) * x_blocks, 16 * cores)
+def _placed(df: DataFrame, key: str, centres: np.ndarray, bound=None) -> DataFrame:
+    """Rows with the nearest centre of their vector, the distance to it and (queries) a bound for their hits."""
+    shared = df.sparkSession.sparkContext.broadcast(centres)
+    vec_type = df.schema["vec"].dataType.simpleString()
+
+    def place(batches):
+        for batch in batches:
+            away = np.sqrt(_distances(_matrix(batch.column(1)), shared.value)) if batch.num_rows else np.zeros((0, len(shared.value)))
+            cell = away.argmin(1)
+            reach = bound(away) if bound else np.zeros(len(cell))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(away[np.arange(len(cell)), cell]), pa.array(reach)],
+                [key, "vec", "cell", "away", "reach"])
 
-    def block(col: str, count: int) -> Column:
-        return F.pmod(F.xxhash64(col), F.lit(count)).cast("int")
+    key_type = df.schema[key].dataType.simpleString()
+    return materialized(df.select(key, "vec").mapInArrow(place, f"{key} {key_type}, vec {vec_type}, cell int, away double, reach double"), "cells")
+
+
+def _scan_in_blocks(index, queries, n_queries, k, d2_max, schema, ddl):
+    """Many queries: both sides lie in cells around a few of the vectors, and only pairs of cells that can
+    hold a hit meet. By the triangle inequality a query finds nothing in a cell whose border is farther off
+    than its bound: the radius, or the distance within which cells certain to be near hold ``k`` vectors.
+    Cells are cut into blocks of bounded size by the unique ids; nothing passes through the driver but
+    the centres and one row per cell."""
+    spark = index.sparkSession
+    some = index.select("vec").orderBy(F.xxhash64("id")).limit(_setting(queries, "centres", CENTRES)).toArrow()
+    if some.num_rows == 0 or n_queries == 0:
+        return spark.createDataFrame([], ddl)
+    centres = _matrix(some["vec"])
+    vectors = _placed(index, "id", centres)
+    held = {r.cell: (r.n, r.radius) for r in vectors.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    sizes = np.array([held.get(j, (0, 0.0))[0] for j in range(len(centres))])
+    radii = np.array([held.get(j, (0, 0.0))[1] for j in range(len(centres))])
+
+    def bound(away: np.ndarray) -> np.ndarray:
+        if not k:
+            return np.full(len(away), math.sqrt(d2_max))
+        farthest = np.where(sizes > 0, away + radii, np.inf)
+        order = farthest.argsort(1)
+        enough = (np.cumsum(sizes[order], 1) >= k).argmax(1)
+        reach = np.take_along_axis(farthest, order, 1)[np.arange(len(away)), enough]
+        return np.where(sizes.sum() >= k, reach, np.inf)
+
+    asked = _placed(queries, "qid", centres, bound)
+    groups = {r.cell: r for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("reach").alias("reach")).collect()}
+    between = np.sqrt(_distances(centres, centres))
+    block_q, block_x = _setting(queries, "blockQueries", BLOCK_QUERIES), _setting(queries, "blockVectors", BLOCK_VECTORS)
+    # a hair wider than the inequality, for rounding
+    meet = [(i, j, math.ceil(g.n / block_q), math.ceil(int(sizes[j]) / block_x)) for i, g in groups.items() for j in held
+            if between[i, j] - g.radius - radii[j] <= g.reach + 1e-6]
+    cells = min(sum(q * x for _, _, q, x in meet) or 1, 16 * spark.sparkContext.defaultParallelism)
+    pairs = F.broadcast(spark.createDataFrame(meet, "qc int, xc int, qn int, xn int"))  # a row per pair of cells
+
+    def block(col: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(col), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
 
     # the partition count is given, as little data means much work here
-    left = (queries.select("qid", "vec", block("qid", max(1, q_blocks)).alias("qb"))
-            .withColumn("xb", F.explode(F.sequence(F.lit(0), F.lit(x_blocks - 1)))).repartition(cells, "qb", "xb"))
-    right = (index.select("id", "vec", block("id", x_blocks).alias("xb"))
-             .withColumn("qb", F.explode(F.sequence(F.lit(0), F.lit(max(1, q_blocks) - 1)))).repartition(cells, "qb", "xb"))
+    on = ["qc", "qb", "xc", "xb"]
+    left = (asked.select("qid", "vec", F.col("cell").alias("qc")).join(pairs, "qc").withColumn("qb", block("qid", "qn")).withColumn("xb", every("xn"))
+            .select("qid", "vec", *on).repartition(cells, *on))
+    right = (vectors.select("id", "vec", F.col("cell").alias("xc")).join(pairs, "xc").withColumn("xb", block("id", "xn")).withColumn("qb", every("qn"))
+             .select("id", "vec", *on).repartition(cells, *on))
 
     def cell(q_table: pa.Table, x_table: pa.Table) -> pa.Table:
         if q_table.num_rows == 0 or x_table.num_rows == 0:
@@ -188,7 +239,7 @@ def _scan_in_blocks(index, queries, n_queries, k, d2_max, schema, ddl):
             return pa.Table.from_batches([best.batch(qids, schema)])
         return pa.Table.from_batches(list(_Within(d2_max).pairs(q, x, ids, qids, schema)), schema)
 
-    return left.groupBy("qb", "xb").cogroup(right.groupBy("qb", "xb")).applyInArrow(cell, ddl)
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, ddl)
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "chunk_id",
@@ -294,10 +345,14 @@ def bm25_scores(pairs: DataFrame, passages: DataFrame, k1: float = 1.2, b: float
     """
     asked = pairs.select("qid", "chunk_id", F.explode(word_set(F.col("query"))).alias("word"))
     lexicon = asked.select("word").distinct()
-    n = passages.agg(F.count("*")).scalar()
-    avg_len = passages.agg(F.avg(F.size(tokens(F.col("passage"))))).scalar()
-    df = (passages.select(F.explode(word_set(F.col("passage"))).alias("word")).join(lexicon, "word", "left_semi")
-          .groupBy("word").agg(F.count("*").alias("df")))
+    # one pass: a passage counts under each of its words, and under no word for number and length of all
+    counted = materialized(
+        passages.select(tokens(F.col("passage")).alias("words"))
+        .select(F.size("words").alias("len"), F.explode(F.array_append(F.array_distinct("words"), F.lit(""))).alias("word"))
+        .join(lexicon.unionByName(passages.sparkSession.range(1).select(F.lit("").alias("word"))), "word", "left_semi")
+        .groupBy("word").agg(F.count("*").alias("df"), F.sum("len").alias("len")), "lexicon")
+    n, avg_len = (counted.where("word = ''").agg(F.max(x)).scalar() for x in ("df", F.expr("len / df")))
+    df = counted.select("word", "df")
     rated = passages.join(pairs.select("chunk_id").distinct(), "chunk_id", "left_semi").select("chunk_id", tokens(F.col("passage")).alias("words"))
     tf = (rated.select("chunk_id", F.size("words").alias("len"), F.explode("words").alias("word"))
           .groupBy("chunk_id", "word").agg(F.count("*").alias("tf"), F.first("len").alias("len")))

@@ -73,7 +73,7 @@ def test_chunk_recursive_keeps_columns(spark):
 
 def test_chunk_text_in_sql(spark):
     register(spark)
-    rows = spark.sql("SELECT c.ord, c.chunk FROM VALUES ('aa bb cc') t(x), LATERAL chunk_text(x, 5, 0) c ORDER BY 1").collect()
+    rows = spark.sql("SELECT ord, chunk FROM VALUES ('aa bb cc') t(x) LATERAL VIEW posexplode(chunk_text(x, 5, 0)) c AS ord, chunk ORDER BY 1").collect()
     assert [tuple(r) for r in rows] == [(0, "aa bb"), (1, "cc")]
 
 
