@@ -79,10 +79,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession, path: str) -> None:
+    """Remove a scratch table that nothing will read any more."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def free_scratch(spark: SparkSession) -> None:
     """Remove the scratch tables of this application; results that have not been read are gone with them."""
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    drop_scratch(spark, f"{shared_dir(spark)}/{spark.sparkContext.applicationId}")
 
 
 def materialized(df: DataFrame, name: str = "table") -> DataFrame:
