@@ -173,3 +173,22 @@ def test_a_cluster_must_name_its_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         shared_dir(SimpleNamespace(sparkContext=context, conf={}))
     assert shared_dir(SimpleNamespace(sparkContext=context, conf={"spark.checkpoint.dir": "hdfs://x/scratch"})) == "hdfs://x/scratch"
+
+
+def test_scratch_tables_can_be_dropped(spark):
+    from corpusflow.session import drop_scratch, read_or_empty
+    path = scratch_path(spark, "gone")
+    spark.range(3).write.parquet(path)
+    assert f"/{spark.sparkContext.applicationId}/" in path and read_or_empty(spark, path, "id long").count() == 3
+    drop_scratch(spark, path)
+    assert read_or_empty(spark, path, "id long").count() == 0
+
+
+@pytest.mark.parametrize("master", ["local-cluster[2,1,1024]", "spark://host:1", "localhost", "k8s://local"])
+def test_only_local_sessions_may_do_without_a_shared_folder(master):
+    from types import SimpleNamespace
+
+    from corpusflow.session import shared_dir
+    context = SimpleNamespace(master=master, getCheckpointDir=lambda: None, setCheckpointDir=None)
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(SimpleNamespace(sparkContext=context, conf={}))
