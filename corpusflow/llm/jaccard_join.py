@@ -21,12 +21,14 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.arrays import WORD, Texts, combine, mix, prefixes, slices, span_hashes
 from corpusflow.llm.components import components
-from corpusflow.session import materialized
+from corpusflow.session import drop_scratch, materialized, scratch_path
 
 WIDTH, PERCENT = 4, 85
 #: Bytes of shingles one task joins at a time.
 REGION_BYTES = 8_000_000
 PIVOTS = 8
+#: Ids of dropped documents that are sent to every task.
+BROADCAST_IDS = 1_000_000
 #: Sets that are compared pair by pair.
 LEAF = 12
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -60,14 +62,14 @@ def bands(percent: int, limit: int) -> list[tuple[int, int, int, int]]:
     """Size bands (least size, largest size, classes, classes that may differ) that linked sets of both share.
 
     Sets of sizes s <= l link only if they differ in at most (s + l)(1 - t) / (1 + t) shingles, so in no more
-    classes. A quarter more classes make for agreements that chance does not bring; two more
+    classes. An eighth more classes make for agreements that chance does not bring; two more
     let a few be empty.
     """
     out, least = [], 1
     while least <= limit:
         largest = max(least, least * 3 // 2 if least > 6 else least * 100 // percent)
         differ = 2 * largest * (100 - percent) // (100 + percent)
-        out.append((least, largest, differ + differ // 4 + 3, differ))
+        out.append((least, largest, differ + differ // 8 + 3, differ))
         least = largest + 1
     return out
 
@@ -160,17 +162,21 @@ def _shared(batches):
     yield from table.select(["sig", "set_id", "tag"]).take(pa.array(order[keep])).to_batches()
 
 
-def _clusters(sets: DataFrame) -> DataFrame:
-    """(node, root) of the sets that may have a link; linked ones have the same root."""
+def _shared_signatures(sets: DataFrame) -> DataFrame:
+    """(sig, set_id, band, need) of the signatures that several sets have."""
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # ranges of (signature, set, tag) also split a signature that very many sets share, and a set of very many copies
     salt = F.shiftleft(F.pmod(F.xxhash64("doc_id"), F.lit(64)), 56)
-    rows = sets.where("not first and doc_id is not null").select(
+    rows = sets.select(
         F.explode("sigs").alias("sig"), "set_id", (salt + F.shiftleft(F.col("band").cast("long"), 40) + F.col("need")).alias("tag"))
     shared = rows.repartitionByRange(parts, "sig", "set_id", "tag").mapInArrow(_shared, "sig long, set_id long, tag long")
-    shared = materialized(shared.select("sig", "set_id", F.shiftright("tag", 40).bitwiseAND(F.lit(0xFFFF)).alias("band"),
-                                        F.col("tag").bitwiseAND(F.lit((1 << 40) - 1)).alias("need")), "shared")
+    return materialized(shared.select("sig", "set_id", F.shiftright("tag", 40).bitwiseAND(F.lit(0xFFFF)).alias("band"),
+                                      F.col("tag").bitwiseAND(F.lit((1 << 40) - 1)).alias("need")), "shared")
+
+
+def _clusters(shared: DataFrame) -> DataFrame:
+    """(node, root) of the sets that may have a link; linked ones have the same root."""
     for _ in range(2):
         # sets that share enough with others; then, without the rest, again
         enough = shared.groupBy("set_id", "band").agg(F.count("*").alias("_n"), F.max("need").alias("_need")).where("_n >= _need").select("set_id", "band")
@@ -405,10 +411,15 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     """
     spark = docs.sparkSession
     kind = docs.schema["doc_id"].dataType.simpleString()
-    sets = materialized(docs.select("doc_id", "text").mapInArrow(_read_sets(width, percent), _SETS.format(kind)), "sets")
+    path = scratch_path(spark, "sets")
+    read = docs.select("doc_id", "text").mapInArrow(_read_sets(width, percent), _SETS.format(kind))
+    read.write.partitionBy("first").parquet(path)
+    stored = spark.read.schema(read.schema).parquet(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    clusters = _clusters(sets)
-    sets = sets.where("first").select("doc_id", "n_shingles", "set_id")
+    shared = _shared_signatures(stored.where("not first and doc_id is not null"))
+    drop_scratch(spark, f"{path}/first=false")  # most signatures are of no more use; the shared ones are a table
+    clusters = _clusters(shared)
+    sets = stored.where("first").select("doc_id", "n_shingles", "set_id")
 
     # one text per set of a cluster
     asked = (sets.where("doc_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"))
@@ -450,7 +461,8 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
         named = materialized(named, "components")
     found = (sets.select("doc_id", "n_shingles", "set_id").join(named, F.col("set_id") == F.col("node"), "left")
              .withColumn("_class", F.when(F.col("n_shingles") > 0, F.coalesce("root", "set_id"))))
-    least = found.where("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least"))
+    # a table of its own, so that the rows of a very large component can be split in the join
+    least = materialized(found.where("_class is not null").groupBy("_class").agg(F.min("doc_id").alias("_least")), "least")
     return (found.join(least, "_class", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("_least", "doc_id")).alias("component_id")))
 
@@ -461,5 +473,7 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     Of rows that share that doc_id all stay.
     """
     found = jaccard_components(docs, width, percent)
-    gone = found.where("component_id <> doc_id").select("doc_id").distinct()
+    gone = materialized(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)  # the texts stay where they are; beyond, they are shuffled
     return docs.join(gone, "doc_id", "left_anti")
