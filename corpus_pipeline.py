@@ -14,37 +14,45 @@ from corpusflow.session import materialized, ship_package
 
 #: Least probability of a language for a document to stay.
 LANGUAGE_AT_LEAST = 0.5
+#: Bytes of texts that are handed to a Python worker at a time.
+BATCH_BYTES = 4_000_000
 #: Words of a shingle and per cent of shared shingles that make two documents near copies.
 NEAR_WIDTH, NEAR_PERCENT = 5, 80
 
 
+def _prepare(spark: SparkSession) -> None:
+    """The package on the workers, and batches for them that are bounded in bytes, however long the texts."""
+    ship_package(spark)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is known: texts without a letter and undecided ones go."""
-    ship_package(spark)
+    _prepare(spark)
     return language.keep_identified(docs, LANGUAGE_AT_LEAST)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, the one with the smallest id."""
-    ship_package(spark)
+    _prepare(spark)
     return jaccard_join.keep_one(docs, NEAR_WIDTH, NEAR_PERCENT)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of ``benchmark``."""
-    ship_package(spark)
+    _prepare(spark)
     return decontaminate.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document, each secret replaced by the name of its kind."""
-    ship_package(spark)
+    _prepare(spark)
     return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Tokens, a digest of the ids and one of the decoded text of every document."""
-    ship_package(spark)
+    _prepare(spark)
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         return bpe.round_trip(docs, f.read())
 
