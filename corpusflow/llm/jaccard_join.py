@@ -258,7 +258,8 @@ class Region:
     def by_prefix(self, rows: np.ndarray) -> None:
         """The same by an index of each set's rarest shingles: linked sets share one of them.
 
-        The largest component is only indexed: its sets need no links among themselves.
+        The sets of what is the largest component now are only indexed, before any set is probed: they need no
+        links among themselves. Sets that join it later are probed like all others.
         """
         roots = np.array([self.root(i) for i in rows.tolist()])
         names, counts = np.unique(roots, return_counts=True)
@@ -268,11 +269,11 @@ class Region:
         often = np.bincount(cells, minlength=len(self.names))
         index: dict[int, list[int]] = {}
         others = roots != names[counts.argmax()]
-        for i in [*rows[~others].tolist(), *rows[others].tolist()]:
+        for i, probed in [*((i, False) for i in rows[~others].tolist()), *((i, True) for i in rows[others].tolist())]:
             codes, size = self.own(i), int(self.sizes[i])
             rare = codes[np.lexsort((codes, often[codes]))][:size - -(-size * self.percent // 100) + 1].tolist()
             mine = self.root(i)
-            for j in sorted({j for c in rare for j in index.get(c, ())}) if mine != names[counts.argmax()] else ():
+            for j in sorted({j for c in rare for j in index.get(c, ())}) if probed else ():
                 other = int(self.sizes[j])
                 if 100 * min(size, other) >= self.percent * max(size, other) and self.root(j) != mine:
                     common = len(np.intersect1d(codes, self.own(j), assume_unique=True))

@@ -126,6 +126,31 @@ def test_region_join_equals_all_pairs():
         assert [region.root(i) for i in range(len(sets))] == groups(len(sets), links), trial
 
 
+def test_prefix_join_probes_sets_that_join_the_largest_component_on_the_way():
+    n = 40
+    core = list(range(n))
+
+    def other(*changes):  # core with some shingles replaced: (place, new shingle)
+        out = list(core)
+        for place, new in changes:
+            out[place] = new
+        return set(out)
+    # the largest component: rows 0-2, equal sets; i1 links into it, i2 is known as linked with i1, j links only with i2
+    big = [other(), other(), other()]
+    i1 = other((0, 100))
+    far = list(range(1000, 1000 + n))
+    i2, j = set(far), {*far[:-1], 2000}
+    sets = [*big, i1, j, i2]
+    region = jaccard_join.Region([np.array(sorted(s), np.uint64) for s in sets], 85)
+    known = [(0, 1), (1, 2), (3, 5)]
+    for a, b in known:
+        region.link(a, b)
+    region.by_prefix(np.arange(len(sets)))
+    links = known + [(a, b) for a in range(len(sets)) for b in range(a) if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b])]
+    assert (3, 0) in links and (5, 4) in links and (4, 0) not in links
+    assert [region.root(i) for i in range(len(sets))] == groups(len(sets), links) == [0] * len(sets)
+
+
 def test_components(spark):
     rng = random.Random(6)
     edges = [(i, i + 1) for i in range(100, 160)] + [(rng.randrange(60), rng.randrange(60)) for _ in range(40)] + [(7, 7), (500, 501), (501, 500)]
