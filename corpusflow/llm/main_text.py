@@ -33,6 +33,8 @@ _NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|a
 |menu|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing
 |social|related|recommended|comments?|comment-list|replies|respond|disqus|widget|toolbar|pagination|pager|copyright|legal|skip|hidden|complementary|contentinfo
 |dialog|advert-box|form)(?:$|[\s_-]|\d)""", re.I | re.X)
+#: An article that is named so is a reader's comment, a teaser or an advert.
+_NO_ARTICLE = frozenset("comment comments reply replies related recommended teaser ad advert advertisement sponsored promo".split())
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
@@ -40,16 +42,23 @@ _HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidd
 def _is_apart(name: str, attributes: str, in_main: bool) -> bool:
     if name in _APART or (name == "header" and not in_main):
         return True
-    if not attributes or name in ("html", "body", "article", "main"):
+    if not attributes or name in ("html", "body", "main"):
         return False
+    if name == "article":
+        return bool(_HIDDEN.search(attributes)) or any(
+            not _NO_ARTICLE.isdisjoint(v.strip("\"'").lower().split()) for k, v in _ATTRIBUTE.findall(attributes) if k.lower() != "id")
     return bool(_HIDDEN.search(attributes)) or any(_NAMES.search(v.strip("\"'")) for _, v in _ATTRIBUTE.findall(attributes))
 
 
-def lines_of(page: str) -> list[tuple[str, bool]]:
-    """Blocks of a page as (text, inside an article); an empty text where something was stripped or a section ends."""
+def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
+    """Blocks of a page as (text, inside an article), and whether an article was opened outside what is stripped.
+
+    A text is empty where something was stripped or a section ends.
+    """
     lines: list[tuple[str, bool]] = []
     parts: list[str] = []
     open_tags: list[str] = []
+    opened = False
     main = apart = 0  # depth of open articles; depth of the stack where a stripped container began
     at, size = 0, len(page)
 
@@ -117,9 +126,10 @@ def lines_of(page: str) -> list[tuple[str, bool]]:
         elif not apart and name in _MAIN:
             gap()
             main += 1
+            opened = True
     if not apart:
         close_block()
-    return lines
+    return lines, opened
 
 
 def runs_of(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, int]]:
@@ -146,16 +156,15 @@ def main_text(page: str | None) -> str:
     """The main text of a page, one line per block."""
     if not page:
         return ""
-    lines = lines_of(page)
+    lines, opened = lines_of(page)
     runs = runs_of([len(text) for text, _ in lines])
     if not runs:
         return ""
     named = [r for r in runs if any(inside for _, inside in lines[r[0]:r[1]])]
-    if not named and re.search(r"<(?:article|main)[\s>]", page, re.I):
-        return ""  # an article without text
     if not named:
         top = max(peak for _, _, peak in runs)
-        named = [r for r in runs if r[2] >= min(SURGE, top)]
+        # beside an article without text, no other text is main text for being the longest
+        named = [r for r in runs if r[2] >= (SURGE if opened else min(SURGE, top))]
     return "\n".join(text for a, b, _ in named for text, _ in lines[a:b])
 
 
@@ -172,8 +181,8 @@ def text_of(page: Column) -> Column:
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: page_id, url, main text and its length.
 
-    Where a page names an article, its runs are the main text, whatever their length; else every run
-    whose largest window reaches ``SURGE`` characters, or the largest there is. Null, empty and
+    Where a page has an article with text, its runs are the main text, whatever their length; else every run
+    whose largest window reaches ``SURGE`` characters, or, where no article was opened, the largest there is. Null, empty and
     textless pages give an empty text; broken and cut-off markup ends where the page ends. Repeated
     rows are read each for itself, an empty table gives no rows, other columns are left out. No shuffle.
     """

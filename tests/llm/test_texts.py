@@ -245,6 +245,16 @@ def test_main_text(spark):
     assert main_text.main_text("<div>" * 5000 + LONG) == LONG
 
 
+@pytest.mark.parametrize("page", [
+    f"<div><p>{LONG}</p></div><aside><article><h3>t</h3></article></aside>",
+    f"<div><p>{LONG}</p></div><ol class='comment-list'><li><article><p>{LONG} mine</p></article></ol>",
+    f"<!-- <article> --><div><p>{LONG}</p></div>", f"<div><p>{LONG}</p></div><script>x = '<main class=a>';</script>",
+    f"<div><p>{LONG}</p></div><template><article>t</article></template>", f"<article></article><div><p>{LONG}</p></div>",
+    f"<div><p>{LONG}</p></div><article class='comment odd'><p>{LONG} mine</p></article>"])
+def test_only_an_open_article_names_the_main_text(page):
+    assert main_text.main_text(page) == LONG
+
+
 # --- language --------------------------------------------------------------------------------------------
 
 def slow_bits(training, text, every):
