@@ -22,32 +22,65 @@ WINDOW = 3
 SURGE = 80
 
 _TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_RAW = re.compile(r"script|style|noscript|template|textarea|title|svg|math|iframe|object|select|button|option", re.I)
+_RAW = re.compile(r"script|style|noscript|template|textarea|title|iframe|select|button|option|annotation|annotation-xml", re.I)
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
  h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _APART = frozenset("nav footer aside form menu dialog head fieldset".split())
 _MAIN = frozenset(("article", "main"))
-#: Words in class, id or role of a container that is no main text.
-_NAMES = re.compile(r"""(?:^|[\s_-])(?:ads?|adverts?|advertisement|advertising|adsense|banner|sponsor(?:ed)?|promo(?:tion)?|sidebar|side|nav|navbar|navigation
-|menu|breadcrumbs?|header|masthead|footer|foot|cookies?|consent|notice|notices|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing
-|social|related|recommended|comments?|comment-list|replies|respond|disqus|widget|toolbar|pagination|pager|copyright|legal|skip|hidden|complementary|contentinfo
-|dialog|advert-box|form)(?:$|[\s_-]|\d)""", re.I | re.X)
+#: Headings, paragraphs and the like: text, however they are named.
+_TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p dt dd pre blockquote figcaption caption legend summary".split())
+#: Names of containers that hold no main text, as a whole class, also inside an article.
+_WHOLE = frozenset("""ad ads advert adverts advertisement advertising adsense advert-box sponsor sponsored promo promotion sidebar nav navbar navigation menu
+ breadcrumb breadcrumbs cookie cookies cookie-notice cookie-banner consent popup modal newsletter subscribe signup login share sharing social related
+ recommended comment comments comment-list comments-area replies respond disqus widget toolbar pagination pager hidden""".split())
+#: The same outside an article, there also as a whole id.
+_OUTSIDE = _WHOLE | frozenset("side header masthead footer foot banner notice notices alert overlay search legal copyright skip form dialog".split())
+#: Roles of such containers, anywhere.
+_ROLES = frozenset("navigation search complementary contentinfo banner dialog alertdialog menu menubar toolbar".split())
+#: Parts of a class, or of a div's id, that tell such a container outside an article.
+_PARTS = frozenset("""ad ads advert adverts advertisement advertising adsense sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs
+ masthead footer cookie cookies consent popup modal newsletter subscribe signup login share sharing related recommended comments disqus widget toolbar
+ pagination pager copyright""".split())
 #: An article that is named so is a reader's comment, a teaser or an advert.
 _NO_ARTICLE = frozenset("comment comments reply replies related recommended teaser ad advert advertisement sponsored promo".split())
-_ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", re.I)
-_HIDDEN = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
 
 
-def _is_apart(name: str, attributes: str, in_main: bool) -> bool:
+def _attributes(text: str) -> dict[str, str]:
+    """Attributes by name; of those that repeat, the first counts."""
+    out: dict[str, str] = {}
+    for name, value in _ATTRIBUTE.findall(text):
+        out.setdefault(name.lower(), html.unescape(value.strip("\"'")) if value else "")
+    return out
+
+
+def _has_part(names: list[str]) -> bool:
+    """Whether a hyphened name has a telling part; ``has-sidebar`` tells what a container holds, not what it is."""
+    return any(not _PARTS.isdisjoint(parts) for parts in (re.split(r"[-_\d]+", n) for n in names) if parts[0] not in ("has", "with", "no", "without"))
+
+
+def _is_apart(name: str, text: str, in_main: bool) -> bool:
+    """Whether a block holds no main text: by its element, as hidden, or, for containers, by name."""
     if name in _APART or (name == "header" and not in_main):
         return True
-    if not attributes or name in ("html", "body", "main"):
+    if not text or name in ("html", "body", "main"):
         return False
+    own = _attributes(text)
+    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(own.get("style", "")):
+        return True
+    if name in _TEXTS:
+        return False
+    classes, roles = own.get("class", "").lower().split(), own.get("role", "").lower().split()
+    if not _ROLES.isdisjoint(roles):
+        return True
     if name == "article":
-        return bool(_HIDDEN.search(attributes)) or any(
-            not _NO_ARTICLE.isdisjoint(v.strip("\"'").lower().split()) for k, v in _ATTRIBUTE.findall(attributes) if k.lower() != "id")
-    return bool(_HIDDEN.search(attributes)) or any(_NAMES.search(v.strip("\"'")) for _, v in _ATTRIBUTE.findall(attributes))
+        return not _NO_ARTICLE.isdisjoint(classes)
+    if in_main:
+        return name != "header" and not _WHOLE.isdisjoint(classes)
+    ids = [own["id"].strip().lower()] if "id" in own else []
+    return not _OUTSIDE.isdisjoint(classes + ids) or _has_part(classes + (ids if name in ("div", "ul", "ol", "table") else []))
 
 
 def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:

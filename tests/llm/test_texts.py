@@ -255,6 +255,25 @@ def test_only_an_open_article_names_the_main_text(page):
     assert main_text.main_text(page) == LONG
 
 
+NAMED = [f"<section id='search-algorithms'><p>{LONG}</p></section>", f"<section id=side-effects><p>{LONG}</p></section>", f"<p class='alert'>{LONG}</p>",
+         f"<section title='the hidden cost'><p>{LONG}</p></section>", f"<div class='has-sidebar'><p>{LONG}</p></div>", f"<div data-x='display:none'><p>{LONG}</p></div>",
+         f"<h2 id='legal-status'>{LONG}</h2>", f"<blockquote class='related'>{LONG}</blockquote>"]
+
+
+@pytest.mark.parametrize("page", NAMED)
+def test_names_that_headings_and_sections_have_strip_nothing(page):
+    assert main_text.main_text(page) == LONG
+    assert main_text.main_text(f"<article><h1>T</h1>{page}</article>") == f"T\n{LONG}"
+
+
+def test_names_inside_an_article():
+    page = (f"<article><div class='entry-header'><h1>T</h1></div><p>{LONG}</p><div id='share'>id</div><div class='share'>share</div><div role=navigation>m</div>"
+            "<section hidden>no</section><p>so <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> and <svg><title>i</title><text>label</text></svg>"
+            " <object>other</object></p></article>")
+    assert main_text.main_text(page) == f"T\n{LONG}\nid\nso x=2 and label other"
+    assert main_text.main_text(f"<div id=main-nav>{LONG}</div><div class=footer>{LONG}</div><div class='site-footer x'>{LONG}</div><p>{LONG}!</p>") == f"{LONG}!"
+
+
 # --- language --------------------------------------------------------------------------------------------
 
 def slow_bits(training, text, every):
