@@ -1,14 +1,16 @@
 """HTML extraction by line-block distribution.
 
 Markup is stripped into lines, one per block of the page. Text lengths are summed over sliding windows
-of lines; where the sum rises from nothing is a surge, where it falls back to nothing a dive, and the
-text between belongs together. Containers that never hold main text (menus, footers, adverts, forms,
-scripts ...) and the borders of sections count as empty lines, so they end a run.
+of lines; where the sum rises to that of a text is a surge, where it falls to nothing a dive, and the
+text between belongs together. Link texts weigh nothing. Containers that never hold main text (menus,
+footers, adverts, forms, scripts ...) and the borders of sections count as empty lines; an article is
+evidence that adds to the sums.
 """
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -28,6 +30,12 @@ _BLOCKS = frozenset("""address article aside blockquote body caption center dd d
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _APART = frozenset("nav footer aside form menu dialog head fieldset".split())
 _MAIN = frozenset(("article", "main"))
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Elements whose bare text may be a menu as well as a paragraph.
+_BARE = frozenset("div section center td th header address".split())
+#: Lists and tables, whose items stand in the element around them; an item's own text too.
+_THROUGH = frozenset("ul ol li dl dd dt table thead tbody tfoot tr caption blockquote".split())
+_ITEMS = frozenset("h1 h2 h3 h4 h5 h6 p li dd dt pre td th caption summary figcaption div address blockquote".split())
 #: Headings, paragraphs and the like: text, however they are named.
 _TEXTS = frozenset("h1 h2 h3 h4 h5 h6 p dt dd pre blockquote figcaption caption legend summary".split())
 #: Names of containers that hold no main text, as a whole class, also inside an article.
@@ -83,37 +91,58 @@ def _is_apart(name: str, text: str, in_main: bool) -> bool:
     return not _OUTSIDE.isdisjoint(classes + ids) or _has_part(classes + (ids if name in ("div", "ul", "ol", "table") else []))
 
 
-def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
-    """Blocks of a page as (text, inside an article), and whether an article was opened outside what is stripped.
+class Line(NamedTuple):
+    """A block of a page; its text is empty where something was stripped or a section ends."""
+    text: str
+    #: Characters outside links.
+    own: int = 0
+    #: Where it stands: "article", "main" or neither.
+    inside: str = ""
+    #: Its element, and the number of the element around it (lists and tables are looked through).
+    name: str = ""
+    around: int = 0
 
-    A text is empty where something was stripped or a section ends.
-    """
-    lines: list[tuple[str, bool]] = []
+
+def lines_of(page: str) -> tuple[list[Line], bool]:
+    """The blocks of a page, and whether an article was opened outside what is stripped."""
+    lines: list[Line] = []
     parts: list[str] = []
+    linked: list[str] = []
     open_tags: list[str] = []
-    opened = False
-    main = apart = 0  # depth of open articles; depth of the stack where a stripped container began
+    around: list[int] = [0]  # of each open block, the nearest block at or above it that is no list or table
+    opened = link = False
+    count = 0
+    main = article = apart = 0  # depths of open articles; depth of the stack where a stripped container began
     at, size = 0, len(page)
 
+    def add(text: str) -> None:
+        parts.append(text)
+        if link:
+            linked.append(text)
+
     def close_block() -> None:
         text = " ".join(html.unescape("".join(parts)).split())
+        shared = len(" ".join(html.unescape("".join(linked)).split())) if linked else 0
         parts.clear()
+        linked.clear()
         if text:
-            lines.append((text, main > 0))
+            name = open_tags[-1] if open_tags else ""
+            lines.append(Line(text, max(len(text) - shared, 0), "article" if article else "main" if main else "", name,
+                              around[-2] if name in _ITEMS and len(around) > 1 else around[-1]))
 
     def gap() -> None:
         close_block()
-        if lines and lines[-1][0]:
-            lines.append(("", False))
+        if lines and lines[-1].text:
+            lines.append(Line(""))
 
     while at < size:
         tag = _TAG.search(page, at)
         if tag is None:
             if not apart:
-                parts.append(page[at:])
+                add(page[at:])
             break
         if not apart:
-            parts.append(page[at:tag.start()])
+            add(page[at:tag.start()])
         at = tag.end()
         if tag[2] is None:
             continue
@@ -123,7 +152,9 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
             at = end.end() if end else size
             continue
         if name == "br":
-            parts.append(" ")
+            add(" ")
+        if name == "a" and not apart:
+            link = not closing and "href" in _attributes(tag[3])
         if name not in _BLOCKS:
             continue
         if closing:
@@ -135,12 +166,16 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
                 if not apart:
                     close_block()
                 done = open_tags.pop()
+                around.pop()
                 if apart and len(open_tags) < apart:
                     apart = 0
+                    link = False
                     parts.clear()
+                    linked.clear()
                 if done in _MAIN and not apart:
                     gap()
                     main -= 1
+                    article -= done == "article"
                 if done == name:
                     break
             continue
@@ -148,17 +183,21 @@ def lines_of(page: str) -> tuple[list[tuple[str, bool]], bool]:
             if not apart:
                 close_block()
             open_tags.pop()
+            around.pop()
         if not apart:
             close_block()
         if name in _VOID or tag[3].endswith("/"):
             continue
         open_tags.append(name)
+        count += 1
+        around.append(around[-1] if name in _THROUGH else count)
         if not apart and _is_apart(name, tag[3], main > 0):
             gap()
             apart = len(open_tags)
         elif not apart and name in _MAIN:
             gap()
             main += 1
+            article += name == "article"
             opened = True
     if not apart:
         close_block()
@@ -185,20 +224,65 @@ def runs_of(lengths: list[int], window: int = WINDOW) -> list[tuple[int, int, in
     return runs
 
 
+def _weight(line: Line) -> int:
+    """What a line counts in the window sums: its characters, none for links, more inside an article."""
+    if line.inside == "article":
+        return len(line.text) + SURGE
+    if 2 * line.own < len(line.text):
+        return 0
+    return line.own + SURGE * (line.inside == "main")
+
+
+def _kept(lines: list[Line], weights: list[int], runs: list[tuple[int, int, int]], least: int) -> set[int]:
+    """Lines between a surge and a dive.
+
+    Where a window's sum reaches ``least``, its longer lines and headings are text. Text goes on over shorter lines up
+    to the next such window, unless a whole window of lines weighs nothing, and to the paragraphs and items
+    that stand in the same element as a longer line, also past a stripped container.
+    """
+    core: set[int] = set()
+    dense: set[int] = set()
+    between: set[int] = set()
+    for start, end, _ in runs:
+        for i in range(start, max(start + 1, end - WINDOW + 1)):
+            window = range(i, min(i + WINDOW, end))
+            if sum(weights[k] for k in window) >= least:
+                dense.update(window)
+                core.update(k for k in window if weights[k] * WINDOW >= least)
+        last, nothing = None, 0
+        for i in range(start, end):
+            nothing = 0 if weights[i] else nothing + 1
+            if nothing == WINDOW:
+                last = None
+            if i in core:
+                if last is not None:
+                    between.update(range(last + 1, i))
+                last = i
+    places = {(lines[i].around, lines[i].name in _BARE) for i in core}
+    near = {i for i, line in enumerate(lines) if weights[i] and (line.around, line.name in _BARE) in places and (line.name not in _BARE or i in dense)}
+    return core | between | near | {i for i in dense if lines[i].name in _HEADINGS and weights[i]}
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, one line per block."""
     if not page:
         return ""
     lines, opened = lines_of(page)
-    runs = runs_of([len(text) for text, _ in lines])
+    runs = runs_of([len(line.text) for line in lines])
     if not runs:
         return ""
-    named = [r for r in runs if any(inside for _, inside in lines[r[0]:r[1]])]
-    if not named:
-        top = max(peak for _, _, peak in runs)
-        # beside an article without text, no other text is main text for being the longest
-        named = [r for r in runs if r[2] >= (SURGE if opened else min(SURGE, top))]
-    return "\n".join(text for a, b, _ in named for text, _ in lines[a:b])
+    weights = [_weight(line) for line in lines]
+    if not any(weights) and not opened:
+        weights = [len(line.text) for line in lines]  # nothing but links
+    least = SURGE
+    if not opened:  # beside an article without text, no other text is main text for being the longest
+        least = max(1, min(SURGE, max(sum(weights[i:min(i + WINDOW, end)]) for start, end, _ in runs for i in range(start, end))))
+    kept = _kept(lines, weights, runs, least)
+    inside = {i for i in kept if lines[i].inside}
+    # an article that has most of the text is the main text; a teaser is not
+    if 2 * sum(lines[i].own for i in inside) >= sum(lines[i].own for i in kept):
+        kept = inside or kept
+    return "\n".join(lines[i].text for i in sorted(kept))
 
 
 def text_of(page: Column) -> Column:
@@ -214,8 +298,9 @@ def text_of(page: Column) -> Column:
 def extract_main_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """Per row of ``pages``: page_id, url, main text and its length.
 
-    Where a page has an article with text, its runs are the main text, whatever their length; else every run
-    whose largest window reaches ``SURGE`` characters, or, where no article was opened, the largest there is. Null, empty and
+    Window sums of ``WINDOW`` lines place the text: it begins where a sum reaches ``SURGE`` characters (or, where no
+    article was opened, the largest sum there is) and ends where sums fall to nothing. Links weigh nothing; lines
+    in an article count as full windows, whatever their length, and stand alone where they have most of the text. Null, empty and
     textless pages give an empty text; broken and cut-off markup ends where the page ends. Repeated
     rows are read each for itself, an empty table gives no rows, other columns are left out. No shuffle.
     """

@@ -274,6 +274,28 @@ def test_names_inside_an_article():
     assert main_text.main_text(f"<div id=main-nav>{LONG}</div><div class=footer>{LONG}</div><div class='site-footer x'>{LONG}</div><p>{LONG}!</p>") == f"{LONG}!"
 
 
+MENU = "".join(f"<div><a href='/{w}'>{w} and more of {w}</a></div>" for w in ("News", "Sport", "Culture", "Travel", "Weather"))
+FOOT = "<div><div>Imprint</div><div>Contact</div><div>Terms</div></div>"
+SHORT = "".join(f"<p>{w}</p>" for w in ("Yes.", "No.", "Why?", "So.", "Well."))
+BARE = {
+    f"<div>{MENU}</div><div><h1>T</h1><p>{LONG}</p><p>{LONG}!</p></div>{FOOT}": f"T\n{LONG}\n{LONG}!",
+    f"<table><tr><td>{MENU}</td><td><p>{LONG}</p><p>End.</p></td></tr></table>{FOOT}": f"{LONG}\nEnd.",
+    f"<div><div>Home</div><div>About</div><div>Shop</div></div><div><p>{LONG}</p>{SHORT}<p>{LONG}!</p>{SHORT}</div>{FOOT}":
+        f"{LONG}\nYes.\nNo.\nWhy?\nSo.\nWell.\n{LONG}!\nYes.\nNo.\nWhy?\nSo.\nWell.",
+    f"<div><p>{LONG}</p><div class=ad>buy</div><p>The end.</p></div>{FOOT}": f"{LONG}\nThe end.",
+    f"<div>{LONG}</div>{MENU}<div>{LONG}!</div>": f"{LONG}\n{LONG}!",
+    f"<div><p>{LONG}</p><ul><li>one</li><li>two</li><li>three</li><li>four</li></ul></div>{FOOT}": f"{LONG}\none\ntwo\nthree\nfour",
+    f"<div><p>See <a href=x>this</a>. {LONG}</p><p><a href=y>Link alone</a></p><p>{LONG}</p></div>": f"See this. {LONG}\nLink alone\n{LONG}",
+    f"<article><a href=x>A teaser</a></article><div><p>{LONG}</p><p>{LONG}!</p></div>": f"A teaser\n{LONG}\n{LONG}!",
+    f"<main>{MENU}<p>{LONG}</p><p>x</p></main>": f"{LONG}\nx", "<a href=x>only</a><p><a href=y>links</a>": "only\nlinks",
+    "<p>ab</p><p>c</p><p>d</p><p>e</p>": "ab\nc\nd\ne",
+}
+
+
+def test_window_sums_place_the_text_without_telling_names():
+    assert {p: main_text.main_text(p) for p in BARE} == BARE
+
+
 # --- language --------------------------------------------------------------------------------------------
 
 def slow_bits(training, text, every):
