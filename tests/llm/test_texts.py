@@ -409,6 +409,32 @@ def test_contamination(spark):
         decontaminate.find_windows(docs, bench.select("item_id", F.repeat("text", 1_000_000).alias("text")))
 
 
+def test_contamination_by_a_benchmark_in_parts(spark):
+    limit = 4
+    texts = [*ODD, *LEAKS, *LEAKS[:2], (None, LEAKS[0]), "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu, x short item short item"]
+    bench = spark.createDataFrame(ITEMS, "item_id long, text string")
+    docs = clashing(documents(spark, texts))
+    rows = by_id(decontaminate.contamination(docs, bench, limit=limit))
+    whole = by_id(decontaminate.contamination(docs, bench))
+    assert all(rows[i] == whole[i] for i in whole) and sum(map(len, rows.values())) == len(texts)
+    for i, text in enumerate(texts):
+        i, text = text if isinstance(text, tuple) else (i, text)
+        assert tuple(rows[i][0])[1:6] == slow_hits(text), text
+    kept = decontaminate.drop_contaminated(docs, bench, limit=limit)
+    want = [i for i, text in enumerate(texts) if not isinstance(text, tuple) and not slow_hits(text)[4]]
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == want
+
+
+def test_contamination_by_a_benchmark_of_more_than_an_automaton(spark):
+    # 250,000 windows, of which two items near the end have one that a document holds
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(2_509))) for k in range(100)]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(4)
+    leaks = ["clean words only", " ".join(f"W{k}x{i}" for k in (98, 99) for i in range(2_000, 2_010)), "a " + " ".join(f"w7x{i}" for i in range(5, 25))]
+    rows = by_id(decontaminate.contamination(documents(spark, leaks), bench))
+    assert [(rows[i][0].n_hit, rows[i][0].n_items, len(rows[i][0].spans)) for i in range(3)] == [(0, 0, 0), (20, 2, 1), (20, 1, 1)]
+    assert [r.doc_id for r in decontaminate.drop_contaminated(documents(spark, leaks), bench).collect()] == [0]
+
+
 # --- helpers ---------------------------------------------------------------------------------------------
 
 def test_spans_hashes_and_slices(odd):
