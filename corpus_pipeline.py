@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 from corpusflow.llm import bpe, decontaminate, jaccard_join, language, secret_scan
 from corpusflow.session import materialized, ship_package
 
-#: Least probability of a language for a document to stay.
-LANGUAGE_AT_LEAST = 0.5
 #: Bytes of texts that are handed to a Python worker at a time.
 BATCH_BYTES = 4_000_000
 #: Words of a shingle and per cent of shared shingles that make two documents near copies.
@@ -27,9 +25,9 @@ def _prepare(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known: texts without a letter and undecided ones go."""
+    """Documents whose language is known: null texts and texts without a letter go."""
     _prepare(spark)
-    return language.keep_identified(docs, LANGUAGE_AT_LEAST)
+    return language.keep_identified(docs)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

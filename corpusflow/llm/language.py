@@ -180,9 +180,9 @@ def identify(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
             .select("doc_id", "held_out", "_l.*"))
 
 
-def keep_identified(docs: DataFrame, at_least: float = 0.5, sample: int = SAMPLE) -> DataFrame:
-    """The rows of ``docs`` whose language is known with a probability of ``at_least``."""
+def keep_identified(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The rows of ``docs`` that ``identify`` gives a language, however short their texts; only ``und`` goes."""
     columns = docs.columns
     model = train_language(docs.where(~held_out(F.col("doc_id"))).select("doc_id", "text", "lang"), sample)
     return (docs.withColumn("_l", language_of(F.col("text"), model, docs.sparkSession))
-            .where((F.col("_l.lang_pred") != NONE) & (F.col("_l.score") >= at_least)).select(*columns))
+            .where(F.col("_l.lang_pred") != NONE).select(*columns))

@@ -366,6 +366,16 @@ def test_language_of_odd_rows(spark):
     assert kept.columns == docs.columns and {r.text for r in kept.collect()} >= {"one two three", "ohne id"} and None not in {r.text for r in kept.collect()}
 
 
+def test_short_texts_between_languages_stay(spark):
+    docs = documents(spark, [])
+    for k, lang in enumerate(("de", "en", "fr", "nl")):
+        docs = docs.unionByName(documents(spark, [(10 * k + i, "la lala") for i in range(10)], lang))
+    odd = documents(spark, [(100, "la"), (101, "..."), (102, None)])
+    assert all(r.score < 0.5 for r in language.identify(docs.unionByName(odd)).collect())
+    kept = language.keep_identified(docs.unionByName(odd))
+    assert kept.count() == 41 and {r.doc_id for r in kept.collect()} == {*range(40), 100}
+
+
 # --- benchmark passages ----------------------------------------------------------------------------------
 
 ITEMS = [(1, "Alpha beta, gamma delta; epsilon zeta eta theta iota kappa lambda mu"), (10, "short item"), (2, None), (3, "..."), (4, "short item"),
