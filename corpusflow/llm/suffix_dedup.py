@@ -5,8 +5,9 @@ one shard by content: every string has an anchor, the leftmost ``GRAM``-byte win
 in it, and strings with one anchor in a document are neighbours, a *segment*. Segments whose anchor
 occurs once cannot repeat. Segments that are equal as a whole repeat as a whole. The others, cut from
 their texts, go to the shard of their anchor, where a suffix array (Larsson-Sadakane refinement) and
-common prefixes (Kasai) show which of their strings occur twice. An anchor with more segments than a
-shard holds is dealt to several, whose sorted strings are merged by binary search.
+common prefixes (Kasai) show which of their strings occur twice. Of an anchor with more segments than a
+shard holds, digests of all strings are shuffled by range instead, and equal ones are found in each range;
+no suffix array is built for it.
 """
 from __future__ import annotations
 
@@ -241,7 +242,7 @@ def _strings(length: int):
 
 
 def _merge(batches):
-    """Strings of several shards, side by side in a partition: those found twice, by binary search of each in all.
+    """Strings of crowded anchors, by digest, side by side in a partition: those found twice.
 
     Strings that the partition's edges cut are kept as well, to be settled by ``_edges``.
     """
