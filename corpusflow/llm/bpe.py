@@ -189,8 +189,8 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
 def round_trip(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """Per row of ``docs``: doc_id, tokens, a digest of the ids and one of the text decoded from them.
 
-    A block's distinct words come with their ids; ids and their pieces (looked up in the id-to-piece
-    table, one row per id, sent to the tasks) are joined back by position. Null and empty texts have
+    A block's distinct words come with their ids, whose pieces are looked up in the id-to-piece table, sent to the
+    tasks; a document's ids and decoded text are strung together from its words. ``decode`` is not called. Null and empty texts have
     no ids and decode to an empty text. Repeated rows are worked each for itself, an empty table gives
     no rows, other columns are left out.
     """
