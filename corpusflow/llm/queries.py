@@ -5,7 +5,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from corpusflow.catalog.base import query
-from corpusflow.llm import bpe, decontaminate, jaccard_join, language, main_text, quality, secret_scan, suffix_dedup, token_count, url_filter
+from corpusflow.llm import bpe, decontaminate, jaccard_join, language, main_text, quality, secret_scan, shards, suffix_dedup, token_count, url_filter
 
 
 @query("op1_secret_scans")
@@ -107,6 +107,11 @@ def op10_suffix_dedup(table):
     return suffix_dedup.remove_repeats(table("documents"))
 
 
+@query("op13_sharding")
+def op13_sharding(table):
+    return shards.shard_documents(table("documents"))
+
+
 @query("pipeline", corpus_pipeline.ORACLE_SQL)
 def pipeline(table):
     return corpus_pipeline.run(table.spark, table.folder)
