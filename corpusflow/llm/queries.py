@@ -5,7 +5,7 @@ import public_tokenizers
 
 import corpus_pipeline
 from corpusflow.catalog.base import query
-from corpusflow.llm import bpe, decontaminate, jaccard_join, language, main_text, quality, secret_scan, shards, suffix_dedup, token_count, url_filter
+from corpusflow.llm import alignment, bpe, decontaminate, jaccard_join, language, main_text, quality, secret_scan, shards, suffix_dedup, token_count, url_filter, whitening
 
 
 @query("op1_secret_scans")
@@ -107,6 +107,17 @@ def op10_suffix_dedup(table):
     return suffix_dedup.remove_repeats(table("documents"))
 
 
+@query("op11_tokenizer_alignment")
+def op11_tokenizer_alignment(table):
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return alignment.align_tokens(table("documents"), a.read(), b.read())[0]
+
+
+@query("op12_embedding_whitening")
+def op12_embedding_whitening(table):
+    return whitening.whiten(table("embeddings"))
+
+
 @query("op13_sharding")
 def op13_sharding(table):
     return shards.shard_documents(table("documents"))
