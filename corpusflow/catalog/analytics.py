@@ -9,6 +9,8 @@ from corpusflow.operators.index import build_index, read_index
 from corpusflow.operators.ordering import number_rows
 from corpusflow.plans.retrieve import document_chunks
 from corpusflow.session import materialized, scratch_path
+from corpusflow.streaming.job_rollup import stream_job_summary
+from corpusflow.streaming.polling import read_table_stream
 
 c = F.col
 
@@ -111,6 +113,18 @@ def _(t: Tables) -> DataFrame:
                               F.array_join("warnings_sample", "|").alias("warnings_sample"), F.array_join("errors_sample", "|").alias("errors_sample"))
 
 
+@query("st5_stream_job_summary", f"WITH RECURSIVE {_SUMMARY} SELECT job, status, warnings_count, errors_count, warnings_sample, errors_sample FROM summary")
+def _(t: Tables) -> DataFrame:
+    """The roll-up on arriving lines: six files, one a batch, each with lines from all over every log."""
+    lines = _lines(t)
+    path = scratch_path(t.spark, "arriving")
+    lines.select("job", "n", "line").repartition(6, F.xxhash64("job", "n")).sortWithinPartitions(c("n").desc()).write.parquet(path)
+    stream = read_table_stream(t.spark, path, "*.parquet", files_per_batch=1)
+    return stream_job_summary(stream, _jobs(lines), c("line").startswith("error ")).select(
+        "job", "status", "warnings_count", "errors_count", F.array_join("warnings_sample", "|").alias("warnings_sample"),
+        F.array_join("errors_sample", "|").alias("errors_sample"))
+
+
 @query("a5_pipeline_summary", f"""
 WITH RECURSIVE {_SUMMARY} SELECT pipeline, 0 AS section, NULL::BIGINT AS ord,
   '{{"total_jobs":' || count(*) || ',"total_warnings":' || sum(warnings_count) || ',"total_errors":' || sum(errors_count) || '}}' AS text FROM summary GROUP BY pipeline

@@ -7,13 +7,15 @@ from corpusflow.catalog.base import SPLIT_CHUNKS, Tables, d2_sql, hits_sql, over
 from corpusflow.functions import text as tx
 from corpusflow.functions.prompts import ANSWER_TEMPLATE
 from corpusflow.functions.vectors import embed, relevance
-from corpusflow.operators import context as cx, search as se
+from corpusflow.operators import context as cx, search as se, similarity as si
 from corpusflow.plans import retrieve as rt
 from corpusflow.plans.flagship import cited_answers
 from corpusflow.session import materialized
 
 c = F.col
 SYSTEM = "Answer from the context and name your sources."
+# Squared distance up to which vectors count as near in the approximate join.
+NEAR = 0.5
 
 
 # --- vectors as they are given: every vector is a query against all of them ----------------
@@ -52,6 +54,14 @@ def _(t: Tables) -> DataFrame:
     return pairs.withColumn("d2", F.round("d2", 6)).where("d2 <= 1.3")
 
 
+@query("j5_similarity_join")
+def _(t: Tables) -> DataFrame:
+    """All vectors against all: pairs of representatives of equal vectors, and each copy with its representative."""
+    pairs, members, _ = si.similarity_join(_index(t), _queries(t), NEAR)
+    copies = members.where("member <> representative").select(c("member").alias("qid"), c("representative").alias("chunk_id"), F.lit(0.0).alias("d2"))
+    return pairs.where("qid < id").select("qid", c("id").alias("chunk_id"), F.round("d2", 6).alias("d2")).unionByName(copies)
+
+
 @query("q2_relevance", f"WITH {_HITS} SELECT qid, chunk_id, round(1 - d2 / sqrt(2), 6) AS relevance FROM hits")
 def _(t: Tables) -> DataFrame:
     return se.search(_index(t), _queries(t)).select("qid", "chunk_id", F.round(relevance(c("d2")), 6).alias("relevance"))

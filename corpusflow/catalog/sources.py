@@ -5,8 +5,10 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.catalog.base import SPLIT_CHUNKS, Tables, elements_sql, page_text_sql, query, vectors_sql
 from corpusflow.functions import text as tx
+from corpusflow.functions.urls import clean_url
 from corpusflow.functions.vectors import embed
 from corpusflow.operators import index as ix
+from corpusflow.operators.graph import link_edges
 from corpusflow.plans.retrieve import document_chunks
 from corpusflow.session import scratch_path
 from corpusflow.sources import documents as sd, files as sf, web as sw
@@ -78,6 +80,42 @@ def _(t: Tables) -> DataFrame:
     return sf.drop_ignored(files, _IGNORE)
 
 
+@query("s5_rules_by_repo", r"""
+WITH files AS (SELECT source AS repo, lang || '/doc' || doc_id || '.txt' AS path FROM documents),
+hits AS (SELECT repo, path, regexp_matches(path, '^' || (SELECT 'es') || '/') AS es, regexp_matches(path, '(^|/)doc[^/]\.txt$') AS short,
+  list_contains((SELECT list(DISTINCT lang) FROM documents d JOIN labels USING (doc_id) WHERE toxic = 1 AND d.source = files.repo), split_part(path, '/', 1)) AS toxic,
+  repo IN (SELECT DISTINCT source FROM documents WHERE lang = 'fr') AS has_fr FROM files)
+SELECT repo, path FROM hits WHERE NOT coalesce(CASE WHEN has_fr AND es THEN false WHEN has_fr AND short THEN true WHEN toxic THEN true ELSE false END, false)""")
+def _(t: Tables) -> DataFrame:
+    """Every repository has rules of its own: the folders of its toxic languages go and, if it has French, short names but for Spanish ones."""
+    docs = t("documents")
+    files = docs.select(F.col("source").alias("repo"), F.concat(F.col("lang"), F.lit("/doc"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"))
+    toxic = docs.join(t("labels").where("toxic = 1"), "doc_id").select(F.col("source").alias("repo"), F.lit(0).alias("ord"), F.concat(F.lit("/"), "lang", F.lit("/")).alias("rule"))
+    french = docs.where("lang = 'fr'").select(F.col("source").alias("repo")).distinct()
+    more = [french.select("repo", F.lit(i).alias("ord"), F.lit(rule).alias("rule")) for i, rule in ((1, "# generated"), (2, "doc?.txt"), (3, "!/es/"))]
+    rules = toxic.distinct()
+    for part in more:
+        rules = rules.unionByName(part)
+    return sf.drop_ignored_by_repo(files, rules)
+
+
+@query("s6_failed_pages", r"""
+WITH links AS (SELECT url, unnest(regexp_extract_all(regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>', '', 'g'), '(?is)<a\s[^>]*?href\s*=\s*["'']([^"'']*)["'']', 1)) AS href FROM pages),
+linked AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^([^/]*//[^/?#]*)', 1) || href, '#.*', '') AS url FROM links
+  WHERE NOT regexp_matches(href, '^(mailto:|javascript:|#)') AND NOT regexp_matches(href, '\.(png|svg|jpg|jpeg|gif)$')),
+stored AS (SELECT DISTINCT regexp_replace(url, '#.*', '') AS url FROM pages)
+SELECT url AS source, CASE WHEN s.url IS NULL THEN 'LookupError: no page is stored' END AS error, s.url IS NOT NULL AS is_document
+FROM (SELECT url FROM linked UNION SELECT url FROM stored) a LEFT JOIN stored s USING (url)""")
+def _(t: Tables) -> DataFrame:
+    """All pages that are stored or linked to, read in one pass: those that are not stored are reported."""
+    pages = t("pages")
+    stored = pages.groupBy(clean_url(F.col("url")).alias("url")).agg(F.min("html").alias("html"))
+    linked = link_edges(pages).select(F.col("dst").alias("url")).unionByName(stored.select("url")).distinct()
+    docs, errors = sw.load_pages(linked.join(stored, "url", "left"))
+    return docs.select("source", F.lit(None).cast("string").alias("error"), F.lit(True).alias("is_document")).unionByName(
+        errors.withColumn("is_document", F.lit(False)))
+
+
 @query("s6_pages_to_documents", f"WITH {elements_sql(False)} SELECT url AS source, string_agg(text, chr(10) || chr(10) ORDER BY ord) AS page_content FROM elements GROUP BY page_id, url")
 def _(t: Tables) -> DataFrame:
     return sw.pages_to_documents(t.spread("pages", "page_id")).select("source", "page_content")
@@ -126,6 +164,25 @@ def _(t: Tables) -> DataFrame:
     return sd.ingest_counts(t("documents"))
 
 
+@query("s11_counts_on_write", "SELECT source, count(*) AS documents FROM documents GROUP BY source")
+def _(t: Tables) -> DataFrame:
+    """Counted while the documents are written, for the sources that are configured."""
+    docs = t("documents")
+    configured = [r.source for r in docs.select("source").distinct().collect()]
+    counts = sd.write_documents(docs, scratch_path(t.spark, "ingested"), configured, message="no document found")
+    return t.spark.createDataFrame(list(counts.items()), "source string, documents bigint")
+
+
+@query("u4_audit_rows", """
+WITH b AS (SELECT lang, source, n_chars FROM documents WHERE lang <> 'es'), a AS (SELECT lang, source, n_chars FROM documents WHERE lang <> 'de' UNION ALL SELECT lang, source, n_chars FROM documents WHERE lang = 'fr')
+SELECT 'gone' AS change, lang, source, n_chars, count(*) AS copies FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY ALL
+UNION ALL SELECT 'new', lang, source, n_chars, count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY ALL""")
+def _(t: Tables) -> DataFrame:
+    """Two states of a table, some of whose rows differ only in how often they are there."""
+    rows = t("documents").select("lang", "source", "n_chars")
+    return ix.audit_rows(rows.where("lang <> 'es'"), rows.where("lang <> 'de'").unionByName(rows.where("lang = 'fr'")))
+
+
 # --- stored index ------------------------------------------------------------------------
 
 def _stored_index(t: Tables) -> str:

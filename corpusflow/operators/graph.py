@@ -5,7 +5,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from corpusflow.functions.urls import (base_path, clean_url, keep_link, normalize_url, quote_seed, resolve_url, under_base)
 from corpusflow.session import materialized
-from corpusflow.sources.web import page_links, pages_to_documents
+from corpusflow.sources.web import load_pages, page_links
 
 # How deep a crawl follows links.
 MAX_DEPTH = 10
@@ -63,11 +63,14 @@ def crawl_closure(edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH
 
 def crawl_documents(pages: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = MAX_DEPTH, *, url_col: str = "url",
                     html_col: str = "html") -> DataFrame:
-    """``(seed, url, page_content, metadata)``: the stored pages a crawl visits, as documents of their seed.
+    """``(seed, url, page_content, metadata)``: the pages a crawl visits, as documents of their seed.
 
-    Of several pages stored for one address the one whose markup sorts first counts.
+    Of several pages stored for one address the one whose markup sorts first counts. A visited page that is
+    not stored or cannot be read is a document without text, whose metadata has the ``error``.
     """
     visited = crawl_closure(edges, seeds, max_depth).select("seed", "url")
     stored = pages.groupBy(clean_url(F.col(url_col)).alias("url")).agg(F.min(html_col).alias("html"))
-    texts = pages_to_documents(stored).select(F.col("source").alias("url"), "page_content", "metadata")
-    return visited.join(texts, "url").select("seed", "url", "page_content", "metadata")
+    texts, errors = load_pages(visited.select("url").distinct().join(stored, "url", "left"))
+    found = texts.select(F.col("source").alias("url"), "page_content", "metadata").unionByName(errors.select(
+        F.col("source").alias("url"), F.lit("").alias("page_content"), F.create_map(F.lit("source"), F.col("source"), F.lit("error"), F.col("error")).alias("metadata")))
+    return visited.join(found, "url").select("seed", "url", "page_content", "metadata")

@@ -76,7 +76,7 @@ def _picked(matches: Column, carry: Column, size: int) -> Column:
     ).otherwise(acc))
 
 
-def _carry_over(blocks: DataFrame, job: str) -> DataFrame:
+def carry_over(blocks: DataFrame, job: str) -> DataFrame:
     """Add ``_carry``: how far the last window of the block before reaches into this block.
 
     Every block lists where it would leave off for each possible carry (0 to 4), so one pass
@@ -121,7 +121,7 @@ def _context_blocks(lines: DataFrame, matches: Column, job: str, n: str, line: s
         leaves = F.transform(F.sequence(F.lit(0), F.lit(CONTEXT_LINES - 1)),
                              lambda c: F.greatest(_picked(offsets, c, size)["next"] - size, F.lit(0)))
         # read twice, and dear to work out again
-        blocks = _carry_over(materialized(blocks.withColumn("_leaves", leaves), "blocks"), job)
+        blocks = carry_over(materialized(blocks.withColumn("_leaves", leaves), "blocks"), job)
     else:
         blocks = blocks.withColumn("_carry", F.lit(0))
     return blocks.select(job, "_block", F.transform(
@@ -155,15 +155,19 @@ def job_summary(jobs: DataFrame, lines: DataFrame, matches: Column, job: str = "
     blocks = _context_blocks(flagged.where(~failed), matches, job, n, line, largest_group(lines, [job])).select(
         job, F.col("_block").alias("_place"), F.size("windows").cast("bigint").alias("_count"),
         F.slice("windows.context", 1, SAMPLES).alias("_sample"))
+    return summary_of(jobs, blocks, log_tail(flagged.where(failed), TAIL_LINES, job, n, line), job)
+
+
+def summary_of(jobs: DataFrame, blocks: DataFrame, tails: DataFrame, job: str = "job") -> DataFrame:
+    """Jobs with the warnings of their blocks ``(job, _place, _count, _sample)`` and their tails."""
     for width in (_MERGE, None):  # many blocks of one job are merged in two steps
         place = F.floor(F.col("_place") / width) if width else F.lit(0).cast("bigint")
         blocks = blocks.groupBy(job, place.alias("_place")).agg(
             F.sum("_count").alias("_count"),
             F.slice(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_place", "_sample"))), lambda x: x["_sample"])),
                     1, SAMPLES).alias("_sample"))
-    warnings = blocks.select(job, F.col("_count").alias("warnings_count"), F.col("_sample").alias("warnings_sample"))
-    errors = log_tail(flagged.where(failed), TAIL_LINES, job, n, line)
-    return (jobs.join(warnings, job, "left").join(errors, job, "left")
+    warnings = blocks.where("_count > 0").select(job, F.col("_count").alias("warnings_count"), F.col("_sample").alias("warnings_sample"))
+    return (jobs.join(warnings, job, "left").join(tails, job, "left")
             .withColumn("warnings_count", F.coalesce("warnings_count", F.lit(0).cast("bigint")))
             .withColumn("errors_count", F.when(F.col("tail").isNotNull(), 1).otherwise(0).cast("bigint"))
             .withColumn("errors_sample", F.when(F.col("tail").isNotNull(), F.array("tail"))).drop("tail"))

@@ -8,6 +8,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from corpusflow.functions.text import tokens
@@ -17,13 +18,13 @@ from corpusflow.session import materialized
 
 TOP_K = 20
 TOP_N = 5
-# Queries whose vectors are sent to every task. Larger query tables are cut into blocks.
-BROADCAST_QUERIES = 4_096
+# Bytes of query vectors that are sent to every task. Larger query tables are cut into blocks.
+BROADCAST_BYTES = 64_000_000
 # Rows of one block of queries or vectors in the blocked search.
 BLOCK_QUERIES = 4_096
 BLOCK_VECTORS = 65_536
-# Vectors that serve as centres of cells in the blocked search.
-CENTRES = 64
+# Vectors that serve as centres of cells in the blocked search: the root of their number, within these bounds.
+CENTRES = (64, 1_024)
 # Distances held at once by one task.
 _CELL = 4_000_000
 # Distances closer than this many digits are ties, ordered by id.
@@ -36,13 +37,30 @@ def _setting(df: DataFrame, name: str, default: int) -> int:
 
 
 def _matrix(column) -> np.ndarray:
-    """Vectors of an Arrow list column as a dense double matrix."""
+    """Vectors of an Arrow list column as a dense double matrix; a row that is null or holds a null becomes NaN."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    if len(column) == 0:
-        return np.zeros((0, 0))
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64")
-    return flat.reshape(len(column), -1)
+    lengths = pc.list_value_length(column).to_numpy(zero_copy_only=False)
+    known = lengths[~np.isnan(lengths)] if column.null_count else lengths
+    if len(known) == 0:
+        return np.full((len(column), 0), np.nan)
+    if (known != known[0]).any():
+        raise ValueError(f"vectors of different lengths: {int(known.min())} and {int(known.max())}")
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype("float64").reshape(-1, int(known[0]))
+    if not column.null_count:
+        return flat
+    out = np.full((len(column), flat.shape[1]), np.nan)
+    out[~np.isnan(lengths)] = flat
+    return out
+
+
+def _vectors(ids, column) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors; rows without a whole vector are nobody's neighbours and are left out."""
+    ids, x = _ids(ids), _matrix(column)
+    if x.shape[1] == 0:
+        return ids[:0], np.zeros((0, 0))
+    whole = ~np.isnan(x).any(1)
+    return (ids, x) if whole.all() else (ids[whole], x[whole])
 
 
 def _ids(column) -> np.ndarray:
@@ -61,10 +79,10 @@ def _distances(q: np.ndarray, x: np.ndarray) -> np.ndarray:
 class _Best:
     """The k nearest (query, id, distance) seen so far by one task."""
 
-    def __init__(self, k: int):
+    def __init__(self, k: int, edge: np.ndarray | None = None):
         self.k = k
         self.q = self.ids = self.d = None
-        self.edge = None  # distance of the k-th hit of each query so far
+        self.edge = edge  # distance of the k-th hit of each query so far
 
     def add(self, q: np.ndarray, x: np.ndarray, ids: np.ndarray) -> None:
         step = max(1, _CELL // max(1, len(q)))
@@ -128,20 +146,21 @@ def _arrow_schema(qid_type, id_type) -> pa.Schema:
 def _pairs(index: DataFrame, queries: DataFrame, k: int | None, d2_max: float | None,
            broadcast_queries: int | None = None) -> DataFrame:
     """Candidate pairs ``(qid, id, d2)``: per task the k nearest, or all within the radius."""
-    if broadcast_queries is None:
-        broadcast_queries = _setting(queries, "broadcastQueries", BROADCAST_QUERIES)
     schema = _arrow_schema(queries.schema["qid"].dataType, index.schema["id"].dataType)
     ddl = (f"qid {queries.schema['qid'].dataType.simpleString()}, "
            f"id {index.schema['id'].dataType.simpleString()}, d2 double")
-    n_queries = queries.count()  # reads no vectors
+    queries = materialized(queries.select("qid", "vec"), "queries")  # worked out once, their size known
+    n_queries, width = queries.agg(F.count("*"), F.coalesce(F.max(F.size("vec")), F.lit(0))).first()
+    if broadcast_queries is None:
+        broadcast_queries = _setting(queries, "broadcastQueries", BROADCAST_BYTES // (8 * max(width, 1)))
     if n_queries <= broadcast_queries:
-        return _scan_with_broadcast(index, queries.select("qid", "vec").toArrow(), k, d2_max, schema, ddl)
+        return _scan_with_broadcast(index, queries.toArrow(), k, d2_max, schema, ddl)
     return _scan_in_blocks(index, queries, n_queries, k, d2_max, schema, ddl)
 
 
 def _scan_with_broadcast(index, table, k, d2_max, schema, ddl):
     """Few queries: every task scans its part of the index against all of them."""
-    shared = index.sparkSession.sparkContext.broadcast((_ids(table["qid"]), _matrix(table["vec"])))
+    shared = index.sparkSession.sparkContext.broadcast(_vectors(table["qid"], table["vec"]))
 
     def scan(batches):
         qids, q = shared.value
@@ -149,7 +168,9 @@ def _scan_with_broadcast(index, table, k, d2_max, schema, ddl):
         for batch in batches:
             if batch.num_rows == 0 or len(q) == 0:
                 continue
-            x, ids = _matrix(batch.column("vec")), _ids(batch.column("id"))
+            ids, x = _vectors(batch.column("id"), batch.column("vec"))
+            if len(ids) == 0:
+                continue
             if best:
                 best.add(q, x, ids)
             else:
@@ -162,84 +183,133 @@ def _scan_with_broadcast(index, table, k, d2_max, schema, ddl):
     return index.select("id", "vec").mapInArrow(scan, ddl)
 
 
-def _placed(df: DataFrame, key: str, centres: np.ndarray, bound=None) -> DataFrame:
-    """Rows with the nearest centre of their vector, the distance to it and (queries) a bound for their hits."""
+def _placed(df: DataFrame, key: str, centres: np.ndarray, extra: str = "", more=None) -> DataFrame:
+    """Rows with a whole vector, their nearest centre and the distance to it; ``more(distances)`` adds columns ``extra``."""
     shared = df.sparkSession.sparkContext.broadcast(centres)
-    vec_type = df.schema["vec"].dataType.simpleString()
+    key_type, vec_type = (df.schema[c].dataType.simpleString() for c in (key, "vec"))
+    names = [key, "vec", "cell", "away", *[x.split()[0] for x in extra.split(", ") if x]]
 
     def place(batches):
         for batch in batches:
-            away = np.sqrt(_distances(_matrix(batch.column(1)), shared.value)) if batch.num_rows else np.zeros((0, len(shared.value)))
-            cell = away.argmin(1)
-            reach = bound(away) if bound else np.zeros(len(cell))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array(cell.astype(np.int32)), pa.array(away[np.arange(len(cell)), cell]), pa.array(reach)],
-                [key, "vec", "cell", "away", "reach"])
+            x = _matrix(batch.column(1))
+            whole = np.flatnonzero(~np.isnan(x).any(1)) if x.shape[1] else np.zeros(0, int)
+            step = max(1, _CELL // len(shared.value))
+            for at in range(0, len(whole), step):
+                rows = whole[at:at + step]
+                away = np.sqrt(_distances(x[rows], shared.value))
+                cell = away.argmin(1)
+                kept = batch.take(pa.array(rows))
+                yield pa.RecordBatch.from_arrays(
+                    [kept.column(0), kept.column(1), pa.array(cell.astype(np.int32)), pa.array(away[np.arange(len(cell)), cell]), *(more(away) if more else [])], names)
+
+    ddl = f"{key} {key_type}, vec {vec_type}, cell int, away double" + (f", {extra}" if extra else "")
+    return materialized(df.select(key, "vec").mapInArrow(place, ddl), "cells")
+
+
+class Cells(NamedTuple):
+    """Vectors around centres, stored: made once, searched as often as wanted."""
+    vectors: DataFrame
+    centres: np.ndarray
+    sizes: np.ndarray
+    radii: np.ndarray
+
+
+def store_cells(index: DataFrame, id_col: str = "id", vec_col: str = "vec", centres: int | None = None) -> Cells | None:
+    """The cells of an index (null: no vectors): centres are some of the vectors, in number like the root of all within ``CENTRES``."""
+    index = index.select(F.col(id_col).alias("id"), F.col(vec_col).alias("vec"))
+    if centres is None:
+        centres = _setting(index, "centres", 0) or min(max(math.isqrt(index.count()), CENTRES[0]), CENTRES[1])
+    some = index.where(F.col("vec").isNotNull()).orderBy(F.xxhash64("id")).limit(centres).toArrow()
+    _, points = _vectors(some["id"], some["vec"])
+    if len(points) == 0:
+        return None
+    vectors = _placed(index, "id", points)
+    sizes, radii = np.zeros(len(points), np.int64), np.zeros(len(points))
+    for r in vectors.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():
+        sizes[r.cell], radii[r.cell] = r.n, r.radius
+    return Cells(vectors, points, sizes, radii)
+
+
+def _met(left: DataFrame, right: DataFrame, pairs: DataFrame, blocks: int, work, ddl: str) -> DataFrame:
+    """``work`` on blocks of both sides (columns qc and xc name their cells) that ``pairs (qc, xc, qn, xn)`` let meet."""
+    def block(col: str, count: str) -> Column:
+        return F.pmod(F.xxhash64(col), F.col(count)).cast("int")
 
-    key_type = df.schema[key].dataType.simpleString()
-    return materialized(df.select(key, "vec").mapInArrow(place, f"{key} {key_type}, vec {vec_type}, cell int, away double, reach double"), "cells")
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    # the partition count is given, as little data means much work here
+    on = ["qc", "qb", "xc", "xb"]
+    left = (left.join(pairs, "qc").withColumn("qb", block("qid", "qn")).withColumn("xb", every("xn"))
+            .select("qid", "vec", "reach", *on).repartition(blocks, *on))
+    right = (right.join(pairs, "xc").withColumn("xb", block("id", "xn")).withColumn("qb", every("qn")).select("id", "vec", *on).repartition(blocks, *on))
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(work, ddl)
 
 
 def _scan_in_blocks(index, queries, n_queries, k, d2_max, schema, ddl):
-    """Many queries: both sides lie in cells around a few of the vectors, and only pairs of cells that can
+    """Many queries: both sides lie in cells around some of the vectors, and only pairs of cells that can
     hold a hit meet. By the triangle inequality a query finds nothing in a cell whose border is farther off
-    than its bound: the radius, or the distance within which cells certain to be near hold ``k`` vectors.
+    than its bound. That is the radius or, for the k nearest, the k-th distance in the query's own cell, which is
+    found first and carried along, so that other cells hand over little that is not among the nearest.
     Cells are cut into blocks of bounded size by the unique ids; nothing passes through the driver but
     the centres and one row per cell."""
     spark = index.sparkSession
-    some = index.select("vec").orderBy(F.xxhash64("id")).limit(_setting(queries, "centres", CENTRES)).toArrow()
-    if some.num_rows == 0 or n_queries == 0:
-        return spark.createDataFrame([], ddl)
-    centres = _matrix(some["vec"])
-    vectors = _placed(index, "id", centres)
-    held = {r.cell: (r.n, r.radius) for r in vectors.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
-    sizes = np.array([held.get(j, (0, 0.0))[0] for j in range(len(centres))])
-    radii = np.array([held.get(j, (0, 0.0))[1] for j in range(len(centres))])
-
-    def bound(away: np.ndarray) -> np.ndarray:
+    cells = store_cells(index) if n_queries else None
+    return _search_cells(cells, queries, k, d2_max, schema, ddl) if cells else spark.createDataFrame([], ddl)
+
+
+def _search_cells(cells: Cells, queries, k, d2_max, schema, ddl):
+    spark = queries.sparkSession
+    centres, sizes, radii = cells.centres, cells.sizes, cells.radii
+
+    def reach(away: np.ndarray) -> list:
+        """A first bound: the distance within which cells certain to be near hold k vectors."""
         if not k:
-            return np.full(len(away), math.sqrt(d2_max))
+            return [pa.array(np.full(len(away), math.sqrt(d2_max)))]
         farthest = np.where(sizes > 0, away + radii, np.inf)
         order = farthest.argsort(1)
         enough = (np.cumsum(sizes[order], 1) >= k).argmax(1)
-        reach = np.take_along_axis(farthest, order, 1)[np.arange(len(away)), enough]
-        return np.where(sizes.sum() >= k, reach, np.inf)
+        bound = np.take_along_axis(farthest, order, 1)[np.arange(len(away)), enough]
+        return [pa.array(np.where(sizes.sum() >= k, bound, np.inf))]
 
-    asked = _placed(queries, "qid", centres, bound)
-    groups = {r.cell: r for r in asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("reach").alias("reach")).collect()}
+    asked = _placed(queries, "qid", centres, "reach double", reach)
     between = np.sqrt(_distances(centres, centres))
     block_q, block_x = _setting(queries, "blockQueries", BLOCK_QUERIES), _setting(queries, "blockVectors", BLOCK_VECTORS)
-    # a hair wider than the inequality, for rounding
-    meet = [(i, j, math.ceil(g.n / block_q), math.ceil(int(sizes[j]) / block_x)) for i, g in groups.items() for j in held
-            if between[i, j] - g.radius - radii[j] <= g.reach + 1e-6]
-    cells = min(sum(q * x for _, _, q, x in meet) or 1, 16 * spark.sparkContext.defaultParallelism)
-    pairs = F.broadcast(spark.createDataFrame(meet, "qc int, xc int, qn int, xn int"))  # a row per pair of cells
-
-    def block(col: str, count: str) -> Column:
-        return F.pmod(F.xxhash64(col), F.col(count)).cast("int")
-
-    def every(count: str) -> Column:
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    # the partition count is given, as little data means much work here
-    on = ["qc", "qb", "xc", "xb"]
-    left = (asked.select("qid", "vec", F.col("cell").alias("qc")).join(pairs, "qc").withColumn("qb", block("qid", "qn")).withColumn("xb", every("xn"))
-            .select("qid", "vec", *on).repartition(cells, *on))
-    right = (vectors.select("id", "vec", F.col("cell").alias("xc")).join(pairs, "xc").withColumn("xb", block("id", "xn")).withColumn("qb", every("qn"))
-             .select("id", "vec", *on).repartition(cells, *on))
-
-    def cell(q_table: pa.Table, x_table: pa.Table) -> pa.Table:
+    most = 16 * spark.sparkContext.defaultParallelism
+
+    def meet(asked: DataFrame, home: bool) -> tuple[DataFrame, int]:
+        groups = asked.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius"), F.max("reach").alias("reach")).collect()
+        out = []
+        for g in groups:
+            # a hair wider than the inequality, for rounding
+            near = (sizes > 0) & (between[g.cell] - g.radius - radii <= g.reach + 1e-6)
+            if home is not None:
+                near &= (np.arange(len(sizes)) == g.cell) == home
+            out += [(g.cell, int(j), math.ceil(g.n / block_q), math.ceil(int(sizes[j]) / block_x)) for j in np.flatnonzero(near)]
+        tasks = min(sum(q * x for _, _, q, x in out) or 1, most)
+        return F.broadcast(spark.createDataFrame(out, "qc int, xc int, qn int, xn int")), tasks  # a row per pair of cells
+
+    def hits(q_table: pa.Table, x_table: pa.Table) -> pa.Table:
         if q_table.num_rows == 0 or x_table.num_rows == 0:
             return schema.empty_table()
         qids, q = _ids(q_table["qid"]), _matrix(q_table["vec"])
         ids, x = _ids(x_table["id"]), _matrix(x_table["vec"])
         if k:
-            best = _Best(k)
+            best = _Best(k, np.round(q_table["reach"].to_numpy() ** 2 + _TIE, _DIGITS))
             best.add(q, x, ids)
-            return pa.Table.from_batches([best.batch(qids, schema)])
+            batch = best.batch(qids, schema)
+            return pa.Table.from_batches([batch] if batch is not None else [], schema)
         return pa.Table.from_batches(list(_Within(d2_max).pairs(q, x, ids, qids, schema)), schema)
 
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInArrow(cell, ddl)
+    vectors = cells.vectors.select("id", "vec", F.col("cell").alias("xc"))
+    left = asked.select("qid", "vec", "reach", F.col("cell").alias("qc"))
+    if not k:
+        return _met(left, vectors, *meet(asked, None), hits, ddl)
+    own = materialized(top_rows(_met(left, vectors, *meet(asked, True), hits, ddl), ["qid"], [F.round("d2", _DIGITS), F.col("id")], k), "own")
+    kth = own.where(F.col("rank") == k).select("qid", F.sqrt("d2").alias("_kth"))
+    asked = materialized(asked.join(kth, "qid", "left").withColumn("reach", F.least("reach", F.coalesce("_kth", F.lit(float("inf"))))).drop("_kth"), "bounds")
+    left = asked.select("qid", "vec", "reach", F.col("cell").alias("qc"))
+    return own.drop("rank").unionByName(_met(left, vectors, *meet(asked, False), hits, ddl))
 
 
 def search(index: DataFrame, queries: DataFrame, k: int = TOP_K, *, id_col: str = "chunk_id",

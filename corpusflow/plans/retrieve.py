@@ -13,9 +13,12 @@ from corpusflow.session import materialized
 
 def document_chunks(docs: DataFrame, recursive: bool = True, *, id_col: str = "doc_id", text_col: str = "text",
                     namespace_col: str = "source") -> DataFrame:
-    """Chunks of a document table, ready for the index: each carries its document's metadata."""
+    """Chunks of a document table, ready for the index: each carries its document's metadata.
+
+    A document without an id is named after its text, so its chunks have ids of their own as well.
+    """
     meta = F.create_map(F.lit("source"), F.col(namespace_col))
-    slim = docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("text"),
+    slim = docs.select(F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("text-"), F.md5(F.col(text_col)))).alias("doc_id"), F.col(text_col).alias("text"),
                        F.col(namespace_col).alias("namespace"), meta.alias("metadata"))
     cut = chunk_recursive(slim) if recursive else chunk_fixed(slim)
     return cut.select("namespace", F.concat("doc_id", F.lit("#"), F.col("ord").cast("string")).alias("chunk_id"), "doc_id",

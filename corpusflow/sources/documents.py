@@ -4,7 +4,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from corpusflow.functions.text import source_hash
 
@@ -43,6 +43,20 @@ def ingest_counts(df: DataFrame, source_col: str = "source") -> DataFrame:
     return df.groupBy(source_col).agg(F.count("*").alias("documents"))
 
 
+def write_documents(df: DataFrame, path: str, sources: Sequence[str], *, source_col: str = "source", message: str | None = None) -> dict[str, int]:
+    """Write documents and return how many each of the ``sources`` gave, counted while they are written, not by a second scan.
+
+    With a ``message`` no document at all is an error. ``sources`` are configured ones, as many as a configuration lists.
+    """
+    seen = Observation()
+    counts = [F.count_if(F.col(source_col) == name).alias(f"n{i}") for i, name in enumerate(sources)]
+    df.observe(seen, F.count("*").alias("rows"), *counts).write.parquet(path)
+    got = seen.get
+    if message is not None and not got["rows"]:
+        raise ValueError(message)
+    return {name: got[f"n{i}"] for i, name in enumerate(sources)}
+
+
 def scan_issues(df: DataFrame, project: str, status: str, assignee: str, *, project_col: str = "project",
                 status_col: str = "status", assignee_col: str = "assignee", created_col: str = "created") -> DataFrame:
     """Open issues of one assignee in one project, the oldest first (a stream comes as it arrives)."""

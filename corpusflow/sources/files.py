@@ -4,10 +4,12 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from corpusflow.functions.text import file_parts
 from corpusflow.operators.ordering import top_rows
+from corpusflow.session import materialized
 from corpusflow.sources.documents import require_rows
 from corpusflow.sources.tree import read_tree
 
@@ -66,6 +68,40 @@ def drop_ignored(files: DataFrame, rules: Sequence[str], path_col: str = "path")
     return files.where(~ignored)
 
 
+def ignore_rules(rules: DataFrame, repo_col: str = "repo", ord_col: str = "ord", rule_col: str = "rule") -> DataFrame:
+    """``(repo, _groups)``: the rules of each repository as patterns, the rule that counts most first.
+
+    Neighbouring rules that all drop, or all take back, are one pattern, so thousands of rules are a few tests a file.
+    """
+    @F.arrow_udf("string")
+    def pattern(column: pa.Array) -> pa.Array:
+        return pa.array([ignore_pattern(rule) for rule in column.to_pylist()], pa.string())
+
+    rule = F.col(rule_col)
+    keep = rule.startswith("!")
+    used = rules.where(F.trim(rule) != "").where(~rule.startswith("#")).select(
+        repo_col, ord_col, keep.alias("_keep"), pattern(F.when(keep, F.substr(rule, F.lit(2))).otherwise(rule)).alias("_pattern"))
+    by_repo = Window.partitionBy(repo_col).orderBy(ord_col)
+    turn = F.when(F.lag("_keep").over(by_repo) == F.col("_keep"), 0).otherwise(1)
+    grouped = (used.withColumn("_turn", turn).withColumn("_group", F.sum("_turn").over(by_repo)).groupBy(repo_col, "_group", "_keep")
+               .agg(F.array_join(F.collect_list(F.concat(F.lit("(?:"), "_pattern", F.lit(")"))), "|").alias("_pattern")))
+    return grouped.groupBy(repo_col).agg(F.sort_array(F.collect_list(F.struct("_group", "_keep", "_pattern")), asc=False).alias("_groups"))
+
+
+def drop_ignored_by_repo(files: DataFrame, rules: DataFrame, *, repo_col: str = "repo", path_col: str = "path", ord_col: str = "ord",
+                         rule_col: str = "rule") -> DataFrame:
+    """Drop files by the ignore rules ``(repo, ord, rule)`` of their repository; of the rules that fit a file the last decides.
+
+    One row per repository meets the files; its size is known, so Spark sends it to them where it is small. Files of
+    a repository without rules all stay.
+    """
+    groups = materialized(ignore_rules(rules, repo_col, ord_col, rule_col), "rules")
+    first = F.filter("_groups", lambda g: F.regexp_like(F.col(path_col), g["_pattern"]))
+    joined = files.join(groups, repo_col, "left")
+    ignored = F.coalesce(~F.try_element_at(first, F.lit(1))["_keep"], F.lit(False))
+    return joined.where(~ignored).select(*files.columns)
+
+
 def scan_repo(spark: SparkSession, root: str, url: str, branch: str, rules: Sequence[str] = ()) -> DataFrame:
     """Every UTF-8 file below ``root`` that no ignore rule names, with its repository metadata."""
     files = drop_ignored(read_tree(spark, root, skip=[".git/"]), rules)

@@ -8,6 +8,8 @@ from html.parser import HTMLParser
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusflow.session import materialized
+
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
 _BLOCKS = {"p", "div", "article", "section", "main", "header", "footer", "nav", "aside", "ul", "ol", "li", "table", "tr",
            "blockquote", "pre", "figure", "form", "dl", "dt", "dd", "body", "title", "hr", *_HEADINGS}
@@ -125,19 +127,15 @@ def markup_to_text(df: DataFrame, col: str, out: str = "text") -> DataFrame:
     return df.withColumn(out, plain(F.col(col)))
 
 
-def pages_to_documents(pages: DataFrame, on_error: str = "skip", mode: str = "single", *,
-                       url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Documents of stored pages.
-
-    ``single``: one document per page, its elements separated by blank lines. ``elements``:
-    one per element, with its category. A page that cannot be read is left out, or fails the
-    job with ``on_error="raise"``.
-    """
+def _read_pages(pages: DataFrame, mode: str, url_col: str, html_col: str) -> DataFrame:
+    """``(source, ord, page_content, category, error)``: the elements of pages, or why there are none."""
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
             for url, html in zip(batch[url_col], batch[html_col]):
                 try:
+                    if html is None:
+                        raise LookupError("no page is stored")
                     found = _elements(html)
                 except Exception as error:  # a broken page must not stop the others
                     rows.append((url, 0, None, None, f"{type(error).__name__}: {error}"))
@@ -148,17 +146,40 @@ def pages_to_documents(pages: DataFrame, on_error: str = "skip", mode: str = "si
                     rows.extend((url, i, t, c, None) for i, (c, t) in enumerate(found))
             yield pd.DataFrame(rows, columns=["source", "ord", "page_content", "category", "error"])
 
-    parsed = pages.select(url_col, html_col).mapInPandas(
-        read, "source string, ord int, page_content string, category string, error string")
+    return pages.select(url_col, html_col).mapInPandas(read, "source string, ord int, page_content string, category string, error string")
+
+
+def _documents(parsed: DataFrame, mode: str) -> DataFrame:
+    meta = F.create_map(F.lit("source"), F.col("source"))
+    if mode != "single":
+        meta = F.map_concat(meta, F.create_map(F.lit("category"), F.col("category")))
+    return parsed.select("source", "ord", "page_content", meta.alias("metadata"))
+
+
+def pages_to_documents(pages: DataFrame, on_error: str = "skip", mode: str = "single", *,
+                       url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """Documents of stored pages.
+
+    ``single``: one document per page, its elements separated by blank lines. ``elements``:
+    one per element, with its category. A page that cannot be read is left out, or fails the
+    job with ``on_error="raise"``; ``load_pages`` tells which they are.
+    """
+    parsed = _read_pages(pages, mode, url_col, html_col)
     if on_error == "raise":
         failed = F.raise_error(F.concat(F.lit("cannot read "), "source", F.lit(": "), "error")).cast("string")
         parsed = parsed.withColumn("page_content", F.when(F.col("error").isNotNull(), failed).otherwise(F.col("page_content")))
     else:
         parsed = parsed.where(F.col("error").isNull())
-    meta = F.create_map(F.lit("source"), F.col("source"))
-    if mode != "single":
-        meta = F.map_concat(meta, F.create_map(F.lit("category"), F.col("category")))
-    return parsed.select("source", "ord", "page_content", meta.alias("metadata"))
+    return _documents(parsed, mode)
+
+
+def load_pages(pages: DataFrame, mode: str = "single", *, url_col: str = "url", html_col: str = "html") -> tuple[DataFrame, DataFrame]:
+    """``(documents, errors)``: pages are read once into a scratch table that both are taken from.
+
+    ``errors``: address and cause of each page that could not be read, be it broken or never stored.
+    """
+    parsed = materialized(_read_pages(pages, mode, url_col, html_col), "pages")
+    return _documents(parsed.where(F.col("error").isNull()), mode), parsed.where(F.col("error").isNotNull()).select("source", "error")
 
 
 def wiki_documents(pages: DataFrame, space: str | None = None, *, space_col: str = "space", body_col: str = "html",

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StructField, StructType, TimestampType
 
 from corpusflow.operators.index import build_index, sources_to_refresh
+from corpusflow.operators.runs import current_number
 from corpusflow.session import read_or_empty, scratch_path
 
 
@@ -45,28 +46,14 @@ def stream_index(stream: DataFrame, path: str, to_chunks: Callable[[DataFrame],
     """Keep an index up to date with arriving documents; a repeated batch changes nothing."""
     def upsert(batch: DataFrame, _: int) -> None:
         build_index(batch.sparkSession, path, to_chunks(batch), cleanup=None)
-        publish_version(batch.sparkSession, path)
 
     return (stream.writeStream.option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).foreachBatch(upsert).start())
 
 
-def publish_version(spark: SparkSession, path: str) -> int:
-    """Note one more version of the index; readers compare their count with the one they hold.
-
-    A version is how many notes there are, so two writers never publish the same one.
-    """
-    spark.range(1).select(F.uuid().alias("note"), F.current_timestamp().alias("at")).write.mode("append").parquet(f"{path}/versions")
-    return current_version(spark, path)
-
-
-def current_version(spark: SparkSession, path: str) -> int:
-    return read_or_empty(spark, f"{path}/versions", "note string, at timestamp").count()
-
-
 def changed_since(spark: SparkSession, path: str, version: int) -> tuple[bool, int]:
-    """Whether the index is newer than ``version``, and its version. Each reader keeps its own."""
-    current = current_version(spark, path)
+    """Whether the index is newer than ``version``, and its version (the number of its last run). Each reader keeps its own."""
+    current = current_number(spark, path)
     return current > version, current
 
 

@@ -1,11 +1,13 @@
 """Chunking against the written rules, worked out the slow way."""
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from corpusflow.functions.sql import register
-from corpusflow.operators.chunking import SEPARATORS, chunk_fixed, chunk_recursive, split_text
+from corpusflow.operators import chunking
+from corpusflow.operators.chunking import SEPARATORS, chunk_fixed, chunk_recursive, split_text, split_texts
 
 
 def slow_split(text, size, overlap, separators=SEPARATORS):
@@ -56,6 +58,21 @@ def test_split_matches_rules(text, size, overlap):
     assert all(0 < len(x) <= size for x in chunks)
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(alphabet="ab \n\nß😀", max_size=90), max_size=6), st.integers(1, 30), st.integers(0, 12))
+def test_many_texts_at_once_match_rules(texts, size, overlap):
+    overlap = min(overlap, size - 1)
+    assert split_texts(texts, size, overlap) == [slow_split(t, size, overlap) for t in texts]
+
+
+def test_slices_of_a_column_change_nothing(monkeypatch):
+    texts = ["one two\n\nthree four", None, "", "x" * 50, "a b c d e f g " * 9]
+    want = [list(split_text(t or "", 20, 5)) for t in texts]
+    for size in (1, 10, 10 ** 6):
+        monkeypatch.setattr(chunking, "_SLICE", size)
+        assert chunking.split_column(pa.array(texts), 20, 5).to_pylist() == want
+
+
 def test_split_prefers_paragraphs():
     text = "one two\n\nthree four\n\nfive"
     assert list(split_text(text, 15, 0)) == ["one two", "three four", "five"]

@@ -3,7 +3,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from conftest import plan_text
-from corpusflow.operators import index as ix
+from corpusflow.operators import index as ix, runs
+from corpusflow.plans.retrieve import document_chunks
 from corpusflow.session import scratch_path
 
 c = F.col
@@ -103,6 +104,123 @@ def test_counts_are_the_rows_stored(spark):
             ix.build_index(spark, path, chunks(spark, [(missing, "1", "x")]))
 
 
+def test_no_chunk_without_an_id_is_lost(spark):
+    path = scratch_path(spark, "ix")
+    rows = chunks(spark, [("a", None, "x"), ("a", None, "y"), ("a", "1", "x"), ("a", None, "x"), ("b", None, "x"), ("b", None, None)])
+    assert counts(ix.build_index(spark, path, rows)) == {"a": (2, 0, 0, 0), "b": (2, 0, 0, 0)}
+    assert sorted((r.namespace, r.chunk_id or "", r.page_content or "") for r in ix.read_index(spark, path).collect()) == [
+        ("a", "", "y"), ("a", "1#0", "x"), ("b", "", ""), ("b", "", "x")]
+    assert counts(ix.build_index(spark, path, rows)) == {"a": (0, 0, 2, 0), "b": (0, 0, 2, 0)}
+    docs = spark.createDataFrame([(None, "one", "s"), (None, "two", "s"), (7, "one", "s"), (None, None, "s")], "doc_id long, text string, source string")
+    found = {(r.chunk_id, r.page_content) for r in document_chunks(docs).collect()}
+    assert len({i for i, _ in found}) == 3 and None not in {i for i, _ in found}
+
+
+class Killed(Exception):
+    pass
+
+
+@pytest.mark.parametrize("table", ["totals", "gone", "chunks", "commit"])
+def test_a_run_that_dies_is_never_seen(spark, monkeypatch, table):
+    path = scratch_path(spark, "ix")
+    ix.build_index(spark, path, chunks(spark, FIRST))
+    before = held(spark, path), runs.snapshot(spark, path)
+    store = ix._store
+
+    def dying(rows, path, name, run):
+        store(rows, path, name, run)
+        if name == table:
+            raise Killed
+
+    def dead(*_):
+        raise Killed
+    changed = chunks(spark, [("a", "1", "x"), ("a", "8", "new"), ("d", "1", "other")])
+    with monkeypatch.context() as m:
+        m.setattr(*((runs, "commit", dead) if table == "commit" else (ix, "_store", dying)))
+        with pytest.raises(Killed):
+            ix.build_index(spark, path, changed)
+    assert (held(spark, path), runs.snapshot(spark, path)) == before
+    assert sorted(r.namespace for r in ix.list_indexes(spark, path).collect()) == ["a", "b"]
+    assert counts(ix.build_index(spark, path, changed)) == {"a": (1, 0, 1, 1), "d": (1, 0, 0, 0)}
+    assert held(spark, path) == [("a", "new"), ("a", "x"), ("b", "x"), ("d", "other")]
+    # what the dead run left is found by age and removed, what is visible stays
+    left = runs.vacuum(spark, path, list(ix.TABLES), older_than=-1)
+    assert left >= 1 and held(spark, path) == [("a", "new"), ("a", "x"), ("b", "x"), ("d", "other")]
+    assert runs.vacuum(spark, path, list(ix.TABLES), older_than=-1) == 0
+
+
+def test_of_two_writers_one_plans_anew(spark, monkeypatch):
+    """The second writer's run becomes visible while the first is about to commit."""
+    path = scratch_path(spark, "ix")
+    ix.build_index(spark, path, chunks(spark, FIRST))
+    commit, meanwhile = runs.commit, []
+
+    def late(*args):
+        if not meanwhile:
+            meanwhile.append(1)
+            assert counts(ix.build_index(spark, path, chunks(spark, [("a", "5", "both"), ("a", "1", "x")]))) == {"a": (1, 0, 1, 1)}
+        return commit(*args)
+    monkeypatch.setattr(runs, "commit", late)
+    # planned again: what both add is there once, and y is already gone
+    assert counts(ix.build_index(spark, path, chunks(spark, [("a", "6", "both"), ("a", "7", "mine")]))) == {"a": (1, 0, 1, 1)}
+    assert held(spark, path) == [("a", "both"), ("a", "mine"), ("b", "x")]
+    base = runs.snapshot(spark, path)
+    assert commit(spark, path, base, list(base.runs)) and not commit(spark, path, base, [])
+    assert runs.snapshot(spark, path) == runs.Snapshot(base.number + 1, base.runs)
+    monkeypatch.setattr(runs, "commit", lambda *_: False)
+    with pytest.raises(runs.RunConflict):
+        ix.build_index(spark, path, chunks(spark, [("a", "9", "never")]))
+    assert held(spark, path) == [("a", "both"), ("a", "mine"), ("b", "x")]
+
+
+def test_namespaces_come_from_the_counts(spark):
+    path = scratch_path(spark, "ix")
+    ix.build_index(spark, path, chunks(spark, FIRST))
+    ix.memory_reset(spark, path, spark.createDataFrame([("a",)], "namespace string"))
+    plan = plan_text(ix.list_indexes(spark, path))
+    assert "/totals/" in plan and "/chunks/" not in plan and "/gone/" not in plan and "Join" not in plan
+    assert [r.namespace for r in ix.list_indexes(spark, path).collect()] == ["b"]
+
+
+def test_nothing_is_joined_before_the_first_delete(spark):
+    path = scratch_path(spark, "ix")
+    ix.build_index(spark, path, chunks(spark, FIRST))
+    assert "Join" not in plan_text(ix.read_index(spark, path))
+    ix.build_index(spark, path, chunks(spark, [("a", "1", "x")]))
+    assert "Join" in plan_text(ix.read_index(spark, path)) and held(spark, path) == [("a", "x"), ("b", "x")]
+
+
+def test_many_runs_are_merged(spark):
+    """Runs that add, touch, delete and add again; what is held never changes by merging."""
+    path = scratch_path(spark, "ix")
+    ix.build_index(spark, path, chunks(spark, [("a", str(i), f"t{i}") for i in range(200)] + [("b", "1", "x")]))
+    for texts in (["n1"], ["n2", "t3"], ["n3"]):
+        ix.build_index(spark, path, chunks(spark, [("a", "1", t) for t in texts]), cleanup=None)
+    stay = [*(f"t{i}" for i in range(3, 200)), "n2", "again"]
+    ix.build_index(spark, path, chunks(spark, [("a", "1", t) for t in stay]))
+    ix.build_index(spark, path, chunks(spark, [("a", "1", "t1"), ("b", "1", "x")]), cleanup=None)
+    want = {("a", t) for t in [*stay, "t1"]} | {("b", "x")}
+    before = {(r.namespace, r.key): r.updated_at for r in ix.read_records(spark, path).collect()}
+    number, many = runs.current_number(spark, path), len(runs.snapshot(spark, path).runs)
+    assert ix.merge_runs(spark, path, many=4) and set(held(spark, path)) == want
+    state = runs.snapshot(spark, path)
+    assert state.number == number + 1 and 1 < len(state.runs) < many and state.having("gone")
+    assert {(r.namespace, r.key): r.updated_at for r in ix.read_records(spark, path).collect()} == before
+    assert ix.merge_runs(spark, path, many=1) and len(runs.snapshot(spark, path).runs) == 1
+    assert set(held(spark, path)) == want and not runs.snapshot(spark, path).having("gone") and not ix.merge_runs(spark, path, many=1)
+    assert counts(ix.build_index(spark, path, chunks(spark, [("a", "1", t) for t in ("t3", "t0")]))) == {"a": (1, 0, 1, 199)}
+    assert sorted(r.namespace for r in ix.list_indexes(spark, path).collect()) == ["a", "b"]
+
+
+def test_late_small_runs_are_chosen():
+    def state(*rows):
+        return runs.Snapshot(len(rows), tuple(runs.Run(str(i), 0.0, ["chunks"], n) for i, n in enumerate(rows)))
+    assert runs.late_runs(state(*[1] * 16)) == []
+    assert [r.id for r in runs.late_runs(state(1000, *[1] * 16))] == [str(i) for i in range(1, 17)]
+    assert [r.rows for r in runs.late_runs(state(10 ** 9, 10 ** 6, *[10] * 20))] == [10] * 20
+    assert len(runs.late_runs(state(*[10 ** (20 - i) for i in range(20)]))) >= 5
+
+
 def test_a_small_run_does_not_shuffle_the_stored_keys(spark):
     path = scratch_path(spark, "ix")
     ix.build_index(spark, path, chunks(spark, [("a", str(i), f"t{i}") for i in range(50)]))

@@ -133,3 +133,58 @@ def test_multi_search_over_text(spark):
     assert got == [("x:1", 1, "3#0"), ("x:1", 2, "2#0"), ("y", 1, "2#0")]
     contexts = {r.question_id: r.context for r in context_of_hits(hits, "question_id").collect()}
     assert contexts["x:1"] == "<doc id='0'>apples</doc>\n<doc id='1'>blue whales</doc>"
+
+
+# --- vectors that are not whole, carried bounds, stored cells ---------------------------------------
+
+@pytest.mark.parametrize("broadcast_queries", [1_000, 0])
+def test_rows_without_a_whole_vector_are_left_out(spark, broadcast_queries):
+    rows = [(1, [1.0, 0.0]), (2, None), (3, [0.0, 1.0]), (4, [None, 1.0]), (5, [1.0, 0.5])]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    hits = se.search(df.withColumnRenamed("id", "chunk_id"), df.withColumnRenamed("id", "qid"), 2, vec_col="v", qvec_col="v",
+                     broadcast_queries=broadcast_queries)
+    got = {(r.qid, r["rank"]): r.chunk_id for r in hits.collect()}
+    assert got == {(1, 1): 1, (1, 2): 5, (3, 1): 3, (3, 2): 5, (5, 1): 5, (5, 2): 1}
+    nothing = df.where("id in (2, 4)")
+    assert se.search(nothing.withColumnRenamed("id", "chunk_id"), df.withColumnRenamed("id", "qid"), 2, vec_col="v", qvec_col="v",
+                     broadcast_queries=broadcast_queries).count() == 0
+    mixed = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0])], "chunk_id long, v array<float>").coalesce(1)
+    with pytest.raises(Exception, match="vectors of different lengths"):
+        se.search(mixed, df.withColumnRenamed("id", "qid"), 1, vec_col="v", qvec_col="v", broadcast_queries=broadcast_queries).collect()
+
+
+def test_the_bound_is_carried_from_the_own_cell(spark, monkeypatch):
+    """Well parted clusters: cells other than the query's own hand over next to nothing."""
+    rng = np.random.default_rng(5)
+    x = (np.repeat(rng.normal(size=(20, 6)) * 40, 50, axis=0) + rng.normal(size=(1000, 6))).astype("float32")
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vec array<float>")
+    seen = {}
+    met = se._met
+
+    def counted(*args):
+        out = met(*args)
+        seen[len(seen)] = out
+        return out
+    monkeypatch.setattr(se, "_met", counted)
+    hits = se.search(df, df.withColumnRenamed("id", "qid"), 10, id_col="id", vec_col="vec", qvec_col="vec", broadcast_queries=0)
+    got = {}
+    for r in hits.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == brute(x.astype("float64"), 10)
+    own, others = (seen[i].count() for i in (0, 1))
+    assert own <= 10 * 1000 and own + others < 2 * 10 * 1000  # all cells would hand over 64 times as many
+
+
+def test_cells_are_stored_once(spark, vectors):
+    x, df = vectors
+    cells = se.store_cells(df, "id", "v", 17)
+    assert len(cells.centres) == 17 and cells.sizes.sum() == 300 and cells.vectors.where("vec is null").count() == 0
+    schema, ddl = se._arrow_schema(df.schema["id"].dataType, df.schema["id"].dataType), "qid long, id long, d2 double"
+    asked = df.select(F.col("id").alias("qid"), F.col("v").alias("vec"))
+    for k in (3, 7):
+        pairs = se._search_cells(cells, asked.where(f"qid % {k} = 0"), k, None, schema, ddl)
+        got = {}
+        for r in se.top_rows(pairs, ["qid"], [F.round("d2", 9), F.col("id")], k).orderBy("qid", "rank").collect():
+            got.setdefault(r.qid, []).append(r.id)
+        assert got == {q: v for q, v in brute(x, k).items() if q % k == 0}
+    assert se.store_cells(df.where("false"), "id", "v") is None

@@ -2,10 +2,10 @@
 import pytest
 from pyspark.sql import functions as F
 
-from corpusflow.operators import index as ix
+from corpusflow.operators import index as ix, logs as lg
 from corpusflow.plans.retrieve import document_chunks
 from corpusflow.session import scratch_path
-from corpusflow.streaming import polling as po
+from corpusflow.streaming import job_rollup as jr, polling as po
 
 c = F.col
 
@@ -98,3 +98,66 @@ def test_empty_streams(spark, tmp_path):
     stream = spark.readStream.schema("id long, at timestamp, flag boolean").parquet(nothing)
     assert po.stream_job_counts(stream, ["flag"], {"n": F.lit(True)}, time_col="at", window="1 hour").collect() == []
     assert po.drain_to_table(po.track_new(stream, ["id"]), "seen").collect() == []
+
+
+# --- the log roll-up as lines arrive ---------------------------------------------------------------------
+
+def _logs(spark, lengths, seed=2):
+    """Lines ``(job, n, line)`` of logs; about a tenth of them warn."""
+    import random
+    rng = random.Random(seed)
+    rows = [(job, n, ("WARN " if rng.random() < 0.1 else "ok ") + f"{job}.{n}") for job, length in enumerate(lengths) for n in range(length)]
+    return rows, spark.createDataFrame(rows, "job long, n long, line string")
+
+
+def _arrive(spark, rows, folder, files, order):
+    import random
+    rows = list(rows)
+    random.Random(order).shuffle(rows)
+    for i in range(files):
+        spark.createDataFrame(rows[i::files], "job long, n long, line string").coalesce(1).write.mode("append").parquet(folder)
+
+
+def _stated(df):
+    return {r.job: (r.warnings_count, r.errors_count, r.warnings_sample, r.errors_sample) for r in df.collect()}
+
+
+@pytest.mark.parametrize("files,per_batch,order", [(1, 1, 0), (5, 1, 1), (5, 2, 2), (3, 100, 3)])
+def test_job_roll_up_is_that_of_all_lines(spark, tight, tmp_path, files, per_batch, order):
+    rows, lines = _logs(spark, [0, 1, 16, 17, 33, 100, 21])
+    jobs = spark.createDataFrame([(j, "failed" if j in (2, 5) else "success") for j in range(7)], "job long, status string")
+    folder = str(tmp_path / "lines")
+    _arrive(spark, rows + rows[5:40], folder, files, order)  # some lines are polled twice
+    stream = po.read_table_stream(spark, folder, "*.parquet", files_per_batch=per_batch)
+    got = _stated(jr.stream_job_summary(stream, jobs, lg.warning_line(c("line"))))
+    assert got == _stated(lg.job_summary(jobs, lines, lg.warning_line(c("line"))))
+    assert got[0] == (0, 0, None, None) and got[5][3] == ["\n".join(r[2] for r in rows if r[0] == 5 and r[1] >= 70)]
+
+
+def test_job_roll_up_between_batches(spark, tight, tmp_path):
+    """After each batch the summary is that of the lines so far; a status may change at any time."""
+    rows, _ = _logs(spark, [40, 25])
+    folder, out, state = (str(tmp_path / x) for x in ("lines", "out", "state"))
+    jobs = spark.createDataFrame([(0, "running"), (1, "running")], "job long, status string")
+    for i, upto in enumerate((10, 17, 40)):
+        new = [r for r in rows if (0, 10, 17)[i] <= r[1] < upto]
+        spark.createDataFrame(new, "job long, n long, line string").coalesce(1).write.mode("append").parquet(folder)
+        stream = po.read_table_stream(spark, folder, "*.parquet", files_per_batch=1)
+        jr.stream_job_blocks(stream, lg.warning_line(c("line")), out, state).awaitTermination()
+        so_far = spark.createDataFrame([r for r in rows if r[1] < upto], "job long, n long, line string")
+        assert _stated(jr.read_job_summary(spark, out, jobs)) == _stated(lg.job_summary(jobs, so_far, lg.warning_line(c("line"))))
+    failed = jobs.withColumn("status", F.lit("failed"))
+    assert _stated(jr.read_job_summary(spark, out, failed)) == _stated(lg.job_summary(failed, so_far, lg.warning_line(c("line"))))
+
+
+def test_complete_blocks_leave_the_state(spark, tight, tmp_path):
+    rows, _ = _logs(spark, [64])
+    folder, out, state = (str(tmp_path / x) for x in ("lines", "out", "state"))
+    _arrive(spark, rows, folder, 1, 0)
+    run = lambda: jr.stream_job_blocks(po.read_table_stream(spark, folder, "*.parquet"), lg.warning_line(c("line")), out, state).awaitTermination()
+    run()
+    first = spark.read.parquet(out).count()
+    _arrive(spark, rows, folder, 1, 1)  # everything again
+    run()
+    again = spark.read.parquet(out).where("batch = 1")
+    assert first == 5 and {r._block for r in again.collect()} <= {3, 4}  # only blocks with lines still to come speak again
