@@ -35,7 +35,7 @@ BLOCK = 32_000_000
 #: Documents of a block: their numbers take 16 bits.
 DOCS = 1 << 16
 #: Bytes of input that one task reads at least, where cores do not wait for it.
-TASK = 64_000_000
+TASK = 16_000_000
 _MARK = "▁"
 _WIDE_BLANKS = [c.encode() for c in _BLANKS if ord(c) >= 0x80]
 _encoders: dict[tuple, object] = {}
