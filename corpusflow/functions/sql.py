@@ -1,10 +1,10 @@
 """Functions for use in SQL text."""
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import SparkSession, functions as F
 
-from corpusflow.operators.chunking import split_text
+from corpusflow.operators.chunking import split_column
 
 
 def register(spark: SparkSession) -> None:
@@ -12,8 +12,8 @@ def register(spark: SparkSession) -> None:
 
     ``LATERAL VIEW posexplode(chunk_text(t, 1500, 300)) c AS ord, chunk`` gives rows.
     """
-    @F.pandas_udf("array<string>")
-    def chunk_text(texts: pd.Series, sizes: pd.Series, overlaps: pd.Series) -> pd.Series:
-        return pd.Series([list(split_text(t or "", s, o)) for t, s, o in zip(texts, sizes, overlaps, strict=True)])
+    @F.arrow_udf("array<string>")
+    def chunk_text(texts: pa.Array, sizes: pa.Array, overlaps: pa.Array) -> pa.Array:
+        return split_column(texts, sizes.to_pylist(), overlaps.to_pylist())
 
     spark.udf.register("chunk_text", chunk_text)

@@ -1,9 +1,9 @@
 """Cutting documents into chunks."""
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from itertools import repeat
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -80,115 +80,9 @@ def split_text(text: str, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP,
     yield from _pack(small, size, overlap)
 
 
-# Characters that are cut at a time.
-_SLICE = 4_000_000
-
-
-class _Stretches:
-    """Parts of a long text that are to be cut: where they begin and end."""
-
-    def __init__(self, starts: np.ndarray, ends: np.ndarray):
-        self.starts, self.ends = starts, ends
-
-    def cut(self, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Pieces (start, end, stretch) of the stretches that hold one of the ``marks``, cut before each, and which stretches hold none."""
-        has = np.searchsorted(marks, self.ends) > np.searchsorted(marks, self.starts)
-        starts, ends = self.starts[has], self.ends[has]
-        own = np.searchsorted(starts, marks, "right") - 1
-        inner = (own >= 0) & (marks > starts[np.maximum(own, 0)]) & (marks < ends[np.maximum(own, 0)]) if len(starts) else np.zeros(len(marks), bool)
-        places = np.concatenate([starts, marks[inner], ends])
-        of = np.concatenate([np.arange(len(starts)), own[inner], np.arange(len(starts))])
-        order = np.lexsort((places, of))
-        places, of = places[order], of[order]
-        whole = of[1:] == of[:-1]
-        return places[:-1][whole], places[1:][whole], of[1:][whole], ~has
-
-
-def _packed(firsts: np.ndarray, lasts: np.ndarray, new_run: np.ndarray, size: int, overlap: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Chunks (start, end, start of their run) of runs of neighbouring pieces, by the running sums of their lengths.
-
-    All runs go on side by side: a chunk takes as many pieces as fit, found by binary search, and the next one
-    begins with the first piece from which the rest of this one fits into the overlap beside the piece to come.
-    """
-    run = np.cumsum(new_run) - 1
-    heads = np.flatnonzero(new_run)
-    last = np.append(heads[1:], len(firsts))[:len(heads)] - 1
-    edges = np.empty(len(firsts) + len(heads), np.int64)
-    edges[np.arange(len(firsts)) + run] = firsts
-    low, high = heads + np.arange(len(heads)), last + np.arange(len(heads)) + 1
-    edges[high] = lasts[last]
-    at, home, out = low.copy(), edges[low], []
-    while len(at):
-        end = np.minimum(np.searchsorted(edges, edges[at] + size, "right") - 1, high)
-        out.append((edges[at], edges[end], home))
-        on = end < high
-        low, high, at, end, home = low[on], high[on], at[on], end[on], home[on]
-        room = np.minimum(overlap, size - (edges[end + 1] - edges[end]))
-        at = np.maximum(np.searchsorted(edges, edges[end] - room), low)
-    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-
-
-def _spots(points: np.ndarray, heads: np.ndarray, separator: str) -> np.ndarray:
-    """Where a separator stands: one or two line ends, a blank, or every place."""
-    if not separator:
-        return np.arange(len(points))
-    hit = points == ord(separator[0])
-    if len(separator) == 1:
-        return np.flatnonzero(hit)
-    begin = hit.copy()
-    begin[1:] &= ~hit[:-1]
-    begin[heads] = hit[heads]
-    runs = np.flatnonzero(begin)
-    places = np.flatnonzero(hit)
-    offset = places - runs[np.searchsorted(runs, places, "right") - 1]
-    pair = np.append((places[1:] == places[:-1] + 1) & ~begin[places[1:]], False)  # another one of the same run follows
-    return places[(offset % 2 == 0) & pair]
-
-
-def split_texts(texts: list[str], size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> list[list[str]]:
-    """``split_text`` for many texts at once: work per chunk, not per piece."""
-    if size < 2 or overlap >= size:
-        return [list(split_text(text, size, overlap)) for text in texts]
-    whole = "".join(texts)
-    points = np.frombuffer(whole.encode("utf-32-le", "surrogatepass"), np.uint32)
-    bounds = np.concatenate([[0], np.cumsum(list(map(len, texts)), dtype=np.int64)])
-    full = np.flatnonzero(np.diff(bounds))
-    rest = _Stretches(bounds[full], bounds[full + 1])
-    found = []
-    for separator in SEPARATORS:
-        starts, ends, of, without = rest.cut(_spots(points, bounds[full], separator))
-        small = ends - starts < size
-        first, last, of = starts[small], ends[small], of[small]
-        apart = np.ones(len(first), bool)
-        apart[1:] = (first[1:] != last[:-1]) | (of[1:] != of[:-1])
-        found.append(_packed(first, last, apart, size, overlap))
-        more = np.concatenate([rest.starts[without], starts[~small]])
-        order = np.argsort(more, kind="stable")
-        rest = _Stretches(more[order], np.concatenate([rest.ends[without], ends[~small]])[order])
-    a, b, home = (np.concatenate(x) for x in zip(*found, strict=True))
-    order = np.lexsort((a, home))
-    out: list[list[str]] = [[] for _ in texts]
-    owners = full[np.searchsorted(bounds[full], a[order], "right") - 1] if len(full) else a
-    for owner, x, y in zip(owners.tolist(), a[order].tolist(), b[order].tolist(), strict=True):
-        chunk = whole[x:y].strip()
-        if chunk:
-            out[owner].append(chunk)
-    return out
-
-
-def split_column(column: pa.Array, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> pa.Array:
-    """Chunks of an Arrow text column (nulls have none), slice by slice."""
-    chunks: list[list[str]] = []
-    texts: list[str] = []
-    held = 0
-    for text in column.to_pylist():
-        texts.append(text or "")
-        held += len(texts[-1])
-        if held >= _SLICE:
-            chunks += split_texts(texts, size, overlap)
-            texts, held = [], 0
-    chunks += split_texts(texts, size, overlap)
-    return pa.array(chunks, pa.list_(pa.string()))
+def split_column(column: pa.Array, sizes: Iterable[int] = repeat(CHUNK_SIZE), overlaps: Iterable[int] = repeat(CHUNK_OVERLAP)) -> pa.Array:
+    """Chunks of an Arrow text column; nulls have none."""
+    return pa.array([list(split_text(t or "", s, o)) for t, s, o in zip(column.to_pylist(), sizes, overlaps, strict=False)], pa.list_(pa.string()))
 
 
 def chunk_recursive(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP, *,
@@ -199,7 +93,7 @@ def chunk_recursive(df: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_
     """
     @F.arrow_udf("array<string>")
     def cut(texts: pa.Array) -> pa.Array:
-        return split_column(texts, size, overlap)
+        return split_column(texts, repeat(size), repeat(overlap))
 
     kept = [c for c in df.columns if c != text_col]
     return df.select(*kept, cut(F.col(text_col)).alias("_chunks")).select(*kept, F.posexplode("_chunks").alias("ord", "chunk"))
