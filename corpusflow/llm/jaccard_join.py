@@ -183,9 +183,15 @@ def _clusters(shared: DataFrame) -> DataFrame:
         shared = shared.join(enough, ["set_id", "band"], "left_semi")
         several = shared.groupBy("sig").agg(F.min("set_id").alias("head"), F.max("set_id").alias("_last")).where("head <> _last").select("sig", "head")
         shared = materialized(shared.join(several, "sig").select("sig", "set_id", "band", "need", "head"), "shared")
-        heads = shared.where("set_id <> head").select(F.col("set_id").alias("a"), F.col("head").alias("b"))
+        heads = shared.groupBy("set_id").agg(F.min("head").alias("label"))
         shared = shared.drop("head")
-    return components(heads)
+    # a label passes from a set over all its signatures: copies of one text share one with their least set and agree at
+    # once, so edges are left only between labels that meet in some signature, not between sets and heads
+    labels = materialized(heads, "labels")
+    told = shared.select("sig", "set_id").join(labels, "set_id")
+    apart = materialized(told.groupBy("sig").agg(F.min("label").alias("b"), F.max("label").alias("_last")).where("b <> _last").select("sig", "b"), "apart")
+    joined = components(told.join(apart, "sig").select(F.col("label").alias("a"), "b"))
+    return (labels.join(joined, F.col("label") == F.col("node"), "left").select(F.col("set_id").alias("node"), F.coalesce("root", "label").alias("root")))
 
 
 class Region:
