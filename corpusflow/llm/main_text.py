@@ -23,8 +23,13 @@ WINDOW = 3
 #: Text a window needs for a run to count as main text where a page names no article.
 SURGE = 80
 
-_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)""", re.S)
-_RAW = re.compile(r"script|style|noscript|template|textarea|title|iframe|select|button|option|annotation|annotation-xml", re.I)
+_TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:=\s*"[^"]*"|=\s*'[^']*'|[^>])*)(?:>|\Z)""", re.S)
+#: Elements whose content is skipped up to their end tag, or the end of the page.
+_RAW = re.compile(r"script|style|noscript|template|textarea|title", re.I)
+#: Elements inside lines that hold no text of theirs; one that is left open ends with the element around it or before
+#: one that cannot be inside it.
+_SKIPPED = frozenset("select datalist optgroup option button label annotation annotation-xml".split())
+_ENDS_SKIPPED = frozenset("article main section header nav p h1 h2 h3 h4 h5 h6 ul ol table blockquote pre".split())
 _BLOCKS = frozenset("""address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form
  h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul""".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -50,6 +55,13 @@ _ROLES = frozenset("navigation search complementary contentinfo banner dialog al
 _PARTS = frozenset("""ad ads advert adverts advertisement advertising adsense sponsor sponsored promo sidebar nav navbar navigation menu breadcrumb breadcrumbs
  masthead footer cookie cookies consent popup modal newsletter subscribe signup login share sharing related recommended comments disqus widget toolbar
  pagination pager copyright""".split())
+#: Words that tell such a container inside an article where all words of a class, or of an id, are of these or the next.
+_TELLING = frozenset("""ad ads advert adverts advertisement advertising adsense sponsor sponsored promo sidebar navbar breadcrumb breadcrumbs cookie cookies
+ consent popup modal newsletter subscribe notice notices comments disqus respond replies pagination pager widget toolbar""".split())
+_LAYOUT = frozenset("""left right top bottom inner outer box wrapper wrap container block area section list slot unit item small large wide main site page
+ post article reader readers user users the thread form bar text content""".split()) | {""}
+#: Items of a list that are links and nothing else, from so many on, are a menu.
+MENU = 3
 #: An article that is named so is a reader's comment, a teaser or an advert.
 _NO_ARTICLE = frozenset("comment comments reply replies related recommended teaser ad advert advertisement sponsored promo".split())
 _ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""")
@@ -69,6 +81,16 @@ def _has_part(names: list[str]) -> bool:
     return any(not _PARTS.isdisjoint(parts) for parts in (re.split(r"[-_\d]+", n) for n in names) if parts[0] not in ("has", "with", "no", "without"))
 
 
+def _tells(names: list[str]) -> bool:
+    """Whether a name says nothing but that it holds no main text: ``sidebar-left``, ``advert-300``, ``reader-comments``."""
+    words = [set(re.split(r"[-_\d]+", n)) for n in names]
+    return any(w <= _TELLING | _LAYOUT and not w.isdisjoint(_TELLING) for w in words)
+
+
+def _is_unseen(own: dict[str, str]) -> bool:
+    return "hidden" in own or bool(_UNSEEN.search(own.get("style", "")))
+
+
 def _is_apart(name: str, text: str, in_main: bool) -> bool:
     """Whether a block holds no main text: by its element, as hidden, or, for containers, by name."""
     if name in _APART or (name == "header" and not in_main):
@@ -76,7 +98,7 @@ def _is_apart(name: str, text: str, in_main: bool) -> bool:
     if not text or name in ("html", "body", "main"):
         return False
     own = _attributes(text)
-    if "hidden" in own or own.get("aria-hidden", "").strip().lower() == "true" or _UNSEEN.search(own.get("style", "")):
+    if _is_unseen(own) or own.get("aria-hidden", "").strip().lower() == "true":
         return True
     if name in _TEXTS:
         return False
@@ -85,9 +107,9 @@ def _is_apart(name: str, text: str, in_main: bool) -> bool:
         return True
     if name == "article":
         return not _NO_ARTICLE.isdisjoint(classes)
-    if in_main:
-        return name != "header" and not _WHOLE.isdisjoint(classes)
     ids = [own["id"].strip().lower()] if "id" in own else []
+    if in_main:
+        return name != "header" and (not _WHOLE.isdisjoint(classes) or _tells(classes + ids))
     return not _OUTSIDE.isdisjoint(classes + ids) or _has_part(classes + (ids if name in ("div", "ul", "ol", "table") else []))
 
 
@@ -101,6 +123,8 @@ class Line(NamedTuple):
     #: Its element, and the number of the element around it (lists and tables are looked through).
     name: str = ""
     around: int = 0
+    #: The number of the list it is an item of.
+    of_list: int = 0
 
 
 def lines_of(page: str) -> tuple[list[Line], bool]:
@@ -109,7 +133,8 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
     parts: list[str] = []
     linked: list[str] = []
     open_tags: list[str] = []
-    around: list[int] = [0]  # of each open block, the nearest block at or above it that is no list or table
+    # of each open block, the nearest block at or above it that is no list or table, and the nearest list
+    around: list[tuple[int, int]] = [(0, 0)]
     opened = link = False
     count = 0
     main = article = apart = 0  # depths of open articles; depth of the stack where a stripped container began
@@ -128,7 +153,7 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
         if text:
             name = open_tags[-1] if open_tags else ""
             lines.append(Line(text, max(len(text) - shared, 0), "article" if article else "main" if main else "", name,
-                              around[-2] if name in _ITEMS and len(around) > 1 else around[-1]))
+                              around[-2 if name in _ITEMS and len(around) > 1 else -1][0], around[-1][1]))
 
     def gap() -> None:
         close_block()
@@ -151,11 +176,27 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             end = re.compile(rf"</{re.escape(name)}\s*>", re.I).search(page, at)
             at = end.end() if end else size
             continue
-        if name == "br":
+        if name == "iframe" and not closing:  # one that is never closed hides nothing
+            end = re.compile(r"</iframe\s*>", re.I).search(page, at)
+            at = end.end() if end else at
+            continue
+        if name == "br" and not apart:
             add(" ")
         if name == "a" and not apart:
             link = not closing and "href" in _attributes(tag[3])
-        if name not in _BLOCKS:
+        inline = name not in _BLOCKS
+        if inline and not (name in _SKIPPED or apart and name == open_tags[apart - 1]
+                           or not closing and not apart and tag[3] and name not in _VOID and _is_unseen(_attributes(tag[3]))):
+            continue
+        if inline and not closing:
+            if name == "option" and open_tags and open_tags[-1] == "option":
+                open_tags.pop()  # the next option ends the one before
+                around.pop()
+                apart = 0 if apart > len(open_tags) else apart
+            if not tag[3].endswith("/"):
+                open_tags.append(name)
+                around.append(around[-1])
+                apart = apart or len(open_tags)
             continue
         if closing:
             if name not in open_tags:
@@ -170,8 +211,6 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
                 if apart and len(open_tags) < apart:
                     apart = 0
                     link = False
-                    parts.clear()
-                    linked.clear()
                 if done in _MAIN and not apart:
                     gap()
                     main -= 1
@@ -179,6 +218,9 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
                 if done == name:
                     break
             continue
+        if apart and open_tags[apart - 1] in _SKIPPED and (name in _ENDS_SKIPPED or open_tags[apart - 1] not in ("button", "label")):
+            del open_tags[apart - 1:], around[apart:]
+            apart = 0
         if name == "p" and open_tags and open_tags[-1] == "p":
             if not apart:
                 close_block()
@@ -190,7 +232,7 @@ def lines_of(page: str) -> tuple[list[Line], bool]:
             continue
         open_tags.append(name)
         count += 1
-        around.append(around[-1] if name in _THROUGH else count)
+        around.append((around[-1][0] if name in _THROUGH else count, count if name in ("ul", "ol") else around[-1][1]))
         if not apart and _is_apart(name, tag[3], main > 0):
             gap()
             apart = len(open_tags)
@@ -263,6 +305,18 @@ def _kept(lines: list[Line], weights: list[int], runs: list[tuple[int, int, int]
     return core | between | near | {i for i in dense if lines[i].name in _HEADINGS and weights[i]}
 
 
+def _menus(lines: list[Line]) -> set[int]:
+    """Lines of lists whose items, ``MENU`` or more in a row, are links and nothing else."""
+    out: set[int] = set()
+    start = 0
+    for i in range(len(lines) + 1):
+        if i == len(lines) or lines[i].name != "li" or lines[i].own or not lines[i].text or lines[i].of_list != lines[start].of_list:
+            if i - start >= MENU:
+                out.update(range(start, i))
+            start = i if i < len(lines) and lines[i].name == "li" and lines[i].text and not lines[i].own else i + 1
+    return out
+
+
 def main_text(page: str | None) -> str:
     """The main text of a page, one line per block."""
     if not page:
@@ -272,12 +326,14 @@ def main_text(page: str | None) -> str:
     if not runs:
         return ""
     weights = [_weight(line) for line in lines]
+    for i in _menus(lines):
+        weights[i] = 0
     if not any(weights) and not opened:
         weights = [len(line.text) for line in lines]  # nothing but links
     least = SURGE
     if not opened:  # beside an article without text, no other text is main text for being the longest
         least = max(1, min(SURGE, max(sum(weights[i:min(i + WINDOW, end)]) for start, end, _ in runs for i in range(start, end))))
-    kept = _kept(lines, weights, runs, least)
+    kept = _kept(lines, weights, runs, least) - _menus(lines)
     inside = {i for i in kept if lines[i].inside}
     # an article that has most of the text is the main text; a teaser is not
     if 2 * sum(lines[i].own for i in inside) >= sum(lines[i].own for i in kept):

@@ -245,6 +245,48 @@ def test_main_text(spark):
     assert main_text.main_text("<div>" * 5000 + LONG) == LONG
 
 
+_ART = "<article><p>" + "First paragraph of the real text, long enough to count. " * 3 + "</p>{}<p>Short end.</p></article>"
+_FIRST = ("First paragraph of the real text, long enough to count. " * 3).strip()
+#: What stands inside an article, and the lines that are left of it.
+INSIDE = {
+    "<p>before <button>Copy</button> after</p>": ["before after"],
+    "<div id='comments'><p>Nice post, I liked it very much indeed.</p></div>": [],
+    "<section id='reader-comments'><p>Nice.</p></section><div id=disqus_thread>x</div>": [],
+    "<div class='advert-300'>Buy</div><div class=sidebar-left>side</div><div class=notice>We use cookies</div>": [],
+    "<section id='search-algorithms'><p>Searching.</p></section><section id=side-effects><h2 id=legal-status>Status</h2></section>": ["Searching.", "Status"],
+    "<ul><li><a href=1>One</a><li><a href=2>Two</a><li><a href=3>Three</a></ul>": [],
+    "<ul><li><a href=1>One</a> with text<li>two<li><a href=3>Three</a></ul>": ["One with text", "two", "Three"],
+    "<p><label>Email</label> kept</p>": ["kept"], '<p title="He said "hi">Quoted</p>': ["Quoted"], "<p title='it's'>Quoted</p>": ["Quoted"],
+    "<p>seen <span style='display:none'>not <span>x</span> seen</span> again <b hidden>h</b></p>": ["seen again"],
+    "<select><option>a<option>b</select><p>text</p>": ["text"], "<p>a <select><option>b<p>c</p>": ["a", "c"], "<iframe src=x><p>text</p>": ["text"],
+    "<iframe><p>x</p></iframe><p>text</p>": ["text"], "<p>x<br>y</p>": ["x y"]}
+#: What stands before an article and must not take it along.
+BEFORE = ["<form><datalist id=x><option>a<option>b</datalist></form>", "<div><button>Menu</div>", "<button>Menu", "<select><option>x", "<iframe src=x>", "<label>Name",
+          "<p title='a", "<nav><ul><li><a href=x>x</nav>", "<option>", "</div></p>", "<span hidden>x</span>", "<!-- <article> -->", "<script>'<article>'</script>"]
+
+
+@pytest.mark.parametrize("inside", INSIDE)
+def test_inside_an_article(inside):
+    assert main_text.main_text("<body>" + _ART.format(inside)).split("\n") == [_FIRST, *INSIDE[inside], "Short end."]
+
+
+def test_pages_put_together_from_parts():
+    """Any mixture of parts gives the lines of the parts that are text, in order."""
+    import random
+    rng = random.Random(21)
+    for _ in range(400):
+        chosen = rng.choices([k for k in INSIDE if "<iframe src=x>" not in k and k != "<p>a <select><option>b<p>c</p>"], k=rng.randrange(5))
+        before = rng.choices(BEFORE[:-1], k=rng.randrange(4)) if rng.random() < 0.8 else []
+        before = [b for b in before if b not in ("<p title='a", "<iframe src=x>")]
+        page = "<html><body>" + "".join(before) + _ART.format("".join(chosen)) + rng.choice(["", "<footer>end</footer>", "<div id=comments>x</div>"])
+        assert main_text.main_text(page).split("\n") == [_FIRST, *(line for k in chosen for line in INSIDE[k]), "Short end."], page
+
+
+@pytest.mark.parametrize("before", BEFORE)
+def test_nothing_before_an_article_takes_it_along(before):
+    assert main_text.main_text("<body>" + before + ("'>" if before.startswith("<p title") else "") + _ART.format("")) == f"{_FIRST}\nShort end."
+
+
 @pytest.mark.parametrize("page", [
     f"<div><p>{LONG}</p></div><aside><article><h3>t</h3></article></aside>",
     f"<div><p>{LONG}</p></div><ol class='comment-list'><li><article><p>{LONG} mine</p></article></ol>",
