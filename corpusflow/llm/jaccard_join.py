@@ -140,6 +140,11 @@ def _read_sets(width: int, percent: int):
     return rows
 
 
+#: Bits of a signature that tell it from others; below them stand its band and what copies of a set are dealt by.
+_SIG = ~0xFFF
+_BAND, _SALT = 6, 64
+
+
 def _shared(batches):
     """Signatures that several sets have, from a partition that holds equal ones side by side.
 
@@ -149,40 +154,41 @@ def _shared(batches):
     if not batches:
         return
     table = pa.Table.from_batches(batches)
-    sig, sets = (np.asarray(table.column(i).combine_chunks()) for i in range(2))
-    order = np.lexsort((sets, sig))
-    sig, sets = sig[order], sets[order]
+    keys, sets = (np.asarray(table.column(i).combine_chunks()) for i in range(2))
+    order = np.lexsort((sets, keys & _SIG))
+    keys, sets = keys[order], sets[order]
+    sig = keys & _SIG
     new = np.ones(len(sig), bool)
     new[1:] = (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1])
-    order, sig = order[new], sig[new]
+    keys, sets, sig = keys[new], sets[new], sig[new]
     first = np.ones(len(sig), bool)
     first[1:] = sig[1:] != sig[:-1]
     group = np.cumsum(first) - 1
     keep = (np.bincount(group)[group] > 1) | (sig == sig[0]) | (sig == sig[-1])
-    yield from table.select(["sig", "set_id", "tag"]).take(pa.array(order[keep])).to_batches()
+    yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(sets[keep]), pa.array(((keys[keep] >> _BAND) & 63).astype(np.int32))], ["sig", "set_id", "band"])
 
 
 def _shared_signatures(sets: DataFrame) -> DataFrame:
-    """(sig, set_id, band, need) of the signatures that several sets have."""
+    """(sig, set_id, band) of the signatures that several sets have."""
     spark = sets.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    # ranges of (signature, set, tag) also split a signature that very many sets share, and a set of very many copies
-    salt = F.shiftleft(F.pmod(F.xxhash64("doc_id"), F.lit(64)), 56)
-    rows = sets.select(
-        F.explode("sigs").alias("sig"), "set_id", (salt + F.shiftleft(F.col("band").cast("long"), 40) + F.col("need")).alias("tag"))
-    shared = rows.repartitionByRange(parts, "sig", "set_id", "tag").mapInArrow(_shared, "sig long, set_id long, tag long")
-    return materialized(shared.select("sig", "set_id", F.shiftright("tag", 40).bitwiseAND(F.lit(0xFFFF)).alias("band"),
-                                      F.col("tag").bitwiseAND(F.lit((1 << 40) - 1)).alias("need")), "shared")
+    # ranges of (key, set) also split a signature that very many sets share, and a set of very many copies; two
+    # numbers a row are all that is shuffled. Signatures that 52 bits do not tell apart only bring sets together in vain.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(_SALT))
+    key = F.col("sig").bitwiseAND(F.lit(_SIG)) + F.shiftleft(F.col("band").cast("long"), _BAND) + salt
+    rows = sets.select("band", "set_id", "doc_id", F.explode("sigs").alias("sig")).select(key.alias("key"), "set_id")
+    return materialized(rows.repartitionByRange(parts, "key", "set_id").mapInArrow(_shared, "sig long, set_id long, band int"), "shared")
 
 
-def _clusters(shared: DataFrame) -> DataFrame:
-    """(node, root) of the sets that may have a link; linked ones have the same root."""
+def _clusters(shared: DataFrame, needs: DataFrame) -> DataFrame:
+    """(node, root) of the sets that may have a link; linked ones have the same root. ``needs``: (set_id, band, need)."""
     for _ in range(2):
         # sets that share enough with others; then, without the rest, again
-        enough = shared.groupBy("set_id", "band").agg(F.count("*").alias("_n"), F.max("need").alias("_need")).where("_n >= _need").select("set_id", "band")
+        enough = (shared.groupBy("set_id", "band").agg(F.count("*").alias("_n")).join(needs, ["set_id", "band"])
+                  .where("_n >= need").select("set_id", "band"))
         shared = shared.join(enough, ["set_id", "band"], "left_semi")
         several = shared.groupBy("sig").agg(F.min("set_id").alias("head"), F.max("set_id").alias("_last")).where("head <> _last").select("sig", "head")
-        shared = materialized(shared.join(several, "sig").select("sig", "set_id", "band", "need", "head"), "shared")
+        shared = materialized(shared.join(several, "sig").select("sig", "set_id", "band", "head"), "shared")
         heads = shared.groupBy("set_id").agg(F.min("head").alias("label"))
         shared = shared.drop("head")
     # a label passes from a set over all its signatures: copies of one text share one with their least set and agree at
@@ -423,9 +429,11 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     read.write.partitionBy("first").parquet(path)
     stored = spark.read.schema(read.schema).parquet(path)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    shared = _shared_signatures(stored.where("not first and doc_id is not null"))
+    signed = stored.where("not first and doc_id is not null")
+    shared = _shared_signatures(signed)
+    needs = materialized(signed.groupBy("set_id", "band").agg(F.max("need").alias("need")), "needs")
     drop_scratch(spark, f"{path}/first=false")  # most signatures are of no more use; the shared ones are a table
-    clusters = _clusters(shared)
+    clusters = _clusters(shared, needs)
     sets = stored.where("first").select("doc_id", "n_shingles", "set_id")
 
     # one text per set of a cluster
