@@ -3,8 +3,8 @@
 Every language has a context tree of order 2: after the two bytes before, else (by escape) after one,
 else after none, else any of 256 bytes. Escapes follow method C with exclusion: a byte that was
 predicted at a longer context is left out of the shorter ones. The statistics are frozen after
-training, so the code length of each byte in each context is a fixed number; they are tabulated over
-the bytes that training saw (all others cost the same), and a text's exact code length is a sum.
+training, so the code length of each byte in each context is a fixed number, worked out from the tree, which
+holds the contexts that training saw; those of seen grams are tabulated, and a text's exact code length is a sum.
 """
 from __future__ import annotations
 
@@ -22,27 +22,125 @@ from corpusflow.llm.arrays import Texts, flat, in_slices, struct
 
 #: Documents per language that the trees learn from, the first by the hash of their id.
 SAMPLE = 2_000
-#: Languages one model may have; more are an error, not a cut.
-MAX_LANGUAGES = 64
+#: Code lengths that are looked up at a time.
+STEP = 4_000_000
 NONE = "und"
 _LETTER = regex.compile(r"\p{L}")
 SCHEMA = "lang_pred string, score double, bits_per_byte double"
 
 
+@dataclass
+class Tree:
+    """The context tree of one language, as far as training saw it.
+
+    ``grams`` are the keys (a, b, c) of symbols c seen after a and b, in order, with their bits; ``pairs`` the keys (a, b)
+    of contexts, in order, with the bits of an escape, the bits of the order 1 total without the symbols seen there,
+    and those of a second escape. The rest is by b (and c): bits of the order 1 counts, whether c was seen after b,
+    and the bits of c below order 1.
+    """
+    grams: np.ndarray
+    gram_bits: np.ndarray
+    pairs: np.ndarray
+    pair_bits: np.ndarray
+    one: np.ndarray
+    seen: np.ndarray
+    below: np.ndarray
+    own: np.ndarray
+
+    def cost(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Bits of symbols c after a and b."""
+        size = len(self.seen)
+        pair = a * size + b
+        at = np.minimum(np.searchsorted(self.pairs, pair), max(len(self.pairs) - 1, 0))
+        known = self.pairs[at] == pair if len(self.pairs) else np.zeros(len(pair), bool)
+        # a context that was never seen excludes nothing and escapes for nothing
+        escape, total, again = np.where(known, self.pair_bits[:, at], self.own[:, b]) if len(self.pairs) else self.own[:, b]
+        bits = escape + np.where(self.seen[b, c], total + self.one[b, c], again + self.below[b, c])
+        gram = pair * size + c
+        at = np.minimum(np.searchsorted(self.grams, gram), max(len(self.grams) - 1, 0))
+        if len(self.grams):
+            bits = np.where(self.grams[at] == gram, self.gram_bits[at], bits)
+        return bits
+
+
+def _bits(part: np.ndarray, whole: np.ndarray | float) -> np.ndarray:
+    """-log2 of shares; 0 where there is nothing."""
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where((part > 0) & (whole > 0), np.log2(whole) - np.log2(part), 0.0)
+
+
+def _log2(x: np.ndarray) -> np.ndarray:
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(x > 0, np.log2(x), 0.0)
+
+
+def tree_of(a: np.ndarray, b: np.ndarray, c: np.ndarray, n: np.ndarray, size: int) -> Tree:
+    """The tree from the counts n of distinct (a, b, c); symbol 0 (unseen) is no symbol a context predicts.
+
+    Method C: a context escapes as if each kind of symbol it has seen had been an escape once. Symbols that a
+    longer context predicts are left out of the shorter ones.
+    """
+    real = c > 0
+    a, b, c, n = a[real], b[real], c[real], n[real].astype(np.float64)
+    order = np.lexsort((c, b, a))
+    a, b, c, n = a[order], b[order], c[order], n[order]
+    one = np.zeros((size, size))
+    np.add.at(one, (b, c), n)
+    zero = one.sum(0)
+    pairs, place, kinds = np.unique(a * size + b, return_inverse=True, return_counts=True)
+    of = pairs % size
+    total = np.bincount(place, n, len(pairs)) + kinds
+    kinds_one, kinds_zero = (one > 0).sum(1), int((zero > 0).sum())
+    # order 1 without what the context predicts itself, order 0 without what order 1 predicts
+    rest = one.sum(1)[of] - np.bincount(place, one[b, c], len(pairs))
+    left = kinds_one[of] - kinds
+    rest_zero = zero.sum() - (zero[None, :] * (one > 0)).sum(1)
+    left_zero = kinds_zero - kinds_one
+    unseen = np.log2(max(256 - kinds_zero, 1))
+    below = np.where(zero[None, :] > 0, _bits(zero[None, :], (rest_zero + left_zero)[:, None]), _bits(left_zero, rest_zero + left_zero)[:, None] + unseen)
+    return Tree((a * size + b) * size + c, _bits(n, total[place]), pairs,
+                np.stack([_bits(kinds, total), _log2(rest + left), _bits(left, rest + left)]),
+                -_log2(one), one > 0, below,
+                np.stack([np.zeros(size), _log2(one.sum(1) + kinds_one), _bits(kinds_one, one.sum(1) + kinds_one)]))
+
+
 @dataclass
 class Model:
-    """Code lengths in bits: ``cost[a, b, c, language]`` of symbol c after a and b.
+    """The trees of all languages, and a table of the code lengths of the grams that any of them saw.
 
-    ``symbol`` maps bytes to symbols: 0 stands for the start of a text and for bytes never seen.
+    ``symbol`` maps bytes to symbols: 0 stands for the start of a text and for bytes never seen. ``place`` has the row of
+    each gram in ``table``, -1 for grams that no tree has; it has a fixed size at most (257 cubed), the table and the trees grow
+    with what was seen.
     """
     languages: list[str]
     symbol: np.ndarray
-    cost: np.ndarray
+    trees: list[Tree]
+    place: np.ndarray
+    table: np.ndarray
+
+    @staticmethod
+    def of(languages: list[str], symbol: np.ndarray, trees: list[Tree]) -> Model:
+        size = int(symbol.max(initial=0)) + 1
+        grams = np.unique(np.concatenate([t.grams for t in trees])) if trees else np.zeros(0, np.int64)
+        place = np.full(size ** 3, -1, np.int32)
+        place[grams] = np.arange(len(grams), dtype=np.int32)
+        a, b, c = grams // size ** 2, grams // size % size, grams % size
+        table = np.stack([t.cost(a, b, c) for t in trees], 1).astype(np.float32) if trees else np.zeros((0, 0), np.float32)
+        return Model(languages, symbol, trees, place, table)
+
+    def costs(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        """Bits of each symbol under each language."""
+        size = round(len(self.place) ** (1 / 3))
+        row = self.place[(a * size + b) * size + c]
+        bits = self.table[np.maximum(row, 0)] if len(self.table) else np.zeros((len(row), len(self.languages)), np.float32)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            bits[new] = np.stack([t.cost(a[new], b[new], c[new]) for t in self.trees], 1)
+        return bits
 
     def lengths(self, column: pa.Array) -> np.ndarray:
         """Code length of each text under each language."""
         texts = Texts(column)
-        size = self.cost.shape[0]
         s = self.symbol[texts.data]
         full = np.flatnonzero(np.diff(texts.offsets))
         one, two = np.zeros(len(s), np.int64), np.zeros(len(s), np.int64)
@@ -51,9 +149,12 @@ class Model:
         one[head] = two[head] = 0
         two[np.minimum(head + 1, len(s) - 1)[np.diff(texts.offsets)[full] > 1]] = 0
         out = np.zeros((texts.n, len(self.languages)))
-        if len(full) and self.languages:
-            bits = self.cost.reshape(-1, len(self.languages))[(two * size + one) * size + s]
-            out[full] = np.add.reduceat(bits, head, axis=0, dtype=np.float64)
+        step = max(1, STEP // max(len(self.languages), 1))
+        for start in range(0, len(s) if self.languages else 0, step):
+            part = slice(start, start + step)
+            inside = np.flatnonzero((head < start + step) & (texts.offsets[full + 1] > start))
+            begin = np.maximum(head[inside] - start, 0)
+            out[full[inside]] += np.add.reduceat(self.costs(two[part], one[part], s[part]), begin, axis=0, dtype=np.float64)
         return out
 
 
@@ -78,62 +179,31 @@ def _gram_counts(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _code_lengths(counts: np.ndarray) -> np.ndarray:
-    """Bits of symbol c after a and b from the counts ``counts[a, b, c]`` of one language.
-
-    Symbol 0 of the last axis (unseen) always escapes to the uniform choice over 256 bytes.
-    """
-    order2 = counts.astype(np.float64)
-    order2[:, :, 0] = 0
-    order1, order0 = order2.sum(0), order2.sum((0, 1))
-    size = len(order0)
-    cost = np.empty(counts.shape, np.float32)
-    for a in range(size):
-        free = np.ones((size, size), bool)  # not excluded yet, by (b, c)
-        bits, done = np.zeros((size, size)), np.zeros((size, size), bool)
-        for level in (order2[a], order1, np.broadcast_to(order0, (size, size))):
-            have = np.where(free, level, 0)
-            kinds = (have > 0).sum(1, keepdims=True)
-            total = have.sum(1, keepdims=True) + kinds  # method C: as many escapes as kinds
-            hit = (have > 0) & ~done
-            with np.errstate(divide="ignore", invalid="ignore"):
-                bits = np.where(hit, bits - np.log2(have / total), bits)
-                escape = np.where(kinds > 0, -np.log2(kinds / total), 0)
-            done |= hit
-            bits = np.where(done, bits, bits + escape)
-            free &= ~(level > 0)
-        left = 256 - (order0 > 0).sum()  # symbols no context has seen
-        cost[a] = np.where(done, bits, bits + np.log2(max(left, 1)))
-    return cost
-
-
 def train_language(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """A model from the rows whose ``lang`` and ``text`` are not null, ``sample`` documents per language.
 
-    Ids are chosen without reading texts and sent to the tasks (at most ``sample * MAX_LANGUAGES``); only
-    counts of three bytes come back.
+    Ids are chosen without reading texts; only counts of three bytes come back, so the model grows with the languages
+    there are and with the contexts each of them has.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null")
-    languages = [r[0] for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES + 1).collect()]
-    if len(languages) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     chosen = (known.select("doc_id", "lang").distinct()
               .withColumn("_nr", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
               .where(F.col("_nr") <= sample).select("doc_id", "lang"))
-    texts = known.select("doc_id", "lang", "text").join(F.broadcast(chosen), ["doc_id", "lang"]).select("lang", "text")
+    texts = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text")
     grams = _gram_counts(texts).toPandas()
-    seen = np.unique(grams["gram"].to_numpy() % 257)
+    # a language whose texts are all empty is known, too
+    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
+    seen = np.unique(grams["gram"].to_numpy(np.int64) % 257)
     symbol = np.zeros(257, np.int64)
     symbol[seen] = np.arange(1, len(seen) + 1)
-    size = len(seen) + 1
-    cost = np.zeros((size, size, size, len(languages)), np.float32)
-    for k, lang in enumerate(languages):
-        own = grams[grams["lang"] == lang]
-        gram, n = own["gram"].to_numpy(), own["n"].to_numpy()
-        counts = np.zeros((size, size, size))
-        np.add.at(counts, (symbol[gram // 257 ** 2], symbol[gram // 257 % 257], symbol[gram % 257]), n)
-        cost[..., k] = _code_lengths(counts)
-    return Model(languages, symbol[:256], cost)
+    trees = []
+    by_language = dict(list(grams.groupby("lang")))
+    for lang in languages:
+        own = by_language.get(lang, grams.iloc[:0])
+        gram, n = own["gram"].to_numpy(np.int64), own["n"].to_numpy()
+        # bytes outside the alphabet cannot come up here; the start of a text is symbol 0 as a context
+        trees.append(tree_of(symbol[gram // 257 ** 2], symbol[gram // 257 % 257], symbol[gram % 257], n, len(seen) + 1))
+    return Model.of(languages, symbol[:256], trees)
 
 
 def _predict(column: pa.Array, model: Model) -> pa.StructArray:
