@@ -36,18 +36,16 @@ SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<star
 _PART = "items array<string>, spans array<struct<first:int,last:int,start:int,end:int>>"
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode().translate(_NORMAL).split() if text else []
+#: Longer words stand in the automaton by a digest, which no text can spell.
+LONG = 64
+
 
+def _short(words: list[bytes]) -> list[bytes]:
+    return [w if len(w) <= LONG else b"\x00" + hashlib.sha256(w).hexdigest().encode() for w in words]
 
-def windows_of(items: list[tuple[str, str | None]], width: int = WORDS) -> dict[bytes, list[str]]:
-    """Each window with the items that hold it."""
-    out: dict[bytes, set[str]] = {}
-    for item, text in items:
-        words = words_of(text)
-        for at in range(max(1, len(words) - width + 1) if words else 0):
-            out.setdefault(b" ".join(words[at:at + width]), set()).add(item)
-    return {window: sorted(names) for window, names in out.items()}
+
+def words_of(text: str | None) -> list[bytes]:
+    return _short(text.encode().translate(_NORMAL).split()) if text else []
 
 
 _automata: dict[str, ahocorasick.Automaton] = {}
@@ -75,10 +73,13 @@ def _scan(column: pa.Array, windows, key: str, numbered: bool = False) -> pa.Str
     found: list[list[str]] = [[] for _ in range(texts.n)]
     spans: list[list[dict]] = [[] for _ in range(texts.n)]
     automaton = _automaton(windows, key) if windows.value else None
+    has_long = np.zeros(texts.n, bool)
+    has_long[doc[ends - starts > LONG]] = True
     for i in np.flatnonzero(n_words) if automaton is not None else ():
         raw = texts.data[texts.offsets[i]:texts.offsets[i + 1]].tobytes()
         # one character per byte; each word ends before the blank that the next one shares
-        line = b" " + b" ".join(raw.translate(_NORMAL).split()) + b" "
+        own = raw.translate(_NORMAL).split()
+        line = b" " + b" ".join(_short(own) if has_long[i] else own) + b" "
         hits = list(automaton.iter(line.decode("latin-1")))
         if not hits:
             continue
@@ -104,18 +105,18 @@ def _scan(column: pa.Array, windows, key: str, numbered: bool = False) -> pa.Str
 def find_windows(docs: DataFrame, benchmark: DataFrame, width: int = WORDS, text_col: str = "text") -> DataFrame:
     """``docs`` with a column ``_hits``: words, hit words, items found and the hit spans in code points.
 
-    ``benchmark`` (item_id, text) is a fixed test set. Its windows are counted before they are sent
-    to the tasks; one beyond ``MAX_WINDOWS`` is refused here, ``contamination`` and ``drop_contaminated``
+    ``benchmark`` (item_id, text) is a fixed test set of any length. Its windows are cut and counted by Spark before they are
+    sent to the tasks; one beyond ``MAX_WINDOWS`` is refused here, ``contamination`` and ``drop_contaminated``
     work through it in parts. Null texts and null items have no words; repeated items count once per id, a null id as ``null``.
     """
     spark = docs.sparkSession
-    n_words = benchmark.select(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // 2
-    if n_words > 50 * MAX_WINDOWS:
-        raise ValueError(f"a benchmark of up to {n_words} windows; give it in parts")
-    items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")), "text").collect()
-    windows = windows_of([tuple(r) for r in items], width)
-    if len(windows) > MAX_WINDOWS:
-        raise ValueError(f"{len(windows)} windows; give the benchmark in parts of {MAX_WINDOWS}")
+    rows = (benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item"), "text")
+            .mapInArrow(_window_rows(width), "window binary, item string").distinct().limit(MAX_WINDOWS + 1).collect())
+    if len(rows) > MAX_WINDOWS:
+        raise ValueError(f"more than {MAX_WINDOWS} windows; give the benchmark in parts")
+    windows: dict[bytes, list[str]] = {}
+    for window, item in rows:
+        windows.setdefault(bytes(window), []).append(item)
     sent, key = spark.sparkContext.broadcast(windows), uuid.uuid4().hex
 
     @F.arrow_udf(SCHEMA)

@@ -387,6 +387,34 @@ def test_code_lengths_equal_a_byte_by_byte_coder(spark):
     assert np.allclose(got, want, rtol=1e-5)
 
 
+def test_as_many_languages_as_there_are(spark):
+    """Seventy languages, one of them without a byte; each recognises its own words."""
+    import pyarrow as pa
+    rng = np.random.default_rng(4)
+    words = ["".join(chr(int(c)) for c in rng.choice([*range(97, 123), 0xE4, 0xF6, 0x3B1, 0x4E2D], 7)) for _ in range(70)]
+    docs = documents(spark, [(1000, "")], "none")
+    for i, word in enumerate(words):
+        docs = docs.unionByName(documents(spark, [(i, f"{word} {word} {word[::-1]}")], f"l{i:02}"))
+    model = language.train_language(docs.coalesce(4))
+    assert len(model.languages) == 71
+    texts = [f"{w} {w}" for w in words] + ["", "???", "xq" * 30]
+    bits = model.lengths(pa.array(texts))
+    assert [model.languages[i] for i in bits[:70].argmin(1)] == [f"l{i:02}" for i in range(70)]
+    every = [f"{w} {w} {w[::-1]}" for w in words]
+    for k in (0, 33, 69):
+        want = [slow_bits([every[k]], t, every) for t in texts]
+        assert np.allclose(bits[:, model.languages.index(f"l{k:02}")], want, rtol=1e-5)
+
+
+def test_long_texts_are_added_up_in_steps(spark, monkeypatch):
+    import pyarrow as pa
+    model = language.train_language(documents(spark, ["abc abd", "abd"], "x").unionByName(documents(spark, [(9, "zzz aaa")], "y")))
+    texts = pa.array(["abc" * 50, "", None, "q", "zz a" * 30, "b"])
+    want = model.lengths(texts)
+    monkeypatch.setattr(language, "STEP", 14)
+    assert np.allclose(model.lengths(texts), want)
+
+
 def test_language_of_held_out_documents(spark):
     rows = language.identify(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), sample=100)
     truth = {r.doc_id: r.lang for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()}
@@ -457,8 +485,14 @@ def test_contamination(spark):
     kept = decontaminate.drop_contaminated(docs, bench)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {i for i, t in enumerate(texts) if not slow_hits(t)[4]}
     assert decontaminate.contamination(docs, bench.limit(0)).where("contaminated").isEmpty()
-    with pytest.raises(ValueError):
-        decontaminate.find_windows(docs, bench.select("item_id", F.repeat("text", 1_000_000).alias("text")))
+
+
+def test_more_windows_than_one_part_takes_are_refused_by_find_windows(spark, monkeypatch):
+    docs, bench = documents(spark, ["a b c"]), spark.createDataFrame([(i, f"own words of number {i}") for i in range(6)], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "MAX_WINDOWS", 5)
+    with pytest.raises(ValueError, match="more than 5 windows"):
+        decontaminate.find_windows(docs, bench)
+    assert decontaminate.find_windows(docs, bench.where("item_id < 5")).count() == 1
 
 
 def test_contamination_by_a_benchmark_in_parts(spark):
@@ -505,6 +539,15 @@ def test_spans_hashes_and_slices(odd):
     assert parts[0][0] == 0 and parts[-1][1] == len(odd) and all(a[1] == b[0] for a, b in zip(parts, parts[1:], strict=False))
 
 
+def test_a_long_item_of_few_words_is_a_window_like_any_other(spark):
+    long = "a" * 7_000_000
+    benchmark = spark.createDataFrame([(1, f"{long} {long} {long}"), (2, "... " * 100_000)], "item_id long, text string")
+    docs = documents(spark, [f"before {long}. {long}! {long} after", f"{long} {long}", "a a a", None])
+    rows = {r.doc_id: (r.n_hit, r.n_items, r.contaminated) for r in decontaminate.contamination(docs, benchmark).collect()}
+    assert rows == {0: (3, 1, True), 1: (0, 0, False), 2: (0, 0, False), 3: (0, 0, False)}
+    assert [r.doc_id for r in decontaminate.drop_contaminated(docs, benchmark).select("doc_id").orderBy("doc_id").collect()] == [1, 2, 3]
+
+
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty_and_null_tables(spark, n):
     docs = documents(spark, [(None, None)]).limit(n)
