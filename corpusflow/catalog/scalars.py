@@ -333,3 +333,11 @@ def _(t: Tables) -> DataFrame:
     register(t.spark)
     return t.spark.sql("SELECT doc_id, CAST(ord AS BIGINT) AS ord, chunk FROM {docs} LATERAL VIEW posexplode(chunk_text(text, 1500, 300)) c AS ord, chunk",
                        docs=t("documents"))
+
+
+@query("t2_chunk_rows_sql", f"WITH RECURSIVE {CHUNKS_RECURSIVE} SELECT CAST(doc_id AS VARCHAR) AS id, ord, page_content AS chunk FROM rec_chunks")
+def _(t: Tables) -> DataFrame:
+    """The same as a table function, a batch of rows at a time."""
+    from corpusflow.functions.sql import register
+    register(t.spark)
+    return t.spark.sql("SELECT id, CAST(ord AS BIGINT) AS ord, chunk FROM chunk_rows(TABLE(SELECT doc_id, text FROM {docs}))", docs=t("documents"))

@@ -4,6 +4,7 @@ import random
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
+from conftest import plan_text
 from corpusflow.functions.sql import register
 from corpusflow.operators.chunking import SEPARATORS, chunk_fixed, chunk_recursive, split_text
 
@@ -77,6 +78,16 @@ def test_chunk_text_in_sql(spark):
     assert [tuple(r) for r in rows] == [(0, "aa bb"), (1, "cc")]
 
 
+def test_chunk_rows_in_sql(spark):
+    register(spark)
+    texts = ["", None, "x y " * 900, "one"]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "no id")], "id long, text string").coalesce(2)
+    df = spark.sql("SELECT * FROM chunk_rows(TABLE(SELECT id, text FROM {docs}))", docs=docs)
+    want = [(str(i), o, x) for i, t in enumerate(texts) for o, x in enumerate(split_text(t or ""))] + [(None, 0, "no id")]
+    assert sorted(map(tuple, df.collect()), key=str) == sorted(want, key=str)
+    assert "Exchange" not in plan_text(df) and spark.sql("SELECT * FROM chunk_rows(TABLE(SELECT id, text FROM {d}))", d=docs.where("false")).count() == 0
+
+
 def test_chunk_fixed(spark):
     texts = ["", "a", "x" * 1500, "y" * 1501, "".join(chr(97 + i % 26) for i in range(5000)), "ü😀" * 1000]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
