@@ -133,6 +133,16 @@ def _(t: Tables) -> DataFrame:
     return sw.wiki_documents(pages).select("page_id", "space", "page_content")
 
 
+@query("s7_wiki_space", f"""
+WITH {page_text_sql()}, largest AS (SELECT regexp_extract(url, '//([^/]+)', 1) AS space FROM pages GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)
+SELECT page_id, text AS page_content FROM texts WHERE regexp_extract(url, '//([^/]+)', 1) = (SELECT space FROM largest) AND NOT contains(url, '?')""")
+def _(t: Tables) -> DataFrame:
+    """The pages of one space, the largest, without its attachments (addresses with parameters)."""
+    pages = t.spread("pages", "page_id").select("page_id", F.regexp_extract("url", "//([^/]+)", 1).alias("space"), "html", F.col("url").contains("?").alias("attached"))
+    largest = t("pages").groupBy(F.regexp_extract("url", "//([^/]+)", 1).alias("space")).count().orderBy(F.desc("count"), "space").first()
+    return sw.wiki_documents(pages, largest.space if largest else "", attachment_col="attached").select("page_id", "page_content")
+
+
 @query("s8_scan_issues", """
 SELECT o_orderkey, c_mktsegment AS assignee, strftime(o_orderdate, '%Y-%m-%d') AS created
 FROM orders JOIN customer ON o_custkey = c_custkey
