@@ -22,6 +22,8 @@ from corpusflow.llm.arrays import Texts, flat, in_slices, struct
 
 #: Documents per language that the trees learn from, the first by the hash of their id.
 SAMPLE = 2_000
+#: Ids of chosen documents that are sent to every task.
+BROADCAST_IDS = 500_000
 #: Code lengths that are looked up at a time.
 STEP = 4_000_000
 NONE = "und"
@@ -186,13 +188,15 @@ def train_language(docs: DataFrame, sample: int = SAMPLE) -> Model:
     there are and with the contexts each of them has.
     """
     known = docs.where("lang is not null and text is not null and doc_id is not null")
+    # a language whose texts are all empty is known, too
+    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
     chosen = (known.select("doc_id", "lang").distinct()
               .withColumn("_nr", F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")))
               .where(F.col("_nr") <= sample).select("doc_id", "lang"))
+    if len(languages) * sample <= BROADCAST_IDS:  # as many rows at most; texts then stay where they are
+        chosen = F.broadcast(chosen)
     texts = known.select("doc_id", "lang", "text").join(chosen, ["doc_id", "lang"]).select("lang", "text")
     grams = _gram_counts(texts).toPandas()
-    # a language whose texts are all empty is known, too
-    languages = sorted(r[0] for r in known.select("lang").distinct().collect())
     seen = np.unique(grams["gram"].to_numpy(np.int64) % 257)
     symbol = np.zeros(257, np.int64)
     symbol[seen] = np.arange(1, len(seen) + 1)
