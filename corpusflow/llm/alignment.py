@@ -29,6 +29,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm.arrays import flat, prefixes, slices, span_hashes
 from corpusflow.llm.bpe import _BLANKS, pieces_of
 from corpusflow.llm.word_table import bytes_at, pack, unpack
+from corpusflow.llm.workers import begin
 from corpusflow.session import materialized
 
 BLOCK = 32_000_000
@@ -95,6 +96,7 @@ class Encoder:
     def of(vocabulary: str, model: bytes) -> Encoder:
         """One per worker process."""
         key = (hash(vocabulary), hash(model))
+        begin("alignment", _encoders.clear)
         if key not in _encoders:
             os.environ["TOKENIZERS_PARALLELISM"] = "false"
             _encoders.clear()

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.arrays import flat, prefixes, span_hashes
 from corpusflow.llm.word_table import Words, per_word
+from corpusflow.llm.workers import begin
 
 LETTER, NUMBER, SPACE = 1, 2, 3
 # Fixed value: the characters with the property White_Space.
@@ -121,6 +122,7 @@ def splitter(special: str):
 def _tokenizer(vocabulary: str):
     from tokenizers import Tokenizer
 
+    begin("bpe", _tokenizers.clear)
     if vocabulary not in _tokenizers:
         _tokenizers.clear()
         _tokenizers[vocabulary] = Tokenizer.from_str(vocabulary)

@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.arrays import Texts, in_slices, struct
+from corpusflow.llm.workers import begin
 from corpusflow.session import materialized, scratch_path
 
 WORDS = 10
@@ -53,6 +54,7 @@ _automata: dict[str, ahocorasick.Automaton] = {}
 
 def _automaton(windows, key: str) -> ahocorasick.Automaton:
     """Built once per worker and set of windows."""
+    begin("windows", _automata.clear)
     if key not in _automata:
         _automata.clear()
         automaton = ahocorasick.Automaton()

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.llm.arrays import WORD, Texts, combine, mix, prefixes, slices, span_hashes
 from corpusflow.llm.components import components
+from corpusflow.llm.workers import begin, give_back
 from corpusflow.session import drop_scratch, materialized, scratch_path
 
 WIDTH, PERCENT = 4, 85
@@ -121,6 +122,7 @@ _SETS = "doc_id {0}, n_shingles long, set_id long, first boolean, band int, need
 def _read_sets(width: int, percent: int):
     """A row per document (``first``) and one per size band of it, with its signatures."""
     def rows(batches):
+        begin("sets")
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
             for a, b in slices(column):
@@ -136,6 +138,7 @@ def _read_sets(width: int, percent: int):
                         [own.take(pa.array(sets)), pa.array(sizes[sets]), pa.array(names[sets]), pa.array(np.zeros(n, bool)), pa.array(np.full(n, band, np.int32)),
                          pa.array(need.astype(np.int32)), pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.array(sigs.view(np.int64)))],
                         ["doc_id", "n_shingles", "set_id", "first", "band", "need", "sigs"])
+        give_back()
 
     return rows
 
@@ -166,6 +169,8 @@ def _shared(batches):
     group = np.cumsum(first) - 1
     keep = (np.bincount(group)[group] > 1) | (sig == sig[0]) | (sig == sig[-1])
     yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(sets[keep]), pa.array(((keys[keep] >> _BAND) & 63).astype(np.int32))], ["sig", "set_id", "band"])
+    del table, keys, sets, sig, order, new, first, group, keep
+    give_back()
 
 
 def _shared_signatures(sets: DataFrame) -> DataFrame:
@@ -452,6 +457,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
                 raw = [values[s:e].tobytes() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
                 out = pa.RecordBatch.from_arrays([batch.column(2).slice(a, b - a), ids.slice(a, b - a), pa.array(raw, pa.binary())], ["root", "set_id", "codes"])
                 yield out.filter(pa.array(same))
+        give_back()
 
     # Spark's runtime filter (a Bloom filter of 8 MB at most) leaves out most texts before the shuffle; the
     # condition, which always holds, lets it apply

@@ -19,6 +19,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from corpusflow.llm.arrays import Texts, flat, in_slices, struct
+from corpusflow.llm.workers import begin
 
 #: Documents per language that the trees learn from, the first by the hash of their id.
 SAMPLE = 2_000
@@ -231,6 +232,7 @@ def language_of(text: Column, model: Model, spark) -> Column:
 
     @F.arrow_udf(SCHEMA)
     def predict(column: pa.Array) -> pa.Array:
+        begin("language")
         return in_slices(column, lambda part: _predict(part, sent.value), 1_000_000)
 
     return predict(text)
