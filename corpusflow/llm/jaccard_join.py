@@ -30,6 +30,8 @@ REGION_BYTES = 8_000_000
 PIVOTS = 8
 #: Ids of dropped documents that are sent to every task.
 BROADCAST_IDS = 1_000_000
+#: Rows of windows that a worker hands over at a time.
+HANDED_OVER = 128
 #: Sets that are compared pair by pair.
 LEAF = 12
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -354,7 +356,9 @@ def _to_regions(percent: int):
                     for column, value in zip(out, (1, f"{name}/{k}", own, pivots[k][0], linked[k], raw), strict=True):
                         out[column].append(value)
         kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-        return pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
+        table = pa.table({c: pa.array(v, k) for (c, v), k in zip(out.items(), kinds, strict=True)})
+        # handed over piece by piece, so that Spark does not hold a part's windows at once
+        return pa.Table.from_batches(table.to_batches(max_chunksize=HANDED_OVER), table.schema)
 
     return work
 
@@ -369,7 +373,7 @@ def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -
         order = W.partitionBy("region").orderBy(F.xxhash64("set_id", F.lit(rounds)), "set_id")
         chosen = materialized(members.select("region", "set_id", "codes").withColumn("_nr", F.row_number().over(order)).where(F.col("_nr") <= pivots), "pivots")
         # a region's sets are dealt to parts that fit a task, each of which gets the pivots
-        parts = materialized(members.groupBy("region").agg(F.ceil(4 * F.sum(F.length("codes")) / limit).alias("_parts")), "parts")
+        parts = materialized(members.groupBy("region").agg(F.ceil(16 * F.sum(F.length("codes")) / limit).alias("_parts")), "parts")
         left = members.join(parts, "region").withColumn("part", F.pmod(F.xxhash64("set_id"), F.col("_parts")))
         right = chosen.join(parts, "region").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_parts") - 1)))
         told = materialized(left.select("region", "part", "set_id", "codes").groupBy("region", "part").cogroup(
