@@ -11,6 +11,7 @@ one task is split into regions as a Spark job, one that fits is worked through i
 """
 from __future__ import annotations
 
+import gc
 from contextlib import contextmanager
 
 import numpy as np
@@ -187,8 +188,19 @@ def _shared_signatures(sets: DataFrame) -> DataFrame:
     return materialized(rows.repartitionByRange(parts, "key", "set_id").mapInArrow(_shared, "sig long, set_id long, band int"), "shared")
 
 
+def _forget(spark, *tables: DataFrame) -> None:
+    """Remove scratch tables that nothing will read any more, and let Spark remove the shuffle files of jobs whose
+    results are written, which it does when the driver's garbage is collected."""
+    for table in tables:
+        for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
+            drop_scratch(spark, folder)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def _clusters(shared: DataFrame, needs: DataFrame) -> DataFrame:
     """(node, root) of the sets that may have a link; linked ones have the same root. ``needs``: (set_id, band, need)."""
+    spark, before = shared.sparkSession, shared
     for _ in range(2):
         # sets that share enough with others; then, without the rest, again
         enough = (shared.groupBy("set_id", "band").agg(F.count("*").alias("_n")).join(needs, ["set_id", "band"])
@@ -196,6 +208,9 @@ def _clusters(shared: DataFrame, needs: DataFrame) -> DataFrame:
         shared = shared.join(enough, ["set_id", "band"], "left_semi")
         several = shared.groupBy("sig").agg(F.min("set_id").alias("head"), F.max("set_id").alias("_last")).where("head <> _last").select("sig", "head")
         shared = materialized(shared.join(several, "sig").select("sig", "set_id", "band", "head"), "shared")
+        del enough, several
+        _forget(spark, before)
+        before = shared
         heads = shared.groupBy("set_id").agg(F.min("head").alias("label"))
         shared = shared.drop("head")
     # a label passes from a set over all its signatures: copies of one text share one with their least set and agree at
@@ -204,6 +219,8 @@ def _clusters(shared: DataFrame, needs: DataFrame) -> DataFrame:
     told = shared.select("sig", "set_id").join(labels, "set_id")
     apart = materialized(told.groupBy("sig").agg(F.min("label").alias("b"), F.max("label").alias("_last")).where("b <> _last").select("sig", "b"), "apart")
     joined = components(told.join(apart, "sig").select(F.col("label").alias("a"), "b"))
+    del told, apart, shared
+    _forget(spark, before)
     return (labels.join(joined, F.col("label") == F.col("node"), "left").select(F.col("set_id").alias("node"), F.coalesce("root", "label").alias("root")))
 
 
@@ -366,7 +383,7 @@ def _to_regions(percent: int):
 def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -> DataFrame:
     """Links of clusters that exceed a task: members (region, set_id, linked, codes)."""
     spark = members.sparkSession
-    links = []
+    links: list[DataFrame] = []
     rounds = 0
     while not members.isEmpty():
         rounds += 1
@@ -379,7 +396,7 @@ def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -
         told = materialized(left.select("region", "part", "set_id", "codes").groupBy("region", "part").cogroup(
             right.select("region", "part", "set_id", "codes").groupBy("region", "part")).applyInArrow(
             _to_regions(percent), "kind int, region string, set_id long, other long, linked boolean, codes binary"), "regions")
-        links.append(told.where("kind = 0").select(F.col("set_id").alias("a"), F.col("other").alias("b")))
+        found = told.where("kind = 0").select(F.col("set_id").alias("a"), F.col("other").alias("b"))
         parts = told.where("kind = 1").select("region", "set_id", "linked", "codes")
         before = members.groupBy("region").agg(F.count("*").alias("parent_rows"))
         sizes = materialized(parts.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.length("codes")).alias("bytes"),
@@ -388,8 +405,8 @@ def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -
                              .withColumn("parent", F.substring_index("region", "/", rounds))
                              .join(before.withColumnRenamed("region", "parent"), "parent"), "sizes")
         fits = sizes.where(F.col("bytes") <= limit).select("region")
-        links.append(parts.join(fits, "region").withColumn("bucket", F.col("region")).groupBy("bucket")
-                     .applyInArrow(_join_groups(percent, "region"), "a long, b long"))
+        found = found.unionByName(parts.join(fits, "region").withColumn("bucket", F.col("region")).groupBy("bucket")
+                                  .applyInArrow(_join_groups(percent, "region"), "a long, b long"))
         # no smaller than before: all sets in chunks, every two chunks together unless all of both are linked to the pivot
         stuck = sizes.where((F.col("bytes") > limit) & (F.col("rows") > 0.5 * F.col("parent_rows"))).withColumn(
             "u", F.ceil(2 * (F.col("bytes") - F.col("linked_bytes")) / limit)).withColumn("l", F.ceil(2 * F.col("linked_bytes") / limit))
@@ -399,10 +416,15 @@ def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -
                  .withColumn("other", F.explode(F.when(F.col("linked"), F.sequence(F.lit(0).cast("long"), F.col("u") - 1))
                                                 .otherwise(F.sequence(F.lit(0).cast("long"), F.col("u") + F.col("l") - 1))))
                  .withColumn("bucket", F.concat_ws(":", "region", F.least("own", "other"), F.greatest("own", "other"))))
-        links.append(dealt.select(F.col("bucket").alias("region"), "bucket", "set_id", "linked", "codes").groupBy("bucket")
-                     .applyInArrow(_join_groups(percent, "region"), "a long, b long"))
+        found = found.unionByName(dealt.select(F.col("bucket").alias("region"), "bucket", "set_id", "linked", "codes").groupBy("bucket")
+                                  .applyInArrow(_join_groups(percent, "region"), "a long, b long"))
+        links.append(materialized(found, "links"))
         again = sizes.where((F.col("bytes") > limit) & (F.col("rows") <= 0.5 * F.col("parent_rows"))).select("region")
-        members = materialized(parts.join(again, "region").select("region", "set_id", "linked", "codes"), "members")
+        after = materialized(parts.join(again, "region").select("region", "set_id", "linked", "codes"), "members")
+        done = [told, chosen, *([members] if rounds > 1 else [])]  # the first members are the caller's
+        members = after
+        del left, right, parts, found, dealt, told, chosen, sizes, fits, stuck, again, before, after
+        _forget(spark, *done)
     out = spark.createDataFrame([], "a long, b long")
     for part in links:
         out = out.unionByName(part)
@@ -441,7 +463,9 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     signed = stored.where("not first and doc_id is not null")
     shared = _shared_signatures(signed)
     needs = materialized(signed.groupBy("set_id", "band").agg(F.max("need").alias("need")), "needs")
+    del signed
     drop_scratch(spark, f"{path}/first=false")  # most signatures are of no more use; the shared ones are a table
+    _forget(spark)
     clusters = _clusters(shared, needs)
     sets = stored.where("first").select("doc_id", "n_shingles", "set_id")
 
