@@ -26,7 +26,7 @@ SHARDS = 24
 #: Bytes that a row weighs besides its text.
 ROW_BYTES = 8
 #: Boundaries that one round fetches, and parts of the digests in which running sums are formed.
-MARKS, PARTS = 32_768, 4_096
+MARKS, PARTS = 8_192, 4_096
 
 
 @dataclass
@@ -126,7 +126,7 @@ def minimax_cuts(marks: Boundaries, largest: int, shards: int, fetch: Fetch) ->
         low, high = _smallest(marks, least, shards, False), _smallest(marks, least, shards, True)
         if low == high:
             break
-        tried = {low + (high - low) * i // 7 for i in range(8)}
+        tried = {low, (low + high) // 2, high}
         marks = marks.add(fetch(_gaps(marks, [at + c for c in tried for surely in (False, True) for at in [0, *_fill(marks, c, shards, surely)]])))
     while True:  # the latest starts that still let the rest fit
         best, worst = _fill_back(marks, low, shards, False), _fill_back(marks, low, shards, True)
@@ -207,14 +207,15 @@ def plan_shards(rows: DataFrame, shards: int = SHARDS) -> ShardPlan:
         """The last boundary of each slice of the gaps, ``MARKS`` at most in all. A slice of one byte holds
         one boundary, so gaps shrink until all that matters is known."""
         each = max(1, MARKS // len(gaps))
-        nr, inside = F.lit(None).cast("bigint"), F.lit(None).cast("int")
+        end, inside = F.col("end"), None
         for i, (a, b) in enumerate(gaps):
-            here = (F.col("end") > a) & (F.col("end") <= b)
-            nr = F.when(here, F.floor((F.col("end") - a - 1) / (-(-(b - a) // each)))).otherwise(nr)
-            inside = F.when(here, i).otherwise(inside)
+            here = (end > a) & (end <= b)
+            inside = F.when(here, i) if inside is None else inside.when(here, i)
+        start, width = (F.array(*[F.lit(x).cast("bigint") for x in column])[F.col("i")] for column in zip(*((a, -(-(b - a) // each)) for a, b in gaps), strict=True))
         touched = F.col("part").between(names[bisect_right(ends, min(gaps)[0])], names[bisect_left(ends, max(b for _, b in gaps))])
-        return (summed.where(touched).select("*", inside.alias("i"), nr.alias("nr")).where("i IS NOT NULL")
-                .groupBy("i", "nr").agg(F.max("end").alias("end"), F.max_by("weight", "end").alias("weight"), F.max_by("key", "end").alias("key")).collect())
+        return (summed.where(touched).select("*", inside.alias("i")).where("i IS NOT NULL").groupBy("i", F.floor((end - start - 1) / width).alias("nr"))
+                .agg(F.max("end").alias("end"), F.max_by("weight", "end").alias("weight"), F.max_by("key", "end").alias("key"))
+                .select("end", "weight", "key").collect())
 
     none = Boundaries(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object))
     marks = none.add(fetch([(0, ends[-1])]))
