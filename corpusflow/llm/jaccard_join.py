@@ -396,7 +396,7 @@ def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -
         told = materialized(left.select("region", "part", "set_id", "codes").groupBy("region", "part").cogroup(
             right.select("region", "part", "set_id", "codes").groupBy("region", "part")).applyInArrow(
             _to_regions(percent), "kind int, region string, set_id long, other long, linked boolean, codes binary"), "regions")
-        found = told.where("kind = 0").select(F.col("set_id").alias("a"), F.col("other").alias("b"))
+        links.append(materialized(told.where("kind = 0").select(F.col("set_id").alias("a"), F.col("other").alias("b")), "links"))
         parts = told.where("kind = 1").select("region", "set_id", "linked", "codes")
         before = members.groupBy("region").agg(F.count("*").alias("parent_rows"))
         sizes = materialized(parts.groupBy("region").agg(F.count("*").alias("rows"), F.sum(F.length("codes")).alias("bytes"),
@@ -405,8 +405,9 @@ def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -
                              .withColumn("parent", F.substring_index("region", "/", rounds))
                              .join(before.withColumnRenamed("region", "parent"), "parent"), "sizes")
         fits = sizes.where(F.col("bytes") <= limit).select("region")
-        found = found.unionByName(parts.join(fits, "region").withColumn("bucket", F.col("region")).groupBy("bucket")
-                                  .applyInArrow(_join_groups(percent, "region"), "a long, b long"))
+        links.append(materialized(parts.join(fits, "region").withColumn("bucket", F.col("region")).groupBy("bucket")
+                                  .applyInArrow(_join_groups(percent, "region"), "a long, b long"), "links"))
+        _forget(spark)  # one shuffle of sets at a time
         # no smaller than before: all sets in chunks, every two chunks together unless all of both are linked to the pivot
         stuck = sizes.where((F.col("bytes") > limit) & (F.col("rows") > 0.5 * F.col("parent_rows"))).withColumn(
             "u", F.ceil(2 * (F.col("bytes") - F.col("linked_bytes")) / limit)).withColumn("l", F.ceil(2 * F.col("linked_bytes") / limit))
@@ -416,14 +417,13 @@ def _links_of_large(members: DataFrame, percent: int, limit: int, pivots: int) -
                  .withColumn("other", F.explode(F.when(F.col("linked"), F.sequence(F.lit(0).cast("long"), F.col("u") - 1))
                                                 .otherwise(F.sequence(F.lit(0).cast("long"), F.col("u") + F.col("l") - 1))))
                  .withColumn("bucket", F.concat_ws(":", "region", F.least("own", "other"), F.greatest("own", "other"))))
-        found = found.unionByName(dealt.select(F.col("bucket").alias("region"), "bucket", "set_id", "linked", "codes").groupBy("bucket")
-                                  .applyInArrow(_join_groups(percent, "region"), "a long, b long"))
-        links.append(materialized(found, "links"))
+        links.append(materialized(dealt.select(F.col("bucket").alias("region"), "bucket", "set_id", "linked", "codes").groupBy("bucket")
+                                  .applyInArrow(_join_groups(percent, "region"), "a long, b long"), "links"))
         again = sizes.where((F.col("bytes") > limit) & (F.col("rows") <= 0.5 * F.col("parent_rows"))).select("region")
         after = materialized(parts.join(again, "region").select("region", "set_id", "linked", "codes"), "members")
         done = [told, chosen, *([members] if rounds > 1 else [])]  # the first members are the caller's
         members = after
-        del left, right, parts, found, dealt, told, chosen, sizes, fits, stuck, again, before, after
+        del left, right, parts, dealt, told, chosen, sizes, fits, stuck, again, before, after
         _forget(spark, *done)
     out = spark.createDataFrame([], "a long, b long")
     for part in links:
