@@ -12,11 +12,15 @@ from corpusflow.session import read_or_empty, scratch_path
 
 
 def read_table_stream(spark: SparkSession, folder: str, file_name: str, files_per_batch: int = 1_000) -> DataFrame:
-    """New Parquet files of one name pattern in a folder as a stream."""
-    pattern = spark.read.option("pathGlobFilter", file_name)
-    schema = pattern.parquet(folder).schema
-    return (spark.readStream.schema(schema).option("pathGlobFilter", file_name)
-            .option("maxFilesPerTrigger", files_per_batch).parquet(folder))
+    """New Parquet files of one name pattern in a folder as a stream; a folder of that very name is a table and all its files count."""
+    table = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{folder}/{file_name}")
+    files = {"maxFilesPerTrigger": files_per_batch}
+    if table.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).isDirectory(table):
+        folder = f"{folder}/{file_name}"
+    else:
+        files["pathGlobFilter"] = file_name
+    schema = spark.read.options(**files).parquet(folder).schema
+    return spark.readStream.schema(schema).options(**files).parquet(folder)
 
 
 def track_new(stream: DataFrame, id_cols: list[str], *, delay: str | None = None) -> DataFrame:

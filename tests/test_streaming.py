@@ -161,3 +161,13 @@ def test_complete_blocks_leave_the_state(spark, tight, tmp_path):
     run()
     again = spark.read.parquet(out).where("batch = 1")
     assert first == 5 and {r._block for r in again.collect()} <= {3, 4}  # only blocks with lines still to come speak again
+
+
+def test_a_table_of_several_files_is_a_stream(spark, tmp_path):
+    """A table is a folder named like the file it is elsewhere, beside other tables."""
+    spark.createDataFrame([(i, f"text {i}", "a") for i in range(6)], "doc_id long, text string, source string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(7, "other", "b")], "doc_id long, text string, source string").write.parquet(str(tmp_path / "others.parquet"))
+    stream = po.read_table_stream(spark, str(tmp_path), "documents.parquet", files_per_batch=1)
+    path = scratch_path(spark, "ix")
+    po.stream_index(stream, path, document_chunks, scratch_path(spark, "state")).awaitTermination()
+    assert sorted(r.page_content for r in ix.read_index(spark, path).collect()) == [f"text {i}" for i in range(6)]
