@@ -188,3 +188,47 @@ def test_cells_are_stored_once(spark, vectors):
             got.setdefault(r.qid, []).append(r.id)
         assert got == {q: v for q, v in brute(x, k).items() if q % k == 0}
     assert se.store_cells(df.where("false"), "id", "v") is None
+
+
+def test_a_row_travels_once_per_pack_not_once_per_cell(spark, monkeypatch):
+    """Vectors without clusters, where no cell is ruled out: the 64 cells fit one pack."""
+    x = np.random.default_rng(8).normal(size=(700, 16)).astype("float32")
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vec array<float>")
+    pairs = []
+    met = se._met
+    monkeypatch.setattr(se, "_met", lambda *args: pairs.append(args[2].count()) or met(*args))
+    hits = se.search(df, df.withColumnRenamed("id", "qid"), 5, id_col="id", vec_col="vec", qvec_col="vec", broadcast_queries=0)
+    got = {}
+    for r in hits.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.id)
+    assert got == brute(x.astype("float64"), 5)
+    assert pairs[0] == 64 and pairs[1] == 1  # 64 * 63 before
+
+
+def test_hits_are_sorted_in_seldom(monkeypatch):
+    x = np.random.default_rng(9).normal(size=(2_000, 8))
+    sorts = []
+    lexsort = np.lexsort
+    monkeypatch.setattr(se, "_CELL", 400 * 20)
+    monkeypatch.setattr(se.np, "lexsort", lambda keys: sorts.append(1) or lexsort(keys))
+    best = se._Best(5)
+    best.add(x[:400], x, np.arange(2_000))
+    assert best.q is not None and len(sorts) < 25  # one per 20 vectors before
+    monkeypatch.undo()
+    got = {}
+    for q, i in zip(best.q, best.ids):
+        got.setdefault(int(q), []).append(int(i))
+    assert got == {q: v for q, v in brute(x, 5).items() if q < 400}
+
+
+@pytest.mark.parametrize("shift, scale", [(0, 1), (30, 0.01), (0, 1e-9), (0, 1e18), (5, 1e-4)])
+def test_single_precision_loses_no_hit(shift, scale):
+    rng = np.random.default_rng(10)
+    x = shift + scale * rng.normal(size=(900, 12))
+    d = se._distances(x[:50], x)
+    best = se._Best(6, np.sort(d, 1)[:, 40].copy())
+    best.add(x[:50], x, np.arange(900))
+    assert np.allclose(best.d, np.sort(d, 1)[:, :6].ravel(), rtol=1e-9, atol=1e-9)
+    edge = float(np.median(d))
+    found = sum(len(rows) for rows, _, _ in se._near(x[:50], x, np.full(50, edge)))
+    assert found >= (d <= edge).sum()
