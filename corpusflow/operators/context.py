@@ -40,10 +40,13 @@ def format_context(docs: DataFrame, keys: Sequence[str], order: Sequence[str], t
 
 def citations(docs: DataFrame, keys: Sequence[str], order: Sequence[str], text: str = "page_content",
               meta: str = "metadata") -> DataFrame:
-    """One row per cited document: ``(keys, id, source, content)``; ``id`` as in the context."""
-    numbered = number_rows(docs.select(*keys, *order, text, meta), keys, order, "id")
-    return numbered.select(*keys, "id", citation_source(F.col(meta)).alias("source"),
-                           snippet(F.col(text), F.col(meta)["title"]).alias("content"))
+    """One row per cited document: ``(keys, id, source, content)``; ``id`` as in the context.
+
+    Sources and snippets are cut out first, so that whole texts are not sorted along.
+    """
+    cut = docs.select(*keys, *order, citation_source(F.col(meta)).alias("_source"), snippet(F.col(text), F.col(meta)["title"]).alias("_content"))
+    numbered = number_rows(cut, keys, order, "id")
+    return numbered.select(*keys, "id", F.col("_source").alias("source"), F.col("_content").alias("content"))
 
 
 def citation_arrays(cited: DataFrame, keys: Sequence[str], top_n: int = TOP_K) -> DataFrame:

@@ -54,3 +54,13 @@ def test_passages_that_occur_verbatim_are_found(spark):
     found = sum(len(words[i] & set(contexts[i].lower().split())) >= 0.9 * len(words[i]) for i in known)
     assert not known or found >= 0.5 * len(known)
     assert spark.range(1).select(F.size(tokens(F.lit(" A\tb\n")))).first()[0] == 2
+
+
+def test_citations_do_not_sort_texts(spark):
+    docs = spark.createDataFrame([("a", 1, "One. Two.", {"source": "s"}), ("a", 0, "  Three", {"source": "t", "title": "T"})],
+                                 "k string, pos int, page_content string, metadata map<string,string>")
+    cited = cx.citations(docs, ["k"], ["pos"])
+    assert [tuple(r) for r in cited.orderBy("id").collect()] == [("a", 0, "t", "T"), ("a", 1, "s", "One ...")]
+    steps = plan(cited).split("\n\n")
+    moved = [s for s in steps if any(f") {x}" in s for x in ("Exchange", "Sort", "Window"))]
+    assert moved and not any("page_content#" in s for s in moved)
