@@ -6,13 +6,16 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from corpusflow.functions.slices import slices
 from corpusflow.session import materialized
 
 _HEADINGS = {f"h{i}": i for i in range(1, 7)}
 _BLOCKS = {"p", "div", "article", "section", "main", "header", "footer", "nav", "aside", "ul", "ol", "li", "table", "tr",
            "blockquote", "pre", "figure", "form", "dl", "dt", "dd", "body", "title", "hr", *_HEADINGS}
+_READ = pa.schema([("source", pa.string()), ("ord", pa.int32()), ("page_content", pa.string()), ("category", pa.string()), ("error", pa.string())])
 _HIDDEN = {"script", "style", "head", "noscript", "template"}
 
 
@@ -129,24 +132,25 @@ def markup_to_text(df: DataFrame, col: str, out: str = "text") -> DataFrame:
 
 def _read_pages(pages: DataFrame, mode: str, url_col: str, html_col: str) -> DataFrame:
     """``(source, ord, page_content, category, error)``: the elements of pages, or why there are none."""
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
-            for url, html in zip(batch[url_col], batch[html_col]):
-                try:
-                    if html is None:
-                        raise LookupError("no page is stored")
-                    found = _elements(html)
-                except Exception as error:  # a broken page must not stop the others
-                    rows.append((url, 0, None, None, f"{type(error).__name__}: {error}"))
-                    continue
-                if mode == "single":
-                    rows.append((url, 0, "\n\n".join(t for _, t in found), None, None))
-                else:
-                    rows.extend((url, i, t, c, None) for i, (c, t) in enumerate(found))
-            yield pd.DataFrame(rows, columns=["source", "ord", "page_content", "category", "error"])
-
-    return pages.select(url_col, html_col).mapInPandas(read, "source string, ord int, page_content string, category string, error string")
+            for first, n in slices(batch.column(1)):
+                rows = []
+                for url, html in zip(*(batch.column(i).slice(first, n).to_pylist() for i in (0, 1))):
+                    try:
+                        if html is None:
+                            raise LookupError("no page is stored")
+                        found = _elements(html)
+                    except Exception as error:  # a broken page must not stop the others
+                        rows.append((url, 0, None, None, f"{type(error).__name__}: {error}"))
+                        continue
+                    if mode == "single":
+                        rows.append((url, 0, "\n\n".join(t for _, t in found), None, None))
+                    else:
+                        rows.extend((url, i, t, c, None) for i, (c, t) in enumerate(found))
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 5, _READ)], schema=_READ)
+
+    return pages.select(url_col, html_col).mapInArrow(read, "source string, ord int, page_content string, category string, error string")
 
 
 def _documents(parsed: DataFrame, mode: str) -> DataFrame:

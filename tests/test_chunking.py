@@ -1,12 +1,13 @@
 """Chunking against the written rules, worked out the slow way."""
 import random
 
+import pyarrow as pa
 from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from conftest import plan_text
 from corpusflow.functions.sql import register
-from corpusflow.operators.chunking import SEPARATORS, chunk_fixed, chunk_recursive, split_text
+from corpusflow.operators.chunking import SEPARATORS, chunk_fixed, chunk_recursive, split_column, split_text
 
 
 def slow_split(text, size, overlap, separators=SEPARATORS):
@@ -104,3 +105,27 @@ def test_chunk_fixed(spark):
     # all text is covered
     back = chunk_fixed(df).groupBy("doc_id").agg(F.sum(F.when(F.col("ord") == 0, F.length("chunk")).otherwise(F.length("chunk") - 300)).alias("n"))
     assert {r.doc_id: r.n for r in back.collect()} == {i: len(t) for i, t in enumerate(texts) if t}
+
+
+def test_columns_are_cut_in_slices_of_bounded_size(monkeypatch):
+    """A worker holds the objects of one slice, whatever the size of the batch."""
+    from corpusflow.functions import slices as sl
+    monkeypatch.setattr(sl, "SLICE_BYTES", 50)
+    texts = pa.array(["a b " * 40, None, "", "x\ny " * 30, "q"] * 3)
+    seen = []
+    out = sl.in_slices(texts, lambda part, first: seen.append((first, len(part))) or part, pa.string())
+    assert out.equals(texts) and len(seen) > 3 and [first for first, _ in seen] == [sum(n for _, n in seen[:i]) for i in range(len(seen))]
+    sizes = list(range(20, 35))
+    want = [list(split_text(t or "", s, 5)) for t, s in zip(texts.to_pylist(), sizes)]
+    assert split_column(texts, sizes, [5] * 15).to_pylist() == want
+    assert split_column(texts.slice(2, 5), sizes[2:7], [5] * 5).to_pylist() == want[2:7]
+    assert split_column(texts.slice(0, 0)).to_pylist() == []
+
+
+def test_vectors_do_not_depend_on_slices(spark):
+    from corpusflow.functions.slices import SLICE_BYTES
+    from corpusflow.functions.vectors import embed
+    texts = ["a b", "a b " * (SLICE_BYTES // 4 + 10), None, "b c", "c"]
+    rows = embed(spark.createDataFrame(list(enumerate(texts)), "id int, t string").coalesce(1), "t").orderBy("id").collect()
+    alone = [embed(spark.createDataFrame([(t,)], "t string"), "t").first().embedding for t in ("a b", None, "b c", "c")]
+    assert [r.embedding for r in rows] == [alone[0], alone[0], *alone[1:]]
