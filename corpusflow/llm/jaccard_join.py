@@ -7,7 +7,8 @@ agree on m - d whole classes. A set that shares fewer classes with any others ha
 out; the rest that agree on a class are put into one cluster. Inside a cluster distances are informative. There pivots are chosen, every set goes to the region of its nearest pivot and
 into those windows where d(x, pivot) <= d(x, nearest) + 2r, which by the triangle inequality brings
 every linked pair together in a region; regions are joined in the same way again. A cluster too large for
-one task is split into regions as a Spark job, one that fits is worked through in its task.
+one task is parted once more, by its rarest shingles; what still is too large is split into regions as a Spark
+job, what fits is worked through in its task.
 """
 from __future__ import annotations
 
@@ -206,24 +207,119 @@ def _clusters(shared: DataFrame, needs: DataFrame) -> DataFrame:
         enough = (shared.groupBy("set_id", "band").agg(F.count("*").alias("_n")).join(needs, ["set_id", "band"])
                   .where("_n >= need").select("set_id", "band"))
         shared = shared.join(enough, ["set_id", "band"], "left_semi")
-        several = shared.groupBy("sig").agg(F.min("set_id").alias("head"), F.max("set_id").alias("_last")).where("head <> _last").select("sig", "head")
-        shared = materialized(shared.join(several, "sig").select("sig", "set_id", "band", "head"), "shared")
-        del enough, several
+        shared = materialized(_with_heads(shared), "shared")
+        del enough
         _forget(spark, before)
         before = shared
-        heads = shared.groupBy("set_id").agg(F.min("head").alias("label"))
-        shared = shared.drop("head")
+        headed, shared = shared, shared.drop("head")
+    return _rooted(headed)
+
+
+def _with_heads(shared: DataFrame) -> DataFrame:
+    """Rows whose ``sig`` several sets have, with the least of them as ``head``."""
+    several = shared.groupBy("sig").agg(F.min("set_id").alias("head"), F.max("set_id").alias("_last")).where("head <> _last").select("sig", "head")
+    return shared.join(several, "sig")
+
+
+def _rooted(shared: DataFrame) -> DataFrame:
+    """(node, root) of the sets in a scratch table (sig, set_id, head), which is removed: sets with a common ``sig`` have the same root."""
     # a label passes from a set over all its signatures: copies of one text share one with their least set and agree at
     # once, so edges are left only between labels that meet in some signature, not between sets and heads
-    labels = materialized(heads, "labels")
+    labels = materialized(shared.groupBy("set_id").agg(F.min("head").alias("label")), "labels")
     told = shared.select("sig", "set_id").join(labels, "set_id")
     apart = materialized(told.groupBy("sig").agg(F.min("label").alias("b"), F.max("label").alias("_last")).where("b <> _last").select("sig", "b"), "apart")
     joined = components(told.join(apart, "sig").select(F.col("label").alias("a"), "b"))
-    del told, apart, shared
-    _forget(spark, before)
+    del told, apart
+    _forget(shared.sparkSession, shared)
     return (labels.join(joined, F.col("label") == F.col("node"), "left").select(F.col("set_id").alias("node"), F.coalesce("root", "label").alias("root")))
 
 
+#: How often a shingle counts that the edge of a partition may cut.
+_CUT = 2**31 - 1
+
+
+def _occurrences(batches):
+    """(key, set_id) of each shingle of each set; a cluster has keys of its own."""
+    for batch in batches:
+        roots, ids, codes = (batch.column(i) for i in range(3))
+        n = np.array([len(c) // 8 for c in codes.to_pylist()], np.int64)
+        keys = np.frombuffer(b"".join(codes.to_pylist()), np.uint64) ^ np.repeat(mix(np.asarray(roots).view(np.uint64)), n)
+        yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.repeat(np.asarray(ids), n))], ["key", "set_id"])
+    give_back()
+
+
+def _counted(batches):
+    """(set_id, key, n) of the shingles that n > 1 sets have, from a partition that holds equal ones side by side.
+
+    What the partition's edges may cut counts as ``_CUT`` wherever it stands, so each shingle has one count.
+    """
+    batches = [b for b in batches if b.num_rows]
+    if not batches:
+        return
+    table = pa.Table.from_batches(batches)
+    keys, sets = (np.asarray(table.column(i).combine_chunks()) for i in range(2))
+    order = np.lexsort((sets, keys))
+    keys, sets = keys[order], sets[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])  # rows that repeat are one set
+    keys, sets = keys[new], sets[new]
+    first = np.ones(len(keys), bool)
+    first[1:] = keys[1:] != keys[:-1]
+    group = np.cumsum(first) - 1
+    n = np.bincount(group)[group]
+    n[(keys == keys[0]) | (keys == keys[-1])] = _CUT
+    keep = n > 1
+    yield pa.RecordBatch.from_arrays([pa.array(sets[keep]), pa.array(keys[keep]), pa.array(n[keep].astype(np.int32))], ["set_id", "key", "n"])
+    del table, keys, sets, order, new, first, group, n, keep
+    give_back()
+
+
+def _rarest(percent: int):
+    """(sig, set_id) of the shingles in one of which a set meets each that it is linked to: the rarest, as many as two linked
+    sets may differ in and one more. From whole sets' rows (set_id, key, n) and one of each set with its size as -n;
+    shingles that no other set has are the rarest and only counted."""
+    def rows(batches):
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
+            return
+        table = pa.Table.from_batches(batches)
+        sets, keys, n = (np.asarray(table.column(i).combine_chunks()) for i in range(3))
+        order = np.lexsort((keys, n, sets))
+        sets, keys, n = sets[order], keys[order], n[order].astype(np.int64)
+        first = np.ones(len(sets), bool)
+        first[1:] = sets[1:] != sets[:-1]
+        group, starts = np.cumsum(first) - 1, np.flatnonzero(first)
+        size, marks, length = -n[starts], np.bincount(group[n < 0], minlength=len(starts)), np.bincount(group)
+        alone = size - (length - marks)
+        most = size - -(-size * percent // 100) + 1 - alone
+        place = np.arange(len(sets)) - starts[group] - marks[group]
+        keep = (place >= 0) & (place < most[group])
+        yield pa.RecordBatch.from_arrays([pa.array(keys[keep]), pa.array(sets[keep])], ["sig", "set_id"])
+        del table, sets, keys, n, order, first, group, place, keep
+        give_back()
+
+    return rows
+
+
+def _parted(members: DataFrame, percent: int) -> DataFrame:
+    """(node, root) of the sets of ``members`` (root, set_id, codes) that may have a link, by their rarest shingles: linked ones have the same root.
+
+    Signatures chain sets that share a class with this one and another with that one; few sets share a rare shingle.
+    """
+    spark = members.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    # ranges of (key, set) also split a shingle that very many sets have
+    counted = materialized(members.select("root", "set_id", "codes").mapInArrow(_occurrences, "key long, set_id long").repartitionByRange(parts, "key", "set_id")
+                           .mapInArrow(_counted, "set_id long, key long, n int"), "counted")
+    _forget(spark)
+    sizes = members.select("set_id", F.lit(0).cast("long").alias("key"), (-F.length("codes") / 8).cast("int").alias("n"))
+    rare = materialized(counted.unionByName(sizes).repartition(parts, "set_id").mapInArrow(_rarest(percent), "sig long, set_id long"), "rare")
+    _forget(spark, counted)
+    headed = materialized(_with_heads(rare), "shared")
+    _forget(spark, rare)
+    return _rooted(headed)
+
+
 class Region:
     """Sets of one cluster in a task, with what is known to be linked."""
 
@@ -492,14 +588,21 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     members = (docs.select("doc_id", "text").join(asked.where("n > 0"), "doc_id").select("set_id", "text", "root")
                .mapInArrow(codes, "root long, set_id long, codes binary").withColumn("linked", F.lit(False)))
     large = weights.where(F.col("bytes") > region_bytes).select("root")
-    if large.isEmpty():
-        small, links = members, None
-    else:
+    links = None
+    if not large.isEmpty():
         with _runtime_filter(spark):
             members = materialized(members, "members")
-        small = members.join(large, "root", "left_anti")
-        links = _links_of_large(members.join(large, "root", "left_semi").select(F.col("root").cast("string").alias("region"), "set_id", "linked", "codes"),
-                                percent, region_bytes, pivots)
+        parted = materialized(_parted(members.join(large, "root", "left_semi"), percent), "parted")
+        before, members = members, materialized(
+            members.join(large.withColumn("_large", F.lit(True)), "root", "left").join(parted.select(F.col("node").alias("set_id"), F.col("root").alias("_part")), "set_id", "left")
+            .where("_large is null or _part is not null")  # else without a link
+            .select(F.coalesce("_part", "root").alias("root"), "set_id", "codes", "linked"), "members")
+        _forget(spark, before)
+        large = materialized(members.groupBy("root").agg(F.sum(F.length("codes")).alias("bytes")).where(F.col("bytes") > region_bytes).select("root"), "large")
+        if not large.isEmpty():
+            links = _links_of_large(members.join(large, "root", "left_semi").select(F.col("root").cast("string").alias("region"), "set_id", "linked", "codes"),
+                                    percent, region_bytes, pivots)
+    small = members if links is None else members.join(large, "root", "left_anti")
     buckets = max(parts, -(-2 * total // region_bytes))
     joined = (small.withColumn("bucket", F.pmod(F.xxhash64("root"), F.lit(buckets))).groupBy("bucket")
               .applyInArrow(_join_groups(percent, "root"), "a long, b long"))

@@ -79,6 +79,39 @@ def test_jaccard_components(spark, width, percent, limit):
     assert sorted(map(tuple, rows)) == [(i, n, r) for i, (n, r) in enumerate(zip(sizes, roots, strict=True))]
 
 
+def test_jaccard_cluster_of_a_shared_passage_falls_apart(spark, monkeypatch):
+    """Pairs of near copies that only a passage chains are one cluster, which regions do not make smaller: no task gets all, no pair of chunks is written."""
+    rng = random.Random(11)
+    passage = [f"p{i}" for i in range(300)]
+    texts = []
+    for i in range(24):
+        own = [f"v{i}x{j}" for j in range(100)]
+        copy = [*own]
+        copy[rng.randrange(100)] = "other"
+        texts += [" ".join(passage + own), " ".join(passage + copy)]
+    asked, large = [], jaccard_join._links_of_large
+    parted = jaccard_join._parted
+    monkeypatch.setattr(jaccard_join, "_links_of_large", lambda members, *rest: asked.append(members.count()) or large(members, *rest))
+    monkeypatch.setattr(jaccard_join, "_parted", lambda members, *rest: asked.append(-members.count()) or parted(members, *rest))
+    rows = jaccard_join.jaccard_components(documents(spark, texts), 5, 80, region_bytes=20_000).collect()
+    sizes, roots = slow_components(texts, 5, 80)
+    assert sorted(map(tuple, rows)) == [(i, n, r) for i, (n, r) in enumerate(zip(sizes, roots, strict=True))]
+    assert asked == [-48]
+
+
+def test_rarest_shingles_of_linked_sets_meet(spark):
+    """Whatever partitions cut, sets that repeat or lie in other clusters."""
+    sets = [{hash(s) & (2**63 - 1) for s in shingles(t, 3)} for t in TEXTS]
+    rows = [(i % 2, i // 2 + 1, bytearray(np.array(sorted(s), np.uint64).tobytes())) for i, s in enumerate(x for s in sets if 0 < len(s) < 500 for x in (s, s))]
+    rows += rows[:9]
+    for percent in (60, 85):
+        found = {r.node: r.root for r in jaccard_join._parted(spark.createDataFrame(rows, "root long, set_id long, codes binary").where("root = 1"), percent).collect()}
+        of = {i: set(np.frombuffer(c, np.uint64).tolist()) for root, i, c in rows if root}
+        linked = [(i, j) for i, a in of.items() for j, b in of.items() if j < i and 100 * len(a & b) >= percent * len(a | b)]
+        assert linked and all(found[i] == found[j] for i, j in linked)
+        assert len(set(found.values())) > 3
+
+
 def test_jaccard_rows_that_repeat_and_lack_ids(spark):
     text = " ".join(f"a{i}" for i in range(40))
     rows = [(5, text), (5, text), (3, text + " b"), (None, text), (8, None), (8, "other words here now"), (9, "OTHER words here now"), (None, None)]
