@@ -12,7 +12,6 @@ job, what fits is worked through in its task.
 """
 from __future__ import annotations
 
-import gc
 from contextlib import contextmanager
 
 import numpy as np
@@ -24,7 +23,7 @@ from pyspark.sql import functions as F
 from corpusflow.llm.arrays import WORD, Texts, combine, mix, prefixes, slices, span_hashes
 from corpusflow.llm.components import components
 from corpusflow.llm.workers import begin, give_back
-from corpusflow.session import drop_scratch, materialized, scratch_path
+from corpusflow.session import drop_scratch, free_shuffles, materialized, scratch_path
 
 WIDTH, PERCENT = 4, 85
 #: Bytes of shingles one task joins at a time.
@@ -190,13 +189,11 @@ def _shared_signatures(sets: DataFrame) -> DataFrame:
 
 
 def _forget(spark, *tables: DataFrame) -> None:
-    """Remove scratch tables that nothing will read any more, and let Spark remove the shuffle files of jobs whose
-    results are written, which it does when the driver's garbage is collected."""
+    """Remove scratch tables that nothing will read any more, and the shuffle files of jobs whose results are written."""
     for table in tables:
         for folder in {file.rsplit("/", 1)[0] for file in table.inputFiles()}:
             drop_scratch(spark, folder)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    free_shuffles(spark)
 
 
 def _clusters(shared: DataFrame, needs: DataFrame) -> DataFrame:
