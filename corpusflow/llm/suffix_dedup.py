@@ -5,13 +5,14 @@ one shard by content: every string has an anchor, the leftmost ``GRAM``-byte win
 in it, and strings with one anchor in a document are neighbours, a *segment*. Segments whose anchor
 occurs once cannot repeat. Segments that are equal as a whole repeat as a whole. The others, cut from
 their texts, go to the shard of their anchor, where a suffix array (Larsson-Sadakane refinement) and
-common prefixes (Kasai) show which of their strings occur twice. Of an anchor with more segments than a
+common prefixes (Kasai) show which of their strings occur twice, a few anchors at a time. Of an anchor with more segments than a
 shard holds, digests of all strings are shuffled by range instead, and equal ones are found in each range;
 no suffix array is built for it.
 """
 from __future__ import annotations
 
 import hashlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -19,12 +20,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.arrays import SLICE, Texts, combine, flat, prefixes, slices, span_hashes, window_hashes
+from corpusflow.llm.workers import give_back
 from corpusflow.session import materialized
 
 LENGTH = 200
 GRAM = 32
 #: Bytes of segments in one shard.
 SHARD_BYTES = 3_000_000
+#: Bytes of a shard's segments whose suffixes are sorted at a time: a suffix array takes about 90 times as much.
+PIECE_BYTES = 500_000
+#: Bytes of segments whose strings are digested at a time, and strings that one task merges.
+DIGEST_BYTES, MERGED_STRINGS = 200_000, 1_000_000
 #: Different segments of one anchor in one shard.
 ANCHOR_SEGMENTS = 4_000
 
@@ -214,13 +220,36 @@ def repeated_strings(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH
     return marked
 
 
-def _marks(length: int):
-    """Per segment of a shard: the strings (by place) that occur elsewhere in the shard."""
+def _pieces(gram: np.ndarray, offsets: np.ndarray, size: int) -> Iterator[tuple[int, int]]:
+    """Row ranges of whole anchors, of about ``size`` bytes and at least one anchor each; ``gram`` is sorted."""
+    edges = np.concatenate([[0], np.flatnonzero(gram[1:] != gram[:-1]) + 1, [len(gram)]])
+    places, at = offsets[edges], 0
+    while at < len(edges) - 1:
+        end = max(at + 1, int(np.searchsorted(places, places[at] + size, "right")) - 1)
+        yield int(edges[at]), int(edges[end])
+        at = end
+
+
+def _marks(length: int, piece_bytes: int = PIECE_BYTES):
+    """Per segment of a shard: the strings (by place) that occur elsewhere in the shard.
+
+    Equal strings have one anchor, so a shard is worked piece by piece, however large it came out.
+    """
     def work(table: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return pa.table({"gram": table.column("gram"), "seg": table.column("seg"), "places": pa.array([], pa.list_(pa.int32()))})
+        table = table.select(["gram", "seg", "content"]).sort_by("gram").combine_chunks()
         data, offsets = flat(table.column("content").combine_chunks())
-        marked = repeated_strings(data, offsets, length)
-        places = [np.flatnonzero(marked[a:b]).astype(np.int32) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        return pa.table({"gram": table.column("gram"), "seg": table.column("seg"), "places": pa.array(places, pa.list_(pa.int32()))})
+        counts, places = [], []
+        for a, b in _pieces(np.asarray(table.column("gram").combine_chunks()), offsets, piece_bytes):
+            own = offsets[a:b + 1] - offsets[a]
+            found = np.flatnonzero(repeated_strings(data[offsets[a]:offsets[b]], own, length))
+            of = np.searchsorted(own, found, "right") - 1
+            counts.append(np.bincount(of, minlength=b - a))
+            places.append((found - own[of]).astype(np.int32))
+        give_back()
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
+        return pa.table({"gram": table.column("gram"), "seg": table.column("seg"), "places": pa.ListArray.from_arrays(ends, np.concatenate(places))})
 
     return work
 
@@ -229,14 +258,17 @@ def _strings(length: int):
     """Every string of segments as (gram, seg, place, two digests)."""
     def work(batches):
         for batch in batches:
-            rows = []
-            for gram, seg, content in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                for place in range(len(content) - length + 1):
-                    digest = hashlib.blake2b(content[place:place + length], digest_size=16).digest()
-                    rows.append((gram, seg, place, int.from_bytes(digest[:8], "big", signed=True), int.from_bytes(digest[8:], "big", signed=True)))
-            columns = list(zip(*rows, strict=True)) if rows else [()] * 5
-            kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["gram", "seg", "place", "d1", "d2"])
+            for a, b in slices(batch.column(2), DIGEST_BYTES):
+                gram, seg, content = (batch.column(i).slice(a, b - a) for i in range(3))
+                data, offsets = flat(content)
+                counts = np.maximum(np.diff(offsets) - length + 1, 0)
+                row = np.repeat(np.arange(b - a), counts)
+                place = np.arange(len(row)) - np.repeat(np.cumsum(counts) - counts, counts)
+                raw = data.tobytes()
+                digests = b"".join([hashlib.blake2b(raw[p:p + length], digest_size=16).digest() for p in (offsets[row] + place).tolist()])
+                d1, d2 = np.frombuffer(digests, ">i8").reshape(-1, 2).astype(np.int64).T
+                yield pa.RecordBatch.from_arrays([gram.take(pa.array(row)), seg.take(pa.array(row)), pa.array(place.astype(np.int32)), pa.array(d1), pa.array(d2)],
+                                                 ["gram", "seg", "place", "d1", "d2"])
 
     return work
 
@@ -276,7 +308,7 @@ def _segment_marks(sent: DataFrame, length: int, shard_bytes: int, anchor_segmen
         merged = marks
     else:
         strings = materialized(strings, "strings")
-        parts = int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        parts = max(int(sent.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-strings.count() // MERGED_STRINGS))
         found = materialized(strings.repartitionByRange(parts, "d1", "d2", "seg", "place").mapInArrow(
             _merge, "gram long, seg long, place int, d1 long, d2 long, twice boolean"), "merged")
         edges = found.where("not twice").groupBy("d1", "d2").agg(F.count("*").alias("_n"))

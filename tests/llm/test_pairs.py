@@ -3,6 +3,8 @@ import collections
 import hashlib
 import random
 import re
+import struct
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -264,6 +266,43 @@ def test_suffix_array_and_common_prefixes():
             assert suffix_dedup.repeated_strings(data, offsets, length).tolist() == want
 
 
+def test_shards_are_worked_in_pieces(monkeypatch):
+    rnd = random.Random(4)
+    passage = [rnd.randbytes(230) for _ in range(540)]
+    # one anchor of 2,000 segments among many of two, in no order; equal strings have one anchor
+    rows = [(0, i, passage[i % 40]) if i % 3 else (1 + i // 6, i, passage[40 + i // 6]) for i in range(3000)]
+    rows = [(g, i, p + rnd.randbytes(140) if i % 5 else rnd.randbytes(370)) for g, i, p in rows]
+    rnd.shuffle(rows)
+    table = pa.table({"gram": [r[0] for r in rows], "seg": [r[1] for r in rows], "content": pa.array([r[2] for r in rows], pa.binary())})
+    tracemalloc.start()
+    marks = suffix_dedup._marks(200)(table).to_pylist()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 85e6, peak  # the whole shard at once takes about 100 MB
+    times = collections.Counter((g, c[i:i + 200]) for g, _, c in rows for i in range(len(c) - 199))
+    want = {s: [i for i in range(len(c) - 199) if times[g, c[i:i + 200]] > 1] for g, s, c in rows}
+    assert {r["seg"]: r["places"] for r in marks} == want
+    sizes, inner = [], suffix_dedup.repeated_strings
+    monkeypatch.setattr(suffix_dedup, "repeated_strings", lambda data, *a: sizes.append(len(data)) or inner(data, *a))
+    assert {r["seg"]: r["places"] for r in suffix_dedup._marks(200, 50_000)(table).to_pylist()} == want
+    assert sorted(sizes)[-2] <= 50_000 < sorted(sizes)[-1] == 370 * sum(r[0] == 0 for r in rows)
+
+
+def test_strings_of_crowded_anchors_are_digested_in_pieces():
+    rnd = random.Random(5)
+    rows = [(i % 3, i, rnd.randbytes(rnd.choice([150, 200, 360, 360]))) for i in range(4000)]
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows]), pa.array([r[1] for r in rows]), pa.array([r[2] for r in rows], pa.binary())],
+                                       ["gram", "seg", "content"])
+    tracemalloc.start()
+    most = max(part.num_rows for part in suffix_dedup._strings(200)([batch.slice(7)]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most <= 200_000 and peak < 30e6, (most, peak)
+    got = [tuple(r.values()) for part in suffix_dedup._strings(200)([batch.slice(7)]) for r in part.to_pylist()]
+    assert got == [(g, s, i, *struct.unpack(">qq", hashlib.blake2b(c[i:i + 200], digest_size=16).digest()))
+                   for g, s, c in rows[7:] for i in range(len(c) - 199)]
+
+
 def test_segments_cover_every_string_once():
     from corpusflow.llm.arrays import Texts
 
