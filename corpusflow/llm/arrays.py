@@ -11,6 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from corpusflow.llm.workers import between
+
 SLICE = 2_000_000
 _MASK = (1 << 64) - 1
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -42,15 +44,16 @@ def combine(*parts: np.ndarray) -> np.ndarray:
 
 _LETTERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(_BASE))
 _powers: dict[int, np.ndarray] = {}
+between(_powers.clear)
 
 
 def _power(base: int, n: int) -> np.ndarray:
     """base ** 0 .. base ** (n - 1), modulo 2 ** 64."""
     have = _powers.get(base)
     if have is None or len(have) < n:
-        have = np.full(max(n, SLICE + SLICE // 4), base, np.uint64)
+        have = np.full(n + n // 4 + 1, base, np.uint64)
         have[0] = 1
-        have = np.cumprod(have, dtype=np.uint64)
+        np.cumprod(have, dtype=np.uint64, out=have)
         _powers[base] = have
     return have[:n]
 

@@ -32,9 +32,9 @@ def _classes() -> np.ndarray:
             return len(pre.pre_tokenize_str(text))
 
         kinds = {"L": LETTER, "N": NUMBER}
-        table = np.array([kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)], np.uint8)
+        table = np.fromiter((kinds.get(unicodedata.category(chr(c))[0], 0) for c in range(0x110000)), np.uint8, 0x110000)
         other = np.zeros(0x110000, np.uint8)
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        every = np.delete(np.arange(0x110000, dtype="<u4"), np.s_[0xD800:0xE000]).tobytes().decode("utf-32-le")
         for kind, pattern in ((LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
             for match in regex.finditer(pattern, every):
                 other[ord(match[0][0]):ord(match[0][-1]) + 1] = kind
@@ -90,6 +90,7 @@ def splitter(special: str):
     parts_of = regex.compile(f"({regex.escape(special)})")
 
     def split(column: pa.Array) -> Words:
+        begin("bpe", _tokenizers.clear)
         data, offsets = flat(column)
         raw = data.tobytes()
         points = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.arrays import struct
+from corpusflow.llm.workers import begin
 
 SCHEMA = ("n_assign long, n_access long, n_hex long, n_checked long, base_sha256 string, spans string, "
           "found array<struct<kind:string,start:int,end:int>>")
@@ -104,6 +105,7 @@ def secrets_of(text: Column) -> Column:
     """What the scan finds in a text: counts per kind, digests and the spans themselves."""
     @F.arrow_udf(SCHEMA)
     def scan(column: pa.Array) -> pa.Array:
+        begin("secrets", _keywords.clear)
         return _digest(column)
 
     return scan(text)
@@ -125,6 +127,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """
     @F.arrow_udf("string")
     def clean(column: pa.Array) -> pa.Array:
+        begin("secrets", _keywords.clear)
         out = []
         for text in column.to_pylist():
             at, parts = 0, []

@@ -18,8 +18,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from corpusflow.llm.arrays import flat, prefixes, slices, span_hashes
+from corpusflow.llm.workers import give_back
 
 BLOCK = 24_000_000
+#: Bytes of texts that are split into words at a time, which takes about 60 times as much.
+SPLIT_BYTES = 500_000
 _C = zstandard.ZstdCompressor(level=1)
 _D = zstandard.ZstdDecompressor()
 
@@ -41,7 +44,8 @@ Splitter = Callable[[pa.Array], Words]
 def pack(*arrays: np.ndarray) -> bytes:
     """Arrays as one compressed value; the caller knows their types."""
     sizes = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64)
-    return _C.compress(sizes.tobytes() + b"".join(a.tobytes() for a in arrays))
+    out = _C.compressobj(size=sizes.nbytes + int(sizes[1:].sum()))
+    return b"".join([*(out.compress(np.ascontiguousarray(a)) for a in (sizes, *arrays)), out.flush()])
 
 
 def unpack(value: bytes, *kinds) -> list[np.ndarray]:
@@ -61,14 +65,14 @@ def bytes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[byt
 
 @dataclass
 class _Block:
-    """A block while it is read: its distinct words by hash, and each text's words as hashes."""
+    """A block while it is read: its distinct words by hash, and each slice's words as its distinct hashes and places in them."""
     name: str
     keys: np.ndarray
     words: dict[int, bytes]
     ids: list
     sizes: list[np.ndarray]
     counts: list[np.ndarray]
-    hashes: list[np.ndarray]
+    hashes: list[tuple[np.ndarray, np.ndarray]]
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], split: Splitter, keep_words: bool, size: int) -> Iterator[_Block]:
@@ -79,30 +83,39 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: Splitter, keep_words: bool
     def new() -> _Block:
         return _Block(f"{part}-{nr}", np.zeros(0, np.uint64), {}, [], [], [], [])
 
+    def done() -> _Block:
+        found = np.fromiter(block.words, np.uint64, len(block.words)) if keep_words else np.concatenate([distinct for distinct, _ in block.hashes])
+        block.keys = np.unique(found)
+        return block
+
     block = new()
     for batch in batches:
         ids, texts = batch.column(0), batch.column(1)
-        for a, b in slices(texts):
+        for a, b in slices(texts, SPLIT_BYTES):
             column = texts.slice(a, b - a)
             found = split(column)
-            distinct, first = np.unique(found.hashes, return_index=True)
             if keep_words:
-                fresh = ~np.isin(distinct, block.keys, assume_unique=True)
+                distinct, first = np.unique(found.hashes, return_index=True)
+                fresh = np.array([x not in block.words for x in distinct.tolist()], bool)
                 block.words.update(zip(distinct[fresh].tolist(), bytes_at(found.data, found.starts[first[fresh]], found.ends[first[fresh]]),
                                        strict=True))
             else:
-                block.hashes.append(found.hashes)
+                distinct, place = np.unique(found.hashes, return_inverse=True)
+                block.hashes.append((distinct, place.astype(np.uint32)))
                 block.ids.append(ids.slice(a, b - a))
                 block.counts.append(np.bincount(found.text, minlength=b - a).astype(np.uint32))
                 block.sizes.append(np.diff(flat(column)[1]))
-            block.keys = np.union1d(block.keys, distinct)
             held += column.nbytes
+            del column, found
             if held >= size:
-                yield block
+                yield done()
                 nr, held = nr + 1, 0
                 block = new()
-    if len(block.keys) or block.ids:
-        yield block
+                give_back()
+    if block.words or block.ids:
+        yield done()
+    del block
+    give_back()
 
 
 def per_word(docs: DataFrame, split: Splitter, work: Callable[[list[bytes]], tuple], finish, schema: str, id_col: str = "doc_id",
@@ -155,7 +168,8 @@ def per_word(docs: DataFrame, split: Splitter, work: Callable[[list[bytes]], tup
             order = np.lexsort((found.keys, found.keys % modulus))
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            places = rank[np.searchsorted(found.keys, np.concatenate(found.hashes))]
+            places = np.concatenate([rank[np.searchsorted(found.keys, distinct)][place] for distinct, place in found.hashes])
+            found.hashes.clear()
             bucket, first = np.unique(found.keys[order] % modulus, return_index=True)
             checks = np.bitwise_xor.reduceat(found.keys[order], first) if len(first) else found.keys
             payload = pack(bucket, checks, np.concatenate(found.sizes), np.concatenate(found.counts), places)
@@ -175,6 +189,7 @@ def per_word(docs: DataFrame, split: Splitter, work: Callable[[list[bytes]], tup
             results = Results.concat([Results.of((own, values)) for _, own, values in opened]) if opened else Results.of(([], []))
             ids = left.column("ids")[i].values
             tables.append(finish(ids, sizes, counts.astype(np.int64), places, results))
+        give_back()
         return pa.concat_tables(tables) if tables else pa.table({})
 
     results = (docs.mapInArrow(words_of, "block string, bucket int, words binary")

@@ -11,16 +11,21 @@ from collections.abc import Callable
 import pyarrow as pa
 
 _caches: dict[str, Callable[[], None]] = {}
+_shared: list[Callable[[], None]] = []
 _now = [""]
 
 
+def between(clear: Callable[[], None]) -> None:
+    """``clear`` drops what operators share, which is made anew in the size that the next one needs."""
+    _shared.append(clear)
+
+
 def begin(name: str, clear: Callable[[], None] = lambda: None) -> None:
     """Said by an operator before it works in a process; ``clear`` drops what it keeps."""
     _caches[name] = clear
     if _now[0] != name:
-        for other, drop in _caches.items():
-            if other != name:
-                drop()
+        for drop in [*(drop for other, drop in _caches.items() if other != name), *_shared]:
+            drop()
         _now[0] = name
         give_back()
 

@@ -2,10 +2,13 @@
 import collections
 import hashlib
 import math
+import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from conftest import plan_text
 from llm_texts import ODD, clashing, documents, odd  # noqa: F401
@@ -186,6 +189,45 @@ def test_blocks_follow_changed_rows_with_an_error(spark):
         assert (got == want).all()
 
 
+def peak_of(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+def test_words_are_split_and_numbered_in_little_memory(monkeypatch):
+    from corpusflow.llm.word_table import Words, _blocks
+
+    rnd = random.Random(6)
+    words = ["".join(rnd.choices("abcdefghij", k=rnd.randrange(2, 9))) for _ in range(20_000)]
+    texts = pa.array([" ".join(rnd.choices(words, k=400)) for _ in range(3000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    split = bpe.splitter("<|endoftext|>")
+    monkeypatch.setattr(bpe, "_tables", [])
+    assert peak_of(bpe._classes) < 40e6  # 124 MB before
+    for keep in (True, False):
+        assert peak_of(lambda keep=keep: [b for b in _blocks(iter([batch]), split, keep, 24_000_000)]) < 64e6, keep
+    whole: Words = split(texts)
+    (given,), (numbered,) = (list(_blocks(iter([batch]), split, keep, 24_000_000)) for keep in (True, False))
+    assert (given.keys == numbered.keys).all() and (given.keys == np.unique(whole.hashes)).all()
+    assert set(given.words.values()) == {whole.data[a:b].tobytes() for a, b in zip(whole.starts, whole.ends, strict=True)}
+    assert (np.concatenate([distinct[place] for distinct, place in numbered.hashes]) == whole.hashes).all()
+
+
+def test_encoding_drops_what_other_operators_keep():
+    from corpusflow.llm import arrays, workers
+
+    dropped = []
+    workers.begin("another", lambda: dropped.append(True))
+    arrays._power(3, 1000)
+    bpe.splitter("<|endoftext|>")(pa.array(["some text"]))
+    assert dropped and 3 not in arrays._powers
+    arrays._power(3, 1000)
+    bpe.splitter("<|endoftext|>")(pa.array(["some text"]))
+    assert len(dropped) == 1 and 3 in arrays._powers
+
 # --- URLs ------------------------------------------------------------------------------------------------
 
 URLS = [None, "", "example.org/es/1", "http://Example.ORG/es/1", "https://www.example.org/en/123?x=/de/", "https://example.org/en/2", "http://a.com/de/x#y",
