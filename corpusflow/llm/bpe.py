@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpusflow.llm.arrays import flat, prefixes, span_hashes
-from corpusflow.llm.word_table import Words, per_word
+from corpusflow.llm.word_table import Results, Words, per_word
 from corpusflow.llm.workers import begin
 
 LETTER, NUMBER, SPACE = 1, 2, 3
@@ -161,10 +161,13 @@ def special_of(vocabulary: str) -> str:
 
 def encode(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """Per row of ``docs``: doc_id and its token ids. Null and empty texts have none."""
-    def finish(ids, sizes, counts, places, results) -> pa.Table:
-        got = results.take(places)
-        edges = got.offsets[np.concatenate([[0], np.cumsum(counts)])]
-        return pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(got.values))})
+    def finish(results):
+        def rows(ids, sizes, counts, places) -> pa.Table:
+            got = results.take(places)
+            edges = got.offsets[np.concatenate([[0], np.cumsum(counts)])]
+            return pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(edges, pa.int32()), pa.array(got.values))})
+
+        return rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return per_word(docs, splitter(special_of(vocabulary)), word_encoder(vocabulary), finish, f"doc_id {kind}, ids array<int>", **options)
@@ -189,6 +192,12 @@ def decode(encoded: DataFrame, vocabulary: str) -> DataFrame:
             .select("doc_id", join(F.coalesce(F.transform("_p", lambda p: p["piece"]), none)).alias("text")))
 
 
+def strung(parts: pa.LargeBinaryArray, results: Results) -> pa.LargeBinaryArray:
+    """Of each list of numbers, the ``parts`` they stand for, one after the other."""
+    data, edges = flat(parts.take(pa.array(results.values)))
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(results.offsets) - 1, [None, pa.py_buffer(edges[results.offsets]), pa.py_buffer(data)])
+
+
 def round_trip(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
     """Per row of ``docs``: doc_id, tokens, a digest of the ids and one of the text decoded from them.
 
@@ -204,25 +213,25 @@ def round_trip(docs: DataFrame, vocabulary: str, **options) -> DataFrame:
         table[i] = piece
     sent = spark.sparkContext.broadcast(table)
 
-    def finish(ids, sizes, counts, places, results) -> pa.Table:
+    def finish(results):
+        begin("bpe rows")  # the tokenizer is no longer needed
+        numbers = pa.array([b"%d," % i for i in range(len(sent.value))], pa.large_binary())
+        digits, content = strung(numbers, results), strung(pa.array(sent.value, pa.large_binary()), results)
         lengths = np.diff(results.offsets)
-        numbers = np.array([b"%d," % i for i in range(len(sent.value))], object)
-        piece = np.array(sent.value, object)
-        edges = results.offsets.tolist()
-        digits, content = numbers[results.values].tolist(), piece[results.values].tolist()
-        # of each distinct word, its ids as text and its bytes
-        digits = np.array([b"".join(digits[a:b]) for a, b in zip(edges, edges[1:], strict=False)], object)
-        content = np.array([b"".join(content[a:b]) for a, b in zip(edges, edges[1:], strict=False)], object)
-        n_tokens, ids_sha, text_sha, at = [], [], [], 0
-        for count in counts.tolist():
-            own = places[at:at + count]
-            at += count
-            n_tokens.append(int(lengths[own].sum()))
-            ids_sha.append(hashlib.sha256(b"".join(digits[own].tolist())[:-1]).hexdigest())
-            text = b"".join(content[own].tolist()).decode(errors="replace")
-            text_sha.append(hashlib.sha256(text.encode()).hexdigest())
-        return pa.table({"doc_id": ids, "n_tokens": pa.array(n_tokens, pa.int64()), "ids_sha256": pa.array(ids_sha, pa.string()),
-                         "decoded_sha256": pa.array(text_sha, pa.string())})
+
+        def rows(ids, sizes, counts, places) -> pa.Table:
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            tokens = np.concatenate([[0], np.cumsum(lengths[places])])[edges]
+            digests = []
+            for words, last in ((digits, 1), (content, 0)):  # no comma after the last id
+                data, offsets = flat(words.take(pa.array(places)))
+                at = offsets[edges].tolist()
+                every = (data[a:max(a, b - last)].tobytes() for a, b in zip(at, at[1:], strict=False))
+                digests.append([hashlib.sha256(x if last else x.decode(errors="replace").encode()).hexdigest() for x in every])
+            return pa.table({"doc_id": ids, "n_tokens": pa.array(np.diff(tokens), pa.int64()), "ids_sha256": pa.array(digests[0], pa.string()),
+                             "decoded_sha256": pa.array(digests[1], pa.string())})
+
+        return rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return per_word(docs, splitter(special_of(vocabulary)), word_encoder(vocabulary), finish,

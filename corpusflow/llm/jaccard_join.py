@@ -122,13 +122,17 @@ def _set_ids(offsets: np.ndarray, values: np.ndarray) -> np.ndarray:
 _SETS = "doc_id {0}, n_shingles long, set_id long, first boolean, band int, need int, sigs array<long>"
 
 
+#: Bytes of texts whose shingles and signatures are worked out at a time.
+READ_BYTES = 500_000
+
+
 def _read_sets(width: int, percent: int):
     """A row per document (``first``) and one per size band of it, with its signatures."""
     def rows(batches):
         begin("sets")
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            for a, b in slices(column):
+            for a, b in slices(column, READ_BYTES):
                 offsets, values = shingle_sets(column.slice(a, b - a), width)
                 own, sizes, names = ids.slice(a, b - a), np.diff(offsets), _set_ids(offsets, values)
                 n = b - a
@@ -151,28 +155,48 @@ _SIG = ~0xFFF
 _BAND, _SALT = 6, 64
 
 
+#: Rows that a task hands on at a time.
+HANDED_ON = 200_000
+
+
+def _columns(batches, count: int) -> list[np.ndarray]:
+    """The first ``count`` columns of all batches; a batch is freed when it has been read."""
+    parts = [[np.array(b.column(i)) for i in range(count)] for b in batches if b.num_rows]
+    return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(count)]
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For values side by side: how many are equal to each, and where the runs begin."""
+    first = np.ones(len(values), bool)
+    first[1:] = values[1:] != values[:-1]
+    starts = np.flatnonzero(first)
+    n = np.diff(np.append(starts, len(values)))
+    return np.repeat(np.minimum(n, _CUT).astype(np.int32), n), starts
+
+
 def _shared(batches):
     """Signatures that several sets have, from a partition that holds equal ones side by side.
 
     What the partition's edges cut counts as shared. A set is named once per signature.
     """
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
+    keys, sets = _columns(batches, 2)
+    if not len(keys):
         return
-    table = pa.Table.from_batches(batches)
-    keys, sets = (np.asarray(table.column(i).combine_chunks()) for i in range(2))
     order = np.lexsort((sets, keys & _SIG))
     keys, sets = keys[order], sets[order]
+    del order
+    new = np.ones(len(keys), bool)
+    new[1:] = ((keys[1:] ^ keys[:-1]) & _SIG != 0) | (sets[1:] != sets[:-1])
+    keys, sets = keys[new], sets[new]
     sig = keys & _SIG
-    new = np.ones(len(sig), bool)
-    new[1:] = (sig[1:] != sig[:-1]) | (sets[1:] != sets[:-1])
-    keys, sets, sig = keys[new], sets[new], sig[new]
-    first = np.ones(len(sig), bool)
-    first[1:] = sig[1:] != sig[:-1]
-    group = np.cumsum(first) - 1
-    keep = (np.bincount(group)[group] > 1) | (sig == sig[0]) | (sig == sig[-1])
-    yield pa.RecordBatch.from_arrays([pa.array(sig[keep]), pa.array(sets[keep]), pa.array(((keys[keep] >> _BAND) & 63).astype(np.int32))], ["sig", "set_id", "band"])
-    del table, keys, sets, sig, order, new, first, group, keep
+    n, _ = _runs(sig)
+    keep = (n > 1) | (sig == sig[0]) | (sig == sig[-1])
+    del new, n, sig
+    keys, sets = keys[keep], sets[keep]
+    for at in range(0, len(keys), HANDED_ON):
+        own = keys[at:at + HANDED_ON]
+        yield pa.RecordBatch.from_arrays([pa.array(own & _SIG), pa.array(sets[at:at + HANDED_ON]), pa.array(((own >> _BAND) & 63).astype(np.int32))], ["sig", "set_id", "band"])
+    del keys, sets, keep, own
     give_back()
 
 
@@ -250,24 +274,24 @@ def _counted(batches):
 
     What the partition's edges may cut counts as ``_CUT`` wherever it stands, so each shingle has one count.
     """
-    batches = [b for b in batches if b.num_rows]
-    if not batches:
+    keys, sets = _columns(batches, 2)
+    if not len(keys):
         return
-    table = pa.Table.from_batches(batches)
-    keys, sets = (np.asarray(table.column(i).combine_chunks()) for i in range(2))
     order = np.lexsort((sets, keys))
     keys, sets = keys[order], sets[order]
+    del order
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])  # rows that repeat are one set
     keys, sets = keys[new], sets[new]
-    first = np.ones(len(keys), bool)
-    first[1:] = keys[1:] != keys[:-1]
-    group = np.cumsum(first) - 1
-    n = np.bincount(group)[group]
+    n, _ = _runs(keys)
     n[(keys == keys[0]) | (keys == keys[-1])] = _CUT
     keep = n > 1
-    yield pa.RecordBatch.from_arrays([pa.array(sets[keep]), pa.array(keys[keep]), pa.array(n[keep].astype(np.int32))], ["set_id", "key", "n"])
-    del table, keys, sets, order, new, first, group, n, keep
+    keys, sets, n = keys[keep], sets[keep], n[keep]
+    del new, keep
+    for at in range(0, len(keys), HANDED_ON):
+        part = slice(at, at + HANDED_ON)
+        yield pa.RecordBatch.from_arrays([pa.array(sets[part]), pa.array(keys[part]), pa.array(n[part])], ["set_id", "key", "n"])
+    del keys, sets, n
     give_back()
 
 
@@ -572,7 +596,7 @@ def jaccard_components(docs: DataFrame, width: int = WIDTH, percent: int = PERCE
     def codes(batches):
         for batch in batches:
             ids, column = batch.column(0), batch.column(1)
-            for a, b in slices(column):
+            for a, b in slices(column, READ_BYTES):
                 offsets, values = shingle_sets(column.slice(a, b - a), width)
                 same = _set_ids(offsets, values) == np.asarray(ids.slice(a, b - a))
                 raw = [values[s:e].tobytes() for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]

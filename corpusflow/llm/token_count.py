@@ -62,11 +62,14 @@ def count_tokens(docs: DataFrame, model: bytes, limit: int = LIMIT, **options) -
     if b"\xe2\x96\x81" in model and _crossing(model):
         raise ValueError("pieces of this vocabulary go across blanks")
 
-    def finish(ids, sizes, counts, places, results) -> pa.Table:
-        sums = np.concatenate([[0], np.cumsum(results.values[places], dtype=np.int64)])
-        edges = np.concatenate([[0], np.cumsum(counts)])
-        tokens = sums[edges[1:]] - sums[edges[:-1]]
-        return pa.table({"doc_id": ids, "n_bytes": pa.array(sizes), "n_tokens": pa.array(tokens), "over_limit": pa.array(tokens > limit)})
+    def finish(results):
+        def rows(ids, sizes, counts, places) -> pa.Table:
+            sums = np.concatenate([[0], np.cumsum(results.values[places], dtype=np.int64)])
+            edges = np.concatenate([[0], np.cumsum(counts)])
+            tokens = sums[edges[1:]] - sums[edges[:-1]]
+            return pa.table({"doc_id": ids, "n_bytes": pa.array(sizes), "n_tokens": pa.array(tokens), "over_limit": pa.array(tokens > limit)})
+
+        return rows
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return per_word(docs, split, piece_counter(model), finish, f"doc_id {kind}, n_bytes long, n_tokens long, over_limit boolean", **options)

@@ -65,15 +65,33 @@ def bytes_at(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[byt
 
 @dataclass
 class _Block:
-    """A block while it is read: its distinct words by hash, and each slice's words as its distinct hashes and places in them."""
+    """A block while it is read: its distinct words as each slice's new ones (hashes, sizes and bytes), and each slice's words as
+    its distinct hashes and places in them."""
     name: str
     keys: np.ndarray
-    words: dict[int, bytes]
+    fresh: list[tuple[np.ndarray, np.ndarray, bytes]]
     ids: list
     sizes: list[np.ndarray]
     counts: list[np.ndarray]
     hashes: list[tuple[np.ndarray, np.ndarray]]
 
+    def spans(self) -> tuple[np.ndarray, bytes, np.ndarray, np.ndarray]:
+        """Hashes of the distinct words, their bytes in a row, and where each begins and ends there."""
+        hashes, sizes, content = zip(*self.fresh, strict=True) if self.fresh else ([self.keys], [self.keys], [])
+        ends = np.cumsum(np.concatenate(sizes), dtype=np.int64)
+        return np.concatenate(hashes), b"".join(content), np.concatenate([np.zeros(1, np.int64), ends[:-1]])[:len(ends)], ends
+
+    @property
+    def words(self) -> dict[int, bytes]:
+        """The distinct words by hash."""
+        hashes, content, starts, ends = self.spans()
+        return {h: content[a:b] for h, a, b in zip(hashes.tolist(), starts.tolist(), ends.tolist(), strict=True)}
+
+
+def _places(distinct: int) -> type:
+    """The type of places among so many distinct words."""
+    return np.uint16 if distinct <= 1 << 16 else np.uint32
+
 
 def _blocks(batches: Iterator[pa.RecordBatch], split: Splitter, keep_words: bool, size: int) -> Iterator[_Block]:
     """Blocks of a partition; the same partition gives the same blocks."""
@@ -81,11 +99,11 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: Splitter, keep_words: bool
     part, nr, held = context.partitionId() if context else 0, 0, 0
 
     def new() -> _Block:
-        return _Block(f"{part}-{nr}", np.zeros(0, np.uint64), {}, [], [], [], [])
+        return _Block(f"{part}-{nr}", np.zeros(0, np.uint64), [], [], [], [], [])
 
     def done() -> _Block:
-        found = np.fromiter(block.words, np.uint64, len(block.words)) if keep_words else np.concatenate([distinct for distinct, _ in block.hashes])
-        block.keys = np.unique(found)
+        if not keep_words:
+            block.keys = np.unique(np.concatenate([distinct for distinct, _ in block.hashes]))
         return block
 
     block = new()
@@ -96,12 +114,15 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: Splitter, keep_words: bool
             found = split(column)
             if keep_words:
                 distinct, first = np.unique(found.hashes, return_index=True)
-                fresh = np.array([x not in block.words for x in distinct.tolist()], bool)
-                block.words.update(zip(distinct[fresh].tolist(), bytes_at(found.data, found.starts[first[fresh]], found.ends[first[fresh]]),
-                                       strict=True))
+                at = np.searchsorted(block.keys, distinct)
+                unseen = np.append(block.keys, np.uint64(0))[at] != distinct
+                unseen |= at == len(block.keys)
+                block.keys = np.insert(block.keys, at[unseen], distinct[unseen])
+                starts, ends = found.starts[first[unseen]], found.ends[first[unseen]]
+                block.fresh.append((distinct[unseen], (ends - starts).astype(np.uint32), b"".join(bytes_at(found.data, starts, ends))))
             else:
                 distinct, place = np.unique(found.hashes, return_inverse=True)
-                block.hashes.append((distinct, place.astype(np.uint32)))
+                block.hashes.append((distinct, place.astype(_places(len(distinct)))))
                 block.ids.append(ids.slice(a, b - a))
                 block.counts.append(np.bincount(found.text, minlength=b - a).astype(np.uint32))
                 block.sizes.append(np.diff(flat(column)[1]))
@@ -112,7 +133,7 @@ def _blocks(batches: Iterator[pa.RecordBatch], split: Splitter, keep_words: bool
                 nr, held = nr + 1, 0
                 block = new()
                 give_back()
-    if block.words or block.ids:
+    if len(block.keys) or block.ids:
         yield done()
     del block
     give_back()
@@ -123,9 +144,9 @@ def per_word(docs: DataFrame, split: Splitter, work: Callable[[list[bytes]], tup
     """One row per row of ``docs`` from per-word results.
 
     ``work(words)`` is given the distinct words of a bucket, each once in the corpus, and returns how
-    many numbers each has and all numbers. ``finish(ids, sizes, counts, places, results)`` builds the
-    rows of a block: ids and byte sizes of its texts, how many words each has, and the place of each
-    word's numbers in ``results``.
+    many numbers each has and all numbers. ``finish(results)`` is given those of a block's words and returns
+    ``rows(ids, sizes, counts, places)``, which builds the rows of a slice of the block: ids and byte sizes of its
+    texts, how many words each has, and the place of each word's numbers in ``results``.
     """
     spark = docs.sparkSession
     docs = docs.select(id_col, text_col)
@@ -136,10 +157,13 @@ def per_word(docs: DataFrame, split: Splitter, work: Callable[[list[bytes]], tup
     def words_of(batches):
         for found in _blocks(batches, split, True, block):
             names, parts, values = [], [], []
-            bucket = found.keys % modulus
-            for k in np.unique(bucket):
-                keys = found.keys[bucket == k]
-                words = [found.words[x] for x in keys.tolist()]
+            hashes, content, starts, ends = found.spans()
+            found.fresh.clear()
+            bucket = hashes % modulus
+            order = np.lexsort((hashes, bucket))
+            buckets, first = np.unique(bucket[order], return_index=True)
+            for k, own in zip(buckets, np.split(order, first[1:]), strict=False):
+                words = [content[a:b] for a, b in zip(starts[own].tolist(), ends[own].tolist(), strict=True)]
                 names.append(found.name)
                 parts.append(int(k))
                 values.append(pack(np.array(list(map(len, words)), np.uint32), np.frombuffer(b"".join(words), np.uint8)))
@@ -168,33 +192,41 @@ def per_word(docs: DataFrame, split: Splitter, work: Callable[[list[bytes]], tup
             order = np.lexsort((found.keys, found.keys % modulus))
             rank = np.empty(len(order), np.uint32)
             rank[order] = np.arange(len(order), dtype=np.uint32)
-            places = np.concatenate([rank[np.searchsorted(found.keys, distinct)][place] for distinct, place in found.hashes])
-            found.hashes.clear()
             bucket, first = np.unique(found.keys[order] % modulus, return_index=True)
             checks = np.bitwise_xor.reduceat(found.keys[order], first) if len(first) else found.keys
-            payload = pack(bucket, checks, np.concatenate(found.sizes), np.concatenate(found.counts), places)
-            ids = pa.concat_arrays(found.ids)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([found.name], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([payload], pa.binary())],
-                ["block", "ids", "numbers"])
+            head = pack(bucket, checks)
+            for ids, sizes, counts in zip(found.ids, found.sizes, found.counts, strict=True):  # a row per slice: no row has the numbers of a whole block
+                distinct, place = found.hashes.pop(0)
+                own = rank[np.searchsorted(found.keys, distinct)]
+                order = np.argsort(own)
+                back = np.empty(len(order), place.dtype)
+                back[order] = np.arange(len(order))
+                numbers = pack(np.diff(own[order], prepend=np.uint32(0)), back[place].view(np.uint8), sizes, counts)  # steps take less than numbers
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([found.name], pa.string()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([head], pa.binary()),
+                     pa.array([numbers], pa.binary())], ["block", "ids", "head", "numbers"])
+                head = None
 
     def join(left: pa.Table, right: pa.Table) -> pa.Table:
-        tables = []
-        for i in range(left.num_rows):
-            bucket, checks, sizes, counts, places = unpack(left.column("numbers")[i].as_py(), np.uint64, np.uint64, np.int64, np.uint32, np.uint32)
-            parts = sorted(zip(right.column("bucket").to_pylist(), right.column("results").to_pylist(), strict=True), key=lambda x: x[0])
-            opened = [unpack(value, np.uint64, np.uint32, np.int32) for _, value in parts]
+        parts = sorted(zip(right.column("bucket").to_pylist(), right.column("results").to_pylist(), strict=True), key=lambda x: x[0])
+        opened = [unpack(value, np.uint64, np.uint32, np.int32) for _, value in parts]
+        for head in left.column("head").drop_null().to_pylist():
+            bucket, checks = unpack(head, np.uint64, np.uint64)
             if [k for k, _ in parts] != bucket.tolist() or [int(c[0]) for c, _, _ in opened] != checks.tolist():
                 raise RuntimeError("a block was read anew with other rows; write the input to a table first")
-            results = Results.concat([Results.of((own, values)) for _, own, values in opened]) if opened else Results.of(([], []))
-            ids = left.column("ids")[i].values
-            tables.append(finish(ids, sizes, counts.astype(np.int64), places, results))
+        rows = finish(Results.concat([Results.of((own, values)) for _, own, values in opened]) if opened else Results.of(([], [])))
+        del parts, opened
+        tables = []
+        for ids, numbers in zip(left.column("ids"), left.column("numbers"), strict=True):
+            steps, place, sizes, counts = unpack(numbers.as_py(), np.uint32, np.uint8, np.int64, np.uint32)
+            own = np.cumsum(steps, dtype=np.uint32)
+            tables.append(rows(ids.values, sizes, counts.astype(np.int64), own[place.view(_places(len(own)))]))
         give_back()
         return pa.concat_tables(tables) if tables else pa.table({})
 
     results = (docs.mapInArrow(words_of, "block string, bucket int, words binary")
                .groupBy("bucket").applyInArrow(once, "block string, bucket int, results binary"))
-    numbers = docs.mapInArrow(numbers_of, f"block string, ids array<{id_type}>, numbers binary")
+    numbers = docs.mapInArrow(numbers_of, f"block string, ids array<{id_type}>, head binary, numbers binary")
     return numbers.groupBy("block").cogroup(results.groupBy("block")).applyInArrow(join, schema)
 
 

@@ -372,3 +372,45 @@ def test_pipeline_stages_take_odd_rows(spark, tmp_path):
             got = spark.read.parquet(path)
         assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
         assert (got.count() > 0) == (n > 0)
+
+
+def batches_of(*columns, size=10_000):
+    for at in range(0, len(columns[0]), size):
+        yield pa.RecordBatch.from_arrays([pa.array(c[at:at + size].copy()) for c in columns], ["a", "b"])
+
+
+def peak_of(work):
+    tracemalloc.start()
+    work()
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    return peak
+
+
+@pytest.mark.parametrize("rows", [0, 1, 300, 1000])
+def test_what_several_sets_have(rows, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "HANDED_ON", 64)
+    rnd = np.random.default_rng(rows)
+    sigs, sets = rnd.integers(-60, 60, rows), rnd.integers(0, 9, rows)
+    keys = (sigs << 12) + rnd.integers(0, 64, rows) + (3 << 6)
+    pairs = {(int(s), int(x)) for s, x in zip(sigs, sets, strict=True)}
+    n = collections.Counter(s for s, _ in pairs)
+    edges = {min(n), max(n)} if n else set()
+    got = [row for b in jaccard_join._shared(batches_of(keys, sets, size=70)) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(got) == sorted((s << 12, x, 3) for s, x in pairs if n[s] > 1 or s in edges)
+    got = [row for b in jaccard_join._counted(batches_of(sigs, sets, size=70)) for row in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    assert sorted(got) == sorted((x, s, jaccard_join._CUT if s in edges else n[s]) for s, x in pairs if n[s] > 1 or s in edges)
+
+
+def test_signatures_are_counted_in_little_memory():
+    rnd = np.random.default_rng(3)
+    keys, sets = rnd.integers(0, 300_000, 1_000_000) << 12, rnd.integers(0, 50_000, 1_000_000)
+    for work in (jaccard_join._shared, jaccard_join._counted):
+        assert peak_of(lambda work=work: collections.deque(work(batches_of(keys, sets)), maxlen=0)) < 60e6  # 86 MB before
+
+
+def test_shingles_are_read_in_little_memory():
+    rnd = random.Random(7)
+    texts = pa.array([" ".join("".join(rnd.choices("abcdefghij", k=8)) for _ in range(500)) for _ in range(1000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    assert peak_of(lambda: collections.deque(jaccard_join._read_sets(5, 80)(iter([batch])), maxlen=0)) < 25e6  # 41 MB before

@@ -608,3 +608,35 @@ def test_empty_and_null_tables(spark, n):
     assert [r.lang_pred for r in language.identify(docs).collect()] == ["und"] * n
     assert [r.n_words for r in decontaminate.contamination(docs, bench).collect()] == [0] * n
     assert [r.decoded_sha256 for r in bpe.round_trip(docs, vocabulary).collect()] == [sha("")] * n
+
+
+def test_blocks_of_several_slices(spark):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokenizer = Tokenizer.from_file(path)
+    tokenizer.no_truncation()
+    tokenizer.no_padding()
+    rnd = random.Random(8)
+    words = ["".join(rnd.choices("abcdefghijäé", k=rnd.randrange(1, 9))) for _ in range(150_000)]
+    texts = [None, "", *(" ".join(rnd.choices(words, k=500)) for _ in range(500)), " <|endoftext|>x ", None]  # some 1.6 MB
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    with open(path, encoding="utf-8") as f:
+        got = {r.doc_id: r for r in bpe.round_trip(table, f.read(), buckets=5).collect()}
+    assert len(got) == len(texts)
+    for i, text in enumerate(texts):
+        ids = tokenizer.encode(text or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(ids)
+        assert got[i].ids_sha256 == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
+        assert got[i].decoded_sha256 == hashlib.sha256(tokenizer.decode(ids, skip_special_tokens=False).encode()).hexdigest()
+
+
+def test_many_distinct_words_are_kept_in_little_memory():
+    from corpusflow.llm.word_table import _blocks
+
+    rnd = random.Random(7)
+    texts = pa.array([" ".join("".join(rnd.choices("abcdefghij", k=8)) for _ in range(500)) for _ in range(1000)])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), texts], ["doc_id", "text"])
+    split = bpe.splitter("<|endoftext|>")
+    split(texts.slice(0, 1))
+    assert peak_of(lambda: [b for b in _blocks(iter([batch]), split, True, 24_000_000)]) < 65e6  # 87 MB as a dictionary
