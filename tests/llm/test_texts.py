@@ -619,7 +619,7 @@ def test_blocks_of_several_slices(spark):
     tokenizer.no_padding()
     rnd = random.Random(8)
     words = ["".join(rnd.choices("abcdefghijäé", k=rnd.randrange(1, 9))) for _ in range(150_000)]
-    texts = [None, "", *(" ".join(rnd.choices(words, k=500)) for _ in range(500)), " <|endoftext|>x ", None]  # some 1.6 MB
+    texts = [None, "", *(" ".join(rnd.choices(words, k=500)) for _ in range(500)), " <|endoftext|>x ", " ".join(words), None]  # some 2.4 MB; one text of more words than 16 bits tell apart
     table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
     with open(path, encoding="utf-8") as f:
         got = {r.doc_id: r for r in bpe.round_trip(table, f.read(), buckets=5).collect()}
