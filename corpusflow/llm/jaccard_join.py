@@ -165,13 +165,12 @@ def _columns(batches, count: int) -> list[np.ndarray]:
     return [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(count)]
 
 
-def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """For values side by side: how many are equal to each, and where the runs begin."""
+def _equal(values: np.ndarray) -> np.ndarray:
+    """How many values are equal to each, where equal ones stand side by side."""
     first = np.ones(len(values), bool)
     first[1:] = values[1:] != values[:-1]
-    starts = np.flatnonzero(first)
-    n = np.diff(np.append(starts, len(values)))
-    return np.repeat(np.minimum(n, _CUT).astype(np.int32), n), starts
+    n = np.diff(np.append(np.flatnonzero(first), len(values)))
+    return np.repeat(np.minimum(n, _CUT).astype(np.int32), n)
 
 
 def _shared(batches):
@@ -189,7 +188,7 @@ def _shared(batches):
     new[1:] = ((keys[1:] ^ keys[:-1]) & _SIG != 0) | (sets[1:] != sets[:-1])
     keys, sets = keys[new], sets[new]
     sig = keys & _SIG
-    n, _ = _runs(sig)
+    n = _equal(sig)
     keep = (n > 1) | (sig == sig[0]) | (sig == sig[-1])
     del new, n, sig
     keys, sets = keys[keep], sets[keep]
@@ -283,7 +282,7 @@ def _counted(batches):
     new = np.ones(len(keys), bool)
     new[1:] = (keys[1:] != keys[:-1]) | (sets[1:] != sets[:-1])  # rows that repeat are one set
     keys, sets = keys[new], sets[new]
-    n, _ = _runs(keys)
+    n = _equal(keys)
     n[(keys == keys[0]) | (keys == keys[-1])] = _CUT
     keep = n > 1
     keys, sets, n = keys[keep], sets[keep], n[keep]
