@@ -232,3 +232,49 @@ def test_single_precision_loses_no_hit(shift, scale):
     edge = float(np.median(d))
     found = sum(len(rows) for rows, _, _ in se._near(x[:50], x, np.full(50, edge)))
     assert found >= (d <= edge).sum()
+
+
+# --- queries of equal vectors, rounds, texts of what is kept ------------------------------------------
+
+def by_query(hits):
+    got = {}
+    for r in hits.orderBy("qid", "rank").collect():
+        got.setdefault(r.qid, []).append(r.chunk_id)
+    return got
+
+
+def test_queries_of_equal_vectors_are_searched_once(spark, vectors, monkeypatch):
+    x, df = vectors
+    searched = []
+    pairs = se._pairs
+    monkeypatch.setattr(se, "_pairs", lambda index, queries, *args: searched.append(queries.count()) or pairs(index, queries, *args))
+    index, queries = df.select(F.col("id").alias("chunk_id"), "v"), df.select(F.col("id").alias("qid"), "v")
+    assert by_query(se.search(index, queries, 4, vec_col="v", qvec_col="v")) == brute(x, 4)
+    assert searched == [200]  # 300 before
+    # an id that comes twice, with one vector and with two, is ranked as one query
+    twice = queries.where("qid in (0, 1, 250)").unionByName(queries.where("qid = 1")).unionByName(queries.where("qid = 2").withColumn("qid", F.lit(0).cast("long")))
+    got = by_query(se.search(index, twice, 3, vec_col="v", qvec_col="v"))
+    assert got == {0: [0, 2, 200], 1: [1, 1, brute(x, 2)[1][1]], 250: [0, 200, 201]}
+
+
+@pytest.mark.parametrize("k", [6, None])
+def test_blocks_are_shuffled_in_rounds(spark, monkeypatch, k):
+    x = np.random.default_rng(16).normal(size=(300, 8)).astype("float32")
+    df = spark.createDataFrame([(i, [float(c) for c in v]) for i, v in enumerate(x)], "id long, vec array<float>")
+    settings = {"broadcastQueries": "0", "blockQueries": "64", "blockVectors": "50", "roundRows": "700"}
+    for key, value in settings.items():
+        spark.conf.set(f"spark.corpusflow.{key}", value)
+    shuffled = []
+    met = se._met
+    monkeypatch.setattr(se, "_met", lambda left, right, pairs, *args: shuffled.append(pairs.count()) or met(left, right, pairs, *args))
+    cols = {"id_col": "id", "vec_col": "vec", "qvec_col": "vec"}
+    if k:
+        got = by_query(se.search(df, df.withColumnRenamed("id", "qid"), k, **cols).withColumnRenamed("id", "chunk_id"))
+        assert got == brute(x.astype("float64"), k)
+    else:
+        d = ((x[:, None].astype("float64") - x[None]) ** 2).sum(2)
+        pairs = se.within_radius(df, df.withColumnRenamed("id", "qid"), 9.0, **cols).collect()
+        assert sorted((r.qid, r.id) for r in pairs) == sorted(zip(*(i.tolist() for i in np.nonzero(d <= 9.0))))
+    for key in settings:
+        spark.conf.unset(f"spark.corpusflow.{key}")
+    assert len(shuffled) > 4 and max(shuffled[1:]) < 20  # all packs at once before
