@@ -278,3 +278,29 @@ def test_blocks_are_shuffled_in_rounds(spark, monkeypatch, k):
     for key in settings:
         spark.conf.unset(f"spark.corpusflow.{key}")
     assert len(shuffled) > 4 and max(shuffled[1:]) < 20  # all packs at once before
+
+
+def test_texts_are_fetched_for_what_is_kept(spark, monkeypatch):
+    from corpusflow.plans import retrieve as rt
+    rng = np.random.default_rng(17)
+    words = [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(words, 6)) for _ in range(40)]
+    rows = [(f"c{i}", t, {"source": "s"}, [float(i % 7), float(i % 5)]) for i, t in enumerate(texts)]
+    rows += [rows[3], ("c4", "w1 w2 other", {"source": "t"}, [4.0, 4.0])]  # a row twice, an id with two texts
+    index = spark.createDataFrame(rows, "chunk_id string, page_content string, metadata map<string,string>, embedding array<float>")
+    asked = [(i, " ".join(rng.choice(words, 4)), [float(i % 7), float(i % 5)]) for i in range(12)]
+    queries = spark.createDataFrame([*asked, asked[5], (6, None, [1.0, 1.0])], "qid long, query string, qvec array<float>")
+    columns = ["qid", "chunk_id", "relevance_score", "page_content", "metadata", "query"]
+    hits = se.search(index, queries, 8)
+    before = hits.join(index.select("chunk_id", "page_content", "metadata"), "chunk_id").join(queries.select("qid", "query"), "qid")
+    scores = se.rerank(before, top_n=3, passage="page_content").select("qid", F.round("relevance_score", 6).alias("s")).collect()
+    seen = []
+    rerank = rt.rerank
+    monkeypatch.setattr(rt, "rerank", lambda df, *args, **kwargs: seen.append(df.columns) or rerank(df, *args, **kwargs))
+    spark.conf.set("spark.corpusflow.pairRows", "40")
+    best = rt.retrieve_rerank(index, queries, 8, 3)
+    spark.conf.unset("spark.corpusflow.pairRows")
+    got = [tuple(r) for r in best.select(*columns).collect()]
+    assert sorted((r[0], round(r[2], 6)) for r in got) == sorted((r.qid, r.s) for r in scores)
+    assert {r[:2] + r[3:4] + r[5:] for r in got} <= {(r.qid, r.chunk_id, r.page_content, r.query) for r in before.collect()}
+    assert len(seen) > 2 and not any({"page_content", "metadata", "query"} & set(c) for c in seen)
