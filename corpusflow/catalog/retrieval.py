@@ -14,7 +14,7 @@ from corpusflow.session import materialized
 
 c = F.col
 SYSTEM = "Answer from the context and name your sources."
-# Squared distance up to which vectors count as near in the approximate join.
+# Squared distance up to which vectors count as near in the join of representatives.
 NEAR = 1.0
 
 
@@ -59,10 +59,7 @@ WITH {_VEC}, reps AS (SELECT min(id) AS id, v FROM vec GROUP BY v)
 SELECT * FROM (SELECT q.id AS qid, x.id AS chunk_id, round({d2_sql('q.v', 'x.v')}, 6) AS d2 FROM reps q JOIN reps x ON q.id < x.id) WHERE d2 <= 1.0
 UNION ALL SELECT vec.id, reps.id, 0.0 FROM vec JOIN reps USING (v) WHERE vec.id <> reps.id""")
 def _(t: Tables) -> DataFrame:
-    """All vectors against all: pairs of representatives of equal vectors, and each copy with its representative.
-
-    The small tables fit one bucket, where all pairs are found; larger ones have the recall that tests measure.
-    """
+    """All vectors against all: pairs of representatives of equal vectors, and each copy with its representative."""
     pairs, members, _ = si.similarity_join(_index(t), _queries(t), NEAR + 5e-7)
     copies = members.where("member <> representative").select(c("member").alias("qid"), c("representative").alias("chunk_id"), F.lit(0.0).alias("d2"))
     near = pairs.where("qid < id").select("qid", c("id").alias("chunk_id"), F.round("d2", 6).alias("d2")).where(F.col("d2") <= NEAR)

@@ -1,10 +1,10 @@
-"""Approximate similarity join: pairs of vectors within a radius, found through random-projection tables.
+"""Similarity join: all pairs of vectors within a radius, by the buckets of random-projection tables.
 
-Each table cuts space by random hyperplanes, level by level, where half of a bounded sample of the index lies on
-either side, so buckets hold about as many vectors each however dense they lie. A query looks into its own
-bucket of every table and into those across the planes it comes closest to. What meets in a bucket is compared
-exactly, and pairs that several buckets find count once: results are right, and only their
-completeness is a matter of chance, which ``recall`` measures against the exact join.
+A table cuts space by random hyperplanes, level by level, where half of a bounded sample of the index lies on
+either side, so buckets hold about as many vectors each however dense they lie. A bucket is a ball around the mean of its
+sample as wide as its vectors need. Buckets whose ball lies farther off than the radius are ruled out by the
+triangle inequality; with what is left everything is compared, so no pair is missing, which ``recall`` shows
+against the exact join.
 """
 from __future__ import annotations
 
@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from corpusflow.operators.search import _arrow_schema, _ids, _matrix, _met, _vectors, _Within
+from corpusflow.operators.search import Cells, _arrow_schema, _matrix, _search_cells, _vectors
 from corpusflow.session import materialized
 
 TABLES, PROBES = 8, 6
-#: Vectors of the index that a bucket is meant to hold, and how many vectors and queries meet in one task at most.
-LEAF, BLOCK_VECTORS, BLOCK_QUERIES = 512, 16_384, 8_192
+#: Vectors of the index that a bucket is meant to hold, how many vectors and queries meet in one task at most, and levels of the table that is joined by.
+LEAF, BLOCK_VECTORS, BLOCK_QUERIES, LEVELS = 512, 65_536, 32_768, 10
 #: Bytes of vectors that tables are fitted on, and vectors of that sample in a bucket at least.
 SAMPLE_BYTES, SAMPLE_LEAF = 32_000_000, 4
 
@@ -61,9 +61,15 @@ class Tables(NamedTuple):
 
 def fit_tables(index: DataFrame, n: int, width: int, tables: int = TABLES, leaf: int = LEAF, seed: int = 7) -> Tables:
     """Tables for ``n`` vectors, their cuts from a sample of at most ``SAMPLE_BYTES``."""
-    limit = SAMPLE_BYTES // (8 * width)
-    some = index.orderBy(F.xxhash64("id")).limit(min(n, limit)).toArrow()
-    _, x = _vectors(some["id"], some["vec"])
+    return _fitted(_sample(index, n, width), n, width, tables, leaf, seed)
+
+
+def _sample(index: DataFrame, n: int, width: int) -> np.ndarray:
+    some = index.orderBy(F.xxhash64("id")).limit(min(n, SAMPLE_BYTES // (8 * width))).toArrow()
+    return _vectors(some["id"], some["vec"])[1]
+
+
+def _fitted(x: np.ndarray, n: int, width: int, tables: int, leaf: int, seed: int = 7) -> Tables:
     depth = max(0, min(math.ceil(math.log2(max(n, 1) / leaf)), int(math.log2(max(len(x), 1) / SAMPLE_LEAF))))
     planes = np.random.default_rng(seed).normal(size=(width, tables, depth))
     side = np.einsum("nw,wtd->tdn", x, planes)
@@ -80,23 +86,34 @@ def fit_tables(index: DataFrame, n: int, width: int, tables: int = TABLES, leaf:
     return Tables(planes, cuts)
 
 
-def _bucketed(df: DataFrame, key: str, tables: Tables, probes: int) -> DataFrame:
-    """Rows (key, vec, cell), one for each bucket of a vector; a vector that has one bucket twice stands there once."""
-    shared = df.sparkSession.sparkContext.broadcast(tables)
+def _balls(x: np.ndarray, tables: Tables) -> tuple[Tables, np.ndarray]:
+    """The table whose buckets lie closest around the means of their vectors, and these means."""
+    own, size = tables.buckets(x, 0)[:, :, 0], 2 ** tables.depth
+    means, spread = [], []
+    for cells in own.T:
+        sums = np.stack([np.bincount(cells, column, size) for column in x.T], 1)
+        means.append(sums / np.maximum(np.bincount(cells, minlength=size), 1)[:, None])
+        spread.append(((x - means[-1][cells]) ** 2).sum())
+    t = int(np.argmin(spread))
+    return Tables(tables.planes[:, t:t + 1], tables.cuts[t:t + 1]), means[t]
+
+
+def _bucketed(df: DataFrame, key: str, table: Tables, means: np.ndarray) -> DataFrame:
+    """Rows (key, vec, cell, away): the bucket of a vector and how far it lies from the bucket's mean."""
+    shared = df.sparkSession.sparkContext.broadcast((table, means))
     types = [df.schema[c].dataType.simpleString() for c in (key, "vec")]
-    size = 2 ** tables.depth
 
     def place(batches):
         for batch in batches:
+            table, means = shared.value
             for at in range(0, batch.num_rows, 4_096):
                 part = batch.slice(at, 4_096)
-                found = shared.value.buckets(_matrix(part.column(1)), probes)
-                cells = np.sort((np.arange(found.shape[1])[None, :, None] * size + found).reshape(part.num_rows, -1), axis=1)
-                fresh = np.diff(cells, axis=1, prepend=-1) != 0
-                rows, _ = np.nonzero(fresh)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(pa.array(rows)) for i in (0, 1)), pa.array(cells[fresh].astype(np.int32))], [key, "vec", "cell"])
+                x = _matrix(part.column(1))
+                cells = table.buckets(x, 0)[:, 0, 0]
+                away = np.sqrt(((x - means[cells]) ** 2).sum(1))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cells.astype(np.int32)), pa.array(away)], [key, "vec", "cell", "away"])
 
-    return materialized(df.select(key, "vec").mapInArrow(place, f"{key} {types[0]}, vec {types[1]}, cell int"), "buckets")
+    return materialized(df.select(key, "vec").mapInArrow(place, f"{key} {types[0]}, vec {types[1]}, cell int, away double"), "buckets")
 
 
 def _classes(df: DataFrame, key: str, vec: str, name: str) -> tuple[DataFrame, DataFrame]:
@@ -113,9 +130,9 @@ def similarity_join(index: DataFrame, queries: DataFrame, d2_max: float, *, id_c
     """``(pairs, members, asked)``: pairs (qid, id, d2) of squared distance up to ``d2_max`` between representatives of equal vectors.
 
     ``members`` and ``asked`` name each row's representative (member, representative) on either side; ids must be unique. Rows
-    without a whole vector are in none of them. A vector meets about ``leaf`` others per table and probe; that number only
-    grows where the index outgrows the sample (``SAMPLE_BYTES``) by which buckets are cut. Crowded buckets are worked on
-    in blocks; nothing is capped.
+    without a whole vector are in none of them. Of ``tables`` tables the one with the closest buckets is joined by; a query looks into
+    every bucket that may hold a pair, whatever ``probes`` says, which callers may still give. Buckets travel in packs and crowded
+    ones in blocks; nothing is capped.
     """
     vectors, members = _classes(index, id_col, vec_col, "id")
     asked, askers = _classes(queries, qid_col, qvec_col, "qid")
@@ -124,25 +141,13 @@ def similarity_join(index: DataFrame, queries: DataFrame, d2_max: float, *, id_c
     n, width = vectors.agg(F.count("*"), F.max(F.size("vec"))).first()
     if not n:
         return index.sparkSession.createDataFrame([], ddl), members, askers
-    fitted = fit_tables(vectors, n, width, tables, leaf)
-    left = _bucketed(asked, "qid", fitted, probes).withColumnRenamed("cell", "qc").withColumn("reach", F.lit(0.0))
-    right = _bucketed(vectors, "id", fitted, 0).withColumnRenamed("cell", "xc")
-
-    def blocks(df: DataFrame, cell: str, size: int, name: str) -> DataFrame:
-        return df.groupBy(cell).agg(F.ceil(F.count("*") / size).cast("int").alias(name))
-
-    # a row per bucket: as many as the sample lets the tables have
-    meet = materialized(blocks(left, "qc", BLOCK_QUERIES, "qn").join(blocks(right, "xc", BLOCK_VECTORS, "xn"), F.col("qc") == F.col("xc")), "meet")
-    spark = index.sparkSession
-
-    def check(q_table: pa.Table, x_table: pa.Table) -> pa.Table:
-        if q_table.num_rows == 0 or x_table.num_rows == 0:
-            return schema.empty_table()
-        found = _Within(d2_max).pairs(_matrix(q_table["vec"]), _matrix(x_table["vec"]), _ids(x_table["id"]), _ids(q_table["qid"]), schema)
-        return pa.Table.from_batches(list(found), schema)
-
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism)
-    pairs = _met(left, right, F.broadcast(meet), tasks, check, ddl)
+    sample = _sample(vectors, n, width)
+    table, means = _balls(sample, _fitted(sample, n, width, tables, max(leaf, math.ceil(n / 2 ** LEVELS))))
+    placed = _bucketed(vectors, "id", table, means)
+    sizes, radii = np.zeros(len(means), np.int64), np.zeros(len(means))
+    for r in placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect():
+        sizes[r.cell], radii[r.cell] = r.n, r.radius
+    pairs = _search_cells(Cells(placed, means, sizes, radii), asked, None, d2_max, schema, ddl, BLOCK_VECTORS, BLOCK_QUERIES)
     return pairs.groupBy("qid", "id").agg(F.min("d2").alias("d2")), members, askers
 
 

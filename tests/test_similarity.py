@@ -90,3 +90,12 @@ def test_plan_has_no_cross_join(spark):
     x = frame(spark, unit(np.random.default_rng(2), 200, 4))
     plan = plan_text(si.similarity_join(x, x.select(F.col("chunk_id").alias("qid"), F.col("embedding").alias("qvec")), 0.1, leaf=20)[0])
     assert "FlatMapCoGroupsInArrow" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
+
+
+def test_no_pair_is_left_out(spark):
+    """Vectors without clusters and a wide radius, where near vectors lie in buckets far from each other."""
+    x = unit(np.random.default_rng(15), 900, 24, spread=3.0, groups=30)
+    pairs, members, asked = si.similarity_join(frame(spark, x), frame(spark, x, "qid", "qvec"), 1.1, leaf=16, tables=2, probes=1)
+    want = brute(x, x, 1.1)
+    assert len(want) > 5000 and {(r.qid, r.id) for r in pairs.collect()} == want  # 0.30 of them before
+    assert si.recall(pairs, spark.createDataFrame(sorted(want), "qid long, id long")) == 1.0
